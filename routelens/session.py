@@ -26,6 +26,9 @@ SCALE_DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Only honoured when this process starts the JVM (local runs and tests).
+LOCAL_DEFAULTS = {"spark.driver.memory": "12g"}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "routelens", extra: dict | None = None) -> SparkSession:
@@ -33,7 +36,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in SCALE_DEFAULTS.items():
+    for k, v in {**LOCAL_DEFAULTS, **SCALE_DEFAULTS}.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
