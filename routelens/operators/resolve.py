@@ -102,18 +102,27 @@ def resolve_indexed(refs: DataFrame, type_defs: DataFrame) -> DataFrame:
 
     Single candidate -> it; several -> first whose path contains the import
     fragment, else best stem score (2 exact, 1 partial), first (by path, line) on ties.
+    The choice depends only on ``(name, fragment)``, so it is made once per
+    distinct key (dedup before the candidate join) and joined back to the refs.
     """
-    c = refs.join(type_defs.select("repo_id", "name", "path", "line"), ["repo_id", "name"])
-    stem = F.lower(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1))
+    keys = refs.select("repo_id", "name", "fragment").distinct()
+    defs = type_defs.select("repo_id", "name", "path", "line",
+                            F.lower(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)).alias("stem"))
+    c = keys.join(defs, ["repo_id", "name"])
     frag_hit = F.col("fragment").isNotNull() & (F.col("fragment") != "") & F.col("path").contains(F.col("fragment"))
-    score = F.when(stem == F.lower("name"), 2).when(stem.contains(F.lower("name")) | F.lower("name").contains(stem), 1).otherwise(0)
+    ln = F.lower("name")
+    score = F.when(F.col("stem") == ln, 2).when(F.col("stem").contains(ln) | ln.contains(F.col("stem")), 1).otherwise(0)
     c = c.withColumn("tier", F.when(frag_hit, 0).otherwise(1)).withColumn("score", score)
     key = F.struct("tier", (-F.col("score")).alias("neg_score"), "path", "line")
-    return (c.groupBy("repo_id", "ref_id", "name").agg(F.min_by(F.struct("path", "line", "tier", "score"), key).alias("w"),
-                                                        F.count(F.lit(1)).alias("n_candidates"))
-            .select("repo_id", "ref_id", "name", "w.path", "w.line", "n_candidates",
+    best = (c.groupBy("repo_id", "name", "fragment").agg(F.min_by(F.struct("path", "line", "tier", "score"), key).alias("w"),
+                                                         F.count(F.lit(1)).alias("n_candidates")))
+    best = best.select(F.col("repo_id").alias("b_repo"), F.col("name").alias("b_name"), F.col("fragment").alias("b_frag"),
+                       "w", "n_candidates")
+    j = refs.join(best, (F.col("repo_id") == F.col("b_repo")) & (F.col("name") == F.col("b_name"))
+                  & F.col("fragment").eqNullSafe(F.col("b_frag")))
+    return j.select("repo_id", "ref_id", "name", "w.path", "w.line", "n_candidates",
                     F.when(F.col("n_candidates") == 1, "single").when(F.col("w.tier") == 0, "import")
-                    .otherwise("stem").alias("how")))
+                    .otherwise("stem").alias("how"))
 
 
 def case_alias(requested: DataFrame, extracted: DataFrame) -> DataFrame:
