@@ -150,18 +150,19 @@ def dangling_refs(path_refs: DataFrame, schemas: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ F10 cycle cutting
 
-def _cut_cycles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Deterministic DFS over one strongly connected part: back edges are cut.
+def _dfs_back_edges(edges, prefer_array_pair: bool):
+    """Back edges of a deterministic DFS (sorted adjacency, sorted roots).
 
-    Adjacency is sorted (array edges first for a node's pair partner), so the
-    result does not depend on hash order.
+    With ``prefer_array_pair`` a back edge ``u -> v`` that closes a two-node
+    cycle with the array tree edge ``v -> u`` is replaced by that array edge.
     """
     adj: dict[str, list[tuple[str, bool]]] = {}
-    for s, d, a in zip(pdf["src"], pdf["dst"], pdf["via_array"]):
+    for s, d, a in edges:
         adj.setdefault(s, []).append((d, bool(a)))
     for k in adj:
         adj[k].sort(key=lambda t: (t[0], not t[1]))
     color: dict[str, int] = {}
+    parent: dict[str, tuple[str, bool]] = {}
     cut = []
     for root in sorted(adj):
         if color.get(root):
@@ -178,10 +179,27 @@ def _cut_cycles(pdf: pd.DataFrame) -> pd.DataFrame:
             d, a = nxt
             c = color.get(d, 0)
             if c == 1:
-                cut.append((node, d, a))
+                par = parent.get(node)
+                if prefer_array_pair and not a and par is not None and par[0] == d and par[1]:
+                    cut.append((d, node, True))
+                else:
+                    cut.append((node, d, a))
             elif c == 0:
                 color[d] = 1
+                parent[d] = (node, a)
                 stack.append((d, iter(adj.get(d, []))))
+    return cut
+
+
+def _cut_cycles(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Cycle cut inside one connected part: deterministic DFS back edges, the
+    array edge of a two-node cycle preferred, then a second DFS over what is
+    left so that the result is acyclic whatever the preference did."""
+    edges = list(zip(pdf["src"], pdf["dst"], pdf["via_array"]))
+    cut = _dfs_back_edges(edges, prefer_array_pair=True)
+    gone = {(s, d) for s, d, _ in cut}
+    rest = [e for e in edges if (e[0], e[1]) not in gone]
+    cut += _dfs_back_edges(rest, prefer_array_pair=False)
     rid = pdf["repo_id"].iloc[0] if len(pdf) else ""
     return pd.DataFrame([(rid, s, d, a) for s, d, a in cut], columns=["repo_id", "src", "dst", "via_array"])
 

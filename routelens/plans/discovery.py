@@ -486,6 +486,7 @@ FROM m LEFT JOIN au USING (repo_id) LEFT JOIN sv USING (repo_id)"""
 
 @query("prescan", sql=SQL_PRESCAN)
 def q_prescan(spark, sf_dir):
+    """The composed manifest per source (framework, route files, importers, sweep, auth, server)."""
     return doc_prescan(spark, sf_dir)
 
 

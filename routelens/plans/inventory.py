@@ -108,6 +108,7 @@ def q_path_normalize(spark, sf_dir):
 @query("path_template", sql=f"""
 SELECT file_ord AS page_id, repo_id, path, {template('path')} AS template FROM {SQL_EP}""")
 def q_path_template(spark, sf_dir):
+    """Every parameter becomes ``{_}`` (OpenAPI path identity)."""
     ep = page_endpoints(spark, sf_dir)
     return ep.select(F.col("file_ord").alias("page_id"), "repo_id", "path", path_template(F.col("path")).alias("template"))
 
@@ -221,6 +222,7 @@ SELECT repo_id, p_method AS method, pattern, min(file_ord) AS page_id, arg_min(p
 FROM {SQL_EP} e JOIN ({_PAT_SQL}) r ON upper(e.method) = upper(r.p_method) AND regexp_matches(e.path, r.pattern)
 GROUP BY 1, 2, 3""")
 def q_find_endpoint(spark, sf_dir):
+    """First endpoint per (host, method, pattern) whose path matches the pattern."""
     pats = rule_table(spark, FIND_PATTERNS, "p_method string, pattern string")
     return find_endpoint(page_endpoints(spark, sf_dir), pats)
 
