@@ -101,18 +101,23 @@ def scheme_aggregate(reqs: DataFrame) -> DataFrame:
 def operation_id_dedup(ops: DataFrame, order_cols=("file_ord", "ep_ord")) -> DataFrame:
     """colliding operation ids get a ``{tag}_`` prefix (or a path prefix when
     there is no tag); ids that still collide get ``_`` + 6 hex of md5(``path:method``)
-    on every occurrence after the first (new ids are not re-checked, Q8)."""
-    w = Window.partitionBy("repo_id", "operation_id")
-    o = ops.withColumn("__n", F.count(F.lit(1)).over(w))
+    on every occurrence after the first (new ids are not re-checked, Q8).
+
+    Collision counts and "first occurrence" are aggregates joined back on the id,
+    not windows, so a hot id is split by AQE's skew join instead of one task.
+    """
+    o = F.struct(*order_cols)
+    n = ops.groupBy("repo_id", "operation_id").agg(F.count(F.lit(1)).alias("__n"))
+    x = ops.join(n, ["repo_id", "operation_id"])
     prefix = F.when(F.coalesce(F.col("tag"), F.lit("")) != "", F.col("tag")).otherwise(
         F.regexp_replace(F.regexp_replace(F.col("path"), r"[{}]", ""), "[^A-Za-z0-9]+", "_"))
-    o = o.withColumn("__id", F.when(F.col("__n") > 1, F.concat(prefix, F.lit("_"), F.col("operation_id"))).otherwise(F.col("operation_id")))
-    w2 = Window.partitionBy("repo_id", "__id").orderBy(*order_cols)
-    o = o.withColumn("__k", F.row_number().over(w2))
+    x = x.withColumn("__id", F.when(F.col("__n") > 1, F.concat(prefix, F.lit("_"), F.col("operation_id"))).otherwise(F.col("operation_id")))
+    first = x.groupBy("repo_id", "__id").agg(F.min(o).alias("__first"))
+    x = x.join(first, ["repo_id", "__id"])
     suffix = F.substring(F.md5(F.concat_ws(":", "path", "method")), 1, 6)
-    o = o.withColumn("operation_id", F.when((F.col("__n") > 1) & (F.col("__k") > 1), F.concat(F.col("__id"), F.lit("_"), suffix))
-                     .otherwise(F.col("__id")))
-    return o.drop("__n", "__id", "__k")
+    later = (F.col("__n") > 1) & ~o.eqNullSafe(F.col("__first"))
+    x = x.withColumn("operation_id", F.when(later, F.concat(F.col("__id"), F.lit("_"), suffix)).otherwise(F.col("__id")))
+    return x.drop("__n", "__id", "__first")
 
 
 def check_duplicate_paths(ops: DataFrame) -> DataFrame:
@@ -146,3 +151,115 @@ def completeness(ops: DataFrame, schemas: DataFrame, n_route_files: DataFrame) -
 
 def primitive_keys() -> list[str]:
     return sorted(PRIMITIVE_TYPES)
+
+
+# Constraint keyword aliases and their JSON-Schema names (F4), in rename order.
+CONSTRAINT_RENAMES = (
+    ("ge", "minimum"), ("le", "maximum"),
+    ("gt", "exclusiveMinimum"), ("lt", "exclusiveMaximum"),
+    ("multiple_of", "multipleOf"),
+    ("min_length", "minLength"), ("max_length", "maxLength"),
+    ("minlength", "minLength"), ("maxlength", "maxLength"),
+    ("min_items", "minItems"), ("max_items", "maxItems"),
+    ("minitems", "minItems"), ("maxitems", "maxItems"),
+    ("unique_items", "uniqueItems"),
+    ("min_properties", "minProperties"), ("max_properties", "maxProperties"),
+)
+# JSON-Schema type words and keys whose string values stay strings.
+JSON_SCHEMA_TYPES = ("string", "integer", "number", "boolean", "array", "object")
+STRING_VALUE_KEYS = ("$ref", "type", "format", "description", "pattern", "title", "default", "example", "x-circular-ref")
+
+
+def constraint_rename(m: Column) -> Column:
+    """alias keys renamed to their JSON-Schema names unless the target (or an earlier
+    alias of the same target) is already present; the existing key wins."""
+    def target(k):
+        t = F.lit(None).cast("string")
+        for a, b in CONSTRAINT_RENAMES:
+            t = F.when(k == a, F.lit(b)).otherwise(t)
+        return t
+
+    def blocked(k):
+        # an alias earlier in rename order with the same target is present
+        b = F.lit(False)
+        for i, (a, t) in enumerate(CONSTRAINT_RENAMES):
+            earlier = [x for x, y in CONSTRAINT_RENAMES[:i] if y == t]
+            if earlier:
+                cond = F.lit(False)
+                for x in earlier:
+                    cond = cond | F.map_contains_key(m, F.lit(x))
+                b = F.when(k == a, cond).otherwise(b)
+        return b
+
+    def new_key(e):
+        t = target(e["key"])
+        return F.when(t.isNotNull() & ~F.map_contains_key(m, t) & ~blocked(e["key"]), t).otherwise(e["key"])
+
+    return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(new_key(e).alias("key"), e["value"].alias("value"))))
+
+
+def coerce_property(v: Column) -> Column:
+    """JSON text of the schema for a non-object property value (VARIANT input)."""
+    t = F.schema_of_variant(v)
+    s = F.regexp_replace(F.try_variant_get(v, "$", "string"), r"^\s+|\s+$", "")
+    low = F.lower(s)
+    parsed = F.try_parse_json(s)
+    is_obj_text = (s.startswith("{") & s.endswith("}")) & parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
+    ident = s.rlike(r"^[A-Z][A-Za-z0-9_]*$")
+    as_ref = lambda x: F.concat(F.lit('{"$ref":'), F.to_json(F.array(x)).substr(2, 1 << 20))
+    string_case = (F.when(low.isin(*JSON_SCHEMA_TYPES), F.concat(F.lit('{"type":"'), low, F.lit('"}')))
+                   .when(s.startswith("#/components/schemas/"), F.regexp_replace(as_ref(s), r"\]$", "}"))
+                   .when(is_obj_text, F.to_json(parsed))
+                   .when(ident, F.regexp_replace(as_ref(F.concat(F.lit("#/components/schemas/"), s)), r"\]$", "}"))
+                   .otherwise(F.lit('{"type":"string"}')))
+    return (F.when(v.isNull() | (t == "VOID"), F.lit('{"type":"string","nullable":true}'))
+            .when(t == "STRING", string_case)
+            .when(t == "BOOLEAN", F.lit('{"type":"boolean"}'))
+            .when(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.lit('{"type":"number"}'))
+            .when(t.startswith("ARRAY"), F.lit('{"type":"array","items":{"type":"string"}}'))
+            .when(t.startswith("OBJECT"), F.to_json(v))
+            .otherwise(F.lit('{"type":"object"}')))
+
+
+def parse_json_string(key: Column, value: Column) -> Column:
+    """kind of a string attribute after clean-up: ``object``/``array`` when it holds
+    JSON of that shape, ``ref`` for a bare schema ref, else ``string`` (allow-listed
+    keys always stay strings)."""
+    s = F.regexp_replace(value, r"^\s+|\s+$", "")
+    braced = (s.startswith("{") & s.endswith("}")) | (s.startswith("[") & s.endswith("]"))
+    p = F.try_parse_json(s)
+    kind = (F.when(braced & p.isNotNull() & F.schema_of_variant(p).startswith("OBJECT"), "object")
+            .when(braced & p.isNotNull() & F.schema_of_variant(p).startswith("ARRAY"), "array")
+            .when(~braced & s.startswith("#/components/schemas/"), "ref")
+            .otherwise("string"))
+    return F.when(key.isin(*STRING_VALUE_KEYS), F.lit("string")).otherwise(kind)
+
+
+def schema_case_align(schemas: DataFrame, refs: DataFrame) -> DataFrame:
+    """schema keys renamed to the spelling their refs use when they differ only by case.
+
+    ``schemas(repo_id, name, ord)``, ``refs(repo_id, target)``. The first spelling per
+    lower-cased name is the actual key; a key is renamed once (smallest target wins).
+    """
+    first = schemas.groupBy("repo_id", F.lower("name").alias("k")).agg(F.min_by("name", "ord").alias("actual"))
+    missing = refs.select("repo_id", "target").distinct().join(
+        schemas.select("repo_id", F.col("name").alias("target")), ["repo_id", "target"], "left_anti")
+    j = missing.withColumn("k", F.lower("target")).join(first, ["repo_id", "k"]).where(F.col("actual") != F.col("target"))
+    return j.groupBy("repo_id", "actual").agg(F.min("target").alias("renamed_to"))
+
+
+def merge_identical_paths(ops: DataFrame, order_cols=("file_ord", "ep_ord")) -> DataFrame:
+    """paths equal under P2 merge into the first one; the log lists merged methods
+    (absent from the canonical path) and removed duplicate paths."""
+    o = F.struct(*order_cols)
+    paths = ops.groupBy("repo_id", "path").agg(F.min(o).alias("o")).withColumn(
+        "template", F.regexp_replace("path", r"\{[^}]+\}", "{_}"))
+    canon = paths.groupBy("repo_id", "template").agg(F.min_by("path", "o").alias("canonical"))
+    p = paths.join(canon, ["repo_id", "template"]).where(F.col("path") != F.col("canonical"))
+    meth = ops.select("repo_id", "path", F.lower("method").alias("method")).distinct()
+    dup_m = p.join(meth, ["repo_id", "path"])
+    can_m = meth.select("repo_id", F.col("path").alias("canonical"), "method")
+    merged = dup_m.join(can_m, ["repo_id", "canonical", "method"], "left_anti").select(
+        "repo_id", F.lit("merged").alias("kind"), "path", "canonical", "method")
+    removed = p.select("repo_id", F.lit("removed").alias("kind"), "path", "canonical", F.lit(None).cast("string").alias("method"))
+    return merged.unionByName(removed)
