@@ -239,3 +239,89 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if new.where("changed").isEmpty():
             break
     return label
+
+
+IMPORT_LINE_RE = r"^\s*(import|from|require|using|use|#include)\b"
+
+
+def resolve_by_scan(refs: DataFrame, lines: DataFrame, def_rules: DataFrame) -> DataFrame:
+    """Fallback resolution by scanning source lines once.
+
+    Every line yields the names it defines (``def_rules(rule_ord, regex)`` with the
+    name in group 1, e.g. class/interface declarations and ``Name =``
+    assignments); import lines are dropped; the refs are equi-joined on the name
+    (no scan per name). A dotted ``Outer.Inner`` keeps files that also define
+    ``Outer``; then the import fragment decides, else the first (path, line).
+    """
+    r = F.broadcast(def_rules)
+    ln = lines.where(~F.col("line").rlike(IMPORT_LINE_RE))
+    d = (ln.join(r, F.regexp_like(ln["line"], r["regex"]))
+         .select("repo_id", "path", "line_no", F.expr("regexp_extract(line, regex, 1)").alias("defined"))
+         .where(F.col("defined") != "").distinct())
+    leaf = F.element_at(F.split("name", r"\."), -1)
+    outer = F.when(F.col("name").contains("."), F.element_at(F.split("name", r"\."), 1))
+    c = refs.withColumn("leaf", leaf).withColumn("outer", outer).join(
+        d.withColumnRenamed("defined", "leaf"), ["repo_id", "leaf"])
+    outer_defs = d.select("repo_id", "path", F.col("defined").alias("outer")).distinct().withColumn("__o", F.lit(True))
+    c = c.join(outer_defs, ["repo_id", "path", "outer"], "left").where(F.col("outer").isNull() | F.col("__o").isNotNull())
+    tier = F.when(F.col("fragment").isNotNull() & (F.col("fragment") != "") & F.col("path").contains(F.col("fragment")), 0).otherwise(1)
+    return (c.withColumn("tier", tier).groupBy("repo_id", "ref_id", "name")
+            .agg(F.min_by(F.struct("path", F.col("line_no").alias("line")), F.struct("tier", "path", "line_no")).alias("w"))
+            .select("repo_id", "ref_id", "name", "w.path", "w.line"))
+
+
+def resolve_type(refs: DataFrame, type_defs: DataFrame, lines: DataFrame, def_rules: DataFrame) -> DataFrame:
+    """The index first (G4); only the refs it leaves open are scanned."""
+    idx = resolve_indexed(refs, type_defs).select("repo_id", "ref_id", "name", "path", "line", F.lit("index").alias("how"))
+    rest = refs.join(idx.select("repo_id", "ref_id"), ["repo_id", "ref_id"], "left_anti")
+    scan = resolve_by_scan(rest, lines, def_rules).withColumn("how", F.lit("scan"))
+    found = idx.unionByName(scan)
+    none = (rest.join(scan.select("repo_id", "ref_id"), ["repo_id", "ref_id"], "left_anti")
+            .select("repo_id", "ref_id", "name", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("line"),
+                    F.lit("none").alias("how")))
+    return found.unionByName(none)
+
+
+def ref_hints_collect(hints: DataFrame) -> DataFrame:
+    """Per file, each (name, import_line, namespace) once, tagged with the source of
+    its first occurrence (request body before responses within an endpoint)."""
+    k = ["repo_id", "source_file", "name", "import_line", "namespace"]
+    return hints.groupBy(*k).agg(F.min_by("source", F.struct("ep_ord", "src_ord")).alias("source"),
+                                 F.min("ep_ord").alias("first_ep"))
+
+
+def ref_hints_dedup(collected: DataFrame) -> DataFrame:
+    """Across the repository the same key keeps the first file's hint."""
+    k = ["repo_id", "name", "import_line", "namespace"]
+    return collected.groupBy(*k).agg(F.min_by(F.struct("source_file", "source"), F.struct("file_ord", "first_ep")).alias("w")) \
+        .select(*k, "w.source_file", "w.source")
+
+
+def props_to_json_schema(props: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Property rows -> JSON Schema text per schema.
+
+    ``props(schema, prop_ord, name, type, format, ref, is_array, nullable,
+    enum_values, constraints_json)``; ``schemas(schema, required ARRAY, parent_ref)``.
+    A ref wins over enum over type/format; arrays wrap; nullable and constraints
+    are added last; a parent turns the result into ``allOf``.
+    """
+    base = (F.when(F.col("ref") != "", F.concat(F.lit('{"$ref":"#/components/schemas/'), "ref", F.lit('"}')))
+            .when(F.size("enum_values") > 0, F.concat(F.lit('{"type":"string","enum":'), F.to_json("enum_values"), F.lit("}")))
+            .otherwise(F.concat(F.lit('{"type":"'), "type", F.lit('"'),
+                                F.when(F.col("format") != "", F.concat(F.lit(',"format":"'), "format", F.lit('"'))).otherwise(F.lit("")),
+                                F.lit("}"))))
+    s = F.when(F.col("is_array"), F.concat(F.lit('{"type":"array","items":'), base, F.lit("}"))).otherwise(base)
+    extra = F.concat(F.when(F.col("nullable"), F.lit(',"nullable":true')).otherwise(F.lit("")),
+                     F.when(F.coalesce(F.col("constraints_json"), F.lit("{}")) != "{}",
+                            F.concat(F.lit(","), F.expr("substring(constraints_json, 2, length(constraints_json) - 2)"))).otherwise(F.lit("")))
+    prop = F.concat(F.regexp_replace(s, r"\}$", ""), extra, F.lit("}"))
+    key = F.regexp_replace(F.to_json(F.array("name")), r"^\[|\]$", "")  # JSON-escaped "name"
+    p = props.select("schema", "prop_ord", F.concat(key, F.lit(":"), prop).alias("kv"))
+    agg = p.groupBy("schema").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prop_ord", "kv"))),
+                                                            lambda x: x["kv"]), ",").alias("body"))
+    j = schemas.join(agg, "schema", "left")
+    obj = F.concat(F.lit('{"type":"object","properties":{'), F.coalesce("body", F.lit("")), F.lit("}"),
+                   F.when(F.size("required") > 0, F.concat(F.lit(',"required":'), F.to_json("required"))).otherwise(F.lit("")), F.lit("}"))
+    out = F.when(F.col("parent_ref") != "", F.concat(F.lit('{"allOf":[{"$ref":"#/components/schemas/'), "parent_ref",
+                                                      F.lit('"},'), obj, F.lit("]}"))).otherwise(obj)
+    return j.select("schema", out.alias("schema_json"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from routelens.functions import hints as T
 from routelens.operators import spec as A
 from routelens.plans.catalog import query
+from routelens.plans.discovery import SQL_SERVER, doc_server
 from routelens.plans.hints import _inlist
 from routelens.plans.schema import SQL_KEPT, SQL_NODES, SQL_OPS, event_ops, kept_ops, nodes
 from routelens.sources.tables import table
@@ -351,3 +352,50 @@ def q_op_request_body(spark, sf_dir):
 
 
 __all__ = ["A"]
+
+
+# Fixed value: the editable server entry every description carries (discovered servers
+# stay in the manifest).
+SERVERS_JSON = '[{"url":"{server}","variables":{"server":{"default":"","description":"Target server URL"}}}]'
+
+
+@query("build_servers", sql=f"""
+WITH sv AS (SELECT * FROM ({SQL_SERVER}))
+SELECT repo_id, '{SERVERS_JSON}' AS servers, server AS discovered_server FROM sv""")
+def q_build_servers(spark, sf_dir):
+    """The constant editable server variable; the discovered server is kept alongside."""
+    return doc_server(spark, sf_dir).select("repo_id", F.lit(SERVERS_JSON).alias("servers"), F.col("server").alias("discovered_server"))
+
+
+def assembled(spark, sf_dir):
+    """A1/A3/A7/A8/A9 then F13/F16, one row per operation of the description."""
+    k = A.operation_id_dedup(kept_ops(spark, sf_dir))
+    resp = A.add_4xx(A.inject_auth_responses(A.op_responses(F.col("responses")), F.col("protected")), F.col("protected"))
+    params = A.op_parameters(F.col("path"), F.col("declared"))
+    return k.select("repo_id", "path", "method", "operation_id",
+                    F.array_join(F.transform(resp, lambda r: r["code"]), ",").alias("codes"),
+                    F.size(params).alias("n_params"), "has_body")
+
+
+@query("assemble", sql=f"""
+WITH k AS {SQL_KEPT},
+a AS (SELECT *, count(*) OVER (PARTITION BY repo_id, operation_id) AS n FROM k),
+b AS (SELECT *, CASE WHEN n > 1 THEN (CASE WHEN coalesce(tag, '') <> '' THEN tag ELSE regexp_replace(regexp_replace(path, '[{{}}]', '', 'g'),
+        '[^A-Za-z0-9]+', '_', 'g') END) || '_' || operation_id ELSE operation_id END AS id1 FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY repo_id, id1 ORDER BY file_ord, ep_ord) AS kk FROM b),
+ids AS (SELECT *, CASE WHEN n > 1 AND kk > 1 THEN id1 || '_' || substr(md5(path || ':' || method), 1, 6) ELSE id1 END AS op_id FROM c),
+r0 AS (SELECT r.event_id, r.i, r.code FROM (SELECT event_id, 0 AS i, '200' AS code FROM k
+        UNION ALL SELECT event_id, 1, '404' FROM k WHERE k > 50 UNION ALL SELECT event_id, 2, '200' FROM k WHERE k % 10 = 0) r
+      WHERE NOT EXISTS (SELECT 1 FROM (SELECT event_id, 1 AS i, '404' AS code FROM k WHERE k > 50
+                        UNION ALL SELECT event_id, 2, '200' FROM k WHERE k % 10 = 0) q WHERE q.event_id = r.event_id AND q.code = r.code AND q.i > r.i)),
+r1 AS (SELECT event_id, i, code FROM r0 UNION ALL SELECT event_id, 10, '401' FROM k WHERE protected UNION ALL SELECT event_id, 11, '403' FROM k WHERE protected),
+no4 AS (SELECT event_id FROM k WHERE NOT EXISTS (SELECT 1 FROM r1 WHERE r1.event_id = k.event_id AND starts_with(r1.code, '4'))),
+r2 AS (SELECT * FROM r1 UNION ALL SELECT event_id, 20, '422' FROM no4),
+codes AS (SELECT event_id, string_agg(code, ',' ORDER BY i) AS codes FROM r2 GROUP BY 1)
+SELECT ids.repo_id, ids.path, ids.method, ids.op_id AS operation_id, codes.codes,
+       len(list_filter(regexp_extract_all(ids.path, '\\{{([^}}:]*)[^}}]*\\}}', 1), lambda x: x <> '')) + 1
+         + CASE WHEN NOT list_contains(regexp_extract_all(ids.path, '\\{{([^}}:]*)[^}}]*\\}}', 1), CASE WHEN ids.even THEN 'id' ELSE 'page' END) THEN 1 ELSE 0 END AS n_params,
+       ids.has_body FROM ids JOIN codes USING (event_id)""")
+def q_assemble(spark, sf_dir):
+    """The assembled operations (ids, response codes after auth/4xx injection, parameter counts)."""
+    return assembled(spark, sf_dir)

@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from routelens.functions.hints import build_ref
+from routelens.functions.hints import PRIMITIVE_TYPES, build_ref, hint_parse
 from routelens.operators import resolve as G
 from routelens.operators.rules import rule_table
 from routelens.plans.catalog import query
-from routelens.plans.hints import SQL_BUILD, part_hints
+from routelens.plans.hints import _INNER, SQL_BUILD, SQL_HINTS, part_hints
 from routelens.sources.tables import table
 
 REPO = "tpch"
@@ -161,7 +161,7 @@ def q_name_collision(spark, sf_dir):
     return G.name_collision(type_defs(spark, sf_dir))
 
 
-@query("qualified_names", sql=f"""
+SQL_QUALIFIED = f"""
 WITH d AS (SELECT DISTINCT repo_id, name, path FROM {SQL_DEFS}
            WHERE name IN (SELECT name FROM {SQL_DEFS} GROUP BY repo_id, name HAVING count(DISTINCT path) > 1)),
 x AS (SELECT repo_id, name, path, unnest(list_reverse(string_split(path, '/')[1:-2])) AS comp,
@@ -172,7 +172,10 @@ per AS (SELECT repo_id, name, depth FROM x JOIN n USING (repo_id, name) WHERE de
 best AS (SELECT repo_id, name, min(depth) AS depth FROM per GROUP BY 1, 2)
 SELECT d.repo_id, d.name, d.path, best.depth,
        CASE WHEN x.comp IS NOT NULL THEN x.comp || '_' || d.name ELSE replace(regexp_replace(d.path, '\\.[^./]*$', ''), '/', '_') END AS qualified
-FROM d LEFT JOIN best USING (repo_id, name) LEFT JOIN x ON x.repo_id = d.repo_id AND x.name = d.name AND x.path = d.path AND x.depth = best.depth""")
+FROM d LEFT JOIN best USING (repo_id, name) LEFT JOIN x ON x.repo_id = d.repo_id AND x.name = d.name AND x.path = d.path AND x.depth = best.depth"""
+
+
+@query("qualified_names", sql=SQL_QUALIFIED)
 def q_qualified_names(spark, sf_dir):
     """Colliding names qualified by the first directory level that tells their files apart."""
     return G.qualified_names(type_defs(spark, sf_dir))
@@ -186,7 +189,7 @@ def refs(spark, sf_dir):
     return p.select(F.lit(REPO).alias("repo_id"), F.col("p_partkey").alias("ref_id"), name.alias("name"), frag.alias("fragment"))
 
 
-@query("resolve_indexed", sql=f"""
+SQL_RESOLVE_INDEXED = f"""
 WITH r AS (SELECT 'tpch' AS repo_id, p_partkey AS ref_id, {SQL_NAME} AS name,
                   CASE WHEN p_partkey % 3 = 0 THEN 'catalog/' || lower(replace(p_type, ' ', '/')) END AS fragment FROM part),
 c AS (SELECT r.*, d.path, d.line, lower(regexp_extract(d.path, '([^/]*?)(\\.[^./]*)?$', 1)) AS stem FROM r JOIN {SQL_DEFS} d USING (repo_id, name)),
@@ -195,7 +198,10 @@ s AS (SELECT *, CASE WHEN fragment IS NOT NULL AND fragment <> '' AND contains(p
 SELECT repo_id, ref_id, name, arg_min(path, (tier, -score, path, line)) AS path, arg_min(line, (tier, -score, path, line)) AS line,
        count(*) AS n_candidates,
        CASE WHEN count(*) = 1 THEN 'single' WHEN arg_min(tier, (tier, -score, path, line)) = 0 THEN 'import' ELSE 'stem' END AS how
-FROM s GROUP BY 1, 2, 3""")
+FROM s GROUP BY 1, 2, 3"""
+
+
+@query("resolve_indexed", sql=SQL_RESOLVE_INDEXED)
 def q_resolve_indexed(spark, sf_dir):
     """Each reference resolved to one definition (import fragment, then stem score, then order)."""
     return G.resolve_indexed(refs(spark, sf_dir), type_defs(spark, sf_dir))
@@ -307,3 +313,166 @@ def q_break_ref_cycles(spark, sf_dir):
     """edges cut to make the reference graph acyclic (rows-only; property-tested)."""
     e = ref_edges(spark, sf_dir)
     return G.break_ref_cycles(e, G.components(e))
+
+
+# ------------------------------------------------------ registrations and scans
+
+def registration_lines(spark, sf_dir):
+    """Model registrations by call (ORM style) derived from ``part``."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    name = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    path = F.concat(F.lit("models/"), F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))), F.lit(".js"))
+    line = (F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("const "), name, F.lit("Model = mongoose.model('"), name, F.lit("', schema);")))
+            .when(F.col("p_size") % 5 == 1, F.concat(F.lit("const "), name, F.lit(" = db.define('"), F.lower(name), F.lit("', {});")))
+            .otherwise(F.concat(F.lit("// "), name)))
+    return p.select(F.lit(REPO).alias("repo_id"), path.alias("path"), F.col("p_partkey").alias("line_no"), line.alias("line"))
+
+
+# Fixed values of this binding: call-style model registration rule.
+MODEL_RULES = [(0, r"^const [A-Za-z0-9_]+ = [a-z]+\.(?:model|define)\('([A-Za-z0-9_]+)'()", "model")]
+
+
+@query("model_registration_index", sql=f"""
+SELECT 'tpch' AS repo_id, regexp_extract(line, '^const [A-Za-z0-9_]+ = [a-z]+\\.(?:model|define)\\(''([A-Za-z0-9_]+)''', 1) AS name, path,
+       line_no AS line, 'model' AS kind, '' AS inherits
+FROM (SELECT 'models/' || lower(replace(p_type, ' ', '_')) || '.js' AS path, p_partkey AS line_no,
+        CASE WHEN p_size % 5 = 0 THEN 'const ' || {SQL_NAME} || 'Model = mongoose.model(''' || {SQL_NAME} || ''', schema);'
+             WHEN p_size % 5 = 1 THEN 'const ' || {SQL_NAME} || ' = db.define(''' || lower({SQL_NAME}) || ''', {{}});'
+             ELSE '// ' || {SQL_NAME} END AS line FROM part)
+WHERE regexp_matches(line, '^const [A-Za-z0-9_]+ = [a-z]+\\.(?:model|define)\\(''')""")
+def q_model_registration_index(spark, sf_dir):
+    """Models defined by registration calls, found by an extra rule of the type index."""
+    return G.typedef_scan(registration_lines(spark, sf_dir), rule_table(spark, MODEL_RULES, "rule_ord int, regex string, kind string"))
+
+
+def brand_lines(spark, sf_dir):
+    """Constants files defining each brand (``BrandN = ...``), plus import lines that must not count."""
+    p = table(spark, sf_dir, "part").select("p_brand").distinct()
+    b = F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))
+    n = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("long")
+    main = p.select(F.lit(REPO).alias("repo_id"), F.lit("catalog/brands.ts").alias("path"), n.alias("line_no"),
+                    F.concat(F.lit("export const "), b, F.lit(" = Object.freeze({});")).alias("line"))
+    legacy = p.where(n % 2 == 0).select(F.lit(REPO).alias("repo_id"), F.lit("legacy/brands.js").alias("path"), n.alias("line_no"),
+                                        F.concat(b, F.lit(" = {};")).alias("line"))
+    imports = p.select(F.lit(REPO).alias("repo_id"), F.lit("app/index.ts").alias("path"), n.alias("line_no"),
+                       F.concat(F.lit("import { "), b, F.lit(" } from './brands';")).alias("line"))
+    return main.unionByName(legacy).unionByName(imports)
+
+
+# Fixed values of this binding: definition scan rules (name in group 1).
+SCAN_RULES = [(0, r"(?:class|interface|const|let|var)\s+([A-Za-z0-9_]+)"), (1, r"^([A-Za-z0-9_]+)\s*=")]
+
+
+def brand_refs(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    b = F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))
+    frag = F.when(F.col("p_partkey") % 4 == 0, F.lit("legacy"))
+    return p.select(F.lit(REPO).alias("repo_id"), F.col("p_partkey").alias("ref_id"), b.alias("name"), frag.alias("fragment"))
+
+
+SQL_BRAND_LINES = """(SELECT DISTINCT 'catalog/brands.ts' AS path, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) AS line_no,
+     'export const ' || replace(p_brand, '#', '') || ' = Object.freeze({});' AS line FROM part
+   UNION ALL SELECT DISTINCT 'legacy/brands.js', CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT), replace(p_brand, '#', '') || ' = {};'
+     FROM part WHERE CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) % 2 = 0)"""
+SQL_SCAN = f"""(SELECT r.ref_id, r.name, arg_min(l.path, (CASE WHEN r.fragment IS NOT NULL AND contains(l.path, r.fragment) THEN 0 ELSE 1 END,
+     l.path, l.line_no)) AS path, arg_min(l.line_no, (CASE WHEN r.fragment IS NOT NULL AND contains(l.path, r.fragment) THEN 0 ELSE 1 END,
+     l.path, l.line_no)) AS line
+ FROM (SELECT p_partkey AS ref_id, replace(p_brand, '#', '') AS name, CASE WHEN p_partkey % 4 = 0 THEN 'legacy' END AS fragment FROM part) r
+ JOIN {SQL_BRAND_LINES} l ON l.line LIKE 'export const ' || r.name || ' =%' OR l.line LIKE r.name || ' =%'
+ GROUP BY 1, 2)"""
+
+
+@query("resolve_by_scan", sql=f"SELECT 'tpch' AS repo_id, * FROM {SQL_SCAN}")
+def q_resolve_by_scan(spark, sf_dir):
+    """Brand names resolved by one definition scan over source lines (import lines ignored)."""
+    rules = rule_table(spark, SCAN_RULES, "rule_ord int, regex string")
+    return G.resolve_by_scan(brand_refs(spark, sf_dir), brand_lines(spark, sf_dir), rules)
+
+
+@query("resolve_type", sql=f"""
+SELECT 'index' AS how, count(*) AS n_refs, count(DISTINCT path) AS n_files FROM ({SQL_RESOLVE_INDEXED})
+UNION ALL SELECT 'scan', count(*), count(DISTINCT path) FROM {SQL_SCAN}""")
+def q_resolve_type(spark, sf_dir):
+    """Part names resolve through the index; brand names, which the index lacks, through the line scan."""
+    rules = rule_table(spark, SCAN_RULES, "rule_ord int, regex string")
+    brands = brand_refs(spark, sf_dir).withColumn("ref_id", F.col("ref_id") + 10_000_000_000)
+    r = G.resolve_type(refs(spark, sf_dir).unionByName(brands), type_defs(spark, sf_dir), brand_lines(spark, sf_dir), rules)
+    return r.groupBy("how").agg(F.count(F.lit(1)).alias("n_refs"), F.count_distinct("path").alias("n_files"))
+
+
+@query("dotted_alias", sql=f"""
+SELECT ref_id, 'Catalog.' || name AS dotted, name AS leaf, path FROM ({SQL_RESOLVE_INDEXED}) WHERE ref_id % 5 = 0""")
+def q_dotted_alias(spark, sf_dir):
+    """``Outer.Inner`` requests alias the leaf schema resolved in the same file."""
+    r = refs(spark, sf_dir).where(F.col("ref_id") % 5 == 0)
+    res = G.resolve_indexed(r, type_defs(spark, sf_dir))
+    return res.select("ref_id", F.concat(F.lit("Catalog."), "name").alias("dotted"), F.col("name").alias("leaf"), "path")
+
+
+@query("ref_rewrite", sql=f"""
+WITH r AS ({SQL_RESOLVE_INDEXED}), q AS ({SQL_QUALIFIED})
+SELECT r.ref_id, r.name, coalesce(q.qualified, r.name) AS rewritten FROM r LEFT JOIN q ON q.name = r.name AND q.path = r.path""")
+def q_ref_rewrite(spark, sf_dir):
+    """A reference is rewritten to the qualified name of the file it resolved to."""
+    d = type_defs(spark, sf_dir)
+    r = G.resolve_indexed(refs(spark, sf_dir), d)
+    q = G.qualified_names(d).select("repo_id", "name", "path", "qualified")
+    return r.join(q, ["repo_id", "name", "path"], "left").select("ref_id", "name", F.coalesce("qualified", "name").alias("rewritten"))
+
+
+@query("unresolved_classify", sql=f"""
+WITH h AS (SELECT hint_id, {_INNER} AS name FROM {SQL_HINTS}),
+d AS (SELECT name, bool_or(kind = 'class') AS has_class FROM {SQL_DEFS} GROUP BY 1)
+SELECT hint_id, name, CASE WHEN lower(name) IN {tuple(sorted(PRIMITIVE_TYPES))} THEN 'inline'
+  WHEN hint_id % 13 = 0 THEN 'marked_unresolvable' WHEN d.name IS NULL THEN 'not_resolved'
+  WHEN NOT d.has_class THEN 'extraction_failed' ELSE 'resolved' END AS status
+FROM h LEFT JOIN d USING (name) WHERE h.name <> ''""")
+def q_unresolved_classify(spark, sf_dir):
+    """Each requested name classified: inline primitive, marked unresolvable, not
+    resolved, extraction failed (interface only), else resolved."""
+    h = part_hints(spark, sf_dir).select("hint_id", hint_parse(F.col("hint"))["inner"].alias("name")).where(F.col("name") != "")
+    d = type_defs(spark, sf_dir).groupBy("name").agg(F.bool_or(F.col("kind") == "class").alias("has_class"))
+    j = h.join(d, "name", "left")
+    status = (F.when(F.lower("name").isin(*PRIMITIVE_TYPES), "inline").when(F.col("hint_id") % 13 == 0, "marked_unresolvable")
+              .when(F.col("has_class").isNull(), "not_resolved").when(~F.col("has_class"), "extraction_failed").otherwise("resolved"))
+    return j.select("hint_id", "name", status.alias("status"))
+
+
+def part_props(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+    schema = F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))
+    brand = F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))
+    empty = F.array().cast("array<string>")
+
+    def row(o, name, typ, fmt, ref, arr, nullable, enum, cons):
+        return F.struct(F.lit(o).alias("prop_ord"), F.lit(name).alias("name"), F.lit(typ).alias("type"), F.lit(fmt).alias("format"),
+                        ref.alias("ref"), arr.alias("is_array"), nullable.alias("nullable"), enum.alias("enum_values"), cons.alias("constraints_json"))
+    props = F.array(
+        row(0, "size", "integer", "int32", F.lit(""), F.lit(False), F.lit(False), empty,
+            F.when(F.col("p_size") > 25, F.lit('{"minimum":1}')).otherwise(F.lit("{}"))),
+        row(1, "price", "number", "double", F.lit(""), F.lit(False), F.col("p_retailprice") > 1500, empty, F.lit("{}")),
+        row(2, "brand", "object", "", brand, F.col("p_size") % 2 == 0, F.lit(False), empty, F.lit("{}")),
+        row(3, "kind", "string", "", F.lit(""), F.lit(False), F.lit(False), F.split(F.lower("p_type"), " "), F.lit("{}")))
+    pr = p.select(schema.alias("schema"), F.explode(props).alias("x")).select("schema", "x.*")
+    sc = p.select(schema.alias("schema"),
+                  F.when(F.col("p_size") % 3 == 0, F.array(F.lit("size"))).otherwise(empty).alias("required"),
+                  F.when(F.col("p_size") % 4 != 0, brand).otherwise(F.lit("")).alias("parent_ref"))
+    return pr, sc
+
+
+@query("props_to_json_schema", sql="""
+WITH p AS (SELECT 'Part' || CAST(p_partkey AS VARCHAR) AS schema, p_size, p_retailprice, replace(p_brand, '#', '') AS brand,
+                  lower(p_type) AS t FROM part),
+o AS (SELECT schema, '{"type":"object","properties":{'
+       || '"size":{"type":"integer","format":"int32"' || CASE WHEN p_size > 25 THEN ',"minimum":1' ELSE '' END || '}'
+       || ',"price":{"type":"number","format":"double"' || CASE WHEN p_retailprice > 1500 THEN ',"nullable":true' ELSE '' END || '}'
+       || ',"brand":' || CASE WHEN p_size % 2 = 0 THEN '{"type":"array","items":{"$ref":"#/components/schemas/' || brand || '"}}'
+                              ELSE '{"$ref":"#/components/schemas/' || brand || '"}' END
+       || ',"kind":{"type":"string","enum":' || CAST(to_json(string_split(t, ' ')) AS VARCHAR) || '}'
+       || '}' || CASE WHEN p_size % 3 = 0 THEN ',"required":["size"]' ELSE '' END || '}' AS obj, p_size, brand FROM p)
+SELECT schema, CASE WHEN p_size % 4 <> 0 THEN '{"allOf":[{"$ref":"#/components/schemas/' || brand || '"},' || obj || ']}' ELSE obj END AS schema_json FROM o""")
+def q_props_to_json_schema(spark, sf_dir):
+    """Property rows assembled into JSON Schema (ref / enum / type+format, arrays,
+    nullable, constraints last, required list, parent -> allOf)."""
+    pr, sc = part_props(spark, sf_dir)
+    return G.props_to_json_schema(pr, sc)
