@@ -242,3 +242,21 @@ def prescan_report(manifest: DataFrame) -> DataFrame:
         line("route files: ", "n_route_files"), line("importers: ", "n_importers"),
         line("sweep files: ", "n_sweep"), line("auth mode: ", "auth_mode"),
         line("server: ", "server"), line("base path: ", "base_path")).alias("report"))
+
+
+def manifest_includes(files: DataFrame) -> DataFrame:
+    """One level of ``-r file`` / ``-c file`` includes appended to a manifest's content.
+
+    Include targets are extracted per file and equi-joined with the files of the
+    same repository (no nesting: an included file's own includes are not followed).
+    """
+    inc = files.select("repo_id", "path", F.posexplode(F.regexp_extract_all(
+        "content", F.lit(r"(?m)^-[rc]\s+(\S+)"), 1)).alias("pos", "target"))
+    tgt = files.select("repo_id", F.col("path").alias("target"), F.col("content").alias("inc_content"))
+    j = inc.join(tgt, ["repo_id", "target"])
+    added = j.groupBy("repo_id", "path").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "inc_content"))), lambda x: x["inc_content"]), "\n").alias("added"),
+        F.count(F.lit(1)).alias("n_includes"))
+    out = files.join(added, ["repo_id", "path"], "left")
+    return out.select("repo_id", "path", F.coalesce("n_includes", F.lit(0)).alias("n_includes"),
+                      F.when(F.col("added").isNotNull(), F.concat_ws("\n", "content", "added")).otherwise(F.col("content")).alias("content"))

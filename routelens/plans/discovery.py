@@ -516,3 +516,25 @@ def q_auth_context_propagate(spark, sf_dir):
     """The detector hint is kept; empty hints are filled from another source."""
     m = doc_prescan(spark, sf_dir).withColumn("other", F.concat(F.lit("from-manifest: "), "framework"))
     return D.auth_context_propagate(m, "auth_hint", "other").select("repo_id", "auth_hint")
+
+
+def include_files(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    inc = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("\n-r reqs/"), (F.col("p_partkey") + 1).cast("string"), F.lit(".txt"))) \
+        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("\n-c reqs/"), (F.col("p_partkey") + 2).cast("string"), F.lit(".txt"))).otherwise(F.lit(""))
+    return p.select(F.col("p_type").alias("repo_id"), F.concat(F.lit("reqs/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"),
+                    F.concat(F.lower("p_name"), inc).alias("content"))
+
+
+@query("manifest_includes", sql="""
+WITH f AS (SELECT p_type AS repo_id, 'reqs/' || CAST(p_partkey AS VARCHAR) || '.txt' AS path, lower(p_name) ||
+             CASE p_partkey % 3 WHEN 0 THEN chr(10) || '-r reqs/' || CAST(p_partkey + 1 AS VARCHAR) || '.txt'
+                                WHEN 1 THEN chr(10) || '-c reqs/' || CAST(p_partkey + 2 AS VARCHAR) || '.txt' ELSE '' END AS content FROM part),
+i AS (SELECT repo_id, path, regexp_extract(content, '(?m)^-[rc]\\s+(\\S+)', 1) AS target FROM f WHERE regexp_matches(content, '(?m)^-[rc]\\s+'))
+SELECT f.repo_id, f.path, CASE WHEN t.path IS NULL THEN 0 ELSE 1 END AS n_includes,
+       md5(CASE WHEN t.path IS NULL THEN f.content ELSE f.content || chr(10) || t.content END) AS content_md5
+FROM f LEFT JOIN i ON i.repo_id = f.repo_id AND i.path = f.path LEFT JOIN f t ON t.repo_id = i.repo_id AND t.path = i.target""")
+def q_manifest_includes(spark, sf_dir):
+    """``-r``/``-c`` includes of requirement-style manifests appended one level deep."""
+    m = D.manifest_includes(include_files(spark, sf_dir))
+    return m.select("repo_id", "path", "n_includes", F.md5("content").alias("content_md5"))

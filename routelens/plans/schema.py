@@ -373,3 +373,49 @@ def q_dedup_key_collisions(spark, sf_dir):
 
 
 __all__ = ["path_dedup_key"]
+
+
+def hint_rows(spark, sf_dir):
+    o = event_ops(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    body = o.where("has_body").select("repo_id", "source_file", "ep_ord", F.lit(0).alias("src_ord"),
+                                      F.concat(F.initcap("event_type"), F.lit("Body")).alias("name"), F.lit("request_body").alias("source"))
+    resp = o.select("repo_id", "source_file", "ep_ord", F.lit(1).alias("src_ord"),
+                    F.concat(F.initcap("event_type"), F.lit("Out")).alias("name"), F.lit("response").alias("source"))
+    return body.unionByName(resp).withColumn("import_line", F.lit("")).withColumn("namespace", F.lit(""))
+
+
+SQL_HINT_ROWS = f"""(SELECT o.repo_id, o.source_file, o.ep_ord, 0 AS src_ord, upper(e.event_type[1]) || e.event_type[2:] || 'Body' AS name,
+   'request_body' AS source FROM {SQL_OPS} o JOIN events e USING (event_id) WHERE o.has_body
+ UNION ALL SELECT o.repo_id, o.source_file, o.ep_ord, 1, o.out_ref, 'response' FROM {SQL_OPS} o)"""
+SQL_COLLECTED = f"""(SELECT repo_id, source_file, name, '' AS import_line, '' AS namespace, arg_min(source, (ep_ord, src_ord)) AS source,
+   min(ep_ord) AS first_ep FROM {SQL_HINT_ROWS} GROUP BY 1, 2, 3)"""
+
+
+@query("ref_hints_collect", sql=f"SELECT * FROM {SQL_COLLECTED}")
+def q_ref_hints_collect(spark, sf_dir):
+    """Request-body and response refs per file, each key once, tagged with its first source."""
+    from routelens.operators.resolve import ref_hints_collect
+    return ref_hints_collect(hint_rows(spark, sf_dir))
+
+
+@query("ref_hints_dedup", sql=f"""
+WITH c AS {SQL_COLLECTED}, f AS (SELECT repo_id, source_file, min(ep_ord) AS file_ord FROM {SQL_OPS} GROUP BY 1, 2)
+SELECT c.repo_id, c.name, c.import_line, c.namespace, arg_min(c.source_file, (f.file_ord, c.first_ep)) AS source_file,
+       arg_min(c.source, (f.file_ord, c.first_ep)) AS source FROM c JOIN f USING (repo_id, source_file) GROUP BY 1, 2, 3, 4""")
+def q_ref_hints_dedup(spark, sf_dir):
+    """The same hint across a repository keeps the first file's entry (files in first-seen order)."""
+    from routelens.operators.resolve import ref_hints_collect, ref_hints_dedup
+    c = ref_hints_collect(hint_rows(spark, sf_dir))
+    f = event_ops(spark, sf_dir).groupBy("repo_id", "source_file").agg(F.min("ep_ord").alias("file_ord"))
+    return ref_hints_dedup(c.join(f, ["repo_id", "source_file"]))
+
+
+@query("op_security", sql=f"""
+SELECT event_id, CASE WHEN security IS NULL THEN NULL WHEN len(security) = 0 THEN '[]'
+  ELSE '[' || array_to_string(list_transform(security, lambda s: '{{"' || s || '":[]}}'), ',') || ']' END AS security_json FROM {SQL_OPS}""")
+def q_op_security(spark, sf_dir):
+    """A4: ``[]`` marks a public operation (never omitted); otherwise one object per requirement."""
+    o = event_ops(spark, sf_dir)
+    js = F.when(F.col("security").isNull(), F.lit(None).cast("string")).when(F.size("security") == 0, F.lit("[]")).otherwise(
+        F.concat(F.lit("["), F.array_join(F.transform("security", lambda s: F.concat(F.lit('{"'), s, F.lit('":[]}'))), ","), F.lit("]")))
+    return o.select("event_id", js.alias("security_json"))

@@ -262,3 +262,24 @@ def q_schema_prf_weighted(spark, sf_dir):
 
 
 __all__ = ["jaccard", "dice"]
+
+
+@query("f1", sql="""
+WITH p AS (SELECT d.lang, l.toxic = 1 AS t, regexp_matches(d.text, '(idiot|moron|clown|worthless|stupid|loser)') AS pr
+           FROM documents d JOIN labels l USING (doc_id)),
+c AS (SELECT lang, count(*) FILTER (WHERE t AND pr) AS tp, count(*) FILTER (WHERE pr AND NOT t) AS fp,
+             count(*) FILTER (WHERE t AND NOT pr) AS fn FROM p GROUP BY 1),
+r AS (SELECT lang, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
+SELECT lang, precision, recall, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM r""")
+def q_f1(spark, sf_dir):
+    """Harmonic mean of precision and recall (0 when both are 0), per language of the abuse rule."""
+    from routelens.operators.score import f1, ratio
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    p = d.join(table(spark, sf_dir, "labels"), "doc_id").select(
+        "lang", (F.col("toxic") == 1).alias("t"), F.col("text").rlike(ABUSE_RE).alias("pr"))
+    c = p.groupBy("lang").agg(F.count_if(F.col("t") & F.col("pr")).alias("tp"), F.count_if(F.col("pr") & ~F.col("t")).alias("fp"),
+                              F.count_if(F.col("t") & ~F.col("pr")).alias("fn"))
+    r = c.select("lang", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                 ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+    return r.withColumn("f1", f1(F.col("precision"), F.col("recall")))
