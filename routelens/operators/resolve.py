@@ -10,7 +10,6 @@ collected to the driver.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,178 +149,91 @@ def dangling_refs(path_refs: DataFrame, schemas: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ F10 cycle cutting
 
-def _dfs_back_edges(edges, prefer_array_pair: bool):
-    """Back edges of a deterministic DFS (sorted adjacency, sorted roots).
+def strongly_connected(edges: DataFrame, max_outer: int = 50, max_inner: int = 200) -> DataFrame:
+    """Strongly connected components ``(repo_id, node, scc)`` with DataFrame rounds only.
 
-    With ``prefer_array_pair`` a back edge ``u -> v`` that closes a two-node
-    cycle with the array tree edge ``v -> u`` is replaced by that array edge.
+    Forward-backward colouring: (1) trim nodes without an active in- or
+    out-edge (their own component); (2) propagate the largest node name
+    forward along active edges until it stops changing (the colour); (3) from
+    every node that kept its own name, search backwards inside its colour - the
+    nodes reached form its component; remove them and repeat. Every round is a
+    keyed join plus an aggregation, checkpointed; nothing is grouped per component.
     """
-    adj: dict[str, list[tuple[str, bool]]] = {}
-    for s, d, a in edges:
-        adj.setdefault(s, []).append((d, bool(a)))
-    for k in adj:
-        adj[k].sort(key=lambda t: (t[0], not t[1]))
-    color: dict[str, int] = {}
-    parent: dict[str, tuple[str, bool]] = {}
-    cut = []
-    for root in sorted(adj):
-        if color.get(root):
-            continue
-        stack = [(root, iter(adj.get(root, [])))]
-        color[root] = 1
-        while stack:
-            node, it = stack[-1]
-            nxt = next(it, None)
-            if nxt is None:
-                color[node] = 2
-                stack.pop()
-                continue
-            d, a = nxt
-            c = color.get(d, 0)
-            if c == 1:
-                par = parent.get(node)
-                if prefer_array_pair and not a and par is not None and par[0] == d and par[1]:
-                    cut.append((d, node, True))
-                else:
-                    cut.append((node, d, a))
-            elif c == 0:
-                color[d] = 1
-                parent[d] = (node, a)
-                stack.append((d, iter(adj.get(d, []))))
-    return cut
-
-
-def _cut_cycles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Cycle cut inside one connected part: deterministic DFS back edges, the
-    array edge of a two-node cycle preferred, then a second DFS over what is
-    left so that the result is acyclic whatever the preference did."""
-    edges = list(zip(pdf["src"], pdf["dst"], pdf["via_array"]))
-    cut = _dfs_back_edges(edges, prefer_array_pair=True)
-    gone = {(s, d) for s, d, _ in cut}
-    rest = [e for e in edges if (e[0], e[1]) not in gone]
-    cut += _dfs_back_edges(rest, prefer_array_pair=False)
-    rid = pdf["repo_id"].iloc[0] if len(pdf) else ""
-    return pd.DataFrame([(rid, s, d, a) for s, d, a in cut], columns=["repo_id", "src", "dst", "via_array"])
-
-
-def break_ref_cycles(edges: DataFrame, component: DataFrame) -> DataFrame:
-    """edges to cut so that the schema graph becomes acyclic.
-
-    ``component(repo_id, node, comp)`` labels strongly connected parts (from
-    ``components``); only edges inside one part can close a cycle, so the DFS
-    runs per part in ``applyInPandas`` and edges between parts are never touched.
-    """
-    c1 = component.select("repo_id", F.col("node").alias("src"), F.col("comp").alias("c1"))
-    c2 = component.select("repo_id", F.col("node").alias("dst"), F.col("comp").alias("c2"))
-    inside = edges.join(c1, ["repo_id", "src"]).join(c2, ["repo_id", "dst"]).where(F.col("c1") == F.col("c2"))
-    return (inside.select("repo_id", "c1", "src", "dst", "via_array")
-            .groupBy("repo_id", "c1").applyInPandas(lambda p: _cut_cycles(p.drop(columns=["c1"])),
-                                                    "repo_id string, src string, dst string, via_array boolean"))
-
-
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Weakly connected components by min-label propagation (bounded rounds).
-
-    A superset of the strongly connected parts, which is all the cycle cut
-    needs: any cycle lies inside one weak component.
-    """
-    und = edges.select("repo_id", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(
-        edges.select("repo_id", F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    und = cut_lineage(und)
-    label = cut_lineage(und.groupBy("repo_id", "a").agg(F.least(F.col("a"), F.min("b")).alias("comp"))
-                        .withColumnRenamed("a", "node"))
-    for _ in range(max_rounds):
-        prop = (und.join(label.withColumnRenamed("node", "b").withColumnRenamed("comp", "cb"), ["repo_id", "b"])
-                .groupBy("repo_id", "a").agg(F.min("cb").alias("m")).withColumnRenamed("a", "node"))
-        new = cut_lineage(label.join(prop, ["repo_id", "node"]).select(
-            "repo_id", "node", F.least("comp", "m").alias("comp"), (F.col("m") < F.col("comp")).alias("changed")))
-        label = new.select("repo_id", "node", "comp")
-        if new.where("changed").isEmpty():
+    e = cut_lineage(edges.select("repo_id", "src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    nodes = edges.select("repo_id", F.col("src").alias("node")).unionByName(edges.select("repo_id", F.col("dst").alias("node"))).distinct()
+    active = cut_lineage(nodes)
+    done = None
+
+    def add(done, df):
+        return df if done is None else done.unionByName(df)
+
+    for _ in range(max_outer):
+        for _ in range(max_inner):  # trimming
+            has_out = e.select("repo_id", F.col("src").alias("node")).distinct()
+            has_in = e.select("repo_id", F.col("dst").alias("node")).distinct()
+            keep = active.join(has_out, ["repo_id", "node"], "left_semi").join(has_in, ["repo_id", "node"], "left_semi")
+            keep = cut_lineage(keep)
+            trimmed = active.join(keep, ["repo_id", "node"], "left_anti")
+            if trimmed.isEmpty():
+                break
+            done = cut_lineage(add(done, trimmed.withColumn("scc", F.col("node"))))
+            active = keep
+            e = cut_lineage(e.join(keep.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_semi")
+                            .join(keep.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_semi"))
+        if active.isEmpty():
             break
-    return label
-
-
-IMPORT_LINE_RE = r"^\s*(import|from|require|using|use|#include)\b"
-
-
-def resolve_by_scan(refs: DataFrame, lines: DataFrame, def_rules: DataFrame) -> DataFrame:
-    """Fallback resolution by scanning source lines once.
-
-    Every line yields the names it defines (``def_rules(rule_ord, regex)`` with the
-    name in group 1, e.g. class/interface declarations and ``Name =``
-    assignments); import lines are dropped; the refs are equi-joined on the name
-    (no scan per name). A dotted ``Outer.Inner`` keeps files that also define
-    ``Outer``; then the import fragment decides, else the first (path, line).
-    """
-    r = F.broadcast(def_rules)
-    ln = lines.where(~F.col("line").rlike(IMPORT_LINE_RE))
-    d = (ln.join(r, F.regexp_like(ln["line"], r["regex"]))
-         .select("repo_id", "path", "line_no", F.expr("regexp_extract(line, regex, 1)").alias("defined"))
-         .where(F.col("defined") != "").distinct())
-    leaf = F.element_at(F.split("name", r"\."), -1)
-    outer = F.when(F.col("name").contains("."), F.element_at(F.split("name", r"\."), 1))
-    c = refs.withColumn("leaf", leaf).withColumn("outer", outer).join(
-        d.withColumnRenamed("defined", "leaf"), ["repo_id", "leaf"])
-    outer_defs = d.select("repo_id", "path", F.col("defined").alias("outer")).distinct().withColumn("__o", F.lit(True))
-    c = c.join(outer_defs, ["repo_id", "path", "outer"], "left").where(F.col("outer").isNull() | F.col("__o").isNotNull())
-    tier = F.when(F.col("fragment").isNotNull() & (F.col("fragment") != "") & F.col("path").contains(F.col("fragment")), 0).otherwise(1)
-    return (c.withColumn("tier", tier).groupBy("repo_id", "ref_id", "name")
-            .agg(F.min_by(F.struct("path", F.col("line_no").alias("line")), F.struct("tier", "path", "line_no")).alias("w"))
-            .select("repo_id", "ref_id", "name", "w.path", "w.line"))
-
-
-def resolve_type(refs: DataFrame, type_defs: DataFrame, lines: DataFrame, def_rules: DataFrame) -> DataFrame:
-    """The index first (G4); only the refs it leaves open are scanned."""
-    idx = resolve_indexed(refs, type_defs).select("repo_id", "ref_id", "name", "path", "line", F.lit("index").alias("how"))
-    rest = refs.join(idx.select("repo_id", "ref_id"), ["repo_id", "ref_id"], "left_anti")
-    scan = resolve_by_scan(rest, lines, def_rules).withColumn("how", F.lit("scan"))
-    found = idx.unionByName(scan)
-    none = (rest.join(scan.select("repo_id", "ref_id"), ["repo_id", "ref_id"], "left_anti")
-            .select("repo_id", "ref_id", "name", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("line"),
-                    F.lit("none").alias("how")))
-    return found.unionByName(none)
-
-
-def ref_hints_collect(hints: DataFrame) -> DataFrame:
-    """Per file, each (name, import_line, namespace) once, tagged with the source of
-    its first occurrence (request body before responses within an endpoint)."""
-    k = ["repo_id", "source_file", "name", "import_line", "namespace"]
-    return hints.groupBy(*k).agg(F.min_by("source", F.struct("ep_ord", "src_ord")).alias("source"),
-                                 F.min("ep_ord").alias("first_ep"))
-
-
-def ref_hints_dedup(collected: DataFrame) -> DataFrame:
-    """Across the repository the same key keeps the first file's hint."""
-    k = ["repo_id", "name", "import_line", "namespace"]
-    return collected.groupBy(*k).agg(F.min_by(F.struct("source_file", "source"), F.struct("file_ord", "first_ep")).alias("w")) \
-        .select(*k, "w.source_file", "w.source")
-
-
-def props_to_json_schema(props: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Property rows -> JSON Schema text per schema.
-
-    ``props(schema, prop_ord, name, type, format, ref, is_array, nullable,
-    enum_values, constraints_json)``; ``schemas(schema, required ARRAY, parent_ref)``.
-    A ref wins over enum over type/format; arrays wrap; nullable and constraints
-    are added last; a parent turns the result into ``allOf``.
+        color = cut_lineage(active.withColumn("c", F.col("node")))
+        for _ in range(max_inner):  # forward max colour
+            push = (e.join(color.withColumnRenamed("node", "src"), ["repo_id", "src"])
+                    .groupBy("repo_id", F.col("dst").alias("node")).agg(F.max("c").alias("m")))
+            nxt = color.join(push, ["repo_id", "node"], "left").select(
+                "repo_id", "node", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") > F.col("c")).alias("chg"))
+            nxt = cut_lineage(nxt)
+            color = nxt.select("repo_id", "node", "c")
+            if nxt.where("chg").isEmpty():
+                break
+        cs = color.withColumnRenamed("node", "src").withColumnRenamed("c", "cs")
+        cd = color.withColumnRenamed("node", "dst").withColumnRenamed("c", "cd")
+        inside = cut_lineage(e.join(cs, ["repo_id", "src"]).join(cd, ["repo_id", "dst"]).where(F.col("cs") == F.col("cd"))
+                             .select("repo_id", "src", "dst", F.col("cs").alias("c")))
+        comp = cut_lineage(color.where(F.col("node") == F.col("c")).select("repo_id", "node", "c"))
+        frontier = comp
+        for _ in range(max_inner):  # backward search inside the colour
+            back = (inside.join(frontier.select("repo_id", F.col("node").alias("dst"), "c"), ["repo_id", "dst", "c"])
+                    .select("repo_id", F.col("src").alias("node"), "c").distinct()
+                    .join(comp.select("repo_id", "node"), ["repo_id", "node"], "left_anti"))
+            back = cut_lineage(back)
+            if back.isEmpty():
+                break
+            comp = cut_lineage(comp.unionByName(back))
+            frontier = back
+        done = cut_lineage(add(done, comp.select("repo_id", "node", F.col("c").alias("scc"))))
+        active = cut_lineage(active.join(comp.select("repo_id", "node"), ["repo_id", "node"], "left_anti"))
+        e = cut_lineage(e.join(active.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_semi")
+                        .join(active.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_semi"))
+    if not active.isEmpty():
+        raise RuntimeError("strongly_connected: round bound reached before all nodes were assigned")
+    return done
+
+
+def break_ref_cycles(edges: DataFrame, scc: DataFrame | None = None) -> DataFrame:
+    """edges to cut so that the reference graph becomes acyclic.
+
+    Only edges inside a strongly connected component (and self references) can
+    lie on a cycle, so every other edge is left untouched. Inside a component
+    the nodes get a total order - nodes with an outgoing array edge last, then
+    by name - and each edge running backwards in that order is cut. What is
+    left inside a component follows the order, hence no cycle remains; the
+    array edge of a two-node cycle is the one cut whenever only one side has
+    array edges (the original's preference). Deterministic (Q6).
     """
-    base = (F.when(F.col("ref") != "", F.concat(F.lit('{"$ref":"#/components/schemas/'), "ref", F.lit('"}')))
-            .when(F.size("enum_values") > 0, F.concat(F.lit('{"type":"string","enum":'), F.to_json("enum_values"), F.lit("}")))
-            .otherwise(F.concat(F.lit('{"type":"'), "type", F.lit('"'),
-                                F.when(F.col("format") != "", F.concat(F.lit(',"format":"'), "format", F.lit('"'))).otherwise(F.lit("")),
-                                F.lit("}"))))
-    s = F.when(F.col("is_array"), F.concat(F.lit('{"type":"array","items":'), base, F.lit("}"))).otherwise(base)
-    extra = F.concat(F.when(F.col("nullable"), F.lit(',"nullable":true')).otherwise(F.lit("")),
-                     F.when(F.coalesce(F.col("constraints_json"), F.lit("{}")) != "{}",
-                            F.concat(F.lit(","), F.expr("substring(constraints_json, 2, length(constraints_json) - 2)"))).otherwise(F.lit("")))
-    prop = F.concat(F.regexp_replace(s, r"\}$", ""), extra, F.lit("}"))
-    key = F.regexp_replace(F.to_json(F.array("name")), r"^\[|\]$", "")  # JSON-escaped "name"
-    p = props.select("schema", "prop_ord", F.concat(key, F.lit(":"), prop).alias("kv"))
-    agg = p.groupBy("schema").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prop_ord", "kv"))),
-                                                            lambda x: x["kv"]), ",").alias("body"))
-    j = schemas.join(agg, "schema", "left")
-    obj = F.concat(F.lit('{"type":"object","properties":{'), F.coalesce("body", F.lit("")), F.lit("}"),
-                   F.when(F.size("required") > 0, F.concat(F.lit(',"required":'), F.to_json("required"))).otherwise(F.lit("")), F.lit("}"))
-    out = F.when(F.col("parent_ref") != "", F.concat(F.lit('{"allOf":[{"$ref":"#/components/schemas/'), "parent_ref",
-                                                      F.lit('"},'), obj, F.lit("]}"))).otherwise(obj)
-    return j.select("schema", out.alias("schema_json"))
+    scc = scc if scc is not None else strongly_connected(edges)
+    s1 = scc.select("repo_id", F.col("node").alias("src"), F.col("scc").alias("c1"))
+    s2 = scc.select("repo_id", F.col("node").alias("dst"), F.col("scc").alias("c2"))
+    inside = edges.join(s1, ["repo_id", "src"]).join(s2, ["repo_id", "dst"]).where(F.col("c1") == F.col("c2"))
+    arr = inside.where("via_array").select("repo_id", F.col("src").alias("node")).distinct().withColumn("has_arr", F.lit(1))
+    r1 = arr.select("repo_id", F.col("node").alias("src"), F.col("has_arr").alias("a1"))
+    r2 = arr.select("repo_id", F.col("node").alias("dst"), F.col("has_arr").alias("a2"))
+    x = inside.join(r1, ["repo_id", "src"], "left").join(r2, ["repo_id", "dst"], "left").fillna(0, ["a1", "a2"])
+    backward = F.struct("a1", "src") >= F.struct("a2", "dst")
+    return x.where(backward).select("repo_id", "src", "dst", "via_array").distinct()

@@ -311,8 +311,7 @@ def q_schema_summary(spark, sf_dir):
 @query("break_ref_cycles")
 def q_break_ref_cycles(spark, sf_dir):
     """edges cut to make the reference graph acyclic (rows-only; property-tested)."""
-    e = ref_edges(spark, sf_dir)
-    return G.break_ref_cycles(e, G.components(e))
+    return G.break_ref_cycles(ref_edges(spark, sf_dir))
 
 
 # ------------------------------------------------------ registrations and scans
