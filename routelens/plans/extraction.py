@@ -35,7 +35,7 @@ def sketches(spark, sf_dir):
 
 SQL_PAGE_LINES = f"""(SELECT repo_id, path, file_ord, unnest(string_split(content, chr(10))) AS line,
    generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM {pages_files()})"""
-SQL_SKETCH = f"""(SELECT repo_id, path AS source_file, line_no, rule_ord, method,
+SQL_SKETCH = f"""(SELECT repo_id, path AS source_file, file_ord, line_no, rule_ord, method,
    unnest(regexp_extract_all(line, regex, 1)) AS sketch_path, unnest(regexp_extract_all(line, regex, 2)) AS handler,
    generate_subscripts(regexp_extract_all(line, regex, 1), 1) - 1 AS pos
  FROM {SQL_PAGE_LINES} l JOIN (VALUES (0, 'GET', '<a href="(/[^"]*)">([^<]*)</a>'), (1, 'POST', 'track\\(([0-9]+)\\)()'))
@@ -139,7 +139,7 @@ def q_scheme_name_map(spark, sf_dir):
 
 
 @query("extract_context_doc", sql=f"""
-WITH s AS (SELECT repo_id, source_file, row_number() OVER (PARTITION BY repo_id, source_file ORDER BY line_no, rule_ord, pos) AS i,
+WITH s AS (SELECT repo_id, source_file, row_number() OVER (PARTITION BY repo_id, source_file ORDER BY file_ord, line_no, rule_ord, pos) AS i,
                   method || ' ' || sketch_path || ' → handler: ' || handler AS t FROM (SELECT DISTINCT * FROM {SQL_SKETCH})),
 f AS (SELECT DISTINCT repo_id, path, lang FROM {pages_files()})
 SELECT f.repo_id, f.path, concat_ws(chr(10), '## Code Observations', '- Base prefix: /' || f.lang,
@@ -151,7 +151,7 @@ def q_extract_context_doc(spark, sf_dir):
     """Per-file context text: observations, auth section, numbered endpoint checklist."""
     s = sketches(spark, sf_dir).distinct()
     items = s.groupBy(F.col("repo_id").alias("r"), "source_file").agg(F.sort_array(F.collect_list(F.struct(
-        "line_no", "rule_ord", "pos", F.concat_ws(" ", "method", "sketch_path", F.lit("→ handler:"), "handler").alias("t")))).alias("l"))
+        "file_ord", "line_no", "rule_ord", "pos", F.concat_ws(" ", "method", "sketch_path", F.lit("→ handler:"), "handler").alias("t")))).alias("l"))
     f = page_files(spark, sf_dir).select("repo_id", "path", "lang").distinct()
     j = f.join(items, (f["repo_id"] == items["r"]) & (f["path"] == items["source_file"]), "left")
     lines = F.transform(F.coalesce("l", F.array().cast(items.schema["l"].dataType)),
