@@ -346,9 +346,10 @@ SELECT event_id, 'application/json' AS content_type,
 def q_op_request_body(spark, sf_dir):
     """A2: request body per operation: content type and schema (array / nullable flags applied)."""
     o = event_ops(spark, sf_dir).where("has_body").join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
-    ref = F.concat(F.initcap("event_type"), F.lit("Body"))
-    return o.select("event_id", F.lit("application/json").alias("content_type"),
-                    T.build_schema_for_ref(ref, F.col("k") % 2 == 0, F.col("k") % 3 == 0).alias("schema_json"))
+    o = o.select("event_id", F.concat(F.initcap("event_type"), F.lit("Body")).alias("ref"),
+                 (F.col("k") % 2 == 0).alias("arr"), (F.col("k") % 3 == 0).alias("nul"))
+    o = T.with_schema_for_ref(o, "ref", "arr", "nul", "schema_json")
+    return o.select("event_id", F.lit("application/json").alias("content_type"), "schema_json")
 
 
 __all__ = ["A"]

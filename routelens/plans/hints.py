@@ -183,7 +183,7 @@ SELECT hint_id, CASE WHEN is_nullable THEN (CASE WHEN starts_with(arr, '{"$ref":
 def q_build_schema_for_ref(spark, sf_dir):
     """Structured array / nullable flags applied over T6 (nullable ``$ref`` -> ``allOf``)."""
     h = part_hints(spark, sf_dir)
-    return h.select("hint_id", T.build_schema_for_ref(F.col("hint"), F.col("is_array"), F.col("is_nullable")).alias("schema_json"))
+    return T.with_schema_for_ref(h, "hint", "is_array", "is_nullable", "schema_json").select("hint_id", "schema_json")
 
 
 _PRIM_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(T.PRIMITIVE_TYPES.items()))
