@@ -44,22 +44,23 @@ def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = 10,
             src: str = "src", dst: str = "dst") -> DataFrame:
     """Nodes reachable from ``seeds(repo_id, node)`` with their first round.
 
-    Frontier iteration with a visited anti join (cycles terminate). ``max_rounds``
-    bounds the rounds (G11: 10); ``None`` runs to the fixpoint (G14).
+    Frontier iteration with a visited anti join (cycles terminate). The visited
+    set carries its round number, so the frontier is a filter on the one table
+    that is checkpointed per round. ``max_rounds`` bounds the rounds (G11: 10);
+    ``None`` runs to the fixpoint (G14).
     """
-    e = edges.select("repo_id", F.col(src).alias("node"), F.col(dst).alias("nxt")).distinct()
+    # the edge list is materialised once; every round probes it instead of re-deriving it
+    e = cut_lineage(edges.select("repo_id", F.col(src).alias("node"), F.col(dst).alias("nxt")).distinct())
     visited = cut_lineage(seeds.select("repo_id", "node").distinct().withColumn("depth", F.lit(0)))
-    frontier = visited.select("repo_id", "node")
     d = 0
     while max_rounds is None or d < max_rounds:
-        d += 1
+        frontier = visited.where(F.col("depth") == d).select("repo_id", "node")
         nxt = (frontier.join(e, ["repo_id", "node"]).select("repo_id", F.col("nxt").alias("node")).distinct()
                .join(visited.select("repo_id", "node"), ["repo_id", "node"], "left_anti"))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
-            break
+        d += 1
         visited = cut_lineage(visited.unionByName(nxt.withColumn("depth", F.lit(d))))
-        frontier = nxt
+        if visited.where(F.col("depth") == d).isEmpty():
+            break
     return visited
 
 
