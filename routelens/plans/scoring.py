@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from routelens.operators.score import (
-    auth_accuracy, dice, jaccard, missing_extra, name_tokens, optimal_match, pair_scores,
+    auth_accuracy, dice, jaccard, missing_extra, name_tokens, optimal_match, pair_components, pair_scores,
     schema_prf_weighted, set_prf,
 )
 from routelens.plans.catalog import query
@@ -248,17 +248,19 @@ def q_composite_score(spark, sf_dir):
 
 @query("optimal_match")
 def q_optimal_match(spark, sf_dir):
-    """M9: maximum-weight one-to-one schema matching per repository (rows-only check;
-    tests compare the total weight with brute force on small fixtures)."""
+    """M9: maximum-weight one-to-one schema matching, solved per connected component of
+    the candidate graph (rows-only check; tests compare with brute force)."""
     a, g = part_schemas(spark, sf_dir)
-    return optimal_match(pair_scores(a, g))
+    s = pair_components(pair_scores(a, g).where(F.col("score") > 0))
+    return optimal_match(s, component="comp")
 
 
 @query("schema_prf_weighted")
 def q_schema_prf_weighted(spark, sf_dir):
     """Weighted schema precision/recall/F1 from the M9 matches."""
     a, g = part_schemas(spark, sf_dir)
-    return schema_prf_weighted(optimal_match(pair_scores(a, g)), a, g)
+    s = pair_components(pair_scores(a, g).where(F.col("score") > 0))
+    return schema_prf_weighted(optimal_match(s, component="comp"), a, g)
 
 
 __all__ = ["jaccard", "dice"]
