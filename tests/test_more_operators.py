@@ -110,3 +110,17 @@ def test_resolve_by_scan_dotted_needs_parent(spark):
     refs = spark.createDataFrame([("r", 1, "Outer.Inner", None)], "repo_id string, ref_id int, name string, fragment string")
     r = G.resolve_by_scan(refs, lines, rules).collect()[0]
     assert (r.path, r.line) == ("b.py", 2)
+
+
+def test_scan_directory_prunes_and_orders(spark, tmp_path):
+    (tmp_path / "repoA" / "src").mkdir(parents=True)
+    (tmp_path / "repoA" / "node_modules" / "x").mkdir(parents=True)
+    (tmp_path / "repoA" / ".git").mkdir(parents=True)
+    (tmp_path / "repoA" / "src" / "app.py").write_text("from flask import Flask\n")
+    (tmp_path / "repoA" / "node_modules" / "x" / "i.js").write_text("ignored")
+    (tmp_path / "repoA" / ".git" / "config").write_text("ignored")
+    (tmp_path / "repoB").mkdir()
+    (tmp_path / "repoB" / "main.go").write_text("package main\n")
+    files = S.scan_directory(spark, str(tmp_path)).collect()
+    got = sorted((r.repo_id, r.path, r.lang) for r in files)
+    assert got == [("repoA", "src/app.py", "py"), ("repoB", "main.go", "go")]
