@@ -206,11 +206,15 @@ def coerce_property(v: Column) -> Column:
     parsed = F.try_parse_json(s)
     is_obj_text = (s.startswith("{") & s.endswith("}")) & parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
     ident = s.rlike(r"^[A-Z][A-Za-z0-9_]*$")
-    as_ref = lambda x: F.concat(F.lit('{"$ref":'), F.to_json(F.array(x)).substr(2, 1 << 20))
+
+    def as_ref(target):
+        quoted = F.regexp_replace(F.to_json(F.array(target)), r"^\[|\]$", "")  # JSON-escaped string
+        return F.concat(F.lit('{"$ref":'), quoted, F.lit("}"))
+
     string_case = (F.when(low.isin(*JSON_SCHEMA_TYPES), F.concat(F.lit('{"type":"'), low, F.lit('"}')))
-                   .when(s.startswith("#/components/schemas/"), F.regexp_replace(as_ref(s), r"\]$", "}"))
+                   .when(s.startswith("#/components/schemas/"), as_ref(s))
                    .when(is_obj_text, F.to_json(parsed))
-                   .when(ident, F.regexp_replace(as_ref(F.concat(F.lit("#/components/schemas/"), s)), r"\]$", "}"))
+                   .when(ident, as_ref(F.concat(F.lit("#/components/schemas/"), s)))
                    .otherwise(F.lit('{"type":"string"}')))
     return (F.when(v.isNull() | (t == "VOID"), F.lit('{"type":"string","nullable":true}'))
             .when(t == "STRING", string_case)
