@@ -134,29 +134,46 @@ def run_job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("job_id", "s.*")
 
 
+STATE_TTL_MS = 7 * 24 * 3600 * 1000  # idle jobs are evicted a week (event time) after their last event
+
+
 def _tail_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per-job bounded log state: append in ``seq`` order, trim to 80 past 100."""
+    """Per-job bounded log state: append in ``seq`` order, trim to 80 past 100.
+
+    State is evicted by an event-time timeout once the watermark passes the
+    job's last event plus ``STATE_TTL_MS``; the final tail is emitted then.
+    """
+    if state.hasTimedOut:
+        n, tail = state.get
+        state.remove()
+        yield pd.DataFrame({"job_id": [key[0]], "n_log": [n], "tail_len": [len(tail)], "first_kept_seq": [min(tail)]})
+        return
     if state.exists:
         n, tail = state.get
         tail = list(tail)
     else:
         n, tail = 0, []
+    last_ts = 0
     for pdf in pdfs:
         for s in sorted(pdf["seq"].tolist()):
             n += 1
             tail.append(int(s))
             if len(tail) > LOG_MAX:
                 tail = tail[-LOG_KEEP:]
+        if len(pdf):
+            last_ts = max(last_ts, int(pd.Timestamp(pdf["ts"].max()).value // 1_000_000))
     state.update((n, tail))
+    state.setTimeoutTimestamp(max(last_ts + STATE_TTL_MS, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"job_id": [key[0]], "n_log": [n], "tail_len": [len(tail)], "first_kept_seq": [min(tail)]})
 
 
 def run_log_tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3 as a stateful stream; state per job is at most 100 sequence numbers."""
+    """ST3 as a stateful stream; state per job is at most 100 sequence numbers and is
+    evicted by event-time timeout when the job has been idle for ``STATE_TTL_MS``."""
     base = os.path.join(checkpoint_dir(spark), "logtail-" + uuid.uuid4().hex[:8])
     out = (progress_stream(spark, sf_dir).groupBy("job_id").applyInPandasWithState(
         _tail_fn, "job_id long, n_log long, tail_len long, first_kept_seq long",
-        "n long, tail array<long>", "update", GroupStateTimeout.NoTimeout))
+        "n long, tail array<long>", "update", GroupStateTimeout.EventTimeTimeout))
     q = (out.writeStream.outputMode("update").foreachBatch(_upsert_snapshot(base + "/snapshot"))
          .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
