@@ -538,3 +538,41 @@ def q_manifest_includes(spark, sf_dir):
     """``-r``/``-c`` includes of requirement-style manifests appended one level deep."""
     m = D.manifest_includes(include_files(spark, sf_dir))
     return m.select("repo_id", "path", "n_includes", F.md5("content").alias("content_md5"))
+
+
+# Fixed values of this binding: one framework rule per match mode (D1a-D1h shapes).
+MODE_RULES = [
+    (0, 0, r"package\.json$", "key", "k", "node-service", "javascript"),
+    (1, 0, "^en/", "word", "license", "python-service", "python"),
+    (2, 0, ".*", "contains", "Apache License", "jvm-service", "java"),
+    (3, 0, ".*", "regex", "token = \"[0-9a-f]{8}", "go-service", "go"),
+]
+
+
+def manifest_corpus(spark, sf_dir):
+    """Documents plus one JSON manifest per source built from ``events.props``."""
+    docs = doc_files(spark, sf_dir)
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "props")
+    man = ev.select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("repo_id"),
+                    F.concat(F.lit("svc"), (F.col("event_id") % 3).cast("string"), F.lit("/package.json")).alias("path"),
+                    F.col("event_id").alias("file_ord"), F.lit("json").alias("lang"),
+                    F.concat(F.lit('{"dependencies": '), F.col("props"), F.lit("}")).alias("content"))
+    return docs.unionByName(man)
+
+
+@query("framework_rule_modes", sql=f"""
+WITH f AS (SELECT repo_id, path, content FROM {documents_files()}
+           UNION ALL SELECT 'src' || CAST(user_id % 20 AS VARCHAR), 'svc' || CAST(event_id % 3 AS VARCHAR) || '/package.json',
+                            '{{"dependencies": ' || props || '}}' FROM events),
+r AS (SELECT * FROM ({_vals(MODE_RULES)}) t(eco_ord, rule_ord, file_regex, mode, needle, framework, language))
+SELECT f.repo_id, r.mode, r.framework, count(*) AS n_hits FROM f JOIN r ON regexp_matches(f.path, r.file_regex)
+WHERE CASE r.mode WHEN 'contains' THEN contains(f.content, r.needle)
+               WHEN 'word' THEN regexp_matches(lower(f.content), '(^|[^A-Za-z0-9_])' || r.needle || '([^A-Za-z0-9_]|$)')
+               WHEN 'regex' THEN regexp_matches(f.content, r.needle)
+               WHEN 'key' THEN list_contains(coalesce(json_keys(json_extract(f.content, '$.dependencies')), []), r.needle) END
+GROUP BY 1, 2, 3""")
+def q_framework_rule_modes(spark, sf_dir):
+    """D1a-D1h: the four rule match modes - JSON dependency key, whole word, substring, regex."""
+    hits = D.framework_hits(manifest_corpus(spark, sf_dir), rule_table(spark, MODE_RULES, FRAMEWORK_SCHEMA))
+    rules = rule_table(spark, MODE_RULES, FRAMEWORK_SCHEMA).select("framework", "mode")
+    return hits.join(F.broadcast(rules), "framework").groupBy("repo_id", "mode", "framework").agg(F.count(F.lit(1)).alias("n_hits"))

@@ -276,3 +276,17 @@ def q_termination_reason(spark, sf_dir):
     mx = e.select("user_id").distinct().select("user_id", F.lit(50).alias("turn"), F.lit("max_turns").alias("reason"))
     cand = art.unionByName(st).unionByName(mx)
     return L.termination_reason(cand, "user_id")
+
+
+@query("cache_clear", sql=f"""
+WITH ok AS (SELECT key, arg_max(payload, version) AS payload FROM {SQL_CACHE} WHERE json_valid(payload) GROUP BY 1),
+work AS (SELECT DISTINCT r.key, 2 AS version FROM {SQL_REQ} r LEFT JOIN ok USING (key) WHERE ok.payload IS NULL),
+u AS (SELECT key FROM {SQL_CACHE} UNION ALL SELECT key FROM work)
+SELECT count(DISTINCT key) AS n_cleared FROM u""")
+def q_cache_clear(spark, sf_dir):
+    """L9 (clear): clearing the upserted cache removes every key; the count is returned."""
+    r, cache = requests_and_cache(spark, sf_dir)
+    p = L.cache_probe(r, cache)
+    new = p.where(F.col("status") != "hit").select("key", F.lit("").alias("payload"), F.lit(2).alias("version")).distinct()
+    stored = L.cache_store(cache, new)
+    return stored.agg(F.count(F.lit(1)).alias("n_cleared"))
