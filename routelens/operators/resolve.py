@@ -222,22 +222,26 @@ def break_ref_cycles(edges: DataFrame, scc: DataFrame | None = None) -> DataFram
 
     Only edges inside a strongly connected component (and self references) can
     lie on a cycle, so every other edge is left untouched. Inside a component
-    the nodes get a total order - nodes with an outgoing array edge last, then
-    by name - and each edge running backwards in that order is cut. What is
-    left inside a component follows the order, hence no cycle remains; the
-    array edge of a two-node cycle is the one cut whenever only one side has
-    array edges (the original's preference). Deterministic (Q6).
+    the nodes get a total order - larger (out-degree - in-degree) first, the
+    greedy feedback-arc-set order; on ties nodes without an outgoing array edge
+    first; then by name - and each edge running backwards in that order is cut.
+    What is left inside a component follows the order, hence no cycle remains.
+    In a two-node cycle the degrees tie, so the array edge is the one cut (the
+    original's preference). Deterministic (Q6); all steps are keyed aggregations.
     """
     scc = scc if scc is not None else strongly_connected(edges)
     s1 = scc.select("repo_id", F.col("node").alias("src"), F.col("scc").alias("c1"))
     s2 = scc.select("repo_id", F.col("node").alias("dst"), F.col("scc").alias("c2"))
     inside = edges.join(s1, ["repo_id", "src"]).join(s2, ["repo_id", "dst"]).where(F.col("c1") == F.col("c2"))
-    arr = inside.where("via_array").select("repo_id", F.col("src").alias("node")).distinct().withColumn("has_arr", F.lit(1))
-    r1 = arr.select("repo_id", F.col("node").alias("src"), F.col("has_arr").alias("a1"))
-    r2 = arr.select("repo_id", F.col("node").alias("dst"), F.col("has_arr").alias("a2"))
-    x = inside.join(r1, ["repo_id", "src"], "left").join(r2, ["repo_id", "dst"], "left").fillna(0, ["a1", "a2"])
-    backward = F.struct("a1", "src") >= F.struct("a2", "dst")
-    return x.where(backward).select("repo_id", "src", "dst", "via_array").distinct()
+    out_d = inside.groupBy("repo_id", F.col("src").alias("node")).agg(
+        F.count(F.lit(1)).alias("outd"), F.max(F.col("via_array").cast("int")).alias("has_arr"))
+    in_d = inside.groupBy("repo_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ind"))
+    rank = (out_d.join(in_d, ["repo_id", "node"], "full_outer").fillna(0, ["outd", "ind", "has_arr"])
+            .select("repo_id", "node", F.struct((F.col("ind") - F.col("outd")).alias("neg_delta"), "has_arr", "node").alias("rk")))
+    r1 = rank.select("repo_id", F.col("node").alias("src"), F.col("rk").alias("rk1"))
+    r2 = rank.select("repo_id", F.col("node").alias("dst"), F.col("rk").alias("rk2"))
+    x = inside.join(r1, ["repo_id", "src"]).join(r2, ["repo_id", "dst"])
+    return x.where(F.col("rk1") >= F.col("rk2")).select("repo_id", "src", "dst", "via_array").distinct()
 
 
 IMPORT_LINE_RE = r"^\s*(import|from|require|using|use|#include)\b"
