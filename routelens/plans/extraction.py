@@ -67,7 +67,7 @@ def q_failed_quarantine(spark, sf_dir):
     return bad
 
 
-def _schema_extractor(pdf):
+def _model_file_extractor(pdf):
     import re
 
     import pandas as pd
@@ -89,7 +89,7 @@ def q_schema_extract_batch(spark, sf_dir):
     from routelens.plans.graph import source_lines
     src = source_lines(spark, sf_dir).select("repo_id", "path", F.col("line").alias("content"))
     sk = src.select("repo_id", F.col("path").alias("source_file"))
-    return E.batch_extract(src, sk, _schema_extractor)
+    return E.batch_extract(src, sk, _model_file_extractor)
 
 
 @query("known_context_select", sql=f"""

@@ -15,9 +15,9 @@ from routelens.operators import telemetry as L
 from routelens.plans.catalog import query
 from routelens.sources.tables import table
 
-AGENTS = ("scout", "route_extractor", "schema_extractor")
+AGENTS = ("discovery", "routes", "schemas")
 # Per-agent endpoint overrides of this binding ('' = use default).
-AGENT_URLS = {"scout": "", "route_extractor": "http://route.local", "schema_extractor": None}
+AGENT_URLS = {"discovery": "", "routes": "http://route.local", "schemas": None}
 DEFAULT_URL = "http://default.local"
 
 
@@ -38,7 +38,7 @@ def calls(spark, sf_dir):
 
 
 SQL_CALLS = """(SELECT conv_id % 10 AS run_id, conv_id * 100 + turn AS seq,
-   ['scout', 'route_extractor', 'schema_extractor'][(turn % 3) + 1] AS agent, 'phase' || CAST(turn % 2 + 1 AS VARCHAR) AS phase,
+   ['discovery', 'routes', 'schemas'][(turn % 3) + 1] AS agent, 'phase' || CAST(turn % 2 + 1 AS VARCHAR) AS phase,
    'm-' || CAST(conv_id % 3 AS VARCHAR) AS model, input_chars, length(text) AS output_chars, length(text) * 3 AS duration_ms,
    'src/conv_' || CAST(conv_id AS VARCHAR) || '/turn_' || CAST(turn AS VARCHAR) || '.py' AS target_file
  FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS input_chars
@@ -176,7 +176,7 @@ def q_cache_corrupt_skip(spark, sf_dir):
 
 
 @query("agent_override", sql=f"""
-SELECT agent, coalesce(nullif(CASE agent WHEN 'scout' THEN '' WHEN 'route_extractor' THEN 'http://route.local' END, ''),
+SELECT agent, coalesce(nullif(CASE agent WHEN 'discovery' THEN '' WHEN 'routes' THEN 'http://route.local' END, ''),
        '{DEFAULT_URL}') AS url, count(*) AS calls FROM {SQL_CALLS} GROUP BY 1, 2""")
 def q_agent_override(spark, sf_dir):
     """The endpoint each agent's calls go to (override, else default)."""
