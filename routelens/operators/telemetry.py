@@ -8,9 +8,11 @@ tables; state updates are ``(run_id, turn, ...)`` rows folded with ``max_by`` /
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routelens.operators.ordered import blocked_lag, blocked_rank, blocked_running_sum
+
 
 def message_chars(text: Column, parts: Column | None = None) -> Column:
     """L1: characters of one message: plain string, or the sum over its text parts."""
@@ -36,11 +38,15 @@ def human_size(n: Column) -> Column:
 
 
 def call_table(calls: DataFrame) -> DataFrame:
-    """L4: numbered calls per run with file basename and seconds, plus a TOTAL row per run."""
-    w = Window.partitionBy("run_id").orderBy("seq")
-    rows = calls.select("run_id", F.row_number().over(w).alias("n"), "agent",
-                        F.regexp_extract("target_file", "([^/]*)$", 1).alias("file"),
-                        "input_chars", "output_chars", "duration_ms")
+    """L4: numbered calls per run with file basename and seconds, plus a TOTAL row per run.
+
+    Numbering is a blocked rank (see ``ordered``), so a run with a huge number of
+    calls is not sorted in a single task.
+    """
+    ranked = blocked_rank(calls, ["run_id"], "seq", "n")
+    rows = ranked.select("run_id", F.col("n").cast("int").alias("n"), "agent",
+                         F.regexp_extract("target_file", "([^/]*)$", 1).alias("file"),
+                         "input_chars", "output_chars", "duration_ms")
     total = calls.groupBy("run_id").agg(F.lit(None).cast("int").alias("n"), F.lit("TOTAL").alias("agent"),
                                         F.lit("").alias("file"), F.sum("input_chars").alias("input_chars"),
                                         F.sum("output_chars").alias("output_chars"), F.sum("duration_ms").alias("duration_ms"))
@@ -105,19 +111,22 @@ def action_hash(actions: Column) -> Column:
     return F.substring(F.sha2(F.to_json(actions), 256), 1, 16)
 
 
-def stall_detect(events: DataFrame, run: str, order: str, hash_col: str, repeat: int = 3, grace: int = 3) -> DataFrame:
+def stall_detect(events: DataFrame, run: str, order: str, hash_col: str, repeat: int = 3, grace: int = 3,
+                 width: int = 4096) -> DataFrame:
     """First turn where ``repeat`` identical consecutive hashes occur, and the stop turn.
 
-    Gaps-and-islands: a change flag from ``lag``, its running sum as island id,
-    position inside the island; the warning fires at position ``repeat`` and the
-    run is stopped ``grace`` turns later (the warning is never cleared).
+    Gaps-and-islands with blocked helpers: turn number (blocked rank), change
+    flag from the previous hash (blocked lag), island id as the running sum of
+    changes (blocked running sum), and the position inside an island from the
+    island's first turn (an aggregate). The warning fires at position
+    ``repeat``; the run stops ``grace`` turns later (the warning is never cleared).
     """
-    w = Window.partitionBy(run).orderBy(order)
-    e = events.withColumn("turn", F.row_number().over(w))
-    e = e.withColumn("chg", F.when(F.lag(hash_col).over(w) == F.col(hash_col), 0).otherwise(1))
-    e = e.withColumn("island", F.sum("chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wi = Window.partitionBy(run, "island").orderBy(order)
-    e = e.withColumn("k", F.row_number().over(wi))
+    e = blocked_rank(events, [run], order, "turn", width=width)
+    e = blocked_lag(e, [run], order, hash_col, "__prev", width=width)
+    e = e.withColumn("chg", F.when(F.col("__prev") == F.col(hash_col), 0).otherwise(1))
+    e = blocked_running_sum(e, [run], order, "chg", "island", width=width)
+    start = e.groupBy(run, "island").agg(F.min("turn").alias("__start"))
+    e = e.join(start, [run, "island"]).withColumn("k", F.col("turn") - F.col("__start") + 1)
     warn = e.where(F.col("k") == repeat).groupBy(run).agg(F.min("turn").alias("warn_turn"))
     return warn.withColumn("stop_turn", F.col("warn_turn") + grace)
 

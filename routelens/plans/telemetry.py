@@ -8,10 +8,10 @@ analytics.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from routelens.operators import telemetry as L
+from routelens.operators.ordered import blocked_rank, blocked_running_sum
 from routelens.plans.catalog import query
 from routelens.sources.tables import table
 
@@ -23,8 +23,9 @@ DEFAULT_URL = "http://default.local"
 
 def calls(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("input_chars", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).cast("long"))
+    # input of a call = text of all earlier turns (exclusive running sum, blocked per conversation)
+    c = blocked_running_sum(c.withColumn("len", F.length("text").cast("long")), ["conv_id"], "turn", "len",
+                            "input_chars", exclusive=True)
     a = c.where(F.col("role") == "assistant")
     return a.select(
         (F.col("conv_id") % 10).alias("run_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"),
@@ -268,7 +269,7 @@ SELECT user_id, arg_min(reason, (turn, reason)) AS reason, min(turn) AS end_turn
 def q_termination_reason(spark, sf_dir):
     """Earliest of artifact written (first purchase), stall stop, or the 50-turn limit."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    t = e.withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    t = blocked_rank(e, ["user_id"], "event_id", "turn")
     art = t.where(F.col("event_type") == "purchase").groupBy("user_id").agg(F.min("turn").alias("turn")) \
         .withColumn("reason", F.lit("write_artifact"))
     st = L.stall_detect(e, "user_id", "event_id", "event_type").select(

@@ -16,10 +16,11 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from routelens.operators.ordered import blocked_rank
 from routelens.session import checkpoint_dir
 
 # Fixed values of this binding: event kind -> job status and progress role.
@@ -70,8 +71,9 @@ def log_tail_len(n: Column) -> Column:
 def log_tail(progress: DataFrame) -> DataFrame:
     """ST3 batch twin: log length, retained tail length and the first retained seq."""
     n = progress.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_log"))
-    w = Window.partitionBy("job_id").orderBy(F.col("seq").desc())
-    r = progress.select("job_id", "seq", F.row_number().over(w).alias("rk")).join(n, "job_id")
+    # rank from the end = n - rank from the start + 1 (blocked rank: no per-job sort in one task)
+    r = blocked_rank(progress.select("job_id", "seq"), ["job_id"], "seq", "rk_asc").join(n, "job_id")
+    r = r.withColumn("rk", F.col("n_log") - F.col("rk_asc") + 1)
     kept = r.where(F.col("rk") <= log_tail_len(F.col("n_log")))
     return kept.groupBy("job_id", "n_log").agg(F.count(F.lit(1)).alias("tail_len"), F.min("seq").alias("first_kept_seq"))
 
