@@ -14,15 +14,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK = 4096
+# A plain per-key window is used only when every key has at most this many rows
+# (checked with one aggregate); larger keys take the blocked path.
+WINDOW_MAX_KEY_ROWS = 1_000_000
+
+
+def largest_key(df: DataFrame, keys) -> int:
+    """Row count of the largest key: one partial aggregation, one number to the driver."""
+    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return int(r or 0)
+
+
+def needs_blocks(df: DataFrame, keys, limit: int = WINDOW_MAX_KEY_ROWS) -> bool:
+    return largest_key(df, keys) > limit
 
 
 def _block(order_col: str, width: int) -> Column:
     return F.floor(F.col(order_col) / F.lit(width)).cast("long")
 
 
-def blocked_rank(df: DataFrame, keys, order_col: str, out: str = "rk", width: int = DEFAULT_BLOCK) -> DataFrame:
-    """1-based row number by ``order_col`` within ``keys`` (``order_col`` unique per key)."""
+def blocked_rank(df: DataFrame, keys, order_col: str, out: str = "rk", width: int = DEFAULT_BLOCK,
+                 check: bool = False) -> DataFrame:
+    """1-based row number by ``order_col`` within ``keys`` (``order_col`` unique per key).
+
+    With ``check`` a plain window is used when no key exceeds ``WINDOW_MAX_KEY_ROWS``.
+    """
     keys = list(keys)
+    if check and not needs_blocks(df, keys):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order_col)))
     d = df.withColumn("__blk", _block(order_col, width))
     per = d.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__n"))
     wb = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,15 +52,21 @@ def blocked_rank(df: DataFrame, keys, order_col: str, out: str = "rk", width: in
 
 
 def blocked_running_sum(df: DataFrame, keys, order_col: str, value: str, out: str, exclusive: bool = False,
-                        width: int = DEFAULT_BLOCK) -> DataFrame:
+                        width: int = DEFAULT_BLOCK, check: bool = False) -> DataFrame:
     """Running sum of ``value`` in ``order_col`` order within ``keys``; ``exclusive``
-    leaves out the current row (sum of the earlier rows, 0 for the first)."""
+    leaves out the current row (sum of the earlier rows, 0 for the first).
+
+    With ``check`` a plain window is used when no key exceeds ``WINDOW_MAX_KEY_ROWS``.
+    """
     keys = list(keys)
+    end = -1 if exclusive else 0
+    if check and not needs_blocks(df, keys):
+        w0 = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(w0), F.lit(0)))
     d = df.withColumn("__blk", _block(order_col, width))
     per = d.groupBy(*keys, "__blk").agg(F.sum(value).alias("__s"))
     wb = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("__off", F.coalesce(F.sum("__s").over(wb), F.lit(0))).drop("__s")
-    end = -1 if exclusive else 0
     w = Window.partitionBy(*keys, "__blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
     inner = F.coalesce(F.sum(value).over(w), F.lit(0))
     return d.join(per, [*keys, "__blk"]).withColumn(out, inner + F.col("__off")).drop("__blk", "__off")

@@ -25,7 +25,7 @@ def calls(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # input of a call = text of all earlier turns (exclusive running sum, blocked per conversation)
     c = blocked_running_sum(c.withColumn("len", F.length("text").cast("long")), ["conv_id"], "turn", "len",
-                            "input_chars", exclusive=True)
+                            "input_chars", exclusive=True, check=True)
     a = c.where(F.col("role") == "assistant")
     return a.select(
         (F.col("conv_id") % 10).alias("run_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"),
@@ -269,7 +269,7 @@ SELECT user_id, arg_min(reason, (turn, reason)) AS reason, min(turn) AS end_turn
 def q_termination_reason(spark, sf_dir):
     """Earliest of artifact written (first purchase), stall stop, or the 50-turn limit."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    t = blocked_rank(e, ["user_id"], "event_id", "turn")
+    t = blocked_rank(e, ["user_id"], "event_id", "turn", check=True)
     art = t.where(F.col("event_type") == "purchase").groupBy("user_id").agg(F.min("turn").alias("turn")) \
         .withColumn("reason", F.lit("write_artifact"))
     st = L.stall_detect(e, "user_id", "event_id", "event_type").select(
