@@ -11,9 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.functions.paths import path_params, path_template
-
-HTTP_METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
+from routelens.functions.paths import path_template
 
 
 def _ord(order_cols) -> Column:

@@ -352,8 +352,6 @@ def q_op_request_body(spark, sf_dir):
     return o.select("event_id", F.lit("application/json").alias("content_type"), "schema_json")
 
 
-__all__ = ["A"]
-
 
 # Fixed value: the editable server entry every description carries (discovered servers
 # stay in the manifest).

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from routelens.operators.score import (
-    auth_accuracy, dice, jaccard, missing_extra, name_tokens, optimal_match, pair_components, pair_scores,
+    auth_accuracy, missing_extra, name_tokens, optimal_match, pair_components, pair_scores,
     schema_prf_weighted, set_prf,
 )
 from routelens.plans.catalog import query
@@ -263,8 +263,6 @@ def q_schema_prf_weighted(spark, sf_dir):
     return schema_prf_weighted(optimal_match(s, component="comp"), a, g)
 
 
-__all__ = ["jaccard", "dice"]
-
 
 @query("f1", sql="""
 WITH p AS (SELECT d.lang, l.toxic = 1 AS t, regexp_matches(d.text, '(idiot|moron|clown|worthless|stupid|loser)') AS pr
