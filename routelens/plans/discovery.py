@@ -576,3 +576,31 @@ def q_framework_rule_modes(spark, sf_dir):
     hits = D.framework_hits(manifest_corpus(spark, sf_dir), rule_table(spark, MODE_RULES, FRAMEWORK_SCHEMA))
     rules = rule_table(spark, MODE_RULES, FRAMEWORK_SCHEMA).select("framework", "mode")
     return hits.join(F.broadcast(rules), "framework").groupBy("repo_id", "mode", "framework").agg(F.count(F.lit(1)).alias("n_hits"))
+
+
+def doc_route_files(spark, sf_dir):
+    """D13 list form: importers first, then rule hits, then sweep hits; each file once
+    (its first list), ordered by (list, file order) - rows, not one collected array."""
+    f = doc_files(spark, sf_dir)
+    routes = doc_routes(spark, sf_dir)
+    terms = routes.join(f, ["repo_id", "path"]).select(
+        "repo_id", F.regexp_extract("content", 'token = "([0-9a-f]{6})', 1).alias("term"))
+    imp = D.importer_detect(f.where(F.col("content").contains('"')), terms, routes)
+    sweep = D.verb_sweep(f, routes, r"@mail[0-9]+\.example\.com")
+    u = (imp.select("repo_id", "path", "file_ord", F.lit(0).alias("list_ord"))
+         .unionByName(routes.select("repo_id", "path", "file_ord", F.lit(1).alias("list_ord")))
+         .unionByName(sweep.select("repo_id", "path", "file_ord", F.lit(2).alias("list_ord"))))
+    first = u.groupBy("repo_id", "path").agg(F.min_by(F.struct("list_ord", "file_ord"), F.struct("list_ord", "file_ord")).alias("w"))
+    src = F.element_at(F.array(F.lit("importer"), F.lit("rule"), F.lit("sweep")), (F.col("w.list_ord") + 1).cast("int"))
+    return first.select("repo_id", "path", F.col("w.list_ord").alias("list_ord"), F.col("w.file_ord").alias("file_ord"), src.alias("source"))
+
+
+@query("prescan_route_files", sql=SQL_PRESCAN.split("au AS (")[0] + """
+u AS (SELECT i.repo_id, i.path, 0 AS list_ord, (SELECT min(file_ord) FROM f WHERE f.repo_id = i.repo_id AND f.path = i.path) AS file_ord FROM imp i
+      UNION ALL SELECT repo_id, path, 1, file_ord FROM routes
+      UNION ALL SELECT s.repo_id, s.path, 2, (SELECT min(file_ord) FROM f WHERE f.repo_id = s.repo_id AND f.path = s.path) FROM sw s)
+SELECT repo_id, path, arg_min(list_ord, (list_ord, file_ord)) AS list_ord, arg_min(file_ord, (list_ord, file_ord)) AS file_ord,
+       ['importer', 'rule', 'sweep'][arg_min(list_ord, (list_ord, file_ord)) + 1] AS source FROM u GROUP BY 1, 2""")
+def q_prescan_route_files(spark, sf_dir):
+    """D13 (lists): the route-file list of each source - importers first, rule hits, sweep hits."""
+    return doc_route_files(spark, sf_dir)
