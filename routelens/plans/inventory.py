@@ -68,7 +68,7 @@ SELECT repo_id, {template('path')} AS path_key, arg_min(path, file_ord) AS canon
        {PARAMS_SQL.format(p='arg_min(path, file_ord)')} AS params
 FROM n GROUP BY 1, 2""")
 def endpoint_inventory(spark, sf_dir):
-    """Flagship: per host, one row per distinct path template."""
+    """Flagship endpoint inventory - per host, one row per distinct path template."""
     ep = page_endpoints(spark, sf_dir).withColumn("path", path_normalize(F.lit(""), F.col("path")))
     g = (ep.groupBy("repo_id", path_template(F.col("path")).alias("path_key"))
          .agg(F.min_by("path", "file_ord").alias("canonical_path"),
@@ -93,7 +93,7 @@ b AS (SELECT page_id, repo_id, raw, {SQL_BASE} AS base FROM p)
 SELECT page_id, repo_id, base, raw, {sql_path_normalize('base', 'raw')} AS normalized,
        {sql_path_normalize('base', 'raw', compat=True)} AS normalized_compat FROM b""")
 def q_path_normalize(spark, sf_dir):
-    """P1 with three base shapes: segment prefix, empty, and a non-segment prefix (Q1)."""
+    """Three base shapes - segment prefix, empty, and a non-segment prefix (Q1)."""
     f = pages_as_files(table(spark, sf_dir, "pages").select("page_id", "url"))
     b = f.select(F.col("file_ord").alias("page_id"), "repo_id", "lang", _decorated(F.col("path")).alias("raw"))
     base = (F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/"), "lang", F.lit("/")))
@@ -118,7 +118,7 @@ SELECT page_id, {PARAMS_SQL.format(p='raw')} AS params,
        len(list_filter(regexp_extract_all(raw, '\\{{([^}}:]*)[^}}]*\\}}', 1), lambda x: x <> '')) AS n_params
 FROM (SELECT page_id, {SQL_DECORATED} || '/{{:x}}' AS raw FROM pages)""")
 def q_path_params(spark, sf_dir):
-    """P3 on decorated paths; a trailing ``{:x}`` has an empty name and is dropped."""
+    """Decorated paths; a trailing ``{:x}`` has an empty name and is dropped."""
     f = pages_as_files(table(spark, sf_dir, "pages").select("page_id", "url"))
     raw = F.concat(_decorated(F.col("path")), F.lit("/{:x}"))
     pp = path_params(raw)
@@ -144,7 +144,7 @@ SELECT page_id, raw, regexp_replace(CASE WHEN lower(regexp_replace(raw, '/+$', '
        ELSE lower(regexp_replace(raw, '/+$', '')) END, '\{[^}]+\}', '{_}', 'g') AS score_key
 FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '/' ELSE upper(""" + SQL_DECORATED + ") || '/' END AS raw FROM pages)")
 def q_path_score_key(spark, sf_dir):
-    """P5 on upper-cased decorated paths with a trailing slash; every 5th page is the root."""
+    """P5: upper-cased decorated paths with a trailing slash; every 5th page is the root."""
     f = pages_as_files(table(spark, sf_dir, "pages").select("page_id", "url"))
     raw = F.when(F.col("file_ord") % 5 == 0, F.lit("/")).otherwise(
         F.concat(F.upper(_decorated(F.col("path"))), F.lit("/")))
@@ -246,7 +246,7 @@ SELECT repo_id, canonical_path, method, min(file_ord) AS page_id, arg_min(path,
        count(*) AS n_seen, count(*) - 1 AS n_dropped
 FROM c GROUP BY 1, 2, 3""")
 def q_op_keep_first(spark, sf_dir):
-    """A8 after A7: one operation per (canonical path, method); the rest are logged."""
+    """After A7, one operation per (canonical path, method); the rest are logged."""
     c = path_canonicalize(page_endpoints(spark, sf_dir), order_cols=("file_ord",))
     kept, _dup = op_keep_first(c.select("repo_id", "canonical_path", "method", "file_ord", "path"),
                                order_cols=("file_ord",))

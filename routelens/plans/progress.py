@@ -88,11 +88,11 @@ def q_job_snapshot(spark, sf_dir):
 
 @query("job_state_stream")
 def q_job_state_stream(spark, sf_dir):
-    """ST1/ST2/ST6 run as a Structured Streaming query (availableNow) into a snapshot table."""
+    """ST1/ST2/ST6: the job fold run as a Structured Streaming query (availableNow) into a snapshot table."""
     return P.run_job_state_stream(spark, sf_dir)
 
 
 @query("job_log_tail_stream")
 def q_job_log_tail_stream(spark, sf_dir):
-    """ST3 as a stateful stream (bounded per-job state in applyInPandasWithState)."""
+    """ST3: the log tail as a stateful stream (bounded per-job state in applyInPandasWithState)."""
     return P.run_log_tail_stream(spark, sf_dir)

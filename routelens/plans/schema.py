@@ -139,7 +139,7 @@ b AS (SELECT *, CASE WHEN n > 1 THEN (CASE WHEN coalesce(tag, '') <> '' THEN tag
 c AS (SELECT *, row_number() OVER (PARTITION BY repo_id, id1 ORDER BY file_ord, ep_ord) AS kk FROM b)
 SELECT repo_id, path, method, CASE WHEN n > 1 AND kk > 1 THEN id1 || '_' || substr(md5(path || ':' || method), 1, 6) ELSE id1 END AS operation_id FROM c""")
 def q_operation_id_dedup(spark, sf_dir):
-    """F13 after A7/A8: unique operation ids (tag prefix, then an md5 suffix)."""
+    """after A7/A8, unique operation ids (tag prefix, then an md5 suffix)."""
     d = A.operation_id_dedup(kept_ops(spark, sf_dir))
     return d.select("repo_id", "path", "method", "operation_id")
 
@@ -366,7 +366,7 @@ def q_wrap_ref_siblings(spark, sf_dir):
 SELECT repo_id, count(DISTINCT path) AS n_spellings, count(DISTINCT regexp_replace(path, '\\{{[^}}]*\\}}', '{{_}}', 'g')) AS n_templates
 FROM {SQL_OPS} GROUP BY 1""")
 def q_dedup_key_collisions(spark, sf_dir):
-    """F15 input: spellings vs templates per repository (identical paths merged by template)."""
+    """identical paths - spellings vs templates per repository (merged by template)."""
     o = event_ops(spark, sf_dir)
     return o.groupBy("repo_id").agg(F.count_distinct("path").alias("n_spellings"),
                                     F.count_distinct(F.regexp_replace("path", r"\{[^}]*\}", "{_}")).alias("n_templates"))
