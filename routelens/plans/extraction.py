@@ -288,7 +288,8 @@ def condense_inputs(spark, sf_dir):
 WITH l AS (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no
            FROM {documents_files()}),
 sig AS (SELECT * FROM l WHERE regexp_matches(line, '{SIG_RE}')),
-k AS (SELECT repo_id, path, greatest(line_no - 1, 1) AS s, line_no AS e FROM sig UNION ALL SELECT DISTINCT repo_id, path, 1, 1 FROM sig),
+k AS (SELECT DISTINCT * FROM (SELECT repo_id, path, greatest(line_no - 1, 1) AS s, line_no AS e FROM sig
+      UNION ALL SELECT repo_id, path, 1, 1 FROM sig)),
 w AS (SELECT *, max(e) OVER (PARTITION BY repo_id, path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM k),
 g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY repo_id, path ORDER BY s, e
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM w),

@@ -85,7 +85,7 @@ def q_call_table(spark, sf_dir):
     return L.call_table(calls(spark, sf_dir))
 
 
-SQL_HUMAN = """CASE WHEN {n} >= 1000000 THEN CAST(floor(({n} * 10 + 500000) / 1000000) // 10 AS VARCHAR) || '.' ||
+SQL_HUMAN = """CASE WHEN {n} >= 1000000 THEN CAST(CAST(floor(({n} * 10 + 500000) / 1000000) AS BIGINT) // 10 AS VARCHAR) || '.' ||
   CAST(CAST(floor(({n} * 10 + 500000) / 1000000) AS BIGINT) % 10 AS VARCHAR) || 'M'
   WHEN {n} >= 1000 THEN CAST(CAST(floor(({n} * 10 + 500) / 1000) AS BIGINT) // 10 AS VARCHAR) || '.' ||
   CAST(CAST(floor(({n} * 10 + 500) / 1000) AS BIGINT) % 10 AS VARCHAR) || 'K' ELSE CAST({n} AS VARCHAR) END"""
