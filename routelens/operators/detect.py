@@ -132,7 +132,9 @@ def importer_detect(files: DataFrame, terms: DataFrame, known: DataFrame, min_le
     toks = files.select("repo_id", "path", "file_ord",
                         F.explode(F.regexp_extract_all("content", F.lit("[\"'/]([A-Za-z0-9_.-]+)"), 1)).alias("tok"))
     toks = toks.select("repo_id", "path", "file_ord", F.explode(F.array_distinct(F.array(
-        "tok", F.regexp_replace("tok", r"\.[^.]*$", "")))).alias("tok")).distinct()
+        "tok", F.regexp_replace("tok", r"\.[^.]*$", "")))).alias("tok"))
+    # tokens shorter than any usable term can never match: drop them before the shuffle
+    toks = toks.where(F.length("tok") >= min_len).distinct()
     t = terms.where(F.length("term") >= min_len).select("repo_id", F.col("term").alias("tok")).distinct()
     hits = toks.join(t, ["repo_id", "tok"], "left_semi")
     hits = hits.where(~F.col("path").rlike(r"(\.spec\.|\.test\.|\.module\.(ts|js)$)"))
