@@ -158,22 +158,38 @@ def auth_name_priority(path: Column, hints=AUTH_NAME_HINTS) -> Column:
     return F.when(hit, F.lit(0)).otherwise(F.lit(1))
 
 
-def auth_context(lines: DataFrame, auth_rules: DataFrame, exclude: DataFrame | None = None,
+def first_rule(text: Column, rules) -> Column:
+    """Ordinal of the first rule (in rule order) whose regex matches ``text``, else NULL.
+
+    ``rules`` is a small literal list of ``(rule_ord, regex, ...)``: each regex
+    is a literal, so Spark compiles it once per task instead of per row as a
+    regex taken from a joined rule column would be.
+    """
+    return F.coalesce(*[F.when(text.rlike(r[1]), F.lit(r[0])) for r in sorted(rules, key=lambda r: r[0])])
+
+
+def auth_context(lines: DataFrame, auth_rules, exclude: DataFrame | None = None,
                  priority: Column | None = None, max_hits: int = 8) -> DataFrame:
     """Auth mode and hint per repository.
 
     Each line takes its first matching rule; hits are ordered (priority bucket,
     path, line) and the first ``max_hits`` form the hint ``path: line`` lines.
     Mode: ``all`` if any kept hit says so, else ``per-endpoint``, else ''.
-    ``auth_rules(rule_ord, line_regex, mode)`` is broadcast.
+    ``auth_rules``: a literal list of ``(rule_ord, line_regex, mode)`` compiled into
+    one projection, or a rule DataFrame (broadcast theta join) for large rule sets.
     """
     ln = lines
     if exclude is not None:
         ln = ln.join(exclude.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
     ln = ln.where(~F.col("path").rlike(exclude_regex()))
-    r = F.broadcast(auth_rules)
-    j = ln.join(r, F.regexp_like(ln["line"], r["line_regex"]))
-    first = j.groupBy("repo_id", "path", "line_no").agg(F.min_by(F.struct("mode", "line"), "rule_ord").alias("h"))
+    if isinstance(auth_rules, DataFrame):
+        r = F.broadcast(auth_rules)
+        j = ln.join(r, F.regexp_like(ln["line"], r["line_regex"]))
+        first = j.groupBy("repo_id", "path", "line_no").agg(F.min_by(F.struct("mode", "line"), "rule_ord").alias("h"))
+    else:
+        modes = F.create_map(*[x for r in auth_rules for x in (F.lit(r[0]), F.lit(r[2]))])
+        k = ln.withColumn("__r", first_rule(F.col("line"), auth_rules)).where(F.col("__r").isNotNull())
+        first = k.select("repo_id", "path", "line_no", F.struct(F.element_at(modes, F.col("__r")).alias("mode"), "line").alias("h"))
     first = first.withColumn("bucket", priority if priority is not None else auth_name_priority(F.col("path")))
     w = Window.partitionBy("repo_id").orderBy("bucket", "path", "line_no")
     top = first.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= max_hits)

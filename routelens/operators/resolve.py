@@ -18,19 +18,29 @@ from routelens.session import cut_lineage
 REF_TARGET_RE = r'"\$ref"\s*:\s*"#/components/schemas/([^"]+)"'
 
 
-def typedef_scan(lines: DataFrame, rules: DataFrame) -> DataFrame:
+def typedef_scan(lines: DataFrame, rules) -> DataFrame:
     """Definitions found by rule regexes over source lines.
 
     ``rules(rule_ord, regex, kind)``: group 1 = name, group 2 = comma list of
-    parents (may be empty). Output ``type_defs(repo_id, name, path, line, kind, inherits)``.
+    parents (may be empty); a line takes its first matching rule. A literal
+    rule list is compiled into one projection (regexes compiled once per
+    task); a rule DataFrame is broadcast and theta-joined.
+    Output ``type_defs(repo_id, name, path, line, kind, inherits)``.
     """
-    r = F.broadcast(rules)
-    j = lines.join(r, F.regexp_like(lines["line"], r["regex"]))
-    j = j.select("repo_id", "path", F.col("line_no").alias("line"), "kind", "rule_ord",
-                 F.expr("regexp_extract(line, regex, 1)").alias("name"),
-                 F.expr("regexp_extract(line, regex, 2)").alias("inherits"))
-    first = j.groupBy("repo_id", "path", "line").agg(F.min_by(F.struct("name", "kind", "inherits"), "rule_ord").alias("d"))
-    return first.select("repo_id", "d.name", "path", "line", "d.kind", "d.inherits")
+    if isinstance(rules, DataFrame):
+        r = F.broadcast(rules)
+        j = lines.join(r, F.regexp_like(lines["line"], r["regex"]))
+        j = j.select("repo_id", "path", F.col("line_no").alias("line"), "kind", "rule_ord",
+                     F.expr("regexp_extract(line, regex, 1)").alias("name"),
+                     F.expr("regexp_extract(line, regex, 2)").alias("inherits"))
+        first = j.groupBy("repo_id", "path", "line").agg(F.min_by(F.struct("name", "kind", "inherits"), "rule_ord").alias("d"))
+        return first.select("repo_id", "d.name", "path", "line", "d.kind", "d.inherits")
+    rules = sorted(rules, key=lambda r: r[0])
+    pick = F.coalesce(*[F.when(F.col("line").rlike(rx), F.struct(
+        F.regexp_extract("line", rx, 1).alias("name"), F.lit(kind).alias("kind"),
+        F.regexp_extract("line", rx, 2).alias("inherits"))) for _, rx, kind in rules])
+    d = lines.select("repo_id", "path", F.col("line_no").alias("line"), pick.alias("d")).where(F.col("d").isNotNull())
+    return d.select("repo_id", "d.name", "path", "line", "d.kind", "d.inherits")
 
 
 def inheritance_edges(type_defs: DataFrame) -> DataFrame:
@@ -256,11 +266,18 @@ def resolve_by_scan(refs: DataFrame, lines: DataFrame, def_rules: DataFrame) ->
     (no scan per name). A dotted ``Outer.Inner`` keeps files that also define
     ``Outer``; then the import fragment decides, else the first (path, line).
     """
-    r = F.broadcast(def_rules)
     ln = lines.where(~F.col("line").rlike(IMPORT_LINE_RE))
-    d = (ln.join(r, F.regexp_like(ln["line"], r["regex"]))
-         .select("repo_id", "path", "line_no", F.expr("regexp_extract(line, regex, 1)").alias("defined"))
-         .where(F.col("defined") != "").distinct())
+    if isinstance(def_rules, DataFrame):
+        r = F.broadcast(def_rules)
+        d = ln.join(r, F.regexp_like(ln["line"], r["regex"])).select(
+            "repo_id", "path", "line_no", F.expr("regexp_extract(line, regex, 1)").alias("defined"))
+    else:  # literal rule list: one literal-regex extraction per rule, no join
+        d = None
+        for _, rx in def_rules:
+            part = ln.where(F.col("line").rlike(rx)).select("repo_id", "path", "line_no",
+                                                           F.regexp_extract("line", rx, 1).alias("defined"))
+            d = part if d is None else d.unionByName(part)
+    d = d.where(F.col("defined") != "").distinct()
     leaf = F.element_at(F.split("name", r"\."), -1)
     outer = F.when(F.col("name").contains("."), F.element_at(F.split("name", r"\."), 1))
     c = refs.withColumn("leaf", leaf).withColumn("outer", outer).join(

@@ -384,9 +384,8 @@ FROM t WHERE rk <= 8 GROUP BY 1"""
 
 def doc_auth(spark, sf_dir):
     lines = explode_lines(doc_files(spark, sf_dir))
-    rules = rule_table(spark, AUTH_RULES, "rule_ord int, line_regex string, mode string")
     prio = F.when(F.col("path").startswith("de/"), F.lit(0)).otherwise(F.lit(1))
-    return D.auth_context(lines, rules, priority=prio)
+    return D.auth_context(lines, AUTH_RULES, priority=prio)
 
 
 @query("auth_context", sql=SQL_AUTH)

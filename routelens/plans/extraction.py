@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from routelens.functions.paths import path_score_key
 from routelens.operators import extract as E
-from routelens.operators.rules import rule_table
 from routelens.plans.catalog import query
 from routelens.plans.sqlbits import documents_files, pages_files
 from routelens.sources.tables import documents_as_files, explode_lines, pages_as_files, table
@@ -30,7 +29,7 @@ def page_files(spark, sf_dir):
 
 def sketches(spark, sf_dir):
     lines = explode_lines(page_files(spark, sf_dir))
-    return E.endpoint_sketch(lines, rule_table(spark, SKETCH_RULES, "rule_ord int, method string, regex string"))
+    return E.endpoint_sketch(lines, SKETCH_RULES)
 
 
 SQL_PAGE_LINES = f"""(SELECT repo_id, path, file_ord, unnest(string_split(content, chr(10))) AS line,

@@ -130,7 +130,7 @@ TYPEDEF_RULES = [
 
 
 def type_defs(spark, sf_dir):
-    return G.typedef_scan(source_lines(spark, sf_dir), rule_table(spark, TYPEDEF_RULES, "rule_ord int, regex string, kind string"))
+    return G.typedef_scan(source_lines(spark, sf_dir), TYPEDEF_RULES)
 
 
 SQL_DEFS = f"""(SELECT repo_id, CASE WHEN starts_with(line, 'interface') THEN regexp_extract(line, '^interface ([A-Za-z0-9_]+)', 1)
@@ -341,7 +341,7 @@ FROM (SELECT 'models/' || lower(replace(p_type, ' ', '_')) || '.js' AS path, p_p
 WHERE regexp_matches(line, '^const [A-Za-z0-9_]+ = [a-z]+\\.(?:model|define)\\(''')""")
 def q_model_registration_index(spark, sf_dir):
     """Models defined by registration calls, found by an extra rule of the type index."""
-    return G.typedef_scan(registration_lines(spark, sf_dir), rule_table(spark, MODEL_RULES, "rule_ord int, regex string, kind string"))
+    return G.typedef_scan(registration_lines(spark, sf_dir), MODEL_RULES)
 
 
 def brand_lines(spark, sf_dir):
@@ -384,8 +384,7 @@ SQL_SCAN = f"""(SELECT r.ref_id, r.name, arg_min(l.path, (CASE WHEN r.fragment I
 @query("resolve_by_scan", sql=f"SELECT 'tpch' AS repo_id, * FROM {SQL_SCAN}")
 def q_resolve_by_scan(spark, sf_dir):
     """Brand names resolved by one definition scan over source lines (import lines ignored)."""
-    rules = rule_table(spark, SCAN_RULES, "rule_ord int, regex string")
-    return G.resolve_by_scan(brand_refs(spark, sf_dir), brand_lines(spark, sf_dir), rules)
+    return G.resolve_by_scan(brand_refs(spark, sf_dir), brand_lines(spark, sf_dir), SCAN_RULES)
 
 
 @query("resolve_type", sql=f"""
@@ -393,7 +392,7 @@ SELECT 'index' AS how, count(*) AS n_refs, count(DISTINCT path) AS n_files FROM
 UNION ALL SELECT 'scan', count(*), count(DISTINCT path) FROM {SQL_SCAN}""")
 def q_resolve_type(spark, sf_dir):
     """Part names resolve through the index; brand names, which the index lacks, through the line scan."""
-    rules = rule_table(spark, SCAN_RULES, "rule_ord int, regex string")
+    rules = SCAN_RULES
     brands = brand_refs(spark, sf_dir).withColumn("ref_id", F.col("ref_id") + 10_000_000_000)
     r = G.resolve_type(refs(spark, sf_dir).unionByName(brands), type_defs(spark, sf_dir), brand_lines(spark, sf_dir), rules)
     return r.groupBy("how").agg(F.count(F.lit(1)).alias("n_refs"), F.count_distinct("path").alias("n_files"))
