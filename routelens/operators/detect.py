@@ -59,15 +59,37 @@ def _rule_match(content: Column, mode: Column, needle: Column) -> Column:
             .otherwise(F.lit(False)))
 
 
-def framework_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
+def _literal_match(content: Column, mode: str, needle: str) -> Column:
+    if mode == "contains":
+        return F.instr(content, F.lit(needle)) > 0
+    if mode == "word":
+        return F.lower(content).rlike(f"(^|{NOT_WORD}){needle}({NOT_WORD}|$)")
+    if mode == "regex":
+        return content.rlike(needle)
+    if mode == "key":
+        keys = F.coalesce(F.json_object_keys(F.get_json_object(content, "$.dependencies")), F.array().cast("array<string>"))
+        return F.array_contains(keys, F.lit(needle))
+    return F.lit(False)
+
+
+def framework_hits(files: DataFrame, rules) -> DataFrame:
     """All (repo, file, rule) hits of ``framework_rules``.
 
-    ``rules(eco_ord, rule_ord, file_regex, mode, needle, framework, language)``.
+    ``rules(eco_ord, rule_ord, file_regex, mode, needle, framework, language)``:
+    a literal list is compiled into one projection (an array of the matching
+    rules per file, exploded); a rule DataFrame is broadcast and theta-joined.
     """
-    r = F.broadcast(rules)
-    j = files.join(r, F.regexp_like(files["path"], r["file_regex"]))
-    return j.where(_rule_match(F.col("content"), F.col("mode"), F.col("needle"))).select(
-        "repo_id", "path", "file_ord", "lang", "eco_ord", "rule_ord", "framework", "language")
+    if isinstance(rules, DataFrame):
+        r = F.broadcast(rules)
+        j = files.join(r, F.regexp_like(files["path"], r["file_regex"]))
+        return j.where(_rule_match(F.col("content"), F.col("mode"), F.col("needle"))).select(
+            "repo_id", "path", "file_ord", "lang", "eco_ord", "rule_ord", "framework", "language")
+    hit = [F.when(F.col("path").rlike(fr) & _literal_match(F.col("content"), mode, needle),
+                  F.struct(F.lit(eco).alias("eco_ord"), F.lit(ro).alias("rule_ord"), F.lit(fw).alias("framework"),
+                           F.lit(lang).cast("string").alias("language")))
+           for eco, ro, fr, mode, needle, fw, lang in rules]
+    x = files.select("repo_id", "path", "file_ord", "lang", F.explode(F.filter(F.array(*hit), lambda h: h.isNotNull())).alias("h"))
+    return x.select("repo_id", "path", "file_ord", "lang", "h.eco_ord", "h.rule_ord", "h.framework", "h.language")
 
 
 def framework_detect(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -107,17 +129,25 @@ def language_override(manifest: DataFrame, files: DataFrame, marker_regex: str,
     return m.withColumn("language", F.when(F.col("__m"), F.lit(language)).otherwise(F.col("language"))).drop("__m")
 
 
-def route_file_detect(files: DataFrame, manifest: DataFrame, route_rules: DataFrame, anchored: bool = False) -> DataFrame:
+def route_file_detect(files: DataFrame, manifest: DataFrame, route_rules, anchored: bool = False) -> DataFrame:
     """D6 (+D7): files of a repository that match a (path regex, line regex) rule of its framework.
 
     ``route_rules(framework, rule_ord, path_regex, line_regex)``. A file counts
     once, with its first matching rule. The line regex is tested against the
     whole content in multi-line mode (existence), so lines are never exploded.
+    A literal rule list becomes one projection (smallest matching rule
+    ordinal); a rule DataFrame is broadcast and joined on the framework.
     """
     f = exclude_filter(files, anchored).join(manifest.select("repo_id", "framework"), "repo_id")
-    r = F.broadcast(route_rules.withColumnRenamed("framework", "__fw"))
-    j = f.join(r, (f["framework"] == r["__fw"]) & F.regexp_like(f["path"], r["path_regex"]))
-    j = j.where(F.regexp_like(F.col("content"), F.concat(F.lit("(?m)"), F.col("line_regex"))))
+    if isinstance(route_rules, DataFrame):
+        r = F.broadcast(route_rules.withColumnRenamed("framework", "__fw"))
+        j = f.join(r, (f["framework"] == r["__fw"]) & F.regexp_like(f["path"], r["path_regex"]))
+        j = j.where(F.regexp_like(F.col("content"), F.concat(F.lit("(?m)"), F.col("line_regex"))))
+        return j.groupBy("repo_id", "path").agg(F.min("file_ord").alias("file_ord"), F.min("rule_ord").alias("rule_ord"))
+    hits = [F.when((F.col("framework") == fw) & F.col("path").rlike(pr) & F.col("content").rlike("(?m)" + lr), F.lit(ro))
+            for fw, ro, pr, lr in route_rules]
+    j = f.select("repo_id", "path", "file_ord", F.array_min(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("rule_ord"))
+    j = j.where(F.col("rule_ord").isNotNull())
     return j.groupBy("repo_id", "path").agg(F.min("file_ord").alias("file_ord"), F.min("rule_ord").alias("rule_ord"))
 
 
@@ -210,9 +240,16 @@ def server_port(files: DataFrame, port_rules: DataFrame, manifest: DataFrame, de
     No default without a known language (Q21).
     """
     f = files.withColumn("tier", tier)
-    r = F.broadcast(port_rules)
-    j = f.join(r, F.regexp_like(f["content"], r["regex"]))
-    j = j.withColumn("port", F.expr("try_cast(regexp_extract(content, regex, 1) AS INT)")).where(F.col("port").isNotNull())
+    if isinstance(port_rules, DataFrame):
+        r = F.broadcast(port_rules)
+        j = f.join(r, F.regexp_like(f["content"], r["regex"]))
+        j = j.withColumn("port", F.expr("try_cast(regexp_extract(content, regex, 1) AS INT)"))
+    else:  # literal rules: one extraction per rule, first matching rule per file
+        cand = [F.when(F.col("content").rlike(rx), F.struct(F.lit(ro).alias("rule_ord"),
+                F.regexp_extract("content", rx, 1).try_cast("int").alias("port"))) for ro, rx in sorted(port_rules)]
+        j = f.select("repo_id", "file_ord", "tier", F.explode(F.filter(F.array(*cand), lambda c: c.isNotNull())).alias("c"))
+        j = j.select("repo_id", "file_ord", "tier", "c.rule_ord", "c.port")
+    j = j.where(F.col("port").isNotNull())
     best = j.groupBy("repo_id").agg(F.min_by("port", F.struct("tier", "file_ord", "rule_ord")).alias("found_port"))
     m = manifest.select("repo_id", "language").join(best, "repo_id", "left").join(F.broadcast(default_ports), "language", "left")
     port = F.coalesce("found_port", "port")
@@ -226,10 +263,18 @@ def base_path_select(files: DataFrame, base_rules: DataFrame, tier: Column) -> D
     """Among all rule matches prefer paths containing ``api``, then the shortest,
     then the earliest (tier, file, rule, position); a leading ``/`` is ensured."""
     f = files.withColumn("tier", tier)
-    r = F.broadcast(base_rules)
-    j = f.join(r, F.regexp_like(f["content"], r["regex"]))
-    j = j.select("repo_id", "tier", "file_ord", "rule_ord",
-                 F.posexplode(F.regexp_extract_all(F.col("content"), F.col("regex"), 1)).alias("pos", "bp"))
+    if isinstance(base_rules, DataFrame):
+        r = F.broadcast(base_rules)
+        j = f.join(r, F.regexp_like(f["content"], r["regex"]))
+        j = j.select("repo_id", "tier", "file_ord", "rule_ord",
+                     F.posexplode(F.regexp_extract_all(F.col("content"), F.col("regex"), 1)).alias("pos", "bp"))
+    else:  # literal rules: one extraction per rule
+        j = None
+        for ro, rx in base_rules:
+            part = f.where(F.col("content").rlike(rx)).select(
+                "repo_id", "tier", "file_ord", F.lit(ro).alias("rule_ord"),
+                F.posexplode(F.regexp_extract_all("content", F.lit(rx), 1)).alias("pos", "bp"))
+            j = part if j is None else j.unionByName(part)
     j = j.where(F.col("bp") != "").withColumn("bp", F.when(F.col("bp").startswith("/"), F.col("bp"))
                                                  .otherwise(F.concat(F.lit("/"), F.col("bp"))))
     key = F.struct((~F.lower("bp").contains("api")).alias("no_api"), F.length("bp").alias("len"),

@@ -69,7 +69,7 @@ def page_files(spark, sf_dir):
 
 
 def fw_rules(spark):
-    return rule_table(spark, FRAMEWORK_RULES, FRAMEWORK_SCHEMA)
+    return FRAMEWORK_RULES
 
 
 # ------------------------------------------------------------------ S1-S7
@@ -296,8 +296,7 @@ SQL_ROUTES = f"""(SELECT f.repo_id, f.path, min(f.file_ord) AS file_ord, min(r.r
 
 
 def doc_routes(spark, sf_dir):
-    return D.route_file_detect(doc_files(spark, sf_dir), doc_manifest(spark, sf_dir),
-                               rule_table(spark, ROUTE_RULES, "framework string, rule_ord int, path_regex string, line_regex string"))
+    return D.route_file_detect(doc_files(spark, sf_dir), doc_manifest(spark, sf_dir), ROUTE_RULES)
 
 
 @query("route_file_detect", sql=f"SELECT * FROM {SQL_ROUTES}")
@@ -411,7 +410,7 @@ FROM m LEFT JOIN b USING (repo_id) LEFT JOIN d USING (language)"""
 def doc_server(spark, sf_dir):
     f = doc_files(spark, sf_dir)
     m = f.groupBy("repo_id").agg(F.min_by("lang", "file_ord").alias("language"))
-    return D.server_port(f, rule_table(spark, PORT_RULES, "rule_ord int, regex string"), m,
+    return D.server_port(f, PORT_RULES, m,
                          rule_table(spark, DEFAULT_PORTS, "language string, port int"),
                          tier=F.when(F.col("lang") == "en", F.lit(0)).otherwise(F.lit(1)))
 
@@ -438,7 +437,7 @@ SELECT repo_id, arg_min(bp, (NOT contains(lower(bp), 'api'), length(bp), tier, f
 def q_base_path_select(spark, sf_dir):
     """Shortest link or tracker path per host (``api`` paths preferred)."""
     f = page_files(spark, sf_dir)
-    return D.base_path_select(f, rule_table(spark, BASE_RULES, "rule_ord int, regex string"),
+    return D.base_path_select(f, BASE_RULES,
                               tier=F.when(F.col("lang") == "en", F.lit(0)).otherwise(F.lit(1)))
 
 
@@ -572,7 +571,7 @@ WHERE CASE r.mode WHEN 'contains' THEN contains(f.content, r.needle)
 GROUP BY 1, 2, 3""")
 def q_framework_rule_modes(spark, sf_dir):
     """D1a-D1h: the four rule match modes - JSON dependency key, whole word, substring, regex."""
-    hits = D.framework_hits(manifest_corpus(spark, sf_dir), rule_table(spark, MODE_RULES, FRAMEWORK_SCHEMA))
+    hits = D.framework_hits(manifest_corpus(spark, sf_dir), MODE_RULES)
     rules = rule_table(spark, MODE_RULES, FRAMEWORK_SCHEMA).select("framework", "mode")
     return hits.join(F.broadcast(rules), "framework").groupBy("repo_id", "mode", "framework").agg(F.count(F.lit(1)).alias("n_hits"))
 
