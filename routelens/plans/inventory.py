@@ -14,7 +14,6 @@ from routelens.functions.paths import (
     path_syntax_convert, path_template,
 )
 from routelens.operators.assemble import op_keep_first, path_canonicalize
-from routelens.operators.rules import rule_table
 from routelens.plans.catalog import query
 from routelens.plans.sqlbits import HOST, PATH, numeric_params, template
 from routelens.sources.tables import pages_as_files, table
@@ -201,13 +200,22 @@ FIND_PATTERNS = [
 def find_endpoint(endpoints, patterns):
     """First endpoint (by ``file_ord``) per (repo, method, pattern) whose path matches.
 
-    The pattern side is a small rule table, broadcast: the regex theta join is a
-    broadcast nested loop over the endpoint scan, followed by a partial
-    aggregation for "first" - no window over a possibly hot repository.
+    A literal pattern list becomes one filter per pattern with a literal regex
+    (compiled once per task); a pattern DataFrame is broadcast and joined on the
+    method with the regex as a join condition. "First" is a partial
+    aggregation either way - no window over a possibly hot repository.
     """
-    j = endpoints.join(F.broadcast(patterns),
-                       (F.upper(endpoints["method"]) == F.upper(patterns["p_method"]))
-                       & F.regexp_like(endpoints["path"], patterns["pattern"]))
+    if isinstance(patterns, list):
+        parts = [endpoints.where((F.upper("method") == m.upper()) & F.col("path").rlike(p))
+                 .select("repo_id", "file_ord", "path", F.lit(m).alias("p_method"), F.lit(p).alias("pattern"))
+                 for m, p in patterns]
+        j = parts[0]
+        for x in parts[1:]:
+            j = j.unionByName(x)
+    else:
+        j = endpoints.join(F.broadcast(patterns),
+                           (F.upper(endpoints["method"]) == F.upper(patterns["p_method"]))
+                           & F.regexp_like(endpoints["path"], patterns["pattern"]))
     return (j.groupBy("repo_id", "p_method", "pattern")
             .agg(F.min_by(F.struct("file_ord", "path"), "file_ord").alias("m"))
             .select("repo_id", F.col("p_method").alias("method"), "pattern",
@@ -223,8 +231,7 @@ FROM {SQL_EP} e JOIN ({_PAT_SQL}) r ON upper(e.method) = upper(r.p_method) AND r
 GROUP BY 1, 2, 3""")
 def q_find_endpoint(spark, sf_dir):
     """First endpoint per (host, method, pattern) whose path matches the pattern."""
-    pats = rule_table(spark, FIND_PATTERNS, "p_method string, pattern string")
-    return find_endpoint(page_endpoints(spark, sf_dir), pats)
+    return find_endpoint(page_endpoints(spark, sf_dir), FIND_PATTERNS)
 
 
 @query("path_canonicalize", sql=f"""

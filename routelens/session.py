@@ -20,6 +20,9 @@ SCALE_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # rebalance oversized partitions produced by explode / hot repositories
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # joins of exploded tokens against small key sets (known schemas, terms, candidate
+    # postings) get a runtime Bloom filter that prunes the token side before the shuffle
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",

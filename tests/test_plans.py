@@ -33,7 +33,7 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(p_size), LessThanOrEqual(p_size,25)" in p
 
 
-@pytest.mark.parametrize("name", ["find_endpoint"])
+@pytest.mark.parametrize("name", ["framework_rule_modes", "completeness_severity"])
 def test_rule_tables_are_the_broadcast_side(spark, name):
     p = plan(Q[name](spark, SF_SMALL))
     # the small rule table is the build side; an equi part (find_endpoint's method) makes it a hash join
@@ -47,7 +47,7 @@ def test_no_all_pairs(spark, name):
 
 
 @pytest.mark.parametrize("name", ["auth_context", "endpoint_sketch", "type_def_index", "resolve_by_scan",
-                                  "framework_detect", "route_file_detect", "server_port", "base_path_select"])
+                                  "framework_detect", "route_file_detect", "server_port", "base_path_select", "find_endpoint"])
 def test_literal_rules_need_no_join(spark, name):
     # line-level rule scans compile their literal rules into the projection: no theta join at all
     p = plan(Q[name](spark, SF_SMALL))
