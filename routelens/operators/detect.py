@@ -1,11 +1,12 @@
-"""Repository profiling D1-D16: rule tables joined against the corpus.
-
-Rule tables are tiny literal DataFrames, so each detector is a broadcast join
-of rules against the ``files`` (or ``lines``) scan, followed by a ``min_by``
-aggregation that picks the first hit in rule/file order. No detector walks a
-repository more than once and none needs a window over a whole repository;
-the only ranked output (D10's eight-line hint) is a top-k that Spark prunes
-map-side (``WindowGroupLimit``).
+"""Repository profiling D1-D16: rule tables applied to the corpus.
+
+Rules are data: a literal rule list is compiled at plan time into literal-regex
+column expressions (one projection over the file or line scan, each pattern
+compiled once per task), and a rule DataFrame of any size can be used instead
+(broadcast theta join). First hits in rule/file order come from ``min_by``
+aggregations; no detector walks a repository more than once and none needs a
+window over a whole repository. The only ranked output (D10's eight-line hint)
+is a top-k that Spark prunes map-side (``WindowGroupLimit``).
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """Rule tables: detection and extraction rules are data, not code.
 
-Rules are small, fixed-size DataFrames built from literal rows; operators join
-them (broadcast - their size is bounded by the literal list) against file and
-line tables.
+Rules are small literal lists. Operators compile them into column expressions
+at plan time; ``rule_table`` turns such a list into a DataFrame for the
+operators' general form (broadcast theta join), whose size is bounded by the
+literal list.
 """
 
 from __future__ import annotations
