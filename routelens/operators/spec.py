@@ -130,23 +130,57 @@ def check_duplicate_paths(ops: DataFrame) -> DataFrame:
         F.lit(" (normalized to same pattern)")).alias("message"))
 
 
-def completeness(ops: DataFrame, schemas: DataFrame, n_route_files: DataFrame) -> DataFrame:
-    """V9: checklist per repository: has paths, all ops have responses, all ops declare
-    security, bodies where needed, schemas present/resolved, route coverage."""
+# The completeness checklist - check, label, severity when it fails.
+COMPLETENESS_CHECKS = (
+    ("has_endpoints", "Endpoints discovered", "critical"),
+    ("has_security_schemes", "Security schemes defined", "warning"),
+    ("endpoints_have_auth", "Endpoints have auth", "warning"),
+    ("has_error_responses", "Error responses (4xx)", "info"),
+    ("has_request_bodies", "Request bodies", "info"),
+    ("has_schemas", "Schemas extracted", "warning"),
+    ("no_unresolved_refs", "All $refs resolved", "warning"),
+    ("has_servers", "Server URLs", "info"),
+)
+
+
+def completeness(ops: DataFrame, schemas: DataFrame, refs: DataFrame, route_files: DataFrame) -> DataFrame:
+    """V9: the completeness checklist per repository.
+
+    ``ops(repo_id, security, codes ARRAY, source_file)`` (final response codes),
+    ``schemas(repo_id, name, unresolved)``, ``refs(repo_id, name)`` (body and
+    response refs), ``route_files(repo_id, n_route_files)``. Error responses are
+    required on every operation whose security is absent or non-empty; request
+    bodies and servers are always present (the editable server entry).
+    """
+    sec_set = F.size(F.coalesce("security", F.array().cast("array<string>"))) > 0
+    needs_err = F.col("security").isNull() | sec_set
+    has_err = F.exists("codes", lambda c: c.isin("401", "403"))
     o = ops.groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("n_ops"),
-        F.bool_and(F.size("responses") > 0).alias("all_responses"),
-        F.bool_and(F.col("security").isNotNull()).alias("all_security"),
-        F.bool_and(~F.col("method").isin("POST", "PUT", "PATCH") | F.col("has_body")).alias("bodies_ok"),
-        F.count_distinct("source_file").alias("n_files_with_ops"))
-    s = schemas.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_schemas"),
-                                       F.count_if(F.col("unresolved")).alias("n_unresolved"))
-    j = o.join(s, "repo_id", "left").join(n_route_files, "repo_id", "left").fillna(0, ["n_schemas", "n_unresolved"])
-    cov = F.when(F.coalesce("n_route_files", F.lit(0)) > 0,
-                 F.least(F.lit(1.0), F.col("n_files_with_ops") / F.col("n_route_files"))).otherwise(F.lit(1.0))
-    return j.select("repo_id", (F.col("n_ops") > 0).alias("has_paths"), "all_responses", "all_security", "bodies_ok",
-                    (F.col("n_schemas") > 0).alias("has_schemas"), (F.col("n_unresolved") == 0).alias("schemas_resolved"),
-                    F.lit(True).alias("has_request_bodies"), cov.alias("route_coverage"))
+        F.count(F.lit(1)).alias("n_ops"), F.bool_or(sec_set).alias("any_scheme"),
+        F.bool_and(F.col("security").isNotNull()).alias("all_auth"),
+        F.bool_and(~needs_err | has_err).alias("err_ok"), F.count_distinct("source_file").alias("n_files"))
+    s = schemas.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_schemas"), F.count_if(F.col("unresolved")).alias("n_unresolved"))
+    miss = (refs.select("repo_id", "name").distinct().join(schemas.select("repo_id", "name"), ["repo_id", "name"], "left_anti")
+            .groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_missing")))
+    j = (o.join(s, "repo_id", "left").join(miss, "repo_id", "left").join(route_files, "repo_id", "left")
+         .fillna(0, ["n_schemas", "n_unresolved", "n_missing"]))
+    total = F.when(F.coalesce("n_route_files", F.lit(0)) > 0, F.col("n_route_files")).otherwise(F.lit(1))
+    return j.select(
+        "repo_id", (F.col("n_ops") > 0).alias("has_endpoints"), F.col("any_scheme").alias("has_security_schemes"),
+        (F.col("all_auth") & (F.col("n_ops") > 0)).alias("endpoints_have_auth"), F.col("err_ok").alias("has_error_responses"),
+        F.lit(True).alias("has_request_bodies"), (F.col("n_schemas") > 0).alias("has_schemas"),
+        ((F.col("n_unresolved") == 0) & (F.col("n_missing") == 0)).alias("no_unresolved_refs"),
+        F.lit(True).alias("has_servers"), F.least(F.lit(1.0), F.col("n_files") / total).alias("route_coverage"))
+
+
+def completeness_severity(checklist: DataFrame) -> DataFrame:
+    """Failed checks with their label and severity (unpivot + fixed severity table)."""
+    names = [c for c, _, _ in COMPLETENESS_CHECKS]
+    u = checklist.unpivot("repo_id", names, "check", "passed").where(~F.col("passed"))
+    label = F.create_map(*[x for c, lab, _ in COMPLETENESS_CHECKS for x in (F.lit(c), F.lit(lab))])
+    sev = F.create_map(*[x for c, _, sv in COMPLETENESS_CHECKS for x in (F.lit(c), F.lit(sv))])
+    return u.select("repo_id", "check", F.element_at(label, F.col("check")).alias("label"),
+                    F.element_at(sev, F.col("check")).alias("severity"))
 
 
 def primitive_keys() -> list[str]:

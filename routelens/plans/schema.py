@@ -248,41 +248,57 @@ def q_scheme_to_openapi(spark, sf_dir):
                     s["in"].alias("in"), s["flow"].alias("oauth_flow"))
 
 
-@query("completeness", sql=f"""
-WITH k AS {SQL_KEPT},
-o AS (SELECT repo_id, count(*) AS n_ops, bool_and(security IS NOT NULL) AS all_security,
-             bool_and(NOT method IN ('POST', 'PUT', 'PATCH') OR has_body) AS bodies_ok, count(DISTINCT source_file) AS nf FROM k GROUP BY 1),
-rf AS (SELECT 'svc' || CAST(user_id % 5 AS VARCHAR) AS repo_id, count(DISTINCT event_type) + 1 AS n_route_files FROM events GROUP BY 1)
-SELECT o.repo_id, n_ops > 0 AS has_paths, true AS all_responses, all_security, bodies_ok, true AS has_schemas, true AS schemas_resolved,
-       true AS has_request_bodies, CASE WHEN n_route_files > 0 THEN least(1.0, nf / n_route_files) ELSE 1.0 END AS route_coverage
-FROM o LEFT JOIN rf USING (repo_id)""")
-def q_completeness(spark, sf_dir):
-    """V9: the per-repository checklist and route coverage (files with operations / route files)."""
-    k = kept_ops(spark, sf_dir)
-    sch = k.select("repo_id").distinct().withColumn("unresolved", F.lit(False))
+def completeness_inputs(spark, sf_dir):
+    k = kept_ops(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    resp = A.add_4xx(A.inject_auth_responses(A.op_responses(F.col("responses")), F.col("protected")), F.col("protected"))
+    ops = k.select("repo_id", "security", F.transform(resp, lambda r: r["code"]).alias("codes"), "source_file")
+    out = k.select("repo_id", F.concat(F.initcap("event_type"), F.lit("Out")).alias("name"))
+    body = k.where("has_body").select("repo_id", F.concat(F.initcap("event_type"), F.lit("Body")).alias("name"))
+    refs = out.unionByName(body).distinct()
+    known = _schemas(spark, sf_dir).select(F.lower("name").alias("lk")).distinct().withColumn("known", F.lit(True))
+    schemas = (refs.where(~F.lower("name").isin(*A.primitive_keys()))
+               .join(F.broadcast(known), F.lower(F.col("name")) == F.col("lk"), "left")
+               .select("repo_id", "name", F.col("known").isNull().alias("unresolved")))
     rf = (table(spark, sf_dir, "events").groupBy(F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string")).alias("repo_id"))
           .agg((F.count_distinct("event_type") + 1).alias("n_route_files")))
-    return A.completeness(k, sch, rf)
+    return ops, schemas, refs, rf
+
+
+SQL_COMPLETENESS = f"""
+WITH k AS (SELECT kk.*, e.event_type FROM {SQL_KEPT} kk JOIN events e USING (event_id)),
+refs AS (SELECT DISTINCT repo_id, upper(event_type[1]) || event_type[2:] || 'Out' AS name FROM k
+         UNION SELECT DISTINCT repo_id, upper(event_type[1]) || event_type[2:] || 'Body' FROM k WHERE has_body),
+sch AS (SELECT repo_id, name, lower(name) NOT IN ('viewout', 'clickout', 'purchaseout') AS unresolved FROM refs
+        WHERE lower(name) NOT IN {tuple(A.primitive_keys())}),
+o AS (SELECT repo_id, count(*) AS n_ops, bool_or(coalesce(len(security), 0) > 0) AS any_scheme, bool_and(security IS NOT NULL) AS all_auth,
+             bool_and(NOT (security IS NULL OR len(security) > 0) OR protected) AS err_ok, count(DISTINCT source_file) AS n_files FROM k GROUP BY 1),
+s AS (SELECT repo_id, count(*) AS n_schemas, count(*) FILTER (WHERE unresolved) AS n_unresolved FROM sch GROUP BY 1),
+rf AS (SELECT 'svc' || CAST(user_id % 5 AS VARCHAR) AS repo_id, count(DISTINCT event_type) + 1 AS n_route_files FROM events GROUP BY 1),
+c AS (SELECT o.repo_id, n_ops > 0 AS has_endpoints, any_scheme AS has_security_schemes, all_auth AND n_ops > 0 AS endpoints_have_auth,
+             err_ok AS has_error_responses, true AS has_request_bodies, coalesce(n_schemas, 0) > 0 AS has_schemas,
+             coalesce(n_unresolved, 0) = 0 AS no_unresolved_refs, true AS has_servers,
+             least(1.0, n_files / CASE WHEN coalesce(n_route_files, 0) > 0 THEN n_route_files ELSE 1 END) AS route_coverage
+      FROM o LEFT JOIN s USING (repo_id) LEFT JOIN rf USING (repo_id))"""
+
+
+@query("completeness", sql=SQL_COMPLETENESS + " SELECT * FROM c")
+def q_completeness(spark, sf_dir):
+    """V9: the completeness checklist (endpoints, schemes, auth, 4xx, bodies, schemas, refs, servers, coverage)."""
+    ops, schemas, refs, rf = completeness_inputs(spark, sf_dir)
+    return A.completeness(ops, schemas, refs, rf)
 
 
-# Severity of each failed completeness check.
-SEVERITY = [("has_paths", "critical"), ("all_responses", "critical"), ("all_security", "warning"),
-            ("bodies_ok", "warning"), ("has_schemas", "warning"), ("schemas_resolved", "info"), ("has_request_bodies", "info")]
+_SEV = " ".join(f"WHEN '{c}' THEN '{sv}'" for c, _, sv in A.COMPLETENESS_CHECKS)
+_LAB = " ".join(f"WHEN '{c}' THEN '{lab.replace(chr(39), chr(39) * 2)}'" for c, lab, _ in A.COMPLETENESS_CHECKS)
 
 
-@query("completeness_severity", sql=f"""
-WITH c AS (SELECT o.repo_id, count(*) > 0 AS has_paths, bool_and(security IS NOT NULL) AS all_security,
-                  bool_and(NOT method IN ('POST', 'PUT', 'PATCH') OR has_body) AS bodies_ok FROM {SQL_KEPT} o GROUP BY 1),
-u AS (UNPIVOT c ON has_paths, all_security, bodies_ok INTO NAME "check" VALUE passed)
-SELECT repo_id, "check", CASE "check" {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in SEVERITY)} END AS severity FROM u WHERE NOT passed""")
+@query("completeness_severity", sql=SQL_COMPLETENESS + f"""
+, u AS (UNPIVOT c ON {', '.join(c for c, _, _ in A.COMPLETENESS_CHECKS)} INTO NAME "check" VALUE passed)
+SELECT repo_id, "check", CASE "check" {_LAB} END AS label, CASE "check" {_SEV} END AS severity FROM u WHERE NOT passed""")
 def q_completeness_severity(spark, sf_dir):
-    """Failed checks with their severity label (unpivot + severity table)."""
-    k = kept_ops(spark, sf_dir)
-    c = k.groupBy("repo_id").agg((F.count(F.lit(1)) > 0).alias("has_paths"), F.bool_and(F.col("security").isNotNull()).alias("all_security"),
-                                 F.bool_and(~F.col("method").isin("POST", "PUT", "PATCH") | F.col("has_body")).alias("bodies_ok"))
-    u = c.unpivot("repo_id", ["has_paths", "all_security", "bodies_ok"], "check", "passed").where(~F.col("passed"))
-    sev = spark.createDataFrame(SEVERITY, "check string, severity string")
-    return u.join(F.broadcast(sev), "check", "left").select("repo_id", "check", "severity")
+    """Failed checklist items with their label and severity."""
+    ops, schemas, refs, rf = completeness_inputs(spark, sf_dir)
+    return A.completeness_severity(A.completeness(ops, schemas, refs, rf))
 
 
 # ------------------------------------------------------------- schema nodes
