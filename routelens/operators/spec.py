@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 from routelens.functions.hints import PRIMITIVE_TYPES
 from routelens.functions.paths import path_dedup_key, path_params
 
-# OpenAPI security scheme shapes by scheme type.
-SCHEME_TYPES = {
-    "bearer": ("http", "bearer", None),
-    "basic": ("http", "basic", None),
-    "apikey": ("apiKey", None, "X-API-Key"),
-    "oauth2": ("oauth2", None, None),
-    "openidconnect": ("openIdConnect", None, None),
-}
+# OpenAPI security scheme shapes (A6): bearer is http/bearer/JWT, apikey
+# defaults its name to X-API-Key, basic is http/basic, oauth2 keeps one of
+# authorizationCode / clientCredentials / implicit (else password), cookie is an
+# apiKey cookie named "session", anything else is http/bearer.
+OAUTH_FLOWS = ("authorizationCode", "clientCredentials", "implicit")
 
 
 def op_parameters(path: Column, declared: Column) -> Column:
@@ -73,20 +70,18 @@ def add_4xx(responses: Column, protected: Column) -> Column:
 
 
 def scheme_to_openapi(scheme_type: Column, flow: Column, apikey_name: Column, apikey_in: Column) -> Column:
-    """struct(type, scheme, name, in, flow) of an OpenAPI security scheme."""
-    t = F.lower(scheme_type)
-    typ, sch, key = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, (a, b, c) in SCHEME_TYPES.items():
-        typ = F.when(t == k, F.lit(a)).otherwise(typ)
-        if b:
-            sch = F.when(t == k, F.lit(b)).otherwise(sch)
-        if c:
-            key = F.when(t == k, F.coalesce(F.nullif(apikey_name, F.lit("")), F.lit(c))).otherwise(key)
-    typ = F.coalesce(typ, F.lit("http"))
-    sch = F.when(typ == "http", F.coalesce(sch, F.lit("bearer"))).otherwise(sch)
-    return F.struct(typ.alias("type"), sch.alias("scheme"), key.alias("name"),
-                    F.when(typ == "apiKey", F.coalesce(F.nullif(apikey_in, F.lit("")), F.lit("header"))).alias("in"),
-                    F.when(typ == "oauth2", F.coalesce(F.nullif(flow, F.lit("")), F.lit("password"))).alias("flow"))
+    """struct(type, scheme, bearer_format, in, name, flow) of an OpenAPI security scheme."""
+    t = scheme_type
+    null = F.lit(None).cast("string")
+    typ = (F.when(t.isin("apikey", "cookie"), F.lit("apiKey")).when(t == "oauth2", F.lit("oauth2")).otherwise(F.lit("http")))
+    sch = F.when(t == "basic", F.lit("basic")).when(t.isin("apikey", "cookie", "oauth2"), null).otherwise(F.lit("bearer"))
+    fmt = F.when(t == "bearer", F.lit("JWT")).otherwise(null)
+    where = F.when(t == "apikey", apikey_in).when(t == "cookie", F.lit("cookie")).otherwise(null)
+    name = (F.when(t == "apikey", F.coalesce(F.nullif(apikey_name, F.lit("")), F.lit("X-API-Key")))
+            .when(t == "cookie", F.lit("session")).otherwise(null))
+    fl = F.when(t == "oauth2", F.when(flow.isin(*OAUTH_FLOWS), flow).otherwise(F.lit("password"))).otherwise(null)
+    return F.struct(typ.alias("type"), sch.alias("scheme"), fmt.alias("bearer_format"), where.alias("in"),
+                    name.alias("name"), fl.alias("flow"))
 
 
 def scheme_aggregate(reqs: DataFrame) -> DataFrame:

@@ -228,24 +228,31 @@ def q_scheme_aggregate(spark, sf_dir):
 
 
 @query("scheme_to_openapi", sql="""
-WITH t AS (SELECT DISTINCT ['bearer', 'basic', 'apikey', 'oauth2', 'openidconnect', 'custom'][(user_id % 6) + 1] AS st,
-                  CASE WHEN user_id % 4 = 0 THEN '' ELSE 'implicit' END AS flow, CASE WHEN user_id % 5 = 0 THEN 'token' ELSE '' END AS kn FROM events)
-SELECT st, flow, kn, CASE st WHEN 'bearer' THEN 'http' WHEN 'basic' THEN 'http' WHEN 'apikey' THEN 'apiKey' WHEN 'oauth2' THEN 'oauth2'
-         WHEN 'openidconnect' THEN 'openIdConnect' ELSE 'http' END AS type,
-       CASE st WHEN 'basic' THEN 'basic' WHEN 'bearer' THEN 'bearer' WHEN 'apikey' THEN NULL WHEN 'oauth2' THEN NULL WHEN 'openidconnect' THEN NULL ELSE 'bearer' END AS scheme,
-       CASE WHEN st = 'apikey' THEN coalesce(nullif(kn, ''), 'X-API-Key') END AS name,
-       CASE WHEN st = 'apikey' THEN 'header' END AS "in",
-       CASE WHEN st = 'oauth2' THEN coalesce(nullif(flow, ''), 'password') END AS oauth_flow FROM t""")
+WITH t AS (SELECT DISTINCT ['bearer', 'basic', 'apikey', 'oauth2', 'cookie', 'custom'][(user_id % 6) + 1] AS st,
+                  ['', 'implicit', 'clientCredentials', 'authorizationCode'][(user_id % 4) + 1] AS flow,
+                  CASE WHEN user_id % 5 = 0 THEN 'token' ELSE '' END AS kn,
+                  CASE WHEN user_id % 3 = 0 THEN 'query' ELSE 'header' END AS kin FROM events)
+SELECT st, flow, kn, kin,
+       CASE WHEN st IN ('apikey', 'cookie') THEN 'apiKey' WHEN st = 'oauth2' THEN 'oauth2' ELSE 'http' END AS type,
+       CASE WHEN st = 'basic' THEN 'basic' WHEN st IN ('apikey', 'cookie', 'oauth2') THEN NULL ELSE 'bearer' END AS scheme,
+       CASE WHEN st = 'bearer' THEN 'JWT' END AS bearer_format,
+       CASE WHEN st = 'apikey' THEN kin WHEN st = 'cookie' THEN 'cookie' END AS "in",
+       CASE WHEN st = 'apikey' THEN coalesce(nullif(kn, ''), 'X-API-Key') WHEN st = 'cookie' THEN 'session' END AS name,
+       CASE WHEN st = 'oauth2' THEN CASE WHEN flow IN ('authorizationCode', 'clientCredentials', 'implicit') THEN flow
+            ELSE 'password' END END AS oauth_flow FROM t""")
 def q_scheme_to_openapi(spark, sf_dir):
-    """OpenAPI security scheme objects (http/apiKey/oauth2/openIdConnect; unknown -> bearer)."""
+    """OpenAPI security scheme objects (bearer/JWT, basic, apiKey, oauth2 flows, cookie; else bearer)."""
     e = table(spark, sf_dir, "events").select("user_id")
-    st = F.element_at(F.array(*[F.lit(x) for x in ("bearer", "basic", "apikey", "oauth2", "openidconnect", "custom")]),
+    st = F.element_at(F.array(*[F.lit(x) for x in ("bearer", "basic", "apikey", "oauth2", "cookie", "custom")]),
                       (F.col("user_id") % 6 + 1).cast("int"))
-    t = e.select(st.alias("st"), F.when(F.col("user_id") % 4 == 0, "").otherwise("implicit").alias("flow"),
-                 F.when(F.col("user_id") % 5 == 0, "token").otherwise("").alias("kn")).distinct()
-    s = A.scheme_to_openapi(F.col("st"), F.col("flow"), F.col("kn"), F.lit(""))
-    return t.select("st", "flow", "kn", s["type"].alias("type"), s["scheme"].alias("scheme"), s["name"].alias("name"),
-                    s["in"].alias("in"), s["flow"].alias("oauth_flow"))
+    fl = F.element_at(F.array(*[F.lit(x) for x in ("", "implicit", "clientCredentials", "authorizationCode")]),
+                      (F.col("user_id") % 4 + 1).cast("int"))
+    t = e.select(st.alias("st"), fl.alias("flow"), F.when(F.col("user_id") % 5 == 0, "token").otherwise("").alias("kn"),
+                 F.when(F.col("user_id") % 3 == 0, "query").otherwise("header").alias("kin")).distinct()
+    s = A.scheme_to_openapi(F.col("st"), F.col("flow"), F.col("kn"), F.col("kin"))
+    return t.select("st", "flow", "kn", "kin", s["type"].alias("type"), s["scheme"].alias("scheme"),
+                    s["bearer_format"].alias("bearer_format"), s["in"].alias("in"), s["name"].alias("name"),
+                    s["flow"].alias("oauth_flow"))
 
 
 def completeness_inputs(spark, sf_dir):
