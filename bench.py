@@ -29,14 +29,20 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session(f"local[{cpus}]", int(cpus) * 2)
     qs = catalog.queries()
-    times = {}
+    times, failed = {}, {}
     for n in names:
         t0 = time.time()
-        qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[n] = round(time.time() - t0, 3)
+        try:
+            qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[n] = round(time.time() - t0, 3)
+        except Exception as e:  # noqa: BLE001 - report the failure, keep timing the rest
+            failed[n] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+    out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
     spark.stop()
 
 
