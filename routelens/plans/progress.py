@@ -96,3 +96,9 @@ def q_job_state_stream(spark, sf_dir):
 def q_job_log_tail_stream(spark, sf_dir):
     """ST3: the log tail as a stateful stream (bounded per-job state in applyInPandasWithState)."""
     return P.run_log_tail_stream(spark, sf_dir)
+
+
+@query("job_state_stream_evicting")
+def q_job_state_stream_evicting(spark, sf_dir):
+    """ST1/ST2/ST6: the job fold with bounded state (applyInPandasWithState, event-time timeout eviction)."""
+    return P.run_job_state_stream_evicting(spark, sf_dir)

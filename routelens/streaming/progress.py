@@ -26,6 +26,7 @@ from routelens.session import checkpoint_dir
 # Fixed values of this binding: event kind -> job status and progress role.
 KIND_STATUS = {"signup": "pending", "view": "cloning", "click": "running", "purchase": "done", "error": "failed"}
 LOG_MAX, LOG_KEEP = 100, 80
+STATE_TTL_MS = 7 * 24 * 3600 * 1000  # idle jobs are evicted a week (event time) after their last event
 
 
 def status_of(kind: Column) -> Column:
@@ -117,6 +118,65 @@ def _upsert_snapshot(table_dir: str):
     return write
 
 
+JOB_STATE_SCHEMA = ("status string, status_seq long, last_error string, err_seq long, routes_total long, total_seq long, "
+                    "routes_done long, routes_failed long, endpoints long, schemas_resolved long, n_events long, last_seq long")
+JOB_OUT_SCHEMA = ("job_id long, status string, last_error string, routes_total long, routes_done long, routes_failed long, "
+                  "endpoints long, schemas_resolved long, n_events long, last_seq long")
+
+
+def _job_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """ST1/ST2/ST6 as incremental per-job state: last-by-seq fields keep their seq, so
+    late events with a lower seq never override; counters add up. The state is
+    evicted by an event-time timeout once the job has been idle for ``STATE_TTL_MS``."""
+    def row(st):
+        (status, _, last_error, _, total, _, done, failed, endpoints, resolved, n, last_seq) = st
+        return pd.DataFrame({"job_id": [key[0]], "status": [status], "last_error": [last_error], "routes_total": [total],
+                             "routes_done": [done], "routes_failed": [failed], "endpoints": [endpoints],
+                             "schemas_resolved": [resolved], "n_events": [n], "last_seq": [last_seq]})
+    if state.hasTimedOut:
+        st = state.get
+        state.remove()
+        yield row(st)
+        return
+    st = list(state.get) if state.exists else [None, -1, None, -1, None, -1, 0, 0, 0, 0, 0, -1]
+    last_ts = 0
+    for pdf in pdfs:
+        for seq, kind, file, count in zip(pdf["seq"], pdf["kind"], pdf["file"], pdf["count"]):
+            seq = int(seq)
+            if kind in KIND_STATUS and seq > st[1]:
+                st[0], st[1] = KIND_STATUS[kind], seq
+            if kind == "error" and seq > st[3]:
+                st[2], st[3] = file, seq
+            if kind == "signup" and seq > st[5]:
+                st[4], st[5] = (None if pd.isna(count) else int(count)), seq
+            st[6] += kind == "click"
+            st[7] += kind == "error"
+            st[8] += int(count) if kind == "purchase" and not pd.isna(count) else 0
+            st[9] += kind == "purchase"
+            st[10] += 1
+            st[11] = max(st[11], seq)
+        if len(pdf):
+            last_ts = max(last_ts, int(pd.Timestamp(pdf["ts"].max()).value // 1_000_000))
+    state.update(tuple(st))
+    state.setTimeoutTimestamp(max(last_ts + STATE_TTL_MS, state.getCurrentWatermarkMs() + 1))
+    yield row(st)
+
+
+def run_job_state_stream_evicting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1/ST2/ST6 with bounded state: ``applyInPandasWithState`` with an event-time
+    timeout (idle jobs are evicted), written to a snapshot table like the native fold."""
+    base = os.path.join(checkpoint_dir(spark), "jobfold-" + uuid.uuid4().hex[:8])
+    out = (progress_stream(spark, sf_dir).groupBy("job_id").applyInPandasWithState(
+        _job_fold, JOB_OUT_SCHEMA, JOB_STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout))
+    q = (out.writeStream.outputMode("update").foreachBatch(_upsert_snapshot(base + "/snapshot"))
+         .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    snap = spark.read.parquet(base + "/snapshot")
+    cols = [c for c in snap.columns if c not in ("job_id", "epoch")]
+    latest = snap.groupBy("job_id").agg(F.max_by(F.struct(*cols), "epoch").alias("s"))
+    return latest.select("job_id", "s.*")
+
+
 def run_job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the ST1/ST2/ST6 fold as a stream (``availableNow``) and return the snapshot.
 
@@ -136,9 +196,6 @@ def run_job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("job_id", "s.*")
 
 
-STATE_TTL_MS = 7 * 24 * 3600 * 1000  # idle jobs are evicted a week (event time) after their last event
-
-
 def _tail_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per-job bounded log state: append in ``seq`` order, trim to 80 past 100.
 

@@ -105,6 +105,8 @@ def test_stream_equals_batch_twin(spark):
     batch = P.job_state(P.as_progress(spark.read.parquet(f"{SF_SMALL}/events.parquet")))
     cols = sorted(batch.columns)
     assert sorted(map(tuple, stream.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+    evict = P.run_job_state_stream_evicting(spark, SF_SMALL)
+    assert sorted(map(tuple, evict.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
     tail_s = P.run_log_tail_stream(spark, SF_SMALL)
     tail_b = P.log_tail(P.as_progress(spark.read.parquet(f"{SF_SMALL}/events.parquet")))
     c2 = ["job_id", "n_log", "tail_len", "first_kept_seq"]
