@@ -69,6 +69,19 @@ def add_4xx(responses: Column, protected: Column) -> Column:
     return F.when(no4, inject_auth_responses(with422, protected)).otherwise(responses)
 
 
+def with_final_responses(ops: DataFrame, responses: str = "responses", protected: str = "protected",
+                         out: str = "final_responses") -> DataFrame:
+    """A3 -> A9 -> F16 staged over three projections.
+
+    Each step reads the previous step's column, so the optimizer keeps them as
+    separate projections instead of inlining a response array expression into
+    every place the next step references it.
+    """
+    return (ops.withColumn("__r1", op_responses(F.col(responses)))
+            .withColumn("__r2", inject_auth_responses(F.col("__r1"), F.col(protected)))
+            .withColumn(out, add_4xx(F.col("__r2"), F.col(protected))).drop("__r1", "__r2"))
+
+
 def scheme_to_openapi(scheme_type: Column, flow: Column, apikey_name: Column, apikey_in: Column) -> Column:
     """struct(type, scheme, bearer_format, in, name, flow) of an OpenAPI security scheme."""
     t = scheme_type

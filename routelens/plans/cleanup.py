@@ -368,11 +368,10 @@ def q_build_servers(spark, sf_dir):
 
 def assembled(spark, sf_dir):
     """A1/A3/A7/A8/A9 then F13/F16, one row per operation of the description."""
-    k = A.operation_id_dedup(kept_ops(spark, sf_dir))
-    resp = A.add_4xx(A.inject_auth_responses(A.op_responses(F.col("responses")), F.col("protected")), F.col("protected"))
+    k = A.with_final_responses(A.operation_id_dedup(kept_ops(spark, sf_dir)))
     params = A.op_parameters(F.col("path"), F.col("declared"))
     return k.select("repo_id", "path", "method", "operation_id",
-                    F.array_join(F.transform(resp, lambda r: r["code"]), ",").alias("codes"),
+                    F.array_join(F.transform("final_responses", lambda r: r["code"]), ",").alias("codes"),
                     F.size(params).alias("n_params"), "has_body")
 
 

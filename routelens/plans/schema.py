@@ -99,8 +99,8 @@ x AS (SELECT event_id, i, code, d FROM r UNION ALL
 SELECT event_id, string_agg(code || '=' || d, ',' ORDER BY i) AS codes FROM x GROUP BY event_id""")
 def q_inject_auth_responses(spark, sf_dir):
     """Protected operations get 401 and 403."""
-    o = event_ops(spark, sf_dir)
-    return o.select("event_id", _codes(A.inject_auth_responses(A.op_responses(F.col("responses")), F.col("protected"))).alias("codes"))
+    o = event_ops(spark, sf_dir).withColumn("__r1", A.op_responses(F.col("responses")))
+    return o.select("event_id", _codes(A.inject_auth_responses(F.col("__r1"), F.col("protected"))).alias("codes"))
 
 
 @query("add_4xx", sql=f"""
@@ -113,8 +113,8 @@ x AS (SELECT event_id, i, code, d FROM r UNION ALL
 SELECT event_id, string_agg(code || '=' || d, ',' ORDER BY i) AS codes FROM x GROUP BY event_id""")
 def q_add_4xx(spark, sf_dir):
     """F16: operations without any 4xx get 422 (and 401/403 when protected)."""
-    o = event_ops(spark, sf_dir)
-    return o.select("event_id", _codes(A.add_4xx(A.op_responses(F.col("responses")), F.col("protected"))).alias("codes"))
+    o = event_ops(spark, sf_dir).withColumn("__r1", A.op_responses(F.col("responses")))
+    return o.select("event_id", _codes(A.add_4xx(F.col("__r1"), F.col("protected"))).alias("codes"))
 
 
 def kept_ops(spark, sf_dir):
@@ -256,9 +256,10 @@ def q_scheme_to_openapi(spark, sf_dir):
 
 
 def completeness_inputs(spark, sf_dir):
-    k = kept_ops(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
-    resp = A.add_4xx(A.inject_auth_responses(A.op_responses(F.col("responses")), F.col("protected")), F.col("protected"))
-    ops = k.select("repo_id", "security", F.transform(resp, lambda r: r["code"]).alias("codes"), "source_file")
+    # the event type is the first path segment of the kept operation (no join back to events)
+    k = kept_ops(spark, sf_dir).withColumn("event_type", F.regexp_extract("path", "^/([a-z]+)s/", 1))
+    k = A.with_final_responses(k)
+    ops = k.select("repo_id", "security", F.transform("final_responses", lambda r: r["code"]).alias("codes"), "source_file")
     out = k.select("repo_id", F.concat(F.initcap("event_type"), F.lit("Out")).alias("name"))
     body = k.where("has_body").select("repo_id", F.concat(F.initcap("event_type"), F.lit("Body")).alias("name"))
     refs = out.unionByName(body).distinct()
