@@ -369,8 +369,10 @@ def q_verb_sweep(spark, sf_dir):
 
 
 SQL_AUTH_RULES = f"(SELECT * FROM ({_vals(AUTH_RULES)}) t(rule_ord, line_regex, mode))"
-SQL_AUTH = f"""
-WITH l AS (SELECT * FROM {SQL_DOC_LINES} WHERE NOT regexp_matches(path, {_sq(D.exclude_regex())})),
+SQL_AUTH_HEAD = f"""
+WITH l AS (SELECT * FROM {SQL_DOC_LINES} x WHERE NOT regexp_matches(path, {_sq(D.exclude_regex())})
+           AND NOT EXISTS (SELECT 1 FROM {{routes}} r WHERE r.repo_id = x.repo_id AND r.path = x.path)),"""
+SQL_AUTH_TAIL = f"""
 j AS (SELECT l.repo_id, l.path, l.line_no, arg_min(r.mode, r.rule_ord) AS mode, arg_min(l.line, r.rule_ord) AS line
       FROM l JOIN {SQL_AUTH_RULES} r ON regexp_matches(l.line, r.line_regex) GROUP BY 1, 2, 3),
 t AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY CASE WHEN starts_with(path, 'de/') THEN 0 ELSE 1 END,
@@ -379,17 +381,19 @@ SELECT repo_id, CASE max(CASE mode WHEN 'all' THEN 2 WHEN 'per-endpoint' THEN 1
               WHEN 1 THEN 'per-endpoint' ELSE '' END AS auth_mode,
        string_agg(path || ': ' || trim(line), chr(10) ORDER BY rk) AS auth_hint, count(*) AS n_hits
 FROM t WHERE rk <= 8 GROUP BY 1"""
+# route files are not auth candidates (they are described separately)
+SQL_AUTH = SQL_AUTH_HEAD.replace("{routes}", SQL_ROUTES) + SQL_AUTH_TAIL
 
 
 def doc_auth(spark, sf_dir):
     lines = explode_lines(doc_files(spark, sf_dir))
     prio = F.when(F.col("path").startswith("de/"), F.lit(0)).otherwise(F.lit(1))
-    return D.auth_context(lines, AUTH_RULES, priority=prio)
+    return D.auth_context(lines, AUTH_RULES, exclude=doc_routes(spark, sf_dir), priority=prio)
 
 
 @query("auth_context", sql=SQL_AUTH)
 def q_auth_context(spark, sf_dir):
-    """Auth mode and the first eight evidence lines per source (German files searched first)."""
+    """Auth mode and the first eight evidence lines per source (German files first, route files skipped)."""
     return doc_auth(spark, sf_dir)
 
 
