@@ -324,3 +324,30 @@ def manifest_includes(files: DataFrame) -> DataFrame:
     out = files.join(added, ["repo_id", "path"], "left")
     return out.select("repo_id", "path", F.coalesce("n_includes", F.lit(0)).alias("n_includes"),
                       F.when(F.col("added").isNotNull(), F.concat_ws("\n", "content", "added")).otherwise(F.col("content")).alias("content"))
+
+
+# Frameworks that are always TypeScript (D3).
+ALWAYS_TYPESCRIPT = ("nestjs",)
+
+
+def language_from_build(manifest: DataFrame, files: DataFrame, hit_file: DataFrame | None = None) -> DataFrame:
+    """D3 with the original's concrete rules, as semi joins on the file table.
+
+    JavaScript becomes TypeScript when the framework is always TypeScript or
+    the repository has a root ``tsconfig.json``; Java becomes Kotlin when the
+    framework was found in ``build.gradle.kts`` (``hit_file(repo_id, path)``) or
+    the repository has any ``.kt`` file.
+    """
+    ts = files.where(F.col("path") == "tsconfig.json").select("repo_id").distinct().withColumn("__ts", F.lit(True))
+    kt = files.where(F.col("path").endswith(".kt")).select("repo_id").distinct().withColumn("__kt", F.lit(True))
+    m = manifest.join(ts, "repo_id", "left").join(kt, "repo_id", "left")
+    if hit_file is not None:
+        kts = hit_file.where(F.col("path").endswith("build.gradle.kts")).select("repo_id").distinct().withColumn("__kts", F.lit(True))
+        m = m.join(kts, "repo_id", "left")
+    else:
+        m = m.withColumn("__kts", F.lit(None).cast("boolean"))
+    lang = (F.when((F.col("language") == "javascript") & (F.col("framework").isin(*ALWAYS_TYPESCRIPT) | F.col("__ts").isNotNull()),
+                   F.lit("typescript"))
+            .when((F.col("language") == "java") & (F.col("__kts").isNotNull() | F.col("__kt").isNotNull()), F.lit("kotlin"))
+            .otherwise(F.col("language")))
+    return m.withColumn("language", lang).drop("__ts", "__kt", "__kts")

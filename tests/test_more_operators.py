@@ -124,3 +124,14 @@ def test_scan_directory_prunes_and_orders(spark, tmp_path):
     files = S.scan_directory(spark, str(tmp_path)).collect()
     got = sorted((r.repo_id, r.path, r.lang) for r in files)
     assert got == [("repoA", "src/app.py", "py"), ("repoB", "main.go", "go")]
+
+
+def test_language_from_build(spark):
+    manifest = spark.createDataFrame([("a", "express", "javascript"), ("b", "nestjs", "javascript"), ("c", "express", "javascript"),
+                                      ("d", "spring", "java"), ("e", "spring", "java"), ("f", "spring", "java")],
+                                     "repo_id string, framework string, language string")
+    files = spark.createDataFrame([("a", "tsconfig.json"), ("a", "src/app.ts"), ("c", "src/app.js"), ("d", "src/Main.kt"),
+                                   ("e", "build.gradle.kts"), ("f", "src/Main.java")], "repo_id string, path string")
+    hits = spark.createDataFrame([("e", "build.gradle.kts"), ("f", "pom.xml")], "repo_id string, path string")
+    got = {r.repo_id: r.language for r in D.language_from_build(manifest, files, hits).collect()}
+    assert got == {"a": "typescript", "b": "typescript", "c": "javascript", "d": "kotlin", "e": "kotlin", "f": "java"}
