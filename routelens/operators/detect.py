@@ -48,15 +48,27 @@ def exclude_filter(files: DataFrame, anchored: bool = False) -> DataFrame:
     return files.where(~F.col("path").rlike(exclude_regex(anchored)))
 
 
+# Manifest sections whose keys name dependencies (package.json, composer.json).
+DEPENDENCY_SECTIONS = ("dependencies", "devDependencies", "require")
+
+
+def manifest_keys(content: Column) -> Column:
+    """Union of the keys of the dependency sections of a JSON manifest."""
+    empty = F.array().cast("array<string>")
+    parts = [F.coalesce(F.json_object_keys(F.get_json_object(content, f"$.{sec}")), empty) for sec in DEPENDENCY_SECTIONS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = F.array_union(out, p)
+    return out
+
+
 def _rule_match(content: Column, mode: Column, needle: Column) -> Column:
     """Match predicate by rule mode: substring, whole word (case-insensitive), regex, JSON key."""
     word = F.concat(F.lit(f"(^|{NOT_WORD})"), needle, F.lit(f"({NOT_WORD}|$)"))
     return (F.when(mode == "contains", F.instr(content, needle) > 0)
             .when(mode == "word", F.regexp_like(F.lower(content), word))
             .when(mode == "regex", F.regexp_like(content, needle))
-            .when(mode == "key", F.array_contains(
-                F.coalesce(F.json_object_keys(F.get_json_object(content, "$.dependencies")),
-                           F.array().cast("array<string>")), needle))
+            .when(mode == "key", F.array_contains(manifest_keys(content), needle))
             .otherwise(F.lit(False)))
 
 
@@ -68,8 +80,7 @@ def _literal_match(content: Column, mode: str, needle: str) -> Column:
     if mode == "regex":
         return content.rlike(needle)
     if mode == "key":
-        keys = F.coalesce(F.json_object_keys(F.get_json_object(content, "$.dependencies")), F.array().cast("array<string>"))
-        return F.array_contains(keys, F.lit(needle))
+        return F.array_contains(manifest_keys(content), F.lit(needle))
     return F.lit(False)
 
 

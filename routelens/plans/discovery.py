@@ -571,7 +571,9 @@ SELECT f.repo_id, r.mode, r.framework, count(*) AS n_hits FROM f JOIN r ON regex
 WHERE CASE r.mode WHEN 'contains' THEN contains(f.content, r.needle)
                WHEN 'word' THEN regexp_matches(lower(f.content), '(^|[^A-Za-z0-9_])' || r.needle || '([^A-Za-z0-9_]|$)')
                WHEN 'regex' THEN regexp_matches(f.content, r.needle)
-               WHEN 'key' THEN list_contains(coalesce(json_keys(json_extract(f.content, '$.dependencies')), []), r.needle) END
+               WHEN 'key' THEN list_contains(list_concat(coalesce(json_keys(json_extract(f.content, '$.dependencies')), []),
+                                   coalesce(json_keys(json_extract(f.content, '$.devDependencies')), []),
+                                   coalesce(json_keys(json_extract(f.content, '$.require')), [])), r.needle) END
 GROUP BY 1, 2, 3""")
 def q_framework_rule_modes(spark, sf_dir):
     """D1a-D1h: the four rule match modes - JSON dependency key, whole word, substring, regex."""

@@ -135,3 +135,14 @@ def test_language_from_build(spark):
     hits = spark.createDataFrame([("e", "build.gradle.kts"), ("f", "pom.xml")], "repo_id string, path string")
     got = {r.repo_id: r.language for r in D.language_from_build(manifest, files, hits).collect()}
     assert got == {"a": "typescript", "b": "typescript", "c": "javascript", "d": "kotlin", "e": "kotlin", "f": "java"}
+
+
+def test_dependency_keys_mode(spark):
+    files = spark.createDataFrame([("r", "package.json", 0, "json", '{"devDependencies": {"express": "4"}}'),
+                                   ("s", "composer.json", 0, "json", '{"require": {"laravel/framework": "9"}}'),
+                                   ("t", "package.json", 0, "json", '{"dependencies": {"koa": "2"}}')],
+                                  "repo_id string, path string, file_ord int, lang string, content string")
+    rules = [(0, 0, r"package\.json$", "key", "express", "express", "javascript"),
+             (1, 0, r"composer\.json$", "key", "laravel/framework", "laravel", "php")]
+    got = {(r.repo_id, r.framework) for r in D.framework_hits(files, rules).collect()}
+    assert got == {("r", "express"), ("s", "laravel")}
