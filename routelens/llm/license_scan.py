@@ -178,7 +178,10 @@ def judge(text: str) -> tuple:
     for _, p in base:
         weights[BASE_PHRASES[p]] = max(weights.get(BASE_PHRASES[p], 0.0), BASE_WEIGHT)
     base_labels = ",".join(sorted(weights))
-    for _, p in notices:
+    longest: dict[int, str] = {}
+    for i, p in notices:  # of notices that start together the longest counts
+        longest[i] = max(longest.get(i, p), p, key=len)
+    for p in longest.values():
         label, w = NOTICES[p]
         weights[label] = max(weights.get(label, 0.0), w)
     parsed = []
