@@ -261,3 +261,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
                                                    F.lit(None).cast("long").alias("component_id"))
     return placed_docs.unionByName(unnamed).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id is not the smallest of its component, all columns as they are."""
+    gone = (near_duplicates(docs, width, percent, id_col, text_col).where("not kept")
+            .select(F.col("doc_id").alias("_gone")))
+    gone = stage(gone, "minhash-gone")
+    own = docs.drop("_gone") if "_gone" in docs.columns else docs
+    return own.join(gone, own[id_col].cast("long") == gone["_gone"], "left_anti")
