@@ -1,8 +1,8 @@
 """Byte-level BPE ids through the ``tokenizers`` library.
 
 Merges never cross white space boundaries of the vocabulary's own split pattern, so a text is
-cut into segments (a run of other characters with the one space before it, or a run of white
-space) and each distinct segment is encoded once per worker.  The memo holds two generations of
+cut into segments (a word or a run of other characters with the one space before it, or a run of
+white space) and each distinct segment is encoded once per worker.  The memo holds two generations of
 bounded size and changes no result.  Texts with characters whose white-space class differs
 between regular-expression engines are encoded whole.
 """
@@ -16,9 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-SEGMENT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# a word and the stop after it apart, else a run of other characters, else white space: every cut is
+# one that the vocabulary's pattern makes too
+SEGMENT = re.compile(r" ?[^\W\d_]+(?=[.,\s])|[.,](?=\s)| ?\S+|\s+(?!\S)|\s+")
 AMBIGUOUS = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
-MEMO_SEGMENTS = 300_000
+MEMO_SEGMENTS = 600_000
 LONG_SEGMENT = 64
 
 
