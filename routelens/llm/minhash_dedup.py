@@ -10,9 +10,12 @@ whose chunks all happen to hold two errors).  Candidates are confirmed on the fu
 Copies: documents with equal sets are one class, and only its smallest id goes on.  Within a bucket
 of a key no pairs are formed at first: every member is checked against the bucket's smallest id
 (one candidate per document, the one most of its keys agree on).  The components of the confirmed
-links then leave few buckets with members of different components; only pairs across components are
-formed there, in blocks of bounded size, and those whose signatures are close enough to matter are
-confirmed too.  Pairs inside a component cannot change the result, so none is lost.
+links then leave few buckets with members of different components.  There signatures are compared
+in blocks of bounded size; documents with close signatures form families (a block returns a forest,
+not its pairs).  A family's texts are brought together, in blocks of bounded size again, and every
+pair of different components whose signatures are close is confirmed on the full sets; a block
+returns a forest of the components it joined.  Pairs inside a component cannot change the result,
+so none is lost and no pair is written.
 
 Defined cases: null text is empty and, like a text without words, linked with nothing
 (n_shingles 0); a text with fewer words than a shingle is one shingle of all its words; a null id
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, constants, ids_of, keyed_texts, mix, signed, span_hashes, stage, text_slices, word_spans
@@ -35,7 +38,8 @@ from .components import connected_components
 CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
 FAR = 34     # differing symbols beyond which similarity 0.75 has a probability under 1e-7
-BLOCK = 1024
+BLOCK_ROWS = 1024             # documents of a bucket compared by signature at once, twice over
+BLOCK_SHINGLES = 1 << 20     # shingles of a family compared in full at once, twice over
 
 _A, _B = constants(SYMBOLS, 11), constants(SYMBOLS, 12)
 _KEY = constants(SYMBOLS, 13)
@@ -159,53 +163,124 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(run, "u long, v long")
 
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """(u, v) close enough to matter, of different components, from rows (key, i, j, side, doc, n, comp, sig).
+def _merge(label: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Give everything linked with ``x`` one label; one of ``others`` for each label that was new."""
+    roots, at = np.unique(label[others], return_index=True)
+    fresh = roots != label[x]
+    label[np.isin(label, roots[fresh])] = label[x]
+    return others[at[fresh]]
 
-    Rows of one (key, i, j) lie together, in this order; a group holds two blocks at most.
+
+def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Whole groups of equal ``columns`` from rows that lie in their order."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        new = np.zeros(held.num_rows, bool)
+        for c in columns:
+            x = held.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        cut = [0, *np.flatnonzero(new).tolist()]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            yield held.slice(lo, hi - lo).combine_chunks()
+        held = held.slice(cut[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _close(sig: np.ndarray, n: np.ndarray, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``others`` whose sizes allow the similarity and whose signatures are close enough to matter."""
+    low, high = np.minimum(n[others], n[x]), np.maximum(n[others], n[x])
+    others = others[100 * low >= percent * high]
+    return others[(sig[others] != sig[x]).sum(1) <= FAR] if len(others) else others
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    e = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
+
+
+def _families(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect documents with close signatures of different components, a forest per block pair.
+
+    From rows (key, i, j, block, doc, n, comp, sig) sorted by (key, i, j): no longer than its input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, i, j, block, doc, n, comp = (t.column(c).to_numpy() for c in ("key", "i", "j", "block", "doc", "n", "comp"))
+        found: list[tuple[int, int]] = []
+        for t in _grouped(batches, ("key", "i", "j")):
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            block, doc, n, comp = (t.column(c).to_numpy() for c in ("block", "doc", "n", "comp"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            us, vs = [], []
-            for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))):
-                left = np.arange(a, b)[block[a:b] == i[a]]
-                right = np.arange(a, b)[block[a:b] == j[a]]
-                for x in left:
-                    other = right[right > x] if i[a] == j[a] else right
-                    other = other[(comp[other] != comp[x])
-                                  & (100 * np.minimum(n[other], n[x]) >= 60 * np.maximum(n[other], n[x]))]
-                    if len(other):
-                        other = other[(sig[other] != sig[x]).sum(1) <= FAR]
-                        us.append(np.full(len(other), doc[x]))
-                        vs.append(doc[other])
-            if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                found = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+            label = np.arange(len(doc))
+            right = np.flatnonzero(block == j)
+            for x in np.flatnonzero(block == i):
+                others = right[right > x] if i == j else right
+                others = _close(sig, n, x, others[(comp[others] != comp[x]) & (label[others] != label[x])], percent)
+                if len(others):
+                    found += [(int(doc[x]), int(doc[y])) for y in _merge(label, x, others)]
+            if len(found) >= 1 << 14:
+                yield _edges(found)
+                found = []
+        if found:
+            yield _edges(found)
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def _confirm_families(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v) components that a confirmed pair links, a forest per block pair.
+
+    From rows (family, i, j, block, doc, n, comp, sig, text) sorted by (family, i, j).  Pairs of
+    components that the task has joined already are not compared again.
+    """
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            last = tuple(held.column(c)[-1].as_py() for c in ("key", "i", "j"))
-            same = np.ones(held.num_rows, bool)
-            for c, x in zip(("key", "i", "j"), last):
-                same &= held.column(c).to_numpy() == x
-            whole = int(np.argmax(same))
-            if whole:
-                yield from pairs(held.slice(0, whole).combine_chunks())
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield from pairs(held.combine_chunks())
-
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, ("family", "i", "j")):
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            block, n, comp = (t.column(c).to_numpy() for c in ("block", "n", "comp"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            sets: list[np.ndarray] = []
+            for batch in t.select(["text"]).to_batches():
+                for _, _, data, offsets in text_slices(batch, "text"):
+                    sets += shingle_sets(data, offsets, width)
+            sizes = np.array([len(s) for s in sets])
+            label = np.unique(comp, return_inverse=True)[1]
+            right = np.flatnonzero(block == j)
+            found: list[tuple[int, int]] = []
+            for x in np.flatnonzero(block == i):
+                others = right[right > x] if i == j else right
+                others = _close(sig, n, x, others[label[others] != label[x]], percent)
+                own = sets[x]
+                for lo in range(0, len(others), 256):
+                    part = others[lo:lo + 256]
+                    part = part[label[part] != label[x]]
+                    if not len(part):
+                        continue
+                    flat = np.concatenate([sets[y] for y in part])
+                    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                    both = np.add.reduceat(hit, np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
+                    linked = part[100 * both >= percent * (len(own) + sizes[part] - both)]
+                    if len(linked):
+                        found += [(int(comp[x]), int(comp[y])) for y in _merge(label, x, linked)]
+            if found:
+                yield _edges(found)
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def _block_of(blocks: Column) -> Column:
+    """The block of a row's document, which its id decides."""
+    return F.pmod(F.xxhash64("doc"), blocks).cast("int")
+
+
+def _facing(blocks: Column, mine: Column) -> Column:
+    """Explode to the (i, j) pairs of blocks that a row of block ``mine`` takes part in."""
+    return F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(
+        F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j"))))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id",
@@ -235,21 +310,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     placed = members.join(near.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
         "comp", F.coalesce("component", "doc")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    blocks = F.ceil(F.col("rows") / F.lit(float(BLOCK))).cast("int")
-    mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    facing = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(
-        F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j"))))
+    blocks = F.ceil(F.col("rows") / F.lit(float(BLOCK_ROWS))).cast("int")
     rows = (placed.join(mixed, "key", "left_semi")
             .join(reps.select(F.col("doc_id").alias("doc"), "sig"), "doc")
-            .select("key", facing.alias("f"), mine.alias("block"), "doc", "n", "comp", "sig")
+            .select("key", _facing(blocks, _block_of(blocks)).alias("f"), _block_of(blocks).alias("block"), "doc", "n", "comp", "sig")
             .select("key", "f.i", "f.j", "block", "doc", "n", "comp", "sig"))
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
-    crossing = stage(_cross_pairs(rows), "minhash-crossing")
-    more = stage(_confirm(crossing, texts, width, percent), "minhash-more")
-    of = near.select(F.col("node"), F.col("component"))
-    merged = (more.join(of.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
-              .join(of.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-              .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    families = stage(connected_components(_families(rows, percent)), "minhash-families")
+    of = near.select(F.col("node").alias("doc"), F.col("component"))
+    held = (families.select(F.col("node").alias("doc"), F.col("component").alias("family"))
+            .join(reps.select(F.col("doc_id").alias("doc"), "n", "sig"), "doc").join(of, "doc", "left")
+            .withColumn("comp", F.coalesce("component", "doc")).drop("component"))
+    weight = held.groupBy("family").agg(F.sum("n").alias("weight"))
+    blocks = F.ceil(F.col("weight") / F.lit(float(BLOCK_SHINGLES))).cast("int")
+    rows = (held.join(weight, "family").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+            .select("family", _facing(blocks, _block_of(blocks)).alias("f"), _block_of(blocks).alias("block"), "doc", "n", "comp", "sig", "text")
+            .select("family", "f.i", "f.j", "block", "doc", "n", "comp", "sig", "text"))
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    merged = _confirm_families(rows, width, percent)
     final = connected_components(merged).select(F.col("node").alias("comp"), F.col("component").alias("top"))
 
     rep_class = (reps.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left")
