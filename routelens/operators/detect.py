@@ -211,11 +211,11 @@ def first_rule(text: Column, rules) -> Column:
 
 
 def auth_context(lines: DataFrame, auth_rules, exclude: DataFrame | None = None,
-                 priority: Column | None = None, max_hits: int = 8) -> DataFrame:
+                 priority: Column | None = None, max_hits: int | None = None) -> DataFrame:
     """Auth mode and hint per repository.
 
     Each line takes its first matching rule; hits are ordered (priority bucket,
-    path, line) and the first ``max_hits`` form the hint ``path: line`` lines.
+    path, line) and all, or the first ``max_hits``, form the hint ``path: line`` lines.
     Mode: ``all`` if any kept hit says so, else ``per-endpoint``, else ''.
     ``auth_rules``: a literal list of ``(rule_ord, line_regex, mode)`` compiled into
     one projection, or a rule DataFrame (broadcast theta join) for large rule sets.
@@ -234,7 +234,9 @@ def auth_context(lines: DataFrame, auth_rules, exclude: DataFrame | None = None,
         first = k.select("repo_id", "path", "line_no", F.struct(F.element_at(modes, F.col("__r")).alias("mode"), "line").alias("h"))
     first = first.withColumn("bucket", priority if priority is not None else auth_name_priority(F.col("path")))
     w = Window.partitionBy("repo_id").orderBy("bucket", "path", "line_no")
-    top = first.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= max_hits)
+    top = first.withColumn("rk", F.row_number().over(w))
+    if max_hits is not None:
+        top = top.where(F.col("rk") <= max_hits)
     agg = top.groupBy("repo_id").agg(
         F.max(F.when(F.col("h.mode") == "all", 2).when(F.col("h.mode") == "per-endpoint", 1).otherwise(0)).alias("m"),
         F.sort_array(F.collect_list(F.struct("rk", F.concat_ws(": ", "path", F.trim(F.col("h.line"))).alias("t")))).alias("hl"))

@@ -50,14 +50,14 @@ def inheritance_edges(type_defs: DataFrame) -> DataFrame:
     return e.select("repo_id", F.trim("parent").alias("parent"), "child").where(F.col("parent") != "")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = 10,
+def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None,
             src: str = "src", dst: str = "dst") -> DataFrame:
     """Nodes reachable from ``seeds(repo_id, node)`` with their first round.
 
     Frontier iteration with a visited anti join (cycles terminate). The visited
     set carries its round number, so the frontier is a filter on the one table
-    that is checkpointed per round. ``max_rounds`` bounds the rounds (G11: 10);
-    ``None`` runs to the fixpoint (G14).
+    that is checkpointed per round. Runs to the fixpoint (G11, G14); ``depth`` tells how
+    far a node lies, a caller may bound the rounds with ``max_rounds``.
     """
     # the edge list is materialised once; every round probes it instead of re-deriving it
     e = cut_lineage(edges.select("repo_id", F.col(src).alias("node"), F.col(dst).alias("nxt")).distinct())
@@ -85,7 +85,7 @@ def name_collision(resolved: DataFrame) -> DataFrame:
             .where(F.col("n_files") > 1))
 
 
-def qualified_names(defs: DataFrame, max_depth: int = 12) -> DataFrame:
+def qualified_names(defs: DataFrame) -> DataFrame:
     """For colliding names, the smallest parent-directory depth at which the
     directory components of all files differ -> ``{component}_{name}``; else the
     full path (slashes -> ``_``). One component per depth, as the original does.
@@ -95,7 +95,7 @@ def qualified_names(defs: DataFrame, max_depth: int = 12) -> DataFrame:
     dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     d = d.withColumn("dirs", dirs)
     x = d.select("repo_id", "name", "path", F.posexplode(F.reverse("dirs")).alias("pos", "comp"))
-    x = x.withColumn("depth", F.col("pos") + 1).where(F.col("depth") <= max_depth)
+    x = x.withColumn("depth", F.col("pos") + 1)
     n = d.groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("n_files"))
     per = (x.groupBy("repo_id", "name", "depth").agg(F.count_distinct("comp").alias("n_comp"), F.count(F.lit(1)).alias("n"))
            .join(n, ["repo_id", "name"]).where((F.col("n_comp") == F.col("n_files")) & (F.col("n") == F.col("n_files"))))
@@ -160,7 +160,7 @@ def dangling_refs(path_refs: DataFrame, schemas: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ F10 cycle cutting
 
-def strongly_connected(edges: DataFrame, max_outer: int = 50, max_inner: int = 200) -> DataFrame:
+def strongly_connected(edges: DataFrame) -> DataFrame:
     """Strongly connected components ``(repo_id, node, scc)`` with DataFrame rounds only.
 
     Forward-backward colouring: (1) trim nodes without an active in- or
@@ -178,8 +178,8 @@ def strongly_connected(edges: DataFrame, max_outer: int = 50, max_inner: int = 2
     def add(done, df):
         return df if done is None else done.unionByName(df)
 
-    for _ in range(max_outer):
-        for _ in range(max_inner):  # trimming
+    while True:  # every round settles at least one component
+        while True:  # trimming
             has_out = e.select("repo_id", F.col("src").alias("node")).distinct()
             has_in = e.select("repo_id", F.col("dst").alias("node")).distinct()
             keep = active.join(has_out, ["repo_id", "node"], "left_semi").join(has_in, ["repo_id", "node"], "left_semi")
@@ -194,7 +194,7 @@ def strongly_connected(edges: DataFrame, max_outer: int = 50, max_inner: int = 2
         if active.isEmpty():
             break
         color = cut_lineage(active.withColumn("c", F.col("node")))
-        for _ in range(max_inner):  # forward max colour
+        while True:  # forward max colour
             push = (e.join(color.withColumnRenamed("node", "src"), ["repo_id", "src"])
                     .groupBy("repo_id", F.col("dst").alias("node")).agg(F.max("c").alias("m")))
             nxt = color.join(push, ["repo_id", "node"], "left").select(
@@ -209,7 +209,7 @@ def strongly_connected(edges: DataFrame, max_outer: int = 50, max_inner: int = 2
                              .select("repo_id", "src", "dst", F.col("cs").alias("c")))
         comp = cut_lineage(color.where(F.col("node") == F.col("c")).select("repo_id", "node", "c"))
         frontier = comp
-        for _ in range(max_inner):  # backward search inside the colour
+        while True:  # backward search inside the colour
             back = (inside.join(frontier.select("repo_id", F.col("node").alias("dst"), "c"), ["repo_id", "dst", "c"])
                     .select("repo_id", F.col("src").alias("node"), "c").distinct()
                     .join(comp.select("repo_id", "node"), ["repo_id", "node"], "left_anti"))
@@ -222,8 +222,6 @@ def strongly_connected(edges: DataFrame, max_outer: int = 50, max_inner: int = 2
         active = cut_lineage(active.join(comp.select("repo_id", "node"), ["repo_id", "node"], "left_anti"))
         e = cut_lineage(e.join(active.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_semi")
                         .join(active.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_semi"))
-    if not active.isEmpty():
-        raise RuntimeError("strongly_connected: round bound reached before all nodes were assigned")
     return done
 
 

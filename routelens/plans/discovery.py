@@ -154,7 +154,7 @@ SELECT repo_id, path, line_no, line, rank FROM (
   FROM {SQL_DOC_LINES} WHERE regexp_matches(line, '{GREP_RE}')) WHERE rank <= 50""")
 def q_corpus_grep(spark, sf_dir):
     """The grep tool: first 50 matching lines per repository, cut to 200 characters."""
-    return S.corpus_grep(explode_lines(doc_files(spark, sf_dir)), GREP_RE, max_matches=50)
+    return S.corpus_grep(explode_lines(doc_files(spark, sf_dir)), GREP_RE, max_matches=50, cut=200)
 
 
 SQL_RAW_PATHS = f"""(SELECT page_id, repo_id,
@@ -388,7 +388,7 @@ SQL_AUTH = SQL_AUTH_HEAD.replace("{routes}", SQL_ROUTES) + SQL_AUTH_TAIL
 def doc_auth(spark, sf_dir):
     lines = explode_lines(doc_files(spark, sf_dir))
     prio = F.when(F.col("path").startswith("de/"), F.lit(0)).otherwise(F.lit(1))
-    return D.auth_context(lines, AUTH_RULES, exclude=doc_routes(spark, sf_dir), priority=prio)
+    return D.auth_context(lines, AUTH_RULES, exclude=doc_routes(spark, sf_dir), priority=prio, max_hits=8)
 
 
 @query("auth_context", sql=SQL_AUTH)
@@ -452,7 +452,7 @@ def doc_prescan(spark, sf_dir):
     routes = doc_routes(spark, sf_dir)
     terms = routes.join(f, ["repo_id", "path"]).select(
         "repo_id", F.regexp_extract("content", 'token = "([0-9a-f]{6})', 1).alias("term"))
-    imp = D.importer_detect(f.where(F.col("content").contains('"')), terms, routes)
+    imp = D.importer_detect(f, terms, routes)
     sweep = D.verb_sweep(f, routes, r"@mail[0-9]+\.example\.com")
     n = lambda df, c: df.groupBy("repo_id").agg(F.count(F.lit(1)).alias(c))
     out = (m.join(n(routes, "n_route_files"), "repo_id", "left").join(n(imp, "n_importers"), "repo_id", "left")
@@ -468,7 +468,7 @@ f AS {documents_files()},
 terms AS (SELECT DISTINCT r.repo_id, regexp_extract(f.content, 'token = "([0-9a-f]{{6}})', 1) AS term
           FROM routes r JOIN f USING (repo_id, path)),
 t1 AS (SELECT repo_id, path, file_ord, unnest(regexp_extract_all(content, '["''/]([A-Za-z0-9_.-]+)', 1)) AS tok
-       FROM f WHERE contains(content, '"')),
+       FROM f),
 toks AS (SELECT DISTINCT repo_id, path, tok FROM (SELECT repo_id, path, tok FROM t1 UNION ALL
          SELECT repo_id, path, regexp_replace(tok, '\\.[^.]*$', '') FROM t1)),
 imp AS (SELECT DISTINCT repo_id, path FROM toks WHERE EXISTS (SELECT 1 FROM terms WHERE terms.repo_id = toks.repo_id
@@ -589,7 +589,7 @@ def doc_route_files(spark, sf_dir):
     routes = doc_routes(spark, sf_dir)
     terms = routes.join(f, ["repo_id", "path"]).select(
         "repo_id", F.regexp_extract("content", 'token = "([0-9a-f]{6})', 1).alias("term"))
-    imp = D.importer_detect(f.where(F.col("content").contains('"')), terms, routes)
+    imp = D.importer_detect(f, terms, routes)
     sweep = D.verb_sweep(f, routes, r"@mail[0-9]+\.example\.com")
     u = (imp.select("repo_id", "path", "file_ord", F.lit(0).alias("list_ord"))
          .unionByName(routes.select("repo_id", "path", "file_ord", F.lit(1).alias("list_ord")))

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from routelens.session import cut_lineage
+
 from routelens.functions.hints import PRIMITIVE_TYPES, build_ref, hint_parse
 from routelens.operators import resolve as G
 from routelens.operators.rules import rule_table
@@ -65,11 +67,11 @@ SQL_SEEDS = """(SELECT 'customer_' || c_custkey AS node FROM customer WHERE c_ac
 @query("reference_closure", sql=f"""
 WITH RECURSIVE r(node, depth) AS (
   SELECT node, 0 FROM {SQL_SEEDS}
-  UNION SELECT e.dst, r.depth + 1 FROM r JOIN {SQL_EDGES} e ON e.src = r.node WHERE r.depth < 10)
+  UNION SELECT e.dst, r.depth + 1 FROM r JOIN {SQL_EDGES} e ON e.src = r.node WHERE r.depth < 60)
 SELECT 'tpch' AS repo_id, node, min(depth) AS depth FROM r GROUP BY node""")
 def q_reference_closure(spark, sf_dir):
-    """Schemas reachable from the referenced ones within 10 rounds, with their round."""
-    return G.closure(seeds(spark, sf_dir), ref_edges(spark, sf_dir), max_rounds=10)
+    """Schemas reachable from the referenced ones, with their round."""
+    return G.closure(seeds(spark, sf_dir), ref_edges(spark, sf_dir))
 
 
 @query("transitive_refs", sql=f"""
@@ -85,13 +87,13 @@ def q_transitive_refs(spark, sf_dir):
 @query("subtype_expand", sql=f"""
 WITH RECURSIVE r(node, depth) AS (
   SELECT node, 0 FROM {SQL_SEEDS}
-  UNION SELECT e.dst, r.depth + 1 FROM r JOIN {SQL_EDGES} e ON e.src = r.node WHERE r.depth < 10),
+  UNION SELECT e.dst, r.depth + 1 FROM r JOIN {SQL_EDGES} e ON e.src = r.node WHERE r.depth < 60),
 v AS (SELECT DISTINCT node FROM r),
 inh AS (SELECT DISTINCT 'supplier_' || l_suppkey AS parent, 'part_' || l_partkey AS child FROM lineitem WHERE (l_partkey + l_suppkey) % 5 = 0)
 SELECT DISTINCT 'tpch' AS repo_id, child AS node FROM inh JOIN v ON inh.parent = v.node WHERE child NOT IN (SELECT node FROM v)""")
 def q_subtype_expand(spark, sf_dir):
     """Subtypes of found schemas (inheritance children) that join the next frontier."""
-    visited = G.closure(seeds(spark, sf_dir), ref_edges(spark, sf_dir), max_rounds=10)
+    visited = G.closure(seeds(spark, sf_dir), ref_edges(spark, sf_dir))
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     inh = li.where((F.col("l_partkey") + F.col("l_suppkey")) % 5 == 0).select(
         F.lit(REPO).alias("repo_id"), _node("supplier", "l_suppkey").alias("node"), _node("part", "l_partkey").alias("child"))
@@ -246,12 +248,12 @@ def q_property_closure(spark, sf_dir):
              .unionByName(table(spark, sf_dir, "nation").select(_node("nation", "n_nationkey").alias("node"), F.lower("n_name").alias("prop")))
              .unionByName(table(spark, sf_dir, "region").select(_node("region", "r_regionkey").alias("node"), F.lower("r_name").alias("prop")))
              .unionByName(table(spark, sf_dir, "supplier").select(_node("supplier", "s_suppkey").alias("node"), F.lit("supplier").alias("prop"))))
-    # ancestors per node: the parent chain is short (customer -> nation -> region), one closure per level
+    # ancestors per node: the parent chain is short (customer -> nation -> region), one round per level
     a0 = props.select(F.col("node").alias("root"), "node").distinct()
     anc, frontier = a0, a0
-    for _ in range(10):
-        nxt = frontier.join(e.select(F.col("src").alias("node"), F.col("dst").alias("nxt")), "node").select(
-            "root", F.col("nxt").alias("node")).distinct().join(anc, ["root", "node"], "left_anti")
+    while True:
+        nxt = cut_lineage(frontier.join(e.select(F.col("src").alias("node"), F.col("dst").alias("nxt")), "node").select(
+            "root", F.col("nxt").alias("node")).distinct().join(anc, ["root", "node"], "left_anti"))
         if nxt.isEmpty():
             break
         anc = anc.unionByName(nxt)

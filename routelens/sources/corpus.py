@@ -115,27 +115,29 @@ def capped_read(content: Column, cap_chars: int | None = None) -> Column:
     return F.substring(c, 1, cap_chars) if cap_chars else c
 
 
-def line_range(lines: DataFrame, ranges: DataFrame, max_lines: int = 100) -> DataFrame:
-    """Inclusive line ranges, at most ``max_lines`` lines each, numbered ``n: text``.
+def line_range(lines: DataFrame, ranges: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """Inclusive line ranges, whole or at most ``max_lines`` lines each, numbered ``n: text``.
 
     ``ranges(repo_id, path, start, end)``; joined on the file key, so each file's
     lines meet only their own ranges.
     """
     j = lines.join(ranges, ["repo_id", "path"])
-    j = j.where(F.col("line_no").between(F.col("start"), F.least(F.col("end"), F.col("start") + (max_lines - 1))))
+    last = F.col("end") if max_lines is None else F.least(F.col("end"), F.col("start") + (max_lines - 1))
+    j = j.where(F.col("line_no").between(F.col("start"), last))
     return j.withColumn("numbered", F.concat(F.col("line_no").cast("string"), F.lit(": "),
                                              F.regexp_replace("line", r"\s+$", "")))
 
 
-def corpus_grep(lines: DataFrame, pattern: str, max_matches: int | None = 50, cut: int = 200) -> DataFrame:
-    """Regex search; first ``max_matches`` hits per repository in (path, line) order.
+def corpus_grep(lines: DataFrame, pattern: str, max_matches: int | None = None, cut: int | None = None) -> DataFrame:
+    """Regex search; all, or the first ``max_matches``, hits per repository in (path, line) order.
 
     The rank filter sits right above the window, so Spark plans a
     ``WindowGroupLimit`` that keeps only the top rows per repository on the map
     side before the shuffle: a hot repository does not ship all its hits.
     """
+    text = F.regexp_replace("line", r"\s+$", "")
     hits = lines.where(F.col("line").rlike(pattern)).select(
-        "repo_id", "path", "line_no", F.substring(F.regexp_replace("line", r"\s+$", ""), 1, cut).alias("line"))
+        "repo_id", "path", "line_no", (F.substring(text, 1, cut) if cut else text).alias("line"))
     if max_matches is None:
         return hits
     w = Window.partitionBy("repo_id").orderBy("path", "line_no")

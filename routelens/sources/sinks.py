@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +102,9 @@ def artifact_sink(artifacts: dict[str, DataFrame], out_dir: str) -> int:
     runs = os.path.join(out_dir, "_runs")
     try:
         prev = spark.read.parquet(runs).agg(F.max("run_id")).first()[0] or 0
-    except Exception:  # noqa: BLE001 - first run: nothing written yet
+    except AnalysisException as e:  # first run: nothing written yet; any other error stops the sink
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         prev = 0
     run = int(prev) + 1
     for name, df in artifacts.items():
