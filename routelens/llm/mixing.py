@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_MEAN = 500.0  # exp(-mean) must stay a normal number; rates of this size are refused
+MAX_MEAN = 500.0  # exp(-mean) must stay a normal number; a larger mean is a sum of equal smaller ones
 ADDED = ("mix_rate", "mix_count", "mix_copy", "mix_order")
 DIGITS = 13       # hexadecimal digits of the hash in a uniform number: 52 bits
 
@@ -78,17 +78,19 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, expon
               text_col: str = "text") -> DataFrame:
     """``docs`` exploded by Poisson counts, plus mix_rate, mix_count, mix_copy and the order mix_order."""
     rates = source_rates(docs, weights, exponent, epochs, source_col, text_col)
-    checked = F.when(F.col("rate") <= MAX_MEAN, F.col("rate")).otherwise(
-        F.raise_error(F.lit(f"a source's mean repetition rate is over {MAX_MEAN:g}")).cast("double"))
-    tables = rates.select(F.col("source").alias("_src"), checked.alias("mix_rate")).withColumn(
-        "_cdf", cumulative(F.col("mix_rate")))
-    own = docs.drop("_src", "_cdf", "_u", *ADDED).withColumn("_u", uniform(seed, F.col(id_col)))
+    parts = F.greatest(F.ceil(F.col("rate") / F.lit(MAX_MEAN)), F.lit(1)).cast("int")
+    tables = rates.select(F.col("source").alias("_src"), F.col("rate").alias("mix_rate"), parts.alias("_parts")).withColumn(
+        "_cdf", cumulative(F.col("mix_rate") / F.col("_parts")))
+    own = docs.drop("_src", "_cdf", "_u", "_parts", *ADDED).withColumn("_u", uniform(seed, F.col(id_col)))
     joined = own.join(tables, own[source_col].eqNullSafe(tables["_src"]))
-    counted = joined.withColumn("mix_count", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))).cast("long"))
+    quantile = lambda u: F.size(F.filter("_cdf", lambda c: c <= u)).cast("long")
+    more = F.aggregate(F.sequence(F.lit(1), F.col("_parts") - 1), F.lit(0).cast("long"),
+                       lambda n, part: n + quantile(uniform(seed, F.col(id_col), F.lit("part"), part)))
+    counted = joined.withColumn("mix_count", quantile(F.col("_u")) + F.when(F.col("_parts") > 1, more).otherwise(0))
     copies = counted.where("mix_count > 0").withColumn(
         "mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_count"))))
     return (copies.withColumn("mix_order", uniform(seed + 1, F.col(id_col), F.col("mix_copy")))
-            .drop("_src", "_cdf", "_u"))
+            .drop("_src", "_cdf", "_u", "_parts"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
