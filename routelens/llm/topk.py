@@ -37,32 +37,45 @@ def integer_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col: s
     return named.where(fine).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v")).distinct()
 
 
-def best_of_block(query: np.ndarray, values: np.ndarray, order: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and scores of the k best of a block, by reading its lists; ``order`` sorts each column upwards."""
+def sorted_lists(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per dimension the block's rows in order of their component, and the components in that order."""
+    order = np.argsort(values, axis=0, kind="stable").T
+    return np.ascontiguousarray(order.astype(np.int32)), np.take_along_axis(values.T, order, axis=1).astype(np.float64)
+
+
+def best_of_block(query: np.ndarray, values: np.ndarray, lists: tuple[np.ndarray, np.ndarray], ids: np.ndarray,
+                  k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and scores of the k best of a block, by reading its sorted lists."""
     n = len(values)
     dims = np.flatnonzero(query)
+    order, sorted_values = lists
     if not len(dims) or n <= k:
         left = np.arange(n)
     else:
-        lists = np.where(query[dims, None] > 0, order[dims, ::-1], order[dims])
-        gain = values[lists, dims[:, None]] * query[dims, None]
-        worst = gain[:, -1].astype(np.float64)
-        score, known = np.zeros(n), np.zeros((len(dims), n), np.float32)
-        lo, step = 0, max(k, n // 16)
+        q = query[dims].astype(np.float64)
+        up = q > 0  # these lists are read from their upper end
+        worst = np.where(up, sorted_values[dims, 0], sorted_values[dims, -1]) * q
+        base, read = np.full(n, worst.sum()), np.zeros((len(dims), n), np.float32)
+        lo, step = 0, max(k, n // 4)
+        left = np.arange(n)
         while True:
             hi = min(n, lo + step)
-            part = lists[:, lo:hi]
-            score += np.bincount(part.ravel(), gain[:, lo:hi].ravel().astype(np.float64), n)
-            known[np.arange(len(dims))[:, None], part] = 1
-            front = gain[:, hi - 1].astype(np.float64)
-            # integers well below 2^53: sums in doubles are exact
-            lower = score + worst.sum() - worst @ known
-            upper = score + front.sum() - front @ known
-            bar = np.partition(lower, n - k)[n - k]
-            left = np.flatnonzero(upper >= bar)
+            front = np.empty(len(dims))
+            for j, d in enumerate(dims):
+                part = slice(n - hi, n - lo) if up[j] else slice(lo, hi)
+                rows, gain = order[d, part], sorted_values[d, part] * q[j]
+                base[rows] += gain - worst[j]  # now the lower bound: what was read, else the worst
+                read[j, rows] = 1
+                front[j] = gain[0] if up[j] else gain[-1]
+            bar = np.partition(base, n - k)[n - k]
+            # unread components can reach their list's present value instead of its worst; single
+            # precision here, so the bound is widened by more than its rounding
+            room = (front - worst).astype(np.float32)
+            upper = base[left] + room.sum() - (room @ read)[left] + (1 + 1e-4 * float(room.sum()))
+            left = left[upper >= bar]
             if len(left) <= FEW * k or hi == n:
                 break
-            lo, step = hi, step * 2
+            lo, step = hi, n // 8
     total = values[left] @ query
     first = np.lexsort((ids[left], -total))[:k]
     return left[first], total[first]
@@ -93,10 +106,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
         ids, qids = cand.column("vec_id").to_numpy(), ask.column("vec_id").to_numpy()
         values = cand.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.int64)
         queries_ = ask.column("v").combine_chunks().flatten().to_numpy().reshape(len(qids), -1).astype(np.int64)
-        order = np.argsort(values, axis=0, kind="stable").T
+        lists = sorted_lists(values)
         parts = []
         for qid, query in zip(qids, queries_):
-            got, total = best_of_block(query, values, order, ids, k + 1)  # one more, as it may meet itself
+            got, total = best_of_block(query, values, lists, ids, k + 1)  # one more, as it may meet itself
             keep = ids[got] != qid
             got, total = got[keep][:k], total[keep][:k]
             parts.append((np.full(len(got), qid), ids[got], total))

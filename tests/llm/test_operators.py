@@ -210,9 +210,9 @@ def test_top_k_lists_stop_early_and_right():
     rng = np.random.default_rng(1)
     for spread in (1, 40):
         values = rng.integers(-spread, spread + 1, (700, 8)) * 25
-        order = np.argsort(values, axis=0, kind="stable").T
+        lists = topk.sorted_lists(values)
         for q in (*rng.integers(-5, 6, (6, 8)), np.zeros(8, int)):
-            got, total = topk.best_of_block(q, values, order, np.arange(700), 5)
+            got, total = topk.best_of_block(q, values, lists, np.arange(700), 5)
             want = np.lexsort((np.arange(700), -(values @ q)))[:5]
             assert got.tolist() == want.tolist() and total.tolist() == (values @ q)[want].tolist()
 
