@@ -163,23 +163,40 @@ def route_file_detect(files: DataFrame, manifest: DataFrame, route_rules, anchor
     return j.groupBy("repo_id", "path").agg(F.min("file_ord").alias("file_ord"), F.min("rule_ord").alias("rule_ord"))
 
 
+# One or two path segments behind a quote or slash, as overlapping matches.
+MENTION_RE = r"""(?<=["'/])(?=([^/"'\s]+(?:/[^/"'\s]*)?))"""
+
+
+def route_terms(routes: DataFrame) -> DataFrame:
+    """The terms by which other files name a route file: its base name, the stem if it holds
+    a dot, ``parent/stem``, and the package directory of a Go file."""
+    base = F.regexp_extract("path", "([^/]*)$", 1)
+    parent = F.regexp_extract("path", "([^/]+)/[^/]*$", 1)
+    stem = F.regexp_replace(base, r"(?<=[^.])\.[^.]*$", "")
+    inside = parent != ""
+    terms = F.array(base, F.when(stem.contains("."), stem), F.when(inside, F.concat_ws("/", parent, stem)),
+                    F.when(inside & base.endswith(".go"), parent))
+    return routes.select("repo_id", F.explode(F.array_compact(terms)).alias("term")).distinct()
+
+
 def importer_detect(files: DataFrame, terms: DataFrame, known: DataFrame, min_len: int = 6) -> DataFrame:
-    """Files that mention a route file's term after a quote or slash.
+    """Files in which a route file's term starts behind a quote or slash.
 
-    ``terms(repo_id, term)``. Rather than one huge alternation regex, every file
-    is tokenised once (tokens following a quote or slash, also without their
-    extension) and equi-joined with the terms - an inverted index. Known route
-    files and test files are removed with anti joins.
+    ``terms(repo_id, term)``, see ``route_terms``; a term of white space, quotes or more than one
+    inner slash is never found. Each file's mentions are cut to the longest term's length and
+    spread into their prefixes, so the prefix test is an equi-join on (repo_id, prefix) and the
+    text itself is never shuffled. Known route files and test files are removed.
     """
-    toks = files.select("repo_id", "path", "file_ord",
-                        F.explode(F.regexp_extract_all("content", F.lit("[\"'/]([A-Za-z0-9_.-]+)"), 1)).alias("tok"))
-    toks = toks.select("repo_id", "path", "file_ord", F.explode(F.array_distinct(F.array(
-        "tok", F.regexp_replace("tok", r"\.[^.]*$", "")))).alias("tok"))
-    # tokens shorter than any usable term can never match: drop them before the shuffle
-    toks = toks.where(F.length("tok") >= min_len).distinct()
-    t = terms.where(F.length("term") >= min_len).select("repo_id", F.col("term").alias("tok")).distinct()
-    hits = toks.join(t, ["repo_id", "tok"], "left_semi")
-    hits = hits.where(~F.col("path").rlike(r"(\.spec\.|\.test\.|\.module\.(ts|js)$)"))
+    usable = terms.where(F.length("term") >= min_len).select("repo_id", F.col("term").alias("prefix")).distinct()
+    f = files.where(~F.col("path").rlike(r"(\.spec\.|\.test\.|\.module\.(ts|js)$)"))
+    f = f.withColumn("longest", usable.agg(F.max(F.length("prefix"))).scalar())
+    cut = F.transform(F.regexp_extract_all("content", F.lit(MENTION_RE), 1), lambda t: F.substr(t, F.lit(1), F.col("longest")))
+    m = f.select("repo_id", "path", "file_ord", F.explode(F.array_distinct(cut)).alias("mention"))
+    m = m.where(F.length("mention") >= min_len)
+    lengths = F.sequence(F.lit(min_len), F.length("mention"))
+    p = m.select("repo_id", "path", "file_ord",
+                 F.explode(F.transform(lengths, lambda n: F.substr(F.col("mention"), F.lit(1), n))).alias("prefix"))
+    hits = p.join(usable, ["repo_id", "prefix"], "left_semi")
     hits = hits.groupBy("repo_id", "path").agg(F.min("file_ord").alias("file_ord"))
     return hits.join(known.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
 

@@ -110,29 +110,47 @@ def qualified_names(defs: DataFrame) -> DataFrame:
 def resolve_indexed(refs: DataFrame, type_defs: DataFrame) -> DataFrame:
     """Ref ``(repo_id, ref_id, name, fragment)`` -> one definition file.
 
-    Single candidate -> it; several -> first whose path contains the import
-    fragment, else best stem score (2 exact, 1 partial), first (by path, line) on ties.
-    The choice depends only on ``(name, fragment)``, so it is made once per
-    distinct key (dedup before the candidate join) and joined back to the refs.
+    ``type_defs(repo_id, name, path, line[, scope])``. A dotted ``Outer.Inner`` looks for ``Inner``
+    first where the scope ends with ``Outer`` (rank 0), then in files named like ``Outer`` (rank 1),
+    then for the whole name (rank 2, as for plain names). Within the best rank a single candidate
+    wins; of several the first whose path holds the import fragment (not in rank 1), else in rank 2
+    the best stem score (2 equal, 1 the stem contains the name), first (path, line) on ties.
+    The choice depends only on ``(name, fragment)``, so it is made once per distinct key (dedup
+    before the candidate join) and joined back to the refs.
     """
-    keys = refs.select("repo_id", "name", "fragment").distinct()
-    defs = type_defs.select("repo_id", "name", "path", "line",
+    outer = F.when(F.col("name").contains("."), F.regexp_replace("name", r"\.[^.]*$", ""))
+    leaf = F.regexp_extract("name", r"([^.]*)$", 1)
+    keys = refs.select("repo_id", "name", "fragment").distinct().withColumn("outer", outer)
+    keys = keys.withColumn("lookup", F.explode(F.array_distinct(F.array("name", leaf))))
+    scope = F.col("scope") if "scope" in type_defs.columns else F.lit(None).cast("string")
+    defs = type_defs.select("repo_id", F.col("name").alias("lookup"), "path", "line", scope.alias("scope"),
                             F.lower(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)).alias("stem"))
-    c = keys.join(defs, ["repo_id", "name"])
+    c = keys.join(defs, ["repo_id", "lookup"])
+    rank = (F.when(F.col("lookup") == F.col("name"), 2).when(F.col("scope").endswith(F.col("outer")), 0)
+            .when(F.col("stem") == F.lower("outer"), 1))
+    c = c.withColumn("rank", rank).where(F.col("rank").isNotNull())
     frag_hit = F.col("fragment").isNotNull() & (F.col("fragment") != "") & F.col("path").contains(F.col("fragment"))
     ln = F.lower("name")
-    score = F.when(F.col("stem") == ln, 2).when(F.col("stem").contains(ln) | ln.contains(F.col("stem")), 1).otherwise(0)
-    c = c.withColumn("tier", F.when(frag_hit, 0).otherwise(1)).withColumn("score", score)
-    key = F.struct("tier", (-F.col("score")).alias("neg_score"), "path", "line")
-    best = (c.groupBy("repo_id", "name", "fragment").agg(F.min_by(F.struct("path", "line", "tier", "score"), key).alias("w"),
-                                                         F.count(F.lit(1)).alias("n_candidates")))
+    score = F.when(F.col("rank") != 2, 0).when(F.col("stem") == ln, 2).when(F.col("stem").contains(ln), 1).otherwise(0)
+    c = c.withColumn("tier", F.when(frag_hit & (F.col("rank") != 1), 0).otherwise(1)).withColumn("score", score)
+    key = F.struct("rank", "tier", (-F.col("score")).alias("neg_score"), "path", "line")
+    best = c.groupBy("repo_id", "name", "fragment").agg(
+        F.min_by(F.struct("path", "line", "tier", "rank"), key).alias("w"),
+        *[F.count_if(F.col("rank") == r).alias(f"n{r}") for r in range(3)])
+    n = F.when(F.col("w.rank") == 0, F.col("n0")).when(F.col("w.rank") == 1, F.col("n1")).otherwise(F.col("n2"))
     best = best.select(F.col("repo_id").alias("b_repo"), F.col("name").alias("b_name"), F.col("fragment").alias("b_frag"),
-                       "w", "n_candidates")
+                       "w", n.alias("n_candidates"))
     j = refs.join(best, (F.col("repo_id") == F.col("b_repo")) & (F.col("name") == F.col("b_name"))
                   & F.col("fragment").eqNullSafe(F.col("b_frag")))
     return j.select("repo_id", "ref_id", "name", "w.path", "w.line", "n_candidates",
                     F.when(F.col("n_candidates") == 1, "single").when(F.col("w.tier") == 0, "import")
-                    .otherwise("stem").alias("how"))
+                    .when(F.col("w.rank") == 0, "scope").otherwise("stem").alias("how"))
+
+
+def dotted_alias(resolved: DataFrame) -> DataFrame:
+    """Every resolved dotted request with the leaf schema it stands for and its file."""
+    return resolved.where(F.col("name").contains(".")).select(
+        "ref_id", F.col("name").alias("dotted"), F.regexp_extract("name", r"([^.]*)$", 1).alias("leaf"), "path")
 
 
 def case_alias(requested: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -261,8 +279,9 @@ def resolve_by_scan(refs: DataFrame, lines: DataFrame, def_rules: DataFrame) ->
     Every line yields the names it defines (``def_rules(rule_ord, regex)`` with the
     name in group 1, e.g. class/interface declarations and ``Name =``
     assignments); import lines are dropped; the refs are equi-joined on the name
-    (no scan per name). A dotted ``Outer.Inner`` keeps files that also define
-    ``Outer``; then the import fragment decides, else the first (path, line).
+    (no scan per name). For a dotted ``Outer.Inner`` files that also
+    define ``Outer`` (all before the last dot) come first, the others only where no
+    file does; then the import fragment decides, else the first (path, line).
     """
     ln = lines.where(~F.col("line").rlike(IMPORT_LINE_RE))
     if isinstance(def_rules, DataFrame):
@@ -277,14 +296,14 @@ def resolve_by_scan(refs: DataFrame, lines: DataFrame, def_rules: DataFrame) ->
             d = part if d is None else d.unionByName(part)
     d = d.where(F.col("defined") != "").distinct()
     leaf = F.element_at(F.split("name", r"\."), -1)
-    outer = F.when(F.col("name").contains("."), F.element_at(F.split("name", r"\."), 1))
+    outer = F.when(F.col("name").contains("."), F.regexp_replace("name", r"\.[^.]*$", ""))
     c = refs.withColumn("leaf", leaf).withColumn("outer", outer).join(
         d.withColumnRenamed("defined", "leaf"), ["repo_id", "leaf"])
     outer_defs = d.select("repo_id", "path", F.col("defined").alias("outer")).distinct().withColumn("__o", F.lit(True))
-    c = c.join(outer_defs, ["repo_id", "path", "outer"], "left").where(F.col("outer").isNull() | F.col("__o").isNotNull())
+    c = c.join(outer_defs, ["repo_id", "path", "outer"], "left").withColumn("outside", F.col("__o").isNull())
     tier = F.when(F.col("fragment").isNotNull() & (F.col("fragment") != "") & F.col("path").contains(F.col("fragment")), 0).otherwise(1)
     return (c.withColumn("tier", tier).groupBy("repo_id", "ref_id", "name")
-            .agg(F.min_by(F.struct("path", F.col("line_no").alias("line")), F.struct("tier", "path", "line_no")).alias("w"))
+            .agg(F.min_by(F.struct("path", F.col("line_no").alias("line")), F.struct("outside", "tier", "path", "line_no")).alias("w"))
             .select("repo_id", "ref_id", "name", "w.path", "w.line"))
 
 

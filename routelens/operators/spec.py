@@ -108,8 +108,9 @@ def scheme_aggregate(reqs: DataFrame) -> DataFrame:
 
 def operation_id_dedup(ops: DataFrame, order_cols=("file_ord", "ep_ord")) -> DataFrame:
     """colliding operation ids get a ``{tag}_`` prefix (or a path prefix when
-    there is no tag); ids that still collide get ``_`` + 6 hex of md5(``path:method``)
-    on every occurrence after the first (new ids are not re-checked, Q8).
+    there is no tag: the path without outer slashes, inner ones as ``_``); within one
+    colliding id, equal new ids get ``_`` + 6 hex of md5(``path:method``) on every
+    occurrence after the first (ids of different groups are not compared, Q8).
 
     Collision counts and "first occurrence" are aggregates joined back on the id,
     not windows, so a hot id is split by AQE's skew join instead of one task.
@@ -118,10 +119,10 @@ def operation_id_dedup(ops: DataFrame, order_cols=("file_ord", "ep_ord")) -> Dat
     n = ops.groupBy("repo_id", "operation_id").agg(F.count(F.lit(1)).alias("__n"))
     x = ops.join(n, ["repo_id", "operation_id"])
     prefix = F.when(F.coalesce(F.col("tag"), F.lit("")) != "", F.col("tag")).otherwise(
-        F.regexp_replace(F.regexp_replace(F.col("path"), r"[{}]", ""), "[^A-Za-z0-9]+", "_"))
+        F.translate(F.btrim(F.col("path"), F.lit("/")), "/", "_"))
     x = x.withColumn("__id", F.when(F.col("__n") > 1, F.concat(prefix, F.lit("_"), F.col("operation_id"))).otherwise(F.col("operation_id")))
-    first = x.groupBy("repo_id", "__id").agg(F.min(o).alias("__first"))
-    x = x.join(first, ["repo_id", "__id"])
+    first = x.groupBy("repo_id", "operation_id", "__id").agg(F.min(o).alias("__first"))
+    x = x.join(first, ["repo_id", "operation_id", "__id"])
     suffix = F.substring(F.md5(F.concat_ws(":", "path", "method")), 1, 6)
     later = (F.col("__n") > 1) & ~o.eqNullSafe(F.col("__first"))
     x = x.withColumn("operation_id", F.when(later, F.concat(F.col("__id"), F.lit("_"), suffix)).otherwise(F.col("__id")))

@@ -337,24 +337,28 @@ def page_known(f):
 
 
 @query("importer_detect", sql=f"""
-WITH f AS {pages_files()},
-terms AS (SELECT DISTINCT f.repo_id, unnest(regexp_extract_all(f.content, 'href="/([^"]*)"', 1)) AS term
-          FROM f JOIN {SQL_PAGE_KNOWN} k ON f.repo_id = k.repo_id AND f.path = k.path),
-t1 AS (SELECT repo_id, path, file_ord, unnest(regexp_extract_all(content, '["''/]([A-Za-z0-9_.-]+)', 1)) AS tok FROM f),
-toks AS (SELECT DISTINCT repo_id, path, file_ord, tok FROM (
-           SELECT repo_id, path, file_ord, tok FROM t1 UNION ALL
-           SELECT repo_id, path, file_ord, regexp_replace(tok, '\\.[^.]*$', '') FROM t1)),
-hits AS (SELECT repo_id, path, min(file_ord) AS file_ord FROM toks
-         WHERE EXISTS (SELECT 1 FROM terms WHERE terms.repo_id = toks.repo_id AND terms.term = toks.tok AND length(terms.term) >= 6)
-           AND NOT regexp_matches(path, '(\\.spec\\.|\\.test\\.|\\.module\\.(ts|js)$)') GROUP BY 1, 2)
-SELECT * FROM hits WHERE NOT EXISTS (SELECT 1 FROM {SQL_PAGE_KNOWN} k WHERE k.repo_id = hits.repo_id AND k.path = hits.path)""")
+WITH f AS (SELECT regexp_extract(repo_id, '([^.]+\\.[^.]+)$', 1) AS repo_id, repo_id || path AS path, file_ord, content FROM {pages_files()}),
+known AS (SELECT DISTINCT repo_id, path FROM f WHERE file_ord % 5 = 0),
+targets AS (SELECT DISTINCT f.repo_id, unnest(regexp_extract_all(f.content, 'href="/([^"]*)"', 1)) AS target
+            FROM f JOIN known k ON f.repo_id = k.repo_id AND f.path = k.path),
+parts AS (SELECT repo_id, regexp_extract(target, '([^/]*)$', 1) AS base, regexp_extract(target, '([^/]+)/[^/]*$', 1) AS parent FROM targets),
+stems AS (SELECT *, regexp_replace(base, '([^.])\\.[^.]*$', '\\1') AS stem FROM parts),
+terms AS (SELECT DISTINCT repo_id, term FROM (SELECT repo_id, unnest([base, CASE WHEN contains(stem, '.') THEN stem END,
+            CASE WHEN parent <> '' THEN parent || '/' || stem END, CASE WHEN parent <> '' AND ends_with(base, '.go') THEN parent END]) AS term FROM stems)
+          WHERE length(term) >= 6)
+SELECT f.repo_id, f.path, min(f.file_ord) AS file_ord FROM f JOIN terms t ON t.repo_id = f.repo_id
+  AND (contains(f.content, '"' || t.term) OR contains(f.content, '/' || t.term) OR contains(f.content, chr(39) || t.term))
+WHERE NOT regexp_matches(f.path, '(\\.spec\\.|\\.test\\.|\\.module\\.(ts|js)$)')
+  AND NOT EXISTS (SELECT 1 FROM known k WHERE k.repo_id = f.repo_id AND k.path = f.path)
+GROUP BY 1, 2""")
 def q_importer_detect(spark, sf_dir):
-    """Pages that quote a link target of a known page (terms of 6+ characters)."""
+    """Pages of a domain (a repository of all its hosts) that mention what a known page links to."""
     f = page_files(spark, sf_dir)
-    known = page_known(f)
-    terms = (f.join(known, ["repo_id", "path"], "left_semi")
-             .select("repo_id", F.explode(F.regexp_extract_all("content", F.lit('href="/([^"]*)"'), 1)).alias("term")))
-    return D.importer_detect(f, terms, known)
+    f = f.select(F.regexp_extract("repo_id", r"([^.]+\.[^.]+)$", 1).alias("repo_id"), F.concat("repo_id", "path").alias("path"), "file_ord", "content")
+    known = page_known(f).distinct()
+    targets = (f.join(known, ["repo_id", "path"], "left_semi")
+               .select("repo_id", F.explode(F.regexp_extract_all("content", F.lit('href="/([^"]*)"'), 1)).alias("path")))
+    return D.importer_detect(f, D.route_terms(targets), known)
 
 
 @query("verb_sweep", sql=f"""
@@ -472,7 +476,7 @@ t1 AS (SELECT repo_id, path, file_ord, unnest(regexp_extract_all(content, '["''/
 toks AS (SELECT DISTINCT repo_id, path, tok FROM (SELECT repo_id, path, tok FROM t1 UNION ALL
          SELECT repo_id, path, regexp_replace(tok, '\\.[^.]*$', '') FROM t1)),
 imp AS (SELECT DISTINCT repo_id, path FROM toks WHERE EXISTS (SELECT 1 FROM terms WHERE terms.repo_id = toks.repo_id
-          AND terms.term = toks.tok AND length(terms.term) >= 6)
+          AND terms.term = substr(toks.tok, 1, 6) AND length(terms.term) >= 6)
           AND NOT regexp_matches(path, '(\\.spec\\.|\\.test\\.|\\.module\\.(ts|js)$)')
           AND NOT EXISTS (SELECT 1 FROM routes r WHERE r.repo_id = toks.repo_id AND r.path = toks.path)),
 sw AS (SELECT DISTINCT repo_id, path FROM f WHERE NOT regexp_matches(path, {_sq(D.exclude_regex())})

@@ -196,7 +196,7 @@ WITH r AS (SELECT 'tpch' AS repo_id, p_partkey AS ref_id, {SQL_NAME} AS name,
                   CASE WHEN p_partkey % 3 = 0 THEN 'catalog/' || lower(replace(p_type, ' ', '/')) END AS fragment FROM part),
 c AS (SELECT r.*, d.path, d.line, lower(regexp_extract(d.path, '([^/]*?)(\\.[^./]*)?$', 1)) AS stem FROM r JOIN {SQL_DEFS} d USING (repo_id, name)),
 s AS (SELECT *, CASE WHEN fragment IS NOT NULL AND fragment <> '' AND contains(path, fragment) THEN 0 ELSE 1 END AS tier,
-             CASE WHEN stem = lower(name) THEN 2 WHEN contains(stem, lower(name)) OR contains(lower(name), stem) THEN 1 ELSE 0 END AS score FROM c)
+             CASE WHEN stem = lower(name) THEN 2 WHEN contains(stem, lower(name)) THEN 1 ELSE 0 END AS score FROM c)
 SELECT repo_id, ref_id, name, arg_min(path, (tier, -score, path, line)) AS path, arg_min(line, (tier, -score, path, line)) AS line,
        count(*) AS n_candidates,
        CASE WHEN count(*) = 1 THEN 'single' WHEN arg_min(tier, (tier, -score, path, line)) = 0 THEN 'import' ELSE 'stem' END AS how
@@ -401,12 +401,26 @@ def q_resolve_type(spark, sf_dir):
 
 
 @query("dotted_alias", sql=f"""
-SELECT ref_id, 'Catalog.' || name AS dotted, name AS leaf, path FROM ({SQL_RESOLVE_INDEXED}) WHERE ref_id % 5 = 0""")
+WITH r AS (SELECT p_partkey AS ref_id, CASE WHEN p_partkey % 2 = 0 THEN {SQL_NAME} ELSE replace(p_brand, '#', '') END AS outr,
+                  {SQL_NAME} AS leaf, CASE WHEN p_partkey % 3 = 0 THEN 'catalog/' || lower(replace(p_type, ' ', '/')) END AS fragment FROM part),
+d AS (SELECT *, CASE WHEN kind = 'class' THEN 'catalog.' || regexp_extract(path, '/(brand[0-9]+)/', 1) END AS scope,
+             regexp_extract(path, '([^/]*)\\.ts$', 1) AS stem FROM {SQL_DEFS}),
+c AS (SELECT r.*, d.path, d.line, coalesce(contains(d.path, r.fragment), false) AS imported,
+             CASE WHEN d.scope LIKE '%' || lower(r.outr) THEN 0 WHEN d.stem = lower(r.outr) THEN 1 END AS level
+      FROM r JOIN d ON d.name = r.leaf),
+pick AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY level, CASE WHEN level = 0 AND imported THEN 0 ELSE 1 END, path, line) AS k
+         FROM c WHERE level IS NOT NULL)
+SELECT ref_id, lower(outr) || '.' || leaf AS dotted, leaf, path FROM pick WHERE k = 1""")
 def q_dotted_alias(spark, sf_dir):
-    """``Outer.Inner`` requests alias the leaf schema resolved in the same file."""
-    r = refs(spark, sf_dir).where(F.col("ref_id") % 5 == 0)
-    res = G.resolve_indexed(r, type_defs(spark, sf_dir))
-    return res.select("ref_id", F.concat(F.lit("Catalog."), "name").alias("dotted"), F.col("name").alias("leaf"), "path")
+    """``outer.Name`` requests (outer: the brand, or the lower-case name itself) alias the leaf schema they
+    resolve to. Classes have their brand directory as scope; interfaces have none and are found by file name only."""
+    brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref_id"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")).alias("brand"))
+    r = refs(spark, sf_dir).join(brand, "ref_id")
+    outer = F.when(F.col("ref_id") % 2 == 0, F.lower("name")).otherwise(F.col("brand"))
+    r = r.withColumn("name", F.concat_ws(".", outer, "name")).drop("brand")
+    d = type_defs(spark, sf_dir)
+    d = d.withColumn("scope", F.when(F.col("kind") == "class", F.concat(F.lit("catalog."), F.regexp_extract("path", "/(brand[0-9]+)/", 1))))
+    return G.dotted_alias(G.resolve_indexed(r, d))
 
 
 @query("ref_rewrite", sql=f"""

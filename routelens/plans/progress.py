@@ -2,8 +2,7 @@
 
 job = ``user_id``, kind = ``event_type``, count = ``floor(value)``, seq =
 ``event_id``. The batch twins are oracle-checked; the ``*_stream`` queries run
-the real Structured Streaming folds (``availableNow``) and are compared with
-the twins in the tests.
+the real Structured Streaming folds (``availableNow``) and share the twins' SQL.
 """
 
 from __future__ import annotations
@@ -52,11 +51,14 @@ def q_schema_event_fold(spark, sf_dir):
                                    F.count_distinct(F.when(F.col("kind").isin("purchase", "error"), F.col("file"))).alias("n_names"))
 
 
-@query("job_log_tail", sql=f"""
+SQL_TAIL = f"""
 WITH n AS (SELECT job_id, count(*) AS n_log FROM {SQL_PROG} GROUP BY 1),
 r AS (SELECT p.job_id, p.seq, n.n_log, row_number() OVER (PARTITION BY p.job_id ORDER BY p.seq DESC) AS rk FROM {SQL_PROG} p JOIN n USING (job_id))
 SELECT job_id, n_log, count(*) AS tail_len, min(seq) AS first_kept_seq FROM r
-WHERE rk <= CASE WHEN n_log <= 100 THEN n_log ELSE 80 + ((n_log - 101) % 21) END GROUP BY 1, 2""")
+WHERE rk <= CASE WHEN n_log <= 100 THEN n_log ELSE 80 + ((n_log - 101) % 21) END GROUP BY 1, 2"""
+
+
+@query("job_log_tail", sql=SQL_TAIL)
 def q_job_log_tail(spark, sf_dir):
     """ST3: the capped log (append; past 100 entries keep the last 80)."""
     return P.log_tail(progress(spark, sf_dir))
@@ -86,19 +88,19 @@ def q_job_snapshot(spark, sf_dir):
     return P.job_snapshot(P.job_state(progress(spark, sf_dir)), polls)
 
 
-@query("job_state_stream")
+@query("job_state_stream", sql=f"SELECT * FROM {SQL_STATE}")
 def q_job_state_stream(spark, sf_dir):
     """ST1/ST2/ST6: the job fold run as a Structured Streaming query (availableNow) into a snapshot table."""
     return P.run_job_state_stream(spark, sf_dir)
 
 
-@query("job_log_tail_stream")
+@query("job_log_tail_stream", sql=SQL_TAIL)
 def q_job_log_tail_stream(spark, sf_dir):
-    """ST3: the log tail as a stateful stream (bounded per-job state in applyInPandasWithState)."""
+    """ST3: the log tail as a stream of partial tails per micro-batch."""
     return P.run_log_tail_stream(spark, sf_dir)
 
 
-@query("job_state_stream_evicting")
+@query("job_state_stream_evicting", sql=f"SELECT * FROM {SQL_STATE}")
 def q_job_state_stream_evicting(spark, sf_dir):
-    """ST1/ST2/ST6: the job fold with bounded state (applyInPandasWithState, event-time timeout eviction)."""
+    """ST1/ST2/ST6: the job fold as a stream of partial folds that holds no state between micro-batches."""
     return P.run_job_state_stream_evicting(spark, sf_dir)

@@ -2,9 +2,9 @@
 
 Progress events ``(job_id, seq, ts, kind, file, count)`` are folded per job.
 Counters and last-state columns are native streaming aggregates (``max_by`` on
-``seq`` makes out-of-order arrival harmless); the log tail keeps bounded
-per-job state in ``applyInPandasWithState``; snapshots are upserted with
-``foreachBatch`` into a table under the shared checkpoint folder. Every
+``seq`` makes out-of-order arrival harmless), or partial folds per micro-batch
+that add up when they are read. ``foreachBatch`` writes them, one folder per
+epoch, into a table under the shared checkpoint folder. Every
 streaming fold has a batch twin with the same output, used for polling
 historical data and as the test oracle.
 """
@@ -13,12 +13,9 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from routelens.operators.ordered import blocked_rank
 from routelens.session import checkpoint_dir
@@ -26,7 +23,6 @@ from routelens.session import checkpoint_dir
 # Fixed values of this binding: event kind -> job status and progress role.
 KIND_STATUS = {"signup": "pending", "view": "cloning", "click": "running", "purchase": "done", "error": "failed"}
 LOG_MAX, LOG_KEEP = 100, 80
-STATE_TTL_MS = 7 * 24 * 3600 * 1000  # idle jobs are evicted a week (event time) after their last event
 
 
 def status_of(kind: Column) -> Column:
@@ -104,138 +100,84 @@ def job_snapshot(state: DataFrame, polls: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ streams
 
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events.parquet`` of the test set as a stream (file source, schema from the batch read)."""
+    """``events*.parquet`` of a folder as a stream, one file per micro-batch (schema from the batch read).
+
+    No watermark: the folds are ordered by ``seq``, not by time, and a late event must count.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-    # watermark bounds the state kept for late events; ts must be TIMESTAMP (not NTZ)
-    return as_progress(raw).withWatermark("ts", "1 day")
+    return as_progress(raw)
 
 
-def _upsert_snapshot(table_dir: str):
+def _epoch_writer(**parts):
+    """``foreachBatch`` writer: each ``folder=function`` writes its fold of the batch below ``epoch=N``.
+    A repeated epoch replaces its own folder, so every event counts once."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(table_dir)
+        for folder, fold in parts.items():
+            fold(batch).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
     return write
 
 
-JOB_STATE_SCHEMA = ("status string, status_seq long, last_error string, err_seq long, routes_total long, total_seq long, "
-                    "routes_done long, routes_failed long, endpoints long, schemas_resolved long, n_events long, last_seq long")
-JOB_OUT_SCHEMA = ("job_id long, status string, last_error string, routes_total long, routes_done long, routes_failed long, "
-                  "endpoints long, schemas_resolved long, n_events long, last_seq long")
-
-
-def _job_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """ST1/ST2/ST6 as incremental per-job state: last-by-seq fields keep their seq, so
-    late events with a lower seq never override; counters add up. The state is
-    evicted by an event-time timeout once the job has been idle for ``STATE_TTL_MS``."""
-    def row(st):
-        (status, _, last_error, _, total, _, done, failed, endpoints, resolved, n, last_seq) = st
-        return pd.DataFrame({"job_id": [key[0]], "status": [status], "last_error": [last_error], "routes_total": [total],
-                             "routes_done": [done], "routes_failed": [failed], "endpoints": [endpoints],
-                             "schemas_resolved": [resolved], "n_events": [n], "last_seq": [last_seq]})
-    if state.hasTimedOut:
-        st = state.get
-        state.remove()
-        yield row(st)
-        return
-    st = list(state.get) if state.exists else [None, -1, None, -1, None, -1, 0, 0, 0, 0, 0, -1]
-    last_ts = 0
-    for pdf in pdfs:
-        for seq, kind, file, count in zip(pdf["seq"], pdf["kind"], pdf["file"], pdf["count"]):
-            seq = int(seq)
-            if kind in KIND_STATUS and seq > st[1]:
-                st[0], st[1] = KIND_STATUS[kind], seq
-            if kind == "error" and seq > st[3]:
-                st[2], st[3] = file, seq
-            if kind == "signup" and seq > st[5]:
-                st[4], st[5] = (None if pd.isna(count) else int(count)), seq
-            st[6] += kind == "click"
-            st[7] += kind == "error"
-            st[8] += int(count) if kind == "purchase" and not pd.isna(count) else 0
-            st[9] += kind == "purchase"
-            st[10] += 1
-            st[11] = max(st[11], seq)
-        if len(pdf):
-            last_ts = max(last_ts, int(pd.Timestamp(pdf["ts"].max()).value // 1_000_000))
-    state.update(tuple(st))
-    state.setTimeoutTimestamp(max(last_ts + STATE_TTL_MS, state.getCurrentWatermarkMs() + 1))
-    yield row(st)
-
-
-def run_job_state_stream_evicting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1/ST2/ST6 with bounded state: ``applyInPandasWithState`` with an event-time
-    timeout (idle jobs are evicted), written to a snapshot table like the native fold."""
-    base = os.path.join(checkpoint_dir(spark), "jobfold-" + uuid.uuid4().hex[:8])
-    out = (progress_stream(spark, sf_dir).groupBy("job_id").applyInPandasWithState(
-        _job_fold, JOB_OUT_SCHEMA, JOB_STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout))
-    q = (out.writeStream.outputMode("update").foreachBatch(_upsert_snapshot(base + "/snapshot"))
+def _run(out: DataFrame, base: str, mode: str, **parts) -> None:
+    """One ``availableNow`` run with its checkpoint below ``base``."""
+    q = (out.writeStream.outputMode(mode).foreachBatch(_epoch_writer(**parts))
          .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    snap = spark.read.parquet(base + "/snapshot")
-    cols = [c for c in snap.columns if c not in ("job_id", "epoch")]
-    latest = snap.groupBy("job_id").agg(F.max_by(F.struct(*cols), "epoch").alias("s"))
-    return latest.select("job_id", "s.*")
 
 
 def run_job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run the ST1/ST2/ST6 fold as a stream (``availableNow``) and return the snapshot.
+    """ST1/ST2/ST6 as a stateful streaming aggregate: a few counters per job stay in the state store.
 
-    Output mode ``update`` sends only changed jobs per micro-batch; the snapshot
-    table keeps, per job, the row of the newest epoch. Checkpoint and table live
-    in the shared checkpoint folder, so a restarted query resumes exactly.
+    Output mode ``update`` sends only changed jobs per micro-batch; of each job the row of its
+    newest epoch is the answer. Checkpoint and table live in the shared checkpoint folder.
     """
     base = os.path.join(checkpoint_dir(spark), "progress-" + uuid.uuid4().hex[:8])
-    table_dir, ckpt = base + "/snapshot", base + "/ckpt"
-    q = (progress_stream(spark, sf_dir).groupBy("job_id").agg(*job_fold_aggs())
-         .writeStream.outputMode("update").foreachBatch(_upsert_snapshot(table_dir))
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    table_dir = base + "/snapshot"
+    _run(progress_stream(spark, sf_dir).groupBy("job_id").agg(*job_fold_aggs()), base, "update", **{table_dir: lambda b: b})
     snap = spark.read.parquet(table_dir)
-    latest = snap.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in snap.columns if c not in ("job_id", "epoch")]),
-                                                  "epoch").alias("s"))
-    return latest.select("job_id", "s.*")
+    cols = [c for c in snap.columns if c not in ("job_id", "epoch")]
+    return snap.groupBy("job_id").agg(F.max_by(F.struct(*cols), "epoch").alias("s")).select("job_id", "s.*")
 
 
-def _tail_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per-job bounded log state: append in ``seq`` order, trim to 80 past 100.
+def job_parts(progress: DataFrame) -> DataFrame:
+    """The job fold of some events, with the seqs that its last-wins fields come from."""
+    return progress.groupBy("job_id").agg(
+        *job_fold_aggs(), F.max(F.when(F.col("kind") == "error", F.col("seq"))).alias("error_seq"),
+        F.max(F.when(F.col("kind") == "signup", F.col("seq"))).alias("total_seq"))
 
-    State is evicted by an event-time timeout once the watermark passes the
-    job's last event plus ``STATE_TTL_MS``; the final tail is emitted then.
-    """
-    if state.hasTimedOut:
-        n, tail = state.get
-        state.remove()
-        yield pd.DataFrame({"job_id": [key[0]], "n_log": [n], "tail_len": [len(tail)], "first_kept_seq": [min(tail)]})
-        return
-    if state.exists:
-        n, tail = state.get
-        tail = list(tail)
-    else:
-        n, tail = 0, []
-    last_ts = 0
-    for pdf in pdfs:
-        for s in sorted(pdf["seq"].tolist()):
-            n += 1
-            tail.append(int(s))
-            if len(tail) > LOG_MAX:
-                tail = tail[-LOG_KEEP:]
-        if len(pdf):
-            last_ts = max(last_ts, int(pd.Timestamp(pdf["ts"].max()).value // 1_000_000))
-    state.update((n, tail))
-    state.setTimeoutTimestamp(max(last_ts + STATE_TTL_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"job_id": [key[0]], "n_log": [n], "tail_len": [len(tail)], "first_kept_seq": [min(tail)]})
+
+def merge_job_parts(parts: DataFrame) -> DataFrame:
+    """Folds of disjoint event sets as one fold: counters add up, last-wins fields follow their seq."""
+    total = [F.sum(c).alias(c) for c in ("routes_done", "routes_failed", "endpoints", "schemas_resolved", "n_events")]
+    return parts.groupBy("job_id").agg(
+        F.max_by("status", "last_seq").alias("status"), F.max_by("last_error", "error_seq").alias("last_error"),
+        F.max_by("routes_total", "total_seq").alias("routes_total"), *total, F.max("last_seq").alias("last_seq"))
+
+
+def run_job_state_stream_evicting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1/ST2/ST6 without any state between micro-batches: each batch is folded by itself and its
+    partial fold stored; reading merges the partial folds. A job that falls silent holds nothing,
+    and one that speaks again goes on from its stored counters, however late."""
+    base = os.path.join(checkpoint_dir(spark), "jobfold-" + uuid.uuid4().hex[:8])
+    _run(progress_stream(spark, sf_dir), base, "append", **{base + "/parts": job_parts})
+    return merge_job_parts(spark.read.parquet(base + "/parts"))
+
+
+def _newest(progress: DataFrame) -> DataFrame:
+    """The last ``LOG_MAX`` seqs of every job: no tail is longer (the rank filter runs before the shuffle)."""
+    w = Window.partitionBy("job_id").orderBy(F.col("seq").desc())
+    return progress.select("job_id", "seq").withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= LOG_MAX).drop("rk")
 
 
 def run_log_tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3 as a stateful stream; state per job is at most 100 sequence numbers and is
-    evicted by event-time timeout when the job has been idle for ``STATE_TTL_MS``."""
+    """ST3 as a stream: each micro-batch stores its entry counts and its newest ``LOG_MAX`` seqs per
+    job; reading adds the counts and takes the tail from the stored seqs, in seq order."""
     base = os.path.join(checkpoint_dir(spark), "logtail-" + uuid.uuid4().hex[:8])
-    out = (progress_stream(spark, sf_dir).groupBy("job_id").applyInPandasWithState(
-        _tail_fn, "job_id long, n_log long, tail_len long, first_kept_seq long",
-        "n long, tail array<long>", "update", GroupStateTimeout.EventTimeTimeout))
-    q = (out.writeStream.outputMode("update").foreachBatch(_upsert_snapshot(base + "/snapshot"))
-         .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    snap = spark.read.parquet(base + "/snapshot")
-    latest = snap.groupBy("job_id").agg(F.max_by(F.struct("n_log", "tail_len", "first_kept_seq"), "epoch").alias("s"))
-    return latest.select("job_id", "s.*")
+    _run(progress_stream(spark, sf_dir), base, "append",
+         **{base + "/counts": lambda b: b.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_log")), base + "/seqs": _newest})
+    n = spark.read.parquet(base + "/counts").groupBy("job_id").agg(F.sum("n_log").alias("n_log"))
+    w = Window.partitionBy("job_id").orderBy(F.col("seq").desc())
+    newest = _newest(spark.read.parquet(base + "/seqs")).withColumn("rk", F.row_number().over(w))
+    kept = newest.join(n, "job_id").where(F.col("rk") <= log_tail_len(F.col("n_log")))
+    return kept.groupBy("job_id", "n_log").agg(F.count(F.lit(1)).alias("tail_len"), F.min("seq").alias("first_kept_seq"))
