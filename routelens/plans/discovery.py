@@ -338,7 +338,7 @@ def page_known(f):
 
 @query("importer_detect", sql=f"""
 WITH f AS (SELECT regexp_extract(repo_id, '([^.]+\\.[^.]+)$', 1) AS repo_id, repo_id || path AS path, file_ord, content FROM {pages_files()}),
-known AS (SELECT DISTINCT repo_id, path FROM f WHERE file_ord % 5 = 0),
+known AS (SELECT DISTINCT repo_id, path FROM f WHERE file_ord % 7 = 0),
 targets AS (SELECT DISTINCT f.repo_id, unnest(regexp_extract_all(f.content, 'href="/([^"]*)"', 1)) AS target
             FROM f JOIN known k ON f.repo_id = k.repo_id AND f.path = k.path),
 parts AS (SELECT repo_id, regexp_extract(target, '([^/]*)$', 1) AS base, regexp_extract(target, '([^/]+)/[^/]*$', 1) AS parent FROM targets),
@@ -355,7 +355,7 @@ def q_importer_detect(spark, sf_dir):
     """Pages of a domain (a repository of all its hosts) that mention what a known page links to."""
     f = page_files(spark, sf_dir)
     f = f.select(F.regexp_extract("repo_id", r"([^.]+\.[^.]+)$", 1).alias("repo_id"), F.concat("repo_id", "path").alias("path"), "file_ord", "content")
-    known = page_known(f).distinct()
+    known = f.where(F.col("file_ord") % 7 == 0).select("repo_id", "path").distinct()
     targets = (f.join(known, ["repo_id", "path"], "left_semi")
                .select("repo_id", F.explode(F.regexp_extract_all("content", F.lit('href="/([^"]*)"'), 1)).alias("path")))
     return D.importer_detect(f, D.route_terms(targets), known)
