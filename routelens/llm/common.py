@@ -7,8 +7,9 @@ of its own, so memory follows the longest single text).
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         p = np.full(max(n, SLICE_BYTES + 1), U(_BASE_INV if inverse else _BASE))
         p[0] = U(1)
         have = np.multiply.accumulate(p)
-        if n <= 8 * SLICE_BYTES:  # the table of a huge text is not kept
+        if n <= SLICE_BYTES + 1:  # the table of a text longer than a slice is not kept
             _powers[inverse] = have
     return have
 
@@ -80,6 +81,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
                + (ends - starts).astype(np.uint64))
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow that gives freed memory back when its partition ends.
+
+    Python workers are reused; what their allocators hold back stays beside the executor's heap
+    through later stages, also those without Python.
+    """
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return leaner
+
+
 def text_slices(batch: pa.RecordBatch, column: str,
                 limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) pieces of a string column, about ``limit`` bytes each."""

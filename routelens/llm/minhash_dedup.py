@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, constants, ids_of, keyed_texts, mix, signed, span_hashes, stage, text_slices, word_spans
+from .common import U, constants, ids_of, keyed_texts, lean, mix, signed, span_hashes, stage, text_slices, word_spans
 from .components import connected_components
 
 CHUNKS, CHUNK = 12, 5
@@ -114,7 +114,7 @@ def _sketch(texts: DataFrame, width: int) -> DataFrame:
                      pa.array(signed(f2)), pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary())],
                     ["doc_id", "n", "f1", "f2", "sig"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig binary")
+    return texts.mapInArrow(lean(run), "doc_id long, n long, f1 long, f2 long, sig binary")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def _keys(reps: DataFrame) -> DataFrame:
                     [pa.array(signed(keys.reshape(-1))), pa.array(np.repeat(ids_of(part), SYMBOLS)),
                      pa.array(np.repeat(ids_of(part, "n"), SYMBOLS))], ["key", "doc", "n"])
 
-    return reps.select("doc_id", "n", "sig").mapInArrow(run, "key long, doc long, n long")
+    return reps.select("doc_id", "n", "sig").mapInArrow(lean(run), "key long, doc long, n long")
 
 
 def _similar_sizes(percent: int, a: str, b: str):
@@ -160,7 +160,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     both = (pairs.select("u", "v").join(needed.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
             .join(needed.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
             .select("u", "v", "text_u", "text_v"))
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(lean(run), "u long, v long")
 
 
 def _merge(label: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
@@ -228,7 +228,7 @@ def _families(rows: DataFrame, percent: int) -> DataFrame:
         if found:
             yield _edges(found)
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(lean(run), "u long, v long")
 
 
 def _confirm_families(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -269,7 +269,7 @@ def _confirm_families(rows: DataFrame, width: int, percent: int) -> DataFrame:
             if found:
                 yield _edges(found)
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(lean(run), "u long, v long")
 
 
 def _block_of(blocks: Column) -> Column:

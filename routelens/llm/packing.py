@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, stage
+from .common import keyed_texts, lean, stage
 from .tokens import encoded
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long"
@@ -115,7 +115,7 @@ def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int,
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": ids, **arrays, "task": pa.array([task] * len(ids), pa.int64()), "nth": nth})
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(cut, PIECES)
+    return keyed_texts(docs, id_col, text_col).mapInArrow(lean(cut), PIECES)
 
 
 def pack(docs: DataFrame, capacity: int, vocabulary: str, end_id: int,
@@ -145,5 +145,5 @@ def pack(docs: DataFrame, capacity: int, vocabulary: str, end_id: int,
 
     ranked = (pieces.join(bases, ["task", "length"])
               .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).alias("rank")))
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+    return ranked.mapInArrow(lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                                     "sequence_id long, offset long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, ids_of, mix, powers, signed, span_hashes, stage, text_slices
+from .common import U, ids_of, lean, mix, powers, signed, span_hashes, stage, text_slices
 
 GRAM = 20
 MAX_RUN = 256
@@ -470,16 +470,16 @@ def repeated_ranges(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
               .dropDuplicates(["doc_id", "tid"]))
     total = classes.agg(F.sum("size")).first()[0] or 0
     buckets = int(min(MAX_BUCKETS, max(16, total // BUCKET_BYTES)))
-    dealt = rows.select("tid", "text").mapInArrow(_anchor_blobs(width, buckets), "bucket long, blob binary")
+    dealt = rows.select("tid", "text").mapInArrow(lean(_anchor_blobs(width, buckets)), "bucket long, blob binary")
     shared = (dealt.repartition(min(buckets, 8192), "bucket").sortWithinPartitions("bucket")
-              .mapInArrow(_shared_anchors, "tid long, code long")
+              .mapInArrow(lean(_shared_anchors), "tid long, code long")
               .groupBy("tid").agg(F.collect_set("code").alias("codes")))
     first = classes.groupBy("tid").agg(F.min("low").alias("doc_id"))
     texts = rows.join(shared.join(first, "tid").select("doc_id", F.col("tid").alias("t"), "codes"), "doc_id")
     segments = texts.where("tid = t").select("doc_id", "tid", "text", "codes").mapInArrow(
-        _segment_blobs(width, buckets), SEGMENT_ROWS)
+        lean(_segment_blobs(width, buckets)), SEGMENT_ROWS)
     ranges = (segments.repartition(min(buckets, 8192), "bucket").sortWithinPartitions("bucket")
-              .mapInArrow(_decide(width), "doc_id long, tid long, lo long, hi long"))
+              .mapInArrow(lean(_decide(width)), "doc_id long, tid long, lo long, hi long"))
     spans = ranges.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     return stage(spans.unionByName(copies), "suffix-spans")
 
@@ -523,7 +523,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema.remove(batch.num_columns - 1))
 
     joined = _with_spans(docs, width, id_col, text_col)
-    return joined.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, "_spans").mapInArrow(lean(run), docs.schema)
 
 
 def repeat_report(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -543,4 +543,4 @@ def repeat_report(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text
     joined = _with_spans(docs, width, id_col, text_col)
     return joined.select(F.col(id_col).cast("long").alias("doc_id"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "_spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, stage, text_slices
+from .common import keyed_texts, lean, stage, text_slices
 
 CONTEXT_BITS = 18
 SCALE = 16          # log-ratios are stored in sixteenths
@@ -41,6 +41,7 @@ DISCOUNT = 0.75
 PAD = 5
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 ROWS_PER_CLASS = 50_000
+HELD_KEYS = 1 << 20  # class cells held before they are given to the shuffle
 
 # symbol classes: 0 separator, 1-26 letters, 27 digit, 28-31 lead bytes, 32-63 continuation bytes
 _SYMBOL = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if 48 <= b <= 57 else
@@ -78,7 +79,7 @@ def _counted(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray
 
 
 class _Tally:
-    """Sparse counts that are merged now and then."""
+    """Sparse counts of a bounded number of keys."""
 
     def __init__(self):
         self.keys: list[np.ndarray] = []
@@ -90,18 +91,23 @@ class _Tally:
         self.keys.append(k)
         self.sums.append(n)
         self.held += len(k)
-        if self.held > 4_000_000:
-            self.merge()
-            self.held = 0
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """The counts so far, which are then left to the partial sums of the shuffle."""
         if not self.keys:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         k, n = _counted(self.keys, self.sums)
-        self.keys, self.sums = [k], [n]
+        self.keys, self.sums, self.held = [], [], 0
         return k, n
 
 
+def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(keys), 1 << 16):
+        k, n = keys[i:i + (1 << 16)], counts[i:i + (1 << 16)].astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
+
+
 def _gather(docs: DataFrame, sample_ids: np.ndarray, sample_toxic: np.ndarray) -> DataFrame:
     """(kind, key, n): kind 2 shared four-symbol counts of all documents, 0 and 1 cells of the two classes.
 
@@ -109,7 +115,7 @@ def _gather(docs: DataFrame, sample_ids: np.ndarray, sample_toxic: np.ndarray) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = np.zeros(1 << 24, np.int64)
+        shared, seen = np.zeros(1 << 24, np.uint32), 0
         classes = _Tally(), _Tally()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -121,7 +127,12 @@ def _gather(docs: DataFrame, sample_ids: np.ndarray, sample_toxic: np.ndarray) -
                 own = np.ones(len(cell), bool)
                 for j in range(PAD):  # padding is context only
                     own[begin[1:] - PAD - 1 - j] = False
+                if seen + len(four) >= 1 << 32:  # before a count could overflow
+                    found = np.flatnonzero(shared)
+                    yield from _rows(2, found, shared[found])
+                    shared[:], seen = 0, 0
                 np.add.at(shared, four[own], 1)
+                seen += len(four)
                 here = np.nan_to_num(ids[lo:hi], nan=-1).astype(np.int64)
                 at = np.searchsorted(sample_ids, here)
                 hit = (at < len(sample_ids)) & (sample_ids[np.minimum(at, len(sample_ids) - 1)] == here) \
@@ -131,18 +142,17 @@ def _gather(docs: DataFrame, sample_ids: np.ndarray, sample_toxic: np.ndarray) -
                 for k in np.flatnonzero(hit):
                     part = slice(begin[k] - PAD, begin[k] - PAD + offsets[k + 1] - offsets[k])
                     classes[int(sample_toxic[at[k]])].keys.append(cell[part] << 24 | four[part])
-                for tally in classes:
+                for kind, tally in enumerate(classes):
                     if pending := [x for x in tally.keys[len(tally.sums):]]:
                         del tally.keys[len(tally.sums):]
                         tally.add(np.concatenate(pending))
+                    if tally.held > HELD_KEYS:
+                        yield from _rows(kind, *tally.take())
         found = np.flatnonzero(shared)
-        for kind, (k, n) in ((2, (found, shared[found])), (0, classes[0].merge()), (1, classes[1].merge())):
-            for i in range(0, len(k), 1 << 16):
-                j = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k[j]), kind, np.int32)), pa.array(k[j]), pa.array(n[j])], ["kind", "key", "n"])
+        for kind, (k, n) in ((2, (found, shared[found])), (0, classes[0].take()), (1, classes[1].take())):
+            yield from _rows(kind, k, n)
 
-    counted = docs.mapInArrow(run, "kind int, key long, n long")
+    counted = docs.mapInArrow(lean(run), "kind int, key long, n long")
     return stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "toxicity-counts")
 
 
@@ -281,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), *(pa.array(c) for c in f.T)], ["doc_id", "f0", "f1", "f2"])
 
-    got = texts.mapInArrow(run, "doc_id long, f0 double, f1 double, f2 double").toArrow()  # rows of the bounded sample
+    got = texts.mapInArrow(lean(run), "doc_id long, f0 double, f1 double, f2 double").toArrow()  # rows of the bounded sample
     at = np.searchsorted(cal_ids, got.column(0).to_numpy())
     x = np.column_stack([got.column(i).to_numpy() for i in (1, 2, 3)])
     if len(x) and len(set(y := cal_toxic[at])) == 2:
@@ -300,7 +310,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(shipped.value.scores(data, offsets))], ["doc_id", "score"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double").select(
+    return keyed_texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double").select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -315,4 +325,4 @@ def keep_ordinary(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
