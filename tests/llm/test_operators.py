@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from routelens.llm import (chat_format, embed_dedup, license_scan, minhash_dedup, mixing, packing, suffix_dedup,
+from routelens.llm import (chat_format, common, embed_dedup, license_scan, minhash_dedup, mixing, packing, suffix_dedup,
                            token_files, tokens, topk, toxicity)
 from routelens.llm.components import connected_components
 
@@ -366,3 +366,27 @@ def test_toxicity_learns_and_ignores_held_out(spark):
     again = {r.doc_id: r.score for r in toxicity.score(table, toxicity.fit(table, flipped)).collect()}
     assert all(again[r.doc_id] == r.score for r in got)
     assert toxicity.keep_ordinary(table, model).count() == sum(r.predicted == 0 for r in got)
+
+
+def test_tally_parts_add_up():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 50, 4000)
+    tally, total = toxicity._Tally(), Counter()
+    for i, part in enumerate(np.array_split(keys, 40)):
+        tally.add(part)
+        if i % 7 == 6:  # given away in parts, as the gathering does beyond HELD_KEYS
+            total.update(dict(zip(*(x.tolist() for x in tally.take()))))
+            assert tally.held == 0
+    total.update(dict(zip(*(x.tolist() for x in tally.take()))))
+    assert total == Counter(keys.tolist())
+    assert [len(x) for x in tally.take()] == [0, 0]
+
+
+def test_shared_counts_are_written_as_longs():
+    rows = list(toxicity._rows(2, np.arange(70_000), np.full(70_000, 2**32 - 1, np.uint32)))
+    assert [r.num_rows for r in rows] == [1 << 16, 70_000 - (1 << 16)]
+    assert rows[1].column(2).to_pylist()[-1] == 2**32 - 1
+
+
+def test_lean_passes_batches_on():
+    assert list(common.lean(lambda batches: (b * 2 for b in batches))(iter([1, 2, 3]))) == [2, 4, 6]
