@@ -32,8 +32,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")),
-                           F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit((1 << 40) - 1)))).first())
+    """Row count and hash sums; decimals, as a sum of longs overflows on large tables."""
+    wide = "decimal(28,0)"
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast(wide)),
+                           F.sum(F.xxhash64("v", "u").cast(wide))).first())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
