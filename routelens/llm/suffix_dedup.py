@@ -216,6 +216,8 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
 
 def _anchor_blobs(width: int, buckets: int):
     """Per batch and bucket the anchors with the text they stand in; those of several texts are marked."""
+    if buckets > MAX_BUCKETS:
+        raise ValueError(f"at most {MAX_BUCKETS} buckets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
@@ -226,11 +228,12 @@ def _anchor_blobs(width: int, buckets: int):
             for lo, _, data, offsets in text_slices(batch, "text"):
                 text, _, _, code = _runs(data, offsets, width, buckets)
                 mine = fresh[lo + text]
-                keys.append(np.unique(code[mine] << 14 | lo + text[mine]))
+                # 18 bits of bucket, 32 of code and 14 of row: all 64, hence unsigned
+                keys.append(np.unique(code[mine].astype(U) << U(14) | (lo + text[mine]).astype(U)))
             if not keys:
                 continue
             keys = np.sort(np.concatenate(keys))
-            code, text = keys >> 14, keys & (1 << 14) - 1
+            code, text = (keys >> U(14)).astype(np.int64), (keys & U(BATCH_ROWS - 1)).astype(np.int64)
             first = np.concatenate(([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, bool)
             several = ~(first & np.concatenate((first[1:], [True]))) if len(code) else first
             cut = np.searchsorted(code, np.arange(buckets + 1) << 32)
