@@ -3,18 +3,20 @@
 Texts are read as symbols of a 64-letter alphabet (a-z, digit, separator, classes of UTF-8 bytes).
 Each class, toxic and ordinary, has an interpolated model whose top order predicts a symbol from the
 five before it; what a class has not seen often backs off, by absolute discounting, to lower orders
-that both classes share: four-symbol counts over all documents, then Kneser-Ney continuation counts
-(how many different symbols precede) of three and two.  For an expression neither class knows, both models thus give
-the same shared probability and the comparison stays near zero.
+that both classes share: five-symbol counts over all documents, then Kneser-Ney continuation counts
+(how many different symbols precede) of four, three and two.  For an expression neither class knows,
+both models thus give the same shared probability and the comparison stays near zero.
 
 A document's features are the length-normalised difference of the two log-likelihoods (their mean
 over its symbols) and the largest difference over a short stretch of it; a logistic curve over them,
 fitted on labelled rows the models have not seen, is the score.
 
-Sizes: contexts of the top order are hashed to ``CONTEXT_BITS`` bits, so the table of log-ratios is
-2^(CONTEXT_BITS + 6) bytes whatever the corpus, and that is what is broadcast.  The classifier is
-fitted on at most ``rows_per_class`` labelled rows of each class (those with the smallest id
-hashes); the shared counts are taken over all documents and grow with them.
+Sizes: classes are counted over all labelled rows that are neither held out nor kept for the curve,
+shared counts over all documents.  All counts are keyed by the exact symbols, and the model is a table
+of contexts that grows with them.  Texts are scored in units of about ``UNIT_BYTES``: a unit asks for
+its distinct contexts, they are joined with the model (a context that many units ask for is a skewed
+join key, which AQE splits) and the answers meet the unit again.  The curve has four parameters and is
+fitted on at most ``rows_per_class`` rows of each class (those with the smallest id hashes).
 
 Defined cases: null text is empty; an empty text has features 0 and gets the curve's value there;
 a null id is scored (not held out) but never a label; conflicting labels of one id count as toxic;
@@ -24,7 +26,8 @@ labels (0 without labels); repeated rows are scored each; other columns are igno
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import secrets
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,14 +37,15 @@ from pyspark.sql import functions as F
 
 from .common import keyed_texts, lean, stage, text_slices
 
-CONTEXT_BITS = 18
 SCALE = 16          # log-ratios are stored in sixteenths
 WINDOW = 8          # symbols of the short stretch
 DISCOUNT = 0.75
 PAD = 5
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 ROWS_PER_CLASS = 50_000
-HELD_KEYS = 1 << 20  # class cells held before they are given to the shuffle
+HELD_KEYS = 1 << 20  # counts held before they are given to the shuffle
+UNIT_BYTES = 16 << 20
+FIVE = (1 << 30) - 1  # the last five symbols of a cell
 
 # symbol classes: 0 separator, 1-26 letters, 27 digit, 28-31 lead bytes, 32-63 continuation bytes
 _SYMBOL = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if 48 <= b <= 57 else
@@ -61,16 +65,21 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, offsets[:-1] + PAD * np.arange(1, n + 1)
 
 
-def codes(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For positions PAD.. : the hashed top-order cell and the exact code of the last four symbols."""
+def codes(sym: np.ndarray) -> np.ndarray:
+    """For positions PAD.. : the exact code of the symbol and the five before it, 36 bits."""
     n = len(sym) - PAD
-    ctx = np.zeros(n, np.int64)
-    for j in range(PAD):
-        ctx = ctx << 6 | sym[j:j + n]
-    four = (ctx & (1 << 18) - 1) << 6 | sym[PAD:]
-    spread = ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    cell = (spread >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64) << 6 | sym[PAD:]
-    return cell, four
+    code = np.zeros(n, np.int64)
+    for j in range(PAD + 1):
+        code = code << 6 | sym[j:j + n]
+    return code
+
+
+def _cells(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The codes of all symbols of a slice, text after text, without those of the padding."""
+    sym, begin = symbols(data, offsets)
+    own = np.ones(len(sym) - PAD, bool)
+    own[(begin[1:, None] - 2 * PAD + np.arange(PAD)).ravel()] = False  # padding is context only
+    return codes(sym)[own]
 
 
 def _counted(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,56 +117,46 @@ def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.Record
             [pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
 
 
-def _gather(docs: DataFrame, sample_ids: np.ndarray, sample_toxic: np.ndarray) -> DataFrame:
-    """(kind, key, n): kind 2 shared four-symbol counts of all documents, 0 and 1 cells of the two classes.
+def _gather(texts: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(kind, key, n): kind 2 five-symbol counts of all documents, 0 and 1 six-symbol counts of the two classes."""
 
-    A class key is the cell followed by the 24 bits of the four-symbol code.
-    """
+    def give(kind: int, tally: _Tally) -> Iterator[pa.RecordBatch]:
+        k, n = tally.take()
+        if len(k) > HELD_KEYS // 2:
+            yield from _rows(kind, k, n)
+        else:  # mostly repeats: the sums are held on
+            tally.keys, tally.sums, tally.held = [k], [n], len(k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, seen = np.zeros(1 << 24, np.uint32), 0
-        classes = _Tally(), _Tally()
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch, "text"):
+                tally.add(_cells(data, offsets) & FIVE)
+                if tally.held > HELD_KEYS:
+                    yield from give(2, tally)
+        yield from _rows(2, *tally.take())
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = _Tally(), _Tally()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            toxic = batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in text_slices(batch, "text"):
-                if not len(data):
-                    continue
-                sym, begin = symbols(data, offsets)
-                cell, four = codes(sym)
-                own = np.ones(len(cell), bool)
-                for j in range(PAD):  # padding is context only
-                    own[begin[1:] - PAD - 1 - j] = False
-                if seen + len(four) >= 1 << 32:  # before a count could overflow
-                    found = np.flatnonzero(shared)
-                    yield from _rows(2, found, shared[found])
-                    shared[:], seen = 0, 0
-                np.add.at(shared, four[own], 1)
-                seen += len(four)
-                here = np.nan_to_num(ids[lo:hi], nan=-1).astype(np.int64)
-                at = np.searchsorted(sample_ids, here)
-                hit = (at < len(sample_ids)) & (sample_ids[np.minimum(at, len(sample_ids) - 1)] == here) \
-                    if len(sample_ids) else np.zeros(len(here), bool)
-                if batch.column(0).null_count:
-                    hit &= ~np.isnan(ids[lo:hi])
-                for k in np.flatnonzero(hit):
-                    part = slice(begin[k] - PAD, begin[k] - PAD + offsets[k + 1] - offsets[k])
-                    classes[int(sample_toxic[at[k]])].keys.append(cell[part] << 24 | four[part])
-                for kind, tally in enumerate(classes):
-                    if pending := [x for x in tally.keys[len(tally.sums):]]:
-                        del tally.keys[len(tally.sums):]
-                        tally.add(np.concatenate(pending))
+                cells, of = _cells(data, offsets), np.repeat(toxic[lo:hi], np.diff(offsets))
+                for kind, tally in enumerate(tallies):
+                    tally.add(cells[of == bool(kind)])
                     if tally.held > HELD_KEYS:
-                        yield from _rows(kind, *tally.take())
-        found = np.flatnonzero(shared)
-        for kind, (k, n) in ((2, (found, shared[found])), (0, classes[0].take()), (1, classes[1].take())):
-            yield from _rows(kind, k, n)
+                        yield from give(kind, tally)
+        for kind, tally in enumerate(tallies):
+            yield from _rows(kind, *tally.take())
 
-    counted = docs.mapInArrow(lean(run), "kind int, key long, n long")
+    rows = "kind int, key long, n long"
+    counted = texts.select("text").mapInArrow(lean(shared), rows).unionByName(
+        texts.join(labelled, "doc_id").select("text", "toxic").mapInArrow(lean(classes), rows))
     return stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "toxicity-counts")
 
 
 def _shared_model(counts: DataFrame) -> DataFrame:
-    """(four, p): the interpolated probability of the last symbol of each seen four-symbol code."""
+    """(five, p5): the interpolated probability of the last symbol of each seen five-symbol code."""
     d = F.lit(DISCOUNT)
 
     def smoothed(df: DataFrame, n: str, ctx: Column, lower: str) -> Column:
@@ -165,7 +164,8 @@ def _shared_model(counts: DataFrame) -> DataFrame:
         total, kinds = F.sum(n).over(w), F.count(F.lit(1)).over(w)
         return F.greatest(F.col(n) - d, F.lit(0.0)) / total + d * kinds / total * F.col(lower)
 
-    four = counts.where("kind = 2").select(F.col("key").alias("four"), "n")
+    five = counts.where("kind = 2").select(F.col("key").alias("five"), "n")
+    four = five.groupBy(F.col("five").bitwiseAND(F.lit((1 << 24) - 1)).alias("four")).agg(F.count(F.lit(1)).alias("n4"))
     three = four.groupBy(F.col("four").bitwiseAND(F.lit((1 << 18) - 1)).alias("three")).agg(F.count(F.lit(1)).alias("a"))
     two = three.groupBy(F.col("three").bitwiseAND(F.lit((1 << 12) - 1)).alias("two")).agg(F.count(F.lit(1)).alias("b"))
     one = two.groupBy(F.col("two").bitwiseAND(F.lit(63)).alias("one")).agg(F.count(F.lit(1)).alias("c"))
@@ -175,16 +175,18 @@ def _shared_model(counts: DataFrame) -> DataFrame:
     three = three.withColumn("two", F.col("three").bitwiseAND(F.lit((1 << 12) - 1))).join(two, "two")
     three = three.select("three", smoothed(three, "a", F.shiftright("three", 6), "p2").alias("p3"))
     four = four.withColumn("three", F.col("four").bitwiseAND(F.lit((1 << 18) - 1))).join(three, "three")
-    return four.select("four", smoothed(four, "n", F.shiftright("four", 6), "p3").alias("p4"))
+    four = four.select("four", smoothed(four, "n4", F.shiftright("four", 6), "p3").alias("p4"))
+    five = five.withColumn("four", F.col("five").bitwiseAND(F.lit((1 << 24) - 1))).join(four, "four")
+    return five.select("five", smoothed(five, "n", F.shiftright("five", 6), "p4").alias("p5"))
 
 
-def _log_ratios(counts: DataFrame) -> np.ndarray:
-    """The table of quantised log-ratios by cell: 2^(CONTEXT_BITS + 6) bytes, the model's proven bound."""
-    cells = (counts.where("kind < 2").groupBy(F.shiftright("key", 24).alias("cell"))
+def _log_ratios(counts: DataFrame) -> DataFrame:
+    """(ctx, unseen, cells): per context the quantised log-ratio of a symbol neither class has seen there,
+    and of the others symbol << 8 | log-ratio + 128."""
+    cells = (counts.where("kind < 2").groupBy("key")
              .agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("t"),
-                  F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("o"),
-                  F.max(F.col("key").bitwiseAND(F.lit((1 << 24) - 1))).alias("four")))
-    cells = cells.withColumn("ctx", F.shiftright("cell", 6))
+                  F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("o")))
+    cells = cells.withColumns({"ctx": F.shiftright("key", 6), "five": F.col("key").bitwiseAND(F.lit(FIVE))})
     w = Window.partitionBy("ctx")
 
     def back(n: str) -> tuple[Column, Column]:
@@ -195,40 +197,116 @@ def _log_ratios(counts: DataFrame) -> np.ndarray:
     (all_t, back_t), (all_o, back_o) = back("t"), back("o")
     cells = cells.withColumns({"all_t": all_t, "back_t": back_t, "all_o": all_o, "back_o": back_o})
     own = lambda n: F.when(F.col(f"all_{n}") > 0, F.greatest(F.col(n) - F.lit(DISCOUNT), F.lit(0.0)) / F.col(f"all_{n}")).otherwise(0.0)
-    ratio = F.log((own("t") + F.col("back_t") * F.col("p4")) / (own("o") + F.col("back_o") * F.col("p4")))
+    ratio = F.log((own("t") + F.col("back_t") * F.col("p5")) / (own("o") + F.col("back_o") * F.col("p5")))
     step = lambda c: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(c * SCALE))).cast("int")
-    priced = cells.join(_shared_model(counts), "four").select(
-        F.col("cell").cast("int").alias("cell"), step(ratio).alias("q"),
-        step(F.log(F.col("back_t") / F.col("back_o"))).alias("unseen"))
-    table = np.zeros((1 << CONTEXT_BITS, 64), np.int8)
-    rows = priced.toArrow()
-    cell, q, unseen = (rows.column(i).to_numpy() for i in range(3))
-    table[cell >> 6] = unseen[:, None]
-    table.reshape(-1)[cell] = q
-    return table.reshape(-1)
-
-
-def features(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    code = F.col("key").bitwiseAND(F.lit(63)) * 256 + step(ratio) + 128
+    priced = cells.join(_shared_model(counts), "five").groupBy("ctx").agg(
+        F.max(step(F.log(F.col("back_t") / F.col("back_o")))).cast("byte").alias("unseen"),
+        F.sort_array(F.collect_list(code.cast("short"))).alias("cells"))
+    return stage(priced, "toxicity-model")
+
+
+class _Known:
+    """The part of the model that a unit asked for."""
+
+    def __init__(self, answers: pa.StructScalar | None):
+        found = answers.values if answers is not None and answers.is_valid else None
+        if found is None or not len(found):
+            self.ctx = self.key = np.zeros(0, np.int64)
+            return
+        ctx, unseen, cells = found.flatten()
+        ctx = ctx.to_numpy()
+        symbol = cells.flatten().to_numpy().astype(np.int64)
+        key = np.repeat(ctx, pa.compute.list_value_length(cells).to_numpy()) << 6 | symbol >> 8
+        self.ctx, at = np.unique(ctx, return_index=True)
+        self.unseen = unseen.to_numpy()[at].astype(np.int64)
+        self.key, at = np.unique(key, return_index=True)
+        self.q = (symbol[at] & 255) - 128
+
+    def ratios(self, cells: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(cells), np.int64)
+        if not len(self.ctx):
+            return out
+        at = np.minimum(np.searchsorted(self.key, cells), len(self.key) - 1)
+        hit = self.key[at] == cells
+        out[hit] = self.q[at[hit]]
+        rest = np.flatnonzero(~hit)
+        at = np.minimum(np.searchsorted(self.ctx, cells[rest] >> 6), len(self.ctx) - 1)
+        hit = self.ctx[at] == cells[rest] >> 6
+        out[rest[hit]] = self.unseen[at[hit]]
+        return out
+
+
+def features(known: _Known, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(mean log-ratio, largest mean over WINDOW symbols, log of length) of each text of a slice."""
     n = len(offsets) - 1
     out = np.zeros((n, 3))
-    if not len(data):
-        return out
-    sym, begin = symbols(data, offsets)
-    cell, _ = codes(sym)
-    run = np.zeros(len(cell) + 1, np.int64)
-    np.cumsum(table[cell], out=run[1:], dtype=np.int64)
+    run = np.concatenate(([0], np.cumsum(known.ratios(_cells(data, offsets)))))
     for k in range(n):
-        a = begin[k] - PAD
         size = int(offsets[k + 1] - offsets[k])
         if not size:
             continue
-        r = run[a:a + size + 1]
+        r = run[offsets[k]:offsets[k + 1] + 1]
         m = min(WINDOW, size)
         out[k] = ((r[-1] - r[0]) / size / SCALE, (r[m:] - r[:-m]).max() / WINDOW / SCALE, np.log1p(size))
     return out
 
 
+def _unit_rows(text_col: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[pa.RecordBatch] = []
+        asked, held = np.zeros(0, np.int64), 0
+
+        def unit() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pieces[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+                for piece in pieces:
+                    out.write_batch(piece)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([secrets.randbits(63)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                 pa.array([np.diff(asked, prepend=0).astype(np.uint32).tobytes()], pa.binary())], ["unit", "rows", "asked"])
+
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch, text_col):
+                pieces.append(batch.slice(lo, hi - lo))
+                asked = np.union1d(asked, np.unique(_cells(data, offsets) >> 6))
+                held += len(data)
+                if held >= UNIT_BYTES:
+                    yield unit()
+                    pieces, asked, held = [], np.zeros(0, np.int64), 0
+        if pieces:
+            yield unit()
+
+    return run
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for unit, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            ctx = np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.int64)
+            for i in range(0, len(ctx), 1 << 16):
+                part = ctx[i:i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), unit)), pa.array(part)], ["unit", "ctx"])
+
+
+def _with_features(docs: DataFrame, cells: DataFrame, text_col: str, out: Callable, schema) -> DataFrame:
+    """``out(rows, features)`` of all rows, piece by piece; units of equal number, should there be any, only share answers."""
+    units = stage(docs.mapInArrow(lean(_unit_rows(text_col)), "unit long, rows binary, asked binary"), "toxicity-units")
+    answers = (units.select("unit", "asked").mapInArrow(lean(_asked), "unit long, ctx long").join(cells, "ctx")
+               .groupBy("unit").agg(F.collect_list(F.struct("ctx", "unseen", "cells")).alias("answers")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                known = _Known(batch.column(1)[i])
+                for rows in pa.ipc.open_stream(batch.column(0)[i].as_buffer()):
+                    parts = [features(known, data, offsets) for _, _, data, offsets in text_slices(rows, text_col)]
+                    if parts:
+                        yield out(rows, np.concatenate(parts))
+
+    return units.join(answers, "unit", "left").select("rows", "answers").mapInArrow(lean(run), schema)
+
+
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Newton steps for a lightly penalised logistic curve (bounded sample, three features)."""
     scale = np.maximum(x.std(0), 1e-9)
@@ -244,85 +322,70 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    table: np.ndarray
+    cells: DataFrame
     curve: np.ndarray
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        f = features(self.table, data, offsets)
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] + f @ self.curve[1:], -30, 30)))
+
+def _logistic(curve: np.ndarray, f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] + f @ curve[1:], -30, 30)))
 
 
-def labelled_sample(labels: DataFrame, rows_per_class: int, id_col: str = "doc_id", label_col: str = "toxic") -> tuple:
-    """Sorted ids, labels and folds of at most ``rows_per_class`` rows of each class, none held out."""
-    rows = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
-            .where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def labelled_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """(doc_id, toxic, fold), one row per labelled id, none held out."""
+    return (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
+            .where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
             .withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT))
-    parts = [rows.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
-             for c in (F.col("toxic") > 0, F.col("toxic") <= 0)]
-    got = parts[0].unionByName(parts[1]).toArrow()  # at most 2 * rows_per_class small rows
-    ids, toxic, folds = (got.column(i).to_numpy() for i in range(3))
-    order = np.argsort(ids)
-    return ids[order].astype(np.int64), toxic[order] > 0, folds[order].astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Gather the counts, build the table of log-ratios and fit the curve on the calibration fold."""
     texts = keyed_texts(docs, id_col, text_col)
-    ids, toxic, folds = labelled_sample(labels, rows_per_class, id_col, label_col)
-    lm = folds != CALIBRATION
-    counts = _gather(texts, ids[lm], toxic[lm])
-    table = _log_ratios(counts)
-    base = ToxicityModel(table, np.zeros(4))
-    share = toxic.mean() if len(toxic) else 0.0
-    base.curve[0] = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
-    cal_ids, cal_toxic = ids[~lm], toxic[~lm]
-    if len(set(toxic[lm])) < 2 or len(set(cal_toxic)) < 2:
-        base.table[:] = 0
-        return base
-    shipped = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = pa.array(cal_ids)
-        for batch in batches:
-            batch = batch.filter(pa.compute.is_in(batch.column(0), value_set=wanted))
-            for lo, hi, data, offsets in text_slices(batch, "text"):
-                f = features(shipped.value, data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), *(pa.array(c) for c in f.T)], ["doc_id", "f0", "f1", "f2"])
-
-    got = texts.mapInArrow(lean(run), "doc_id long, f0 double, f1 double, f2 double").toArrow()  # rows of the bounded sample
-    at = np.searchsorted(cal_ids, got.column(0).to_numpy())
-    x = np.column_stack([got.column(i).to_numpy() for i in (1, 2, 3)])
-    if len(x) and len(set(y := cal_toxic[at])) == 2:
+    # staged, so that a small table of labels is seen to be small and the texts are not shuffled to it
+    rows = stage(labelled_rows(labels, id_col, label_col), "toxicity-labels")
+    sizes = {(r.cal, r.toxic): r.n for r in rows.groupBy((F.col("fold") == CALIBRATION).alias("cal"), "toxic")
+             .agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
+    curve, total = np.zeros(4), sum(sizes.values())
+    share = sum(n for (_, toxic), n in sizes.items() if toxic) / max(total, 1)
+    curve[0] = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
+    if len(sizes) < 4:  # a class is missing on one of the sides
+        none = docs.sparkSession.createDataFrame([], "ctx long, unseen byte, cells array<short>")
+        return ToxicityModel(none, curve)
+    cells = _log_ratios(_gather(texts, rows.where(F.col("fold") != CALIBRATION).select("doc_id", "toxic")))
+    kept = rows.where(F.col("fold") == CALIBRATION)
+    parts = [kept.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in ("toxic", "not toxic")]
+    sample = parts[0].unionByName(parts[1]).select("doc_id", "toxic")  # at most 2 * rows_per_class small rows
+
+    def out(batch: pa.RecordBatch, f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c) for c in f.T)], ["doc_id", "toxic", "f0", "f1", "f2"])
+
+    got = _with_features(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text"), cells, "text", out,
+                         "doc_id long, toxic boolean, f0 double, f1 double, f2 double").toArrow()  # rows of the bounded sample
+    x = np.column_stack([got.column(i).to_numpy() for i in (2, 3, 4)])
+    y = got.column(1).to_numpy().astype(float)
+    if len(set(y)) == 2:
         order = np.lexsort((*x.T, got.column(0).to_numpy()))
-        base.curve = _fit_logistic(x[order], y[order].astype(float))
-    return base
+        curve = _fit_logistic(x[order], y[order])
+    return ToxicityModel(cells, curve)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document, scored where it is read: no shuffle."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, held_out, score, predicted) of every document."""
+    curve = model.curve
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(shipped.value.scores(data, offsets))], ["doc_id", "score"])
+    def out(batch: pa.RecordBatch, f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(_logistic(curve, f))], ["doc_id", "score"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double").select(
+    return _with_features(keyed_texts(docs, id_col, text_col), model.cells, "text", out, "doc_id long, score double").select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_ordinary(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they are."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    curve = model.curve
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [shipped.value.scores(data, offsets) < 0.5 for _, _, data, offsets in text_slices(batch, text_col)]
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+    def out(batch: pa.RecordBatch, f: np.ndarray) -> pa.RecordBatch:
+        return batch.filter(pa.array(_logistic(curve, f) < 0.5))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return _with_features(docs, model.cells, text_col, out, docs.schema)
