@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelens.operators.ordered import blocked_rank, needs_blocks
+from routelens.operators.ordered import blocked_rank, join_per_key
 
 
 def message_chars(text: Column, parts: Column | None = None) -> Column:
@@ -43,7 +43,7 @@ def call_table(calls: DataFrame) -> DataFrame:
     Numbering is a blocked rank (see ``ordered``), so a run with a huge number of
     calls is not sorted in a single task.
     """
-    ranked = blocked_rank(calls, ["run_id"], "seq", "n", check=True)
+    ranked = blocked_rank(calls, ["run_id"], "seq", "n")
     rows = ranked.select("run_id", F.col("n").cast("int").alias("n"), "agent",
                          F.regexp_extract("target_file", "([^/]*)$", 1).alias("file"),
                          "input_chars", "output_chars", "duration_ms")
@@ -123,36 +123,23 @@ def stall_detect(events: DataFrame, run: str, order: str, hash_col: str, repeat:
     position inside an island comes from the island's first turn. The warning
     fires at position ``repeat``; the run stops ``grace`` turns later.
     """
-    if not needs_blocks(events, [run]):
-        return _stall_detect_window(events, run, order, hash_col, repeat, grace)
     blk = F.floor(F.col(order) / F.lit(width)).cast("long")
     d = events.select(run, order, hash_col).withColumn("__blk", blk)
-    per = d.groupBy(run, "__blk").agg(F.count(F.lit(1)).alias("__n"), F.max_by(hash_col, order).alias("__last"))
+    per = d.groupBy(run, "__blk").agg(F.count(F.lit(1)).alias("__n"), F.max_by(hash_col, F.struct(order)).alias("__last"))
     wb = Window.partitionBy(run).orderBy("__blk")
     per = per.select(run, "__blk", F.coalesce(F.sum("__n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
                      F.lag("__last").over(wb).alias("__pblk"))
     w = Window.partitionBy(run, "__blk").orderBy(order)
-    e = d.join(per, [run, "__blk"])
+    e = join_per_key(d, per, [run, "__blk"])
     e = e.select(run, order, hash_col, "__blk", (F.row_number().over(w) + F.col("__off")).alias("turn"),
-                 F.coalesce(F.lag(hash_col).over(w), F.col("__pblk")).alias("__prev"))
+                 F.when(F.row_number().over(w) == 1, F.col("__pblk")).otherwise(F.lag(hash_col).over(w)).alias("__prev"))
     e = e.withColumn("chg", F.when(F.col("__prev") == F.col(hash_col), 0).otherwise(1))
     sums = e.groupBy(run, "__blk").agg(F.sum("chg").alias("__c"))
     sums = sums.select(run, "__blk", F.coalesce(F.sum("__c").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__coff"))
-    e = e.join(sums, [run, "__blk"]).withColumn(
+    e = join_per_key(e, sums, [run, "__blk"]).withColumn(
         "island", F.sum("chg").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__coff"))
     start = e.groupBy(run, "island").agg(F.min("turn").alias("__start"))
-    e = e.join(start, [run, "island"]).withColumn("k", F.col("turn") - F.col("__start") + 1)
-    warn = e.where(F.col("k") == repeat).groupBy(run).agg(F.min("turn").alias("warn_turn"))
-    return warn.withColumn("stop_turn", F.col("warn_turn") + grace)
-
-
-def _stall_detect_window(events: DataFrame, run: str, order: str, hash_col: str, repeat: int, grace: int) -> DataFrame:
-    """The plain-window form of L15, used when every run is below the checked size bound."""
-    w = Window.partitionBy(run).orderBy(order)
-    e = events.withColumn("turn", F.row_number().over(w))
-    e = e.withColumn("chg", F.when(F.lag(hash_col).over(w) == F.col(hash_col), 0).otherwise(1))
-    e = e.withColumn("island", F.sum("chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("k", F.row_number().over(Window.partitionBy(run, "island").orderBy(order)))
+    e = join_per_key(e, start, [run, "island"]).withColumn("k", F.col("turn") - F.col("__start") + 1)
     warn = e.where(F.col("k") == repeat).groupBy(run).agg(F.min("turn").alias("warn_turn"))
     return warn.withColumn("stop_turn", F.col("warn_turn") + grace)
 

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from routelens.operators.ordered import blocked_rank
+from routelens.operators.ordered import blocked_rank, join_per_key
 from routelens.session import checkpoint_dir
 
 # Fixed values of this binding: event kind -> job status and progress role.
@@ -69,7 +69,7 @@ def log_tail(progress: DataFrame) -> DataFrame:
     """ST3 batch twin: log length, retained tail length and the first retained seq."""
     n = progress.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_log"))
     # rank from the end = n - rank from the start + 1 (blocked rank: no per-job sort in one task)
-    r = blocked_rank(progress.select("job_id", "seq"), ["job_id"], "seq", "rk_asc", check=True).join(n, "job_id")
+    r = join_per_key(blocked_rank(progress.select("job_id", "seq"), ["job_id"], "seq", "rk_asc"), n, ["job_id"])
     r = r.withColumn("rk", F.col("n_log") - F.col("rk_asc") + 1)
     kept = r.where(F.col("rk") <= log_tail_len(F.col("n_log")))
     return kept.groupBy("job_id", "n_log").agg(F.count(F.lit(1)).alias("tail_len"), F.min("seq").alias("first_kept_seq"))
