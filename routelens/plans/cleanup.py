@@ -10,7 +10,7 @@ from routelens.operators import spec as A
 from routelens.plans.catalog import query
 from routelens.plans.discovery import SQL_SERVER, doc_server
 from routelens.plans.hints import _inlist
-from routelens.plans.schema import SQL_KEPT, SQL_NODES, SQL_OPS, event_ops, kept_ops, nodes
+from routelens.plans.schema import SQL_KEPT, SQL_NODES, SQL_OP_IDS, SQL_OPS, event_ops, kept_ops, nodes
 from routelens.sources.tables import table
 
 REF = "#/components/schemas/"
@@ -377,11 +377,7 @@ def assembled(spark, sf_dir):
 
 @query("assemble", sql=f"""
 WITH k AS {SQL_KEPT},
-a AS (SELECT *, count(*) OVER (PARTITION BY repo_id, operation_id) AS n FROM k),
-b AS (SELECT *, CASE WHEN n > 1 THEN (CASE WHEN coalesce(tag, '') <> '' THEN tag ELSE regexp_replace(regexp_replace(path, '[{{}}]', '', 'g'),
-        '[^A-Za-z0-9]+', '_', 'g') END) || '_' || operation_id ELSE operation_id END AS id1 FROM a),
-c AS (SELECT *, row_number() OVER (PARTITION BY repo_id, id1 ORDER BY file_ord, ep_ord) AS kk FROM b),
-ids AS (SELECT *, CASE WHEN n > 1 AND kk > 1 THEN id1 || '_' || substr(md5(path || ':' || method), 1, 6) ELSE id1 END AS op_id FROM c),
+ids AS (SELECT * FROM {SQL_OP_IDS}),
 r0 AS (SELECT r.event_id, r.i, r.code FROM (SELECT event_id, 0 AS i, '200' AS code FROM k
         UNION ALL SELECT event_id, 1, '404' FROM k WHERE k > 50 UNION ALL SELECT event_id, 2, '200' FROM k WHERE k % 10 = 0) r
       WHERE NOT EXISTS (SELECT 1 FROM (SELECT event_id, 1 AS i, '404' AS code FROM k WHERE k > 50

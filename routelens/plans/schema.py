@@ -131,13 +131,16 @@ SELECT * EXCLUDE (rn), n_seen FROM (SELECT *, row_number() OVER (PARTITION BY re
       count(*) OVER (PARTITION BY repo_id, path, method) AS n_seen FROM c) WHERE rn = 1)"""
 
 
-@query("operation_id_dedup", sql=f"""
-WITH k AS {SQL_KEPT},
+# F13 over the kept operations; the assembled description shares it
+SQL_OP_IDS = f"""(WITH k AS {SQL_KEPT},
 a AS (SELECT *, count(*) OVER (PARTITION BY repo_id, operation_id) AS n FROM k),
 b AS (SELECT *, CASE WHEN n > 1 THEN (CASE WHEN coalesce(tag, '') <> '' THEN tag
         ELSE replace(trim(path, '/'), '/', '_') END) || '_' || operation_id ELSE operation_id END AS id1 FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY repo_id, operation_id, id1 ORDER BY file_ord, ep_ord) AS kk FROM b)
-SELECT repo_id, path, method, CASE WHEN n > 1 AND kk > 1 THEN id1 || '_' || substr(md5(path || ':' || method), 1, 6) ELSE id1 END AS operation_id FROM c""")
+SELECT *, CASE WHEN n > 1 AND kk > 1 THEN id1 || '_' || substr(md5(path || ':' || method), 1, 6) ELSE id1 END AS op_id FROM c)"""
+
+
+@query("operation_id_dedup", sql=f"SELECT repo_id, path, method, op_id AS operation_id FROM {SQL_OP_IDS}")
 def q_operation_id_dedup(spark, sf_dir):
     """after A7/A8, unique operation ids (tag prefix, then an md5 suffix)."""
     d = A.operation_id_dedup(kept_ops(spark, sf_dir))
