@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, embed_dedup, license_scan, minhash_dedup, mixing, packing, suffix_dedup, token_files,
-               topk, toxicity)
+from . import (chat_format, chat_repair, embed_dedup, language_id, license_scan, minhash_dedup, mixing, packing,
+               prefix_trie, suffix_dedup, token_files, topk, toxicity)
 from .tokens import vocabulary_path
 
 WINDOW_TOKENS, PACK_END, FILE_END = 2048, 1, 0
@@ -82,6 +82,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, **MIX).select(*docs.columns, "mix_count", "mix_copy", "mix_order")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.node_report(_table(spark, sf_dir, "conversations"), every=20, most=3)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged and repaired with the least edits."""
+    return chat_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -184,11 +200,87 @@ FROM documents d JOIN n ON n.doc_id = d.doc_id
      JOIN (SELECT doc_id, unnest(range(1, mix_count + 1)) AS copy FROM n) x ON x.doc_id = d.doc_id
 """
 
+# the table of CRC-32 (reflected polynomial 0xEDB88320) and, per string, its checksum as an unsigned number
+_CRC_TABLE = """(SELECT list(list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, b)
+                            ORDER BY b) AS crc FROM (SELECT unnest(range(256)) AS b))"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of ASCII text, with ``_CRC_TABLE`` in scope."""
+    return (f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), "
+            "lambda h, c: xor(h >> 8, crc[xor(h & 255, c) + 1]), 4294967295), 4294967295)")
+
+
+SQL["op11_prefix_trie"] = rf"""
+WITH own AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+             FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc('conv_id::VARCHAR')} % 4 AS h
+        FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), {_CRC_TABLE}),
+turns AS (SELECT i.conv_id, 0 AS part, o.pos, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.base AND o.pos <= i.h
+          UNION ALL SELECT i.conv_id, 1, o.pos, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.pos > i.h),
+seqs AS (SELECT i.conv_id, coalesce(t.seq, []) AS seq FROM ids i LEFT JOIN
+         (SELECT conv_id, list(length(role) || ':' || role || text ORDER BY part, pos) AS seq FROM turns GROUP BY 1) t USING (conv_id)),
+prefixes AS (SELECT conv_id, d, seq[1:d] AS p, len(seq) = d AS ends FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM seqs)),
+nodes AS (SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY p),
+valued AS (SELECT *, p[1:depth - 1] AS parent, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(
+           substr(p[-1], strpos(p[-1], ':') + 1 + split_part(p[-1], ':', 1)::BIGINT), '[^ 	-]+')) END AS saved FROM nodes),
+kids AS (SELECT parent AS p, count(*) AS n FROM valued WHERE depth > 0 GROUP BY 1),
+below AS (SELECT p[1:i] AS p, sum(saved) AS saved, count(*) FILTER (childless) AS n_leaves
+          FROM (SELECT v.p, v.saved, k.n IS NULL AS childless, unnest(range(0, v.depth + 1)) AS i FROM valued v LEFT JOIN kids k ON v.p = k.p) GROUP BY 1)
+SELECT v.conv_id, v.depth::BIGINT AS depth, CASE WHEN v.depth > 0 THEN up.conv_id END AS parent_conv_id, v.n_convs,
+       coalesce(k.n, 0)::BIGINT AS n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN below b ON b.p = v.p LEFT JOIN kids k ON k.p = v.p LEFT JOIN nodes up ON up.p = v.parent
+"""
+
+# the edits of one row: from state (0 nothing yet, 1 after s, 2 after u, 3 after a) to state; insertions first
+SQL["op13_chat_repair"] = rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, {_CRC_TABLE}),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+         FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM raw WHERE kind <> 0)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+                  right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM hurt),
+marked AS (SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS prev,
+             CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                  WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (pos > 1 AND prev || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+          (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']), (3, 2, 5, 'I', ['user:']),
+          (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:']), (2, 2, 10, 'II', ['assistant:', 'user:']),
+          (3, 3, 10, 'II', ['user:', 'assistant:'])) t(s0, s1, c, a, o)),
+step AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) t(s1, i, s2)),
+ways AS (SELECT m.conv_id, m.pos, ins.s0, ins.s1 AS s2, ins.c + 2 AS c, ins.a || 'D' AS a, ins.o FROM marked m, ins
+         UNION ALL SELECT m.conv_id, m.pos, ins.s0, step.s2, ins.c + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, ins.a || 'K',
+                list_append(ins.o, m.role || ':' || m.text) FROM marked m, ins JOIN step USING (s1) WHERE step.i = m.initial AND fault IN ('', 'truncated')
+         UNION ALL SELECT m.conv_id, m.pos, ins.s0, step.s2, ins.c + 1 + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, ins.a || 'R',
+                list_append(ins.o, CASE step.i WHEN 'u' THEN 'user:' ELSE 'assistant:' END || m.text)
+                FROM marked m, ins JOIN step USING (s1) WHERE step.i <> 's' AND fault IN ('', 'truncated')),
+least AS (SELECT conv_id, pos, s0, s2, min(struct_pack(c := c, a := a, o := o)) AS w FROM ways GROUP BY ALL),
+path AS (SELECT conv_id, 0::BIGINT AS pos, 0 AS s, struct_pack(c := 0, a := '', o := []::VARCHAR[]) AS w FROM counts
+         UNION ALL
+         SELECT p.conv_id, p.pos + 1, l.s2, min(struct_pack(c := p.w.c + l.w.c, a := p.w.a || l.w.a, o := list_concat(p.w.o, l.w.o)))
+         FROM path p JOIN least l ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.pos = p.pos + 1 AND l.s0 = p.s GROUP BY 1, 2, 3),
+ended AS (SELECT p.conv_id, min(struct_pack(c := p.w.c + t.c, a := p.w.a || t.a, o := list_concat(p.w.o, t.o))) AS w
+          FROM path p JOIN counts n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.n = p.pos
+          JOIN (VALUES (0, 0, '', []), (1, 10, 'II', ['user:', 'assistant:']), (2, 5, 'I', ['assistant:']), (3, 0, '', [])) t(s, c, a, o) ON t.s = p.s
+          GROUP BY p.conv_id)
+SELECT i.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+       coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, coalesce(e.w.c, 0)::BIGINT AS cost, coalesce(e.w.a, '') AS audit,
+       sha256(coalesce(array_to_string(e.w.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM i.conv_id
+     LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_license_scan, op3_chat_format, op4_topk, op5_embedding_dedup,
                                     op6_suffix_dedup, op7_toxicity, op8_token_files, op9_minhash_dedup, op10_mixing,
-                                    pipeline)}
+                                    op11_prefix_trie, op12_language_id, op13_chat_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
