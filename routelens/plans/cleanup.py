@@ -16,18 +16,6 @@ from routelens.sources.tables import table
 REF = "#/components/schemas/"
 
 
-@query("fix_leaked_hint", sql=f"""
-SELECT event_id, '{{"$ref":"{REF}' || upper(event_type[1]) || event_type[2:] || 'In"}}' AS fixed
-FROM (SELECT n.event_id, n.k, n.type, n.ref, e.event_type FROM {SQL_NODES} n JOIN events e USING (event_id))
-WHERE k % 11 = 0 AND type = '' AND ref IS NULL""")
-def q_fix_leaked_hint(spark, sf_dir):
-    """a node holding a raw ref hint and neither type nor ``$ref`` becomes a ``$ref``."""
-    n = nodes(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
-    leaked = (F.col("k") % 11 == 0) & (F.col("type") == "") & F.col("ref").isNull()
-    hint = F.concat(F.initcap("event_type"), F.lit("In"))
-    return n.where(leaked).select("event_id", F.concat(F.lit('{"$ref":"' + REF), hint, F.lit('"}')).alias("fixed"))
-
-
 _PRIM_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(T.PRIMITIVE_TYPES.items()))
 REF_WORDS = ("String", "Widget", "Long", "Order", "uuid", "DateTime", "Customer", "IActionResult")
 
@@ -204,31 +192,6 @@ def q_drop_empty_components(spark, sf_dir):
                     ((F.col("ns") == 0) & (F.col("nx") == 0)).alias("drop_components"))
 
 
-FIX_STEPS = ["exclusive_bounds", "strip_empty_required", "string_length_bounds", "array_default_items", "nullable_needs_type"]
-
-
-@query("fix_log", sql=f"""
-WITH n AS {SQL_NODES},
-c AS (SELECT 1 AS step, 'exclusive_bounds' AS fixer, count(*) FILTER (WHERE exclusive_minimum IS NOT NULL) AS n_fixes FROM n
-      UNION ALL SELECT 2, 'strip_empty_required', count(*) FILTER (WHERE n_required = 0) FROM n
-      UNION ALL SELECT 3, 'string_length_bounds', count(*) FILTER (WHERE type = 'string' AND (minimum IS NOT NULL OR maximum IS NOT NULL)) FROM n
-      UNION ALL SELECT 4, 'array_default_items', count(*) FILTER (WHERE type = 'array' AND NOT has_items) FROM n
-      UNION ALL SELECT 5, 'nullable_needs_type', count(*) FILTER (WHERE nullable AND type = '' AND ref IS NULL) FROM n)
-SELECT step, fixer, n_fixes FROM c UNION ALL SELECT 6, 'total', sum(n_fixes) FROM c""")
-def q_fix_log(spark, sf_dir):
-    """number of fixes each clean-up pass applied, in pass order, plus the total."""
-    n = nodes(spark, sf_dir)
-    agg = n.agg(F.count_if(F.col("exclusive_minimum").isNotNull()).alias("exclusive_bounds"),
-                F.count_if(F.col("n_required") == 0).alias("strip_empty_required"),
-                F.count_if((F.col("type") == "string") & (F.col("minimum").isNotNull() | F.col("maximum").isNotNull())).alias("string_length_bounds"),
-                F.count_if((F.col("type") == "array") & ~F.col("has_items")).alias("array_default_items"),
-                F.count_if(F.col("nullable") & (F.col("type") == "") & F.col("ref").isNull()).alias("nullable_needs_type"))
-    stack = ", ".join(f"{i + 1}, '{f}', {f}" for i, f in enumerate(FIX_STEPS))
-    long = agg.select(F.expr(f"stack({len(FIX_STEPS)}, {stack}) AS (step, fixer, n_fixes)"))
-    total = long.agg(F.lit(6).alias("step"), F.lit("total").alias("fixer"), F.sum("n_fixes").alias("n_fixes"))
-    return long.unionByName(total)
-
-
 # ---------------------------------------------------------------- findings
 
 def findings(spark, sf_dir):

@@ -362,12 +362,6 @@ def q_string_length_bounds(spark, sf_dir):
                     F.when(~s, F.col("minimum")).alias("minimum"), F.when(~s, F.col("maximum")).alias("maximum"))
 
 
-@query("array_default_items", sql=f"SELECT event_id FROM {SQL_NODES} WHERE type = 'array' AND NOT has_items")
-def q_array_default_items(spark, sf_dir):
-    """Array nodes without items (they receive string items)."""
-    return nodes(spark, sf_dir).where((F.col("type") == "array") & ~F.col("has_items")).select("event_id")
-
-
 @query("nullable_needs_type", sql=f"""SELECT event_id, CASE WHEN nullable AND type = '' AND ref IS NULL THEN 'object' ELSE type END AS type
   FROM {SQL_NODES}""")
 def q_nullable_needs_type(spark, sf_dir):
