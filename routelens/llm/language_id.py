@@ -8,8 +8,8 @@ labels them; equal neighbours form spans.  The text's language is the one with m
 
 The model is a classifier fitted on a bounded, documented sample of labelled rows: of each language the
 ``rows_per_language`` rows with the smallest id hashes, taken in that order while the texts before them have
-less than ``letters_per_language`` characters; whole texts.  The counting runs as a Spark aggregation; the model is bounded by the
-sample and travels with the tasks.  Scoring reads every text whole, in one pass without a shuffle.
+less than ``letters_per_language`` characters; whole texts.  The counting runs as a Spark aggregation; the
+model is bounded by the sample and travels with the tasks.  Scoring reads every text whole, in one pass without a shuffle.
 
 Paths of all texts of a slice advance together, word by word; the steps of a slice are the words of its
 longest text, its memory follows ``SLICE_BYTES`` or the longest single text.
@@ -42,6 +42,7 @@ LETTERS_PER_LANGUAGE = 8_000_000
 MIN_SHARE = 0.02     # a script counts for a language from this share of its letters
 PENALTY = 12.0       # nats a change of language costs
 WEIGHTS = 0.75, 0.2, 0.05  # of trigram, bigram and letter
+SPLIT = 256          # parts of a language in which the sample's first cut is made
 SLICE_BYTES = 4 << 20
 DENSE = 1 << 22      # up to so many cells trigrams are looked up in a table, beyond by binary search
 OUT = -1e6           # score of a language the script rules out
@@ -111,9 +112,11 @@ def words_of(texts: pa.Array) -> Words:
     points = np.frombuffer("\0".join([*rows, ""]).encode("utf-32-le"), np.uint32)
     kind, script = _alphabet()
     inside = kind[points] > 0
-    of = script[points]
+    of, marks = script[points], kind[points] == 1
+    if marks.any():  # a mark has the script of what it stands on
+        of = of[np.maximum.accumulate(np.where(marks, 0, np.arange(len(points))))]
     prev = np.zeros(len(points), bool)
-    prev[1:] = inside[:-1] & ((of[1:] == of[:-1]) | (kind[points[1:]] == 1))  # a mark goes on with any script
+    prev[1:] = inside[:-1] & (of[1:] == of[:-1])
     begins = inside & ~prev
     at = np.flatnonzero(inside)
     number = np.cumsum(begins)[at] - 1
@@ -149,9 +152,11 @@ def sample(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, letters_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).cast("string").alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "n")
-    ids = (rows.select("doc_id", "lang", F.char_length("text").cast("long").alias("n"))
-           .withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows_per_language))  # a few bytes a row, cut before the shuffle
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("n")]
+    ids = rows.select("doc_id", "lang", F.char_length("text").cast("long").alias("n"))  # a few bytes a row
+    for part in (["lang", F.crc32(F.col("doc_id").cast("string").cast("binary")) % SPLIT], ["lang"]):  # a hot language is cut in parts first
+        ids = ids.withColumn("at", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("at") <= rows_per_language)
+    order = Window.partitionBy("lang").orderBy(*order)
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ids = stage(ids.withColumn("before", before).where(F.col("before") < letters_per_language).select("doc_id", "lang").distinct(),
                 "language-sample")
