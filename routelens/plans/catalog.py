@@ -31,6 +31,20 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+_MADE: dict[tuple[str, str, str], object] = {}
+
+
+def made_once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], object]) -> object:
+    """What ``make`` wrote for this input, made by the first query of an application that asks for it.
+
+    For written intermediate results (staged tables, documents) that several queries read.
+    """
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def _load_all() -> None:
     # import side effect: every plan module registers its queries
     import importlib

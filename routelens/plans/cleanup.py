@@ -195,28 +195,15 @@ def q_drop_empty_components(spark, sf_dir):
 # ---------------------------------------------------------------- findings
 
 def findings(spark, sf_dir):
-    """V1-V7 as one findings table ``(repo_id, rule, severity, subject)``."""
+    """V1 and V3 on the flat rows ``(repo_id, rule, severity, subject)``; the rules on documents are in plans/assembly.py."""
     n = nodes(spark, sf_dir).join(event_ops(spark, sf_dir).select("event_id", "repo_id"), "event_id")
     v1 = n.where((F.col("type") == "array") & ~F.col("has_items")).select(
         "repo_id", F.lit("array_items").alias("rule"), F.lit("error").alias("severity"),
         F.concat(F.lit("#/events/"), F.col("event_id").cast("string"), F.lit("/k")).alias("subject"))
-    k = kept_ops(spark, sf_dir)
-    out = F.concat(F.initcap(F.regexp_extract("path", "^/([a-z]+)s/", 1)), F.lit("Out"))
-    known = ("ViewOut", "ClickOut", "PurchaseOut")
-    v2 = k.select("repo_id", out.alias("subject")).distinct().where(~F.col("subject").isin(*known)).select(
-        "repo_id", F.lit("unresolved_schema").alias("rule"), F.lit("warning").alias("severity"), "subject")
     s, r = case_inputs(spark, sf_dir)
     v3 = s.join(r.select("repo_id", F.col("target").alias("name")), ["repo_id", "name"], "left_anti").select(
         "repo_id", F.lit("unused_schema").alias("rule"), F.lit("warning").alias("severity"), F.col("name").alias("subject"))
-    v4 = A.check_duplicate_paths(event_ops(spark, sf_dir)).select(
-        "repo_id", F.lit("duplicate_paths").alias("rule"), F.lit("warning").alias("severity"), F.col("message").alias("subject"))
-    subj = F.concat(F.upper("method"), F.lit(" "), F.col("path"))
-    v5 = k.where(F.col("security").isNull()).select("repo_id", F.lit("missing_security").alias("rule"), F.lit("warning").alias("severity"), subj.alias("subject"))
-    v6 = k.where(F.col("method").isin("POST", "PUT", "PATCH") & ~F.col("has_body")).select(
-        "repo_id", F.lit("missing_body").alias("rule"), F.lit("warning").alias("severity"), subj.alias("subject"))
-    v7 = q_check_opaque_body(spark, sf_dir).select("repo_id", F.lit("opaque_body").alias("rule"), F.lit("warning").alias("severity"),
-                                                   F.concat(F.upper("method"), F.lit(" "), F.col("path")).alias("subject"))
-    return v1.unionByName(v2).unionByName(v3).unionByName(v4).unionByName(v5).unionByName(v6).unionByName(v7)
+    return v1.unionByName(v3)
 
 
 @query("check_array_items", sql=f"""
@@ -228,14 +215,6 @@ def q_check_array_items(spark, sf_dir):
     return f.select("repo_id", F.col("subject").alias("pointer"), "severity")
 
 
-@query("check_unresolved", sql=f"""
-SELECT DISTINCT repo_id, out_ref AS schema, 'warning' AS severity FROM {SQL_KEPT} WHERE out_ref NOT IN ('ViewOut', 'ClickOut', 'PurchaseOut')""")
-def q_check_unresolved(spark, sf_dir):
-    """V2: referenced schemas that stay unresolved (warning)."""
-    f = findings(spark, sf_dir).where(F.col("rule") == "unresolved_schema")
-    return f.select("repo_id", F.col("subject").alias("schema"), "severity")
-
-
 @query("check_unused", sql="WITH " + SQL_CASE_IN.strip() + """
 SELECT sc.repo_id, sc.name AS schema, 'warning' AS severity FROM sc WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.repo_id = sc.repo_id AND rf.target = sc.name)""")
 def q_check_unused(spark, sf_dir):
@@ -244,34 +223,6 @@ def q_check_unused(spark, sf_dir):
     return f.select("repo_id", F.col("subject").alias("schema"), "severity")
 
 
-@query("check_opaque_body", sql=f"""
-SELECT repo_id, path, method FROM (SELECT k.*, e.value FROM {SQL_KEPT} k JOIN events e USING (event_id))
-WHERE has_body AND value <= 15""")
-def q_check_opaque_body(spark, sf_dir):
-    """V7: request bodies whose schema is a bare object (small values carry no model)."""
-    k = kept_ops(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
-    return k.where(F.col("has_body") & (F.col("value") <= 15)).select("repo_id", "path", "method")
-
-
-@query("validate", sql=f"""
-WITH a AS (SELECT 'svc' || CAST(e.user_id % 5 AS VARCHAR) AS repo_id, 'error' AS severity FROM {SQL_NODES} n JOIN events e USING (event_id)
-           WHERE n.type = 'array' AND NOT n.has_items),
-k AS (SELECT kk.*, e.value FROM {SQL_KEPT} kk JOIN events e USING (event_id)),
-{SQL_CASE_IN.strip()},
-dp AS (SELECT repo_id, method, regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(path, '\\{{[^}}]+\\}}', '_PARAM_', 'g'), '^/+', ''),
-         '/+$', '')), '[/\\-_]+', '_', 'g') AS key FROM (SELECT DISTINCT repo_id, method, path FROM {SQL_OPS}) GROUP BY ALL HAVING count(*) > 1),
-w AS (SELECT repo_id, 'warning' AS severity FROM (SELECT DISTINCT repo_id, out_ref FROM k) WHERE out_ref NOT IN ('ViewOut', 'ClickOut', 'PurchaseOut')
-      UNION ALL SELECT sc.repo_id, 'warning' FROM sc WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.repo_id = sc.repo_id AND rf.target = sc.name)
-      UNION ALL SELECT repo_id, 'warning' FROM dp
-      UNION ALL SELECT repo_id, 'warning' FROM k WHERE security IS NULL
-      UNION ALL SELECT repo_id, 'warning' FROM k WHERE method IN ('POST', 'PUT', 'PATCH') AND NOT has_body
-      UNION ALL SELECT repo_id, 'warning' FROM k WHERE has_body AND value <= 15)
-SELECT repo_id, severity, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM w) GROUP BY 1, 2""")
-def q_validate(spark, sf_dir):
-    """V8: all structural and custom findings, counted per repository and severity."""
-    return findings(spark, sf_dir).groupBy("repo_id", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
 # Fixed values of this binding: golden expectations (min operations, must / must-not paths).
 EXPECT_MIN_OPS = 20
 EXPECT_MUST = ("/views/{id}", "/clicks/{id}", "/logins/{id}")
