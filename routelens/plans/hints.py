@@ -243,19 +243,16 @@ def _lit(rx: str) -> str:
 
 
 def sql_import_fragment(s):
-    def ex(rx, g=1):
-        return f"nullif(regexp_extract({s}, {_lit(rx)}, {g}), '')"
-    py = f"replace({ex(r'^from\s+([A-Za-z0-9_.]+)\s+import')}, '.', '/')"
-    js_rx = "(?:from\\s+['\"]|require(?:_relative)?\\s*\\(?\\s*['\"])([^'\"]+)['\"]"
-    js = f"regexp_replace({ex(js_rx)}, {_lit(r'^(\.\./|\./)+')}, '')"
-    ns = f"replace({ex(r'^(?:using|namespace|package)\s+([A-Za-z0-9_.]+)')}, '.', '/')"
-    php = (f"CASE WHEN contains(regexp_extract({s}, {_lit(r'^use\s+([A-Za-z0-9_\\]+)')}, 1), {_lit(chr(92))}) "
-           f"THEN replace({ex(r'^use\s+([A-Za-z0-9_\\]+)\s*;?')}, {_lit(chr(92))}, '/') END")
-    rust = f"replace(regexp_replace({ex(r'^use\s+([A-Za-z0-9_:]+)')}, '^crate::', ''), '::', '/')"
-    go = ex(r'import\s+"([^"]+)"')
-    java = f"replace({ex(r'^import\s+(static\s+)?([A-Za-z0-9_.]+)', 2)}, '.', '/')"
-    dotted = f"CASE WHEN regexp_matches({s}, {_lit(r'^[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)+$')}) THEN replace({s}, '.', '/') END"
-    return f"coalesce({py}, {js}, {ns}, {php}, {rust}, {go}, {java}, {dotted})"
+    """Twin of T9: one CASE over the grammar rows, on the words of the statement."""
+    word = lambda n: f"coalesce(string_split_regex(trim({s}), '\\s+')[{n}], '')"
+    rows = []
+    for first, also, place, letters, separator in T.IMPORT_GRAMMAR:
+        module = f"regexp_replace(regexp_extract({word(place)}, {_lit(f'^{letters}+')}), {_lit(T.OWN_ROOTS)}, '')"
+        fits = f"{word(1)} = '{first}' AND {module} <> ''" + (f" AND regexp_matches(trim({s}), {_lit(also)})" if also else "")
+        rows.append(f"WHEN {fits} THEN replace({module}, {_lit(separator)}, '/')")
+    dotted = f"WHEN regexp_matches(trim({s}), {_lit(r'^[A-Za-z0-9_]+([.][A-Za-z0-9_]+)+$')}) THEN replace(trim({s}), '.', '/')"
+    quoted = f"regexp_replace(nullif(regexp_extract({s}, {_lit(T.QUOTED_MODULE)}, 1), ''), {_lit(T.OWN_ROOTS)}, '')"
+    return f"coalesce({quoted}, CASE {' '.join(rows)} {dotted} END)"
 
 
 @query("import_fragment", sql=f"SELECT p_partkey, stmt, {sql_import_fragment('stmt')} AS fragment FROM {SQL_IMPORTS}")

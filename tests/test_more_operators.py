@@ -37,16 +37,23 @@ def test_qualified_names_worked_case(spark):
 
 def test_import_fragments(spark):
     cases = {
-        "from a.b.c import X": "a/b/c",
-        "import { X } from './path/mod'": "path/mod",
-        "const X = require('../lib/x')": "lib/x",
-        "using A.B.C;": "A/B/C",
-        "use App\\Models\\User;": "App/Models/User",
-        "use crate::models::user;": "models/user",
-        'import "github.com/u/pkg"': "github.com/u/pkg",
-        "import a.b.c.X;": "a/b/c/X",
-        "Conduit.Features.Articles": "Conduit/Features/Articles",
-        "nothing": None,
+        "from shop.cart.models import Basket": "shop/cart/models",
+        "import Basket, { total } from \"../../cart/basket\";": "cart/basket",
+        "const fees = require('./fees/table')": "fees/table",
+        "require_relative '../billing/invoice'": "billing/invoice",
+        "import 'side-effect'": "side-effect",
+        "using Shop.Billing.Invoices;": "Shop/Billing/Invoices",
+        "namespace Shop.Billing;": "Shop/Billing",
+        "package org.shop.billing": "org/shop/billing",
+        "use Shop\\Billing\\Invoice;": "Shop/Billing/Invoice",
+        "use crate::billing::invoice;": "billing/invoice",
+        "use serde::Serialize;": "serde/Serialize",
+        "import \"example.org/shop/billing\"": "example.org/shop/billing",
+        "import org.shop.billing.Invoice;": "org/shop/billing/Invoice",
+        "import static org.shop.Fees.rate;": "org/shop/Fees/rate",
+        "Shop.Billing.Invoice": "Shop/Billing/Invoice",
+        "  from a import b": "a",
+        "some words": None, "": None, "from": None,
     }
     for stmt, want in cases.items():
         assert _one(spark, T.import_fragment(F.col("s")), s=stmt) == want, stmt
