@@ -434,24 +434,6 @@ def q_ref_rewrite(spark, sf_dir):
     return r.join(q, ["repo_id", "name", "path"], "left").select("ref_id", "name", F.coalesce("qualified", "name").alias("rewritten"))
 
 
-@query("unresolved_classify", sql=f"""
-WITH h AS (SELECT hint_id, {_INNER} AS name FROM {SQL_HINTS}),
-d AS (SELECT name, bool_or(kind = 'class') AS has_class FROM {SQL_DEFS} GROUP BY 1)
-SELECT hint_id, name, CASE WHEN lower(name) IN {tuple(sorted(PRIMITIVE_TYPES))} THEN 'inline'
-  WHEN hint_id % 13 = 0 THEN 'marked_unresolvable' WHEN d.name IS NULL THEN 'not_resolved'
-  WHEN NOT d.has_class THEN 'extraction_failed' ELSE 'resolved' END AS status
-FROM h LEFT JOIN d USING (name) WHERE h.name <> ''""")
-def q_unresolved_classify(spark, sf_dir):
-    """Each requested name classified: inline primitive, marked unresolvable, not
-    resolved, extraction failed (interface only), else resolved."""
-    h = part_hints(spark, sf_dir).select("hint_id", hint_parse(F.col("hint"))["inner"].alias("name")).where(F.col("name") != "")
-    d = type_defs(spark, sf_dir).groupBy("name").agg(F.bool_or(F.col("kind") == "class").alias("has_class"))
-    j = h.join(d, "name", "left")
-    status = (F.when(F.lower("name").isin(*PRIMITIVE_TYPES), "inline").when(F.col("hint_id") % 13 == 0, "marked_unresolvable")
-              .when(F.col("has_class").isNull(), "not_resolved").when(~F.col("has_class"), "extraction_failed").otherwise("resolved"))
-    return j.select("hint_id", "name", status.alias("status"))
-
-
 def part_props(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
     schema = F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))
