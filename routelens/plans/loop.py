@@ -15,17 +15,18 @@ from routelens.plans.catalog import made_once, query
 from routelens.plans.graph import REPO, SQL_EDGES, ref_edges
 from routelens.sources.tables import table
 
-MAX_ROUNDS = 3  # what the third round's parts lead to is left over
+MAX_ROUNDS = 2  # what the second round finds is left over
 
 SQL_SEEDS = """(SELECT 'customer_' || c_custkey AS node FROM customer WHERE c_acctbal > 9000
-  UNION SELECT 'part_' || p_partkey FROM part WHERE p_size <= 2 AND p_retailprice < 905)"""
+  UNION SELECT 'part_' || p_partkey FROM part WHERE p_size IN (1, 2, 50) AND p_retailprice < 950 UNION SELECT 'String' FROM part)"""
 
 
 def seeds(spark, sf_dir):
-    """Requested names: rich customers, a few small parts."""
+    """Requested names: rich customers, some parts, a primitive."""
     c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("customer_"), F.col("c_custkey").cast("string")).alias("name"))
-    p = table(spark, sf_dir, "part").where("p_size <= 2 and p_retailprice < 905").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("name"))
-    return c.unionByName(p).withColumn("repo_id", F.lit(REPO))
+    p = table(spark, sf_dir, "part").where("p_size in (1, 2, 50) and p_retailprice < 950").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("name"))
+    plain = table(spark, sf_dir, "part").select(F.lit("String").alias("name")).distinct()
+    return c.unionByName(p).unionByName(plain).withColumn("repo_id", F.lit(REPO))
 
 
 def _types(spark, sf_dir):
