@@ -32,6 +32,7 @@ from .tokens import encoded, vocabulary_path
 
 FILE_FIELDS = "bin string, idx string, width int, n_docs long, n_ids long, first_id long"
 READ_BYTES = 8 << 20
+WRITE_BYTES = 4 << 20
 
 
 def _open_folder(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -48,7 +49,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open_folder(folder)
-        name = f"{root}/ids-{uuid.uuid4().hex}"
+        name, end = f"{root}/ids-{uuid.uuid4().hex}", np.uint32(end_id).tobytes()
         ids: list[np.ndarray] = []
         sizes: list[int] = []
         out = None
@@ -59,10 +60,16 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(name + ".bin")
             ids.append(batch.column(0).to_numpy())
+            held, size = [], 0
             for raw in encoded(batch.column(1).to_pylist(), vocabulary):
-                one = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
-                out.write(one.astype(f"<u{width}").tobytes())
-                sizes.append(len(one))
+                held += (raw, end)
+                size += len(raw)
+                sizes.append(len(raw) // 4 + 1)
+                if size > WRITE_BYTES:
+                    out.write(np.frombuffer(b"".join(held), "<u4").astype(f"<u{width}"))
+                    held, size = [], 0
+            if held:
+                out.write(np.frombuffer(b"".join(held), "<u4").astype(f"<u{width}"))
         if out is None:
             return
         out.close()

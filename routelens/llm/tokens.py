@@ -4,7 +4,7 @@ Merges never cross white space boundaries of the vocabulary's own split pattern,
 cut into segments (a word or a run of other characters with the one space before it, or a run of
 white space) and each distinct segment is encoded once per worker.  The memo holds two generations of
 bounded size and changes no result.  Texts with characters whose white-space class differs
-between regular-expression engines are encoded whole.
+between regular-expression engines, and texts that hold the string of an added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ VOCABULARY = "byte_bpe_50k.json"
 # a word and the stop after it apart, else a run of other characters, else white space: every cut is
 # one that the vocabulary's pattern makes too
 SEGMENT = re.compile(r" ?[^\W\d_]+(?=[.,\s])|[.,](?=\s)| ?\S+|\s+(?!\S)|\s+")
-AMBIGUOUS = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
+AMBIGUOUS = "[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]"
 MEMO_SEGMENTS = 600_000
 LONG_SEGMENT = 64
 
@@ -36,7 +36,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([AMBIGUOUS, *map(re.escape, sorted(added, key=len, reverse=True))]))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -46,25 +47,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """One id string per text, in order."""
-        plain = [None if AMBIGUOUS.search(t) else SEGMENT.findall(t) for t in texts]
-        wanted = set().union(*(p for p in plain if p is not None))
-        known: dict[str, bytes] = {}
+        plain = [None if self.whole.search(t) else SEGMENT.findall(t) for t in texts]
+        young, old = self.young, self.old
         missing = []
-        for s in wanted:
-            if (v := self.young.get(s)) is None:
-                if (v := self.old.get(s)) is None:
-                    missing.append(s)
-                    continue
-                self.young[s] = v
-            known[s] = v
-        for s, v in zip(missing, self._raw(missing)):
-            known[s] = v
-            if len(s) <= LONG_SEGMENT:
-                self.young[s] = v
-        if len(self.young) > MEMO_SEGMENTS:
-            self.old, self.young = self.young, {}
+        for s in set().union(*filter(None, plain)).difference(young):
+            if (v := old.get(s)) is None:
+                missing.append(s)
+            else:
+                young[s] = v
+        young.update(zip(missing, self._raw(missing)))
         for t, p in zip(texts, plain):
-            yield self._raw([t])[0] if p is None else b"".join(map(known.__getitem__, p))
+            yield self._raw([t])[0] if p is None else b"".join(map(young.__getitem__, p))
+        for s in missing:
+            if len(s) > LONG_SEGMENT:
+                del young[s]
+        if len(young) > MEMO_SEGMENTS:
+            self.old, self.young = young, {}
 
 
 _encoders: dict[str, Encoder] = {}
