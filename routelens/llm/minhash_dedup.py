@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, constants, ids_of, keyed_texts, lean, mix, signed, span_hashes, stage, text_slices, word_spans
+from .common import U, constants, ids_of, keyed_texts, lean, mix, signed, stage, text_slices, word_hashes, word_spans
 from .components import connected_components
 
 CHUNKS, CHUNK = 12, 5
@@ -53,7 +53,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     """The sorted distinct 64-bit shingle hashes of each text of a slice."""
     data = _LOWER[data]
     starts, ends, first = word_spans(data, offsets, _IS_WORD)
-    words = span_hashes(data, starts, ends)
+    words = word_hashes(data, starts, ends)
     weights = constants(width, 14)
     n = max(0, len(words) - width + 1)
     rolled = np.zeros(n, np.uint64)
