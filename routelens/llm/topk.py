@@ -34,7 +34,10 @@ def integer_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col: s
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
         "vec_id is not null and v is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
-    return named.where(fine).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v")).distinct()
+    bound = F.sqrt(F.lit(float(1 << 62)) / F.size("v"))  # below it no score of two vectors leaves 64 bits
+    wide = F.raise_error(F.lit("a component is too large for a 64-bit score"))
+    return named.where(fine).select("vec_id", F.transform("v", lambda x: F.when(
+        F.abs(x * F.lit(float(scale))) >= bound, wide).otherwise(F.floor(x * F.lit(float(scale))))).alias("v")).distinct()
 
 
 def sorted_lists(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
