@@ -58,6 +58,7 @@ NOTICES = {
 }
 BASE_WEIGHT = 0.6
 TAG_WEIGHT = 0.9
+UNKNOWN_WEIGHT = 0.5  # of an identifier without a known prefix; it is its own label
 TAGS = ("spdx license identifier",)
 
 # Identifier prefixes of a licence expression and their labels, the longest prefix wins.
@@ -71,6 +72,7 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 # every byte to itself in lower case, or to a space when it is no word byte
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
                     for b in range(256))
+_AFTER_TAG = re.compile(rb"[^0-9A-Za-z(]*([^\n]*)")
 _EXPRESSION_WORD = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
 
 
@@ -84,18 +86,18 @@ def expression_postfix(text: str) -> list[str] | None:
     out: list[str] = []
     stack: list[str] = []
     operand_next = True
-    for word in _EXPRESSION_WORD.findall(text.lower()):
+    for word in (m[0] for m in _EXPRESSION_WORD.finditer(text.lower())):
         if word == "(":
             if not operand_next:
-                return None
+                break  # a remark after a complete expression
             stack.append(word)
         elif word == ")":
             if operand_next:
                 return None
-            while stack and stack[-1] != "(":
+            if "(" not in stack:
+                break  # closes a bracket around the tag
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
         elif word in PRECEDENCE:
             if operand_next:
@@ -125,7 +127,7 @@ def evaluate(postfix: list[str]) -> tuple[frozenset[str], float]:
     for word in postfix:
         if word not in PRECEDENCE:
             label = identifier_label(word)
-            stack.append((frozenset([label]) if label else frozenset(), TAG_WEIGHT if label else 0.0))
+            stack.append((frozenset([label or word]), TAG_WEIGHT if label else UNKNOWN_WEIGHT))
             continue
         right, left = stack.pop(), stack.pop()
         if word == "with":  # the right side names an exception to the left one's licence
@@ -152,7 +154,7 @@ def scan(text: str) -> tuple[int, list[tuple[int, str]], list[tuple[int, str]],
     words = spaced.split()
     joined = (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
     phrases = tuple(dict.fromkeys((*BASE_PHRASES, *NOTICES, *TAGS)))
-    base, notices, tags = [], [], 0
+    base, notices, tags = [], [], []
     at, number = 0, 0
     for end, phrase in _automaton(phrases).iter(joined):
         start = end - len(phrase)
@@ -163,11 +165,13 @@ def scan(text: str) -> tuple[int, list[tuple[int, str]], list[tuple[int, str]],
             base.append((number - 1, phrase))
         if phrase in NOTICES:
             notices.append((number - 1, phrase))
-        tags += phrase in TAGS
+        if phrase in TAGS:
+            tags.append(number - 1 + phrase.count(" "))  # the tag's last word
     expressions = []
     if tags:
-        for m in re.finditer(r"spdx[^0-9a-z\n]+license[^0-9a-z\n]+identifier[^0-9a-z\n(]*([^\n]*)", text.lower()):
-            expressions.append(m[1])
+        ends = [m.end() for m in re.finditer(rb"[^ ]+", spaced)]
+        for last in tags:  # what follows the tag in its line, or in the next where the line ends with the tag
+            expressions.append(_AFTER_TAG.match(raw, ends[last])[1].decode("utf-8", "replace"))
     return len(words), base, notices, expressions
 
 

@@ -24,7 +24,6 @@ def low(t):
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -49,13 +48,20 @@ class Union(dict):
 def test_segments_encode_like_whole_texts(texts):
     t = Tokenizer.from_file(tokens.vocabulary_path()) if not hasattr(test_segments_encode_like_whole_texts, "t") else None
     if t is not None:
-        t.encode_special_tokens = True
         test_segments_encode_like_whole_texts.t = t
     t = test_segments_encode_like_whole_texts.t
     got = [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(tokens.vocabulary_path()).encode(texts)]
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_added_tokens_in_texts_are_encoded_as_the_library_does(spark, plain):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a <|endoftext|", "a<|endoftext|><|endoftext|> b", "plain text"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(tokens.vocabulary_path()).encode(texts)] == [plain(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_files.token_files(spark, docs).collect()}
+    assert got == {i: len(plain(t)) + 1 for i, t in enumerate(texts)}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 20), st.integers(1, 4), max_size=6), st.integers(1, 24))
 def test_closest_fill_is_the_largest_sum(counts, room):
@@ -128,11 +134,19 @@ def test_license_places(hostile, hostile_rows):
 @pytest.mark.parametrize("text,postfix", [
     ("MIT OR Apache-2.0 AND BSD-3-Clause", ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]),
     ("(MIT OR Apache-2.0) AND GPL-2.0 WITH x", ["mit", "apache-2.0", "or", "gpl-2.0", "x", "with", "and"]),
-    ("MIT AND", None), ("(MIT", None), ("MIT)", None), ("", None), ("MIT some prose", ["mit"])])
+    ("MIT AND", None), ("(MIT", None), ("MIT)", ["mit"]), ("MIT (see LICENSE)", ["mit"]), ("(MIT) or (", None), ("", None), ("MIT some prose", ["mit"])])
 def test_expressions(text, postfix):
     assert license_scan.expression_postfix(text) == postfix
 
 
+@pytest.mark.parametrize("text,labels", [
+    ("SPDX-License-Identifier: MIT (see LICENSE)", "mit"), ("(SPDX-License-Identifier: MIT)", "mit"), ("SPDX-License-\nIdentifier: MIT", "mit"),
+    ("SPDX-License-Identifier:\n  Apache-2.0 OR MIT\nprose", "apache,mit"), ("SPDX-License-Identifier: Zlib", "zlib"), ("SPDX-License-Identifier", ""),
+    ("é SPDX-License-Identifier: (MIT\nprose)", ""), ("# SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0", "gpl")])
+def test_tag_expressions(text, labels):
+    assert license_scan.judge(text)[5] == labels and (license_scan.judge(text)[6] > 0) == bool(labels)
+
+
 # ---------------------------------------------------------------- chat
 
 def test_chat_reads_back(spark):
@@ -206,6 +220,12 @@ def test_top_k(spark, vectors):
             assert got[q] == [(c, -s) for s, c in every[:4]], q
 
 
+def test_top_k_refuses_scores_beyond_64_bits(spark):
+    table = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(table, table).collect()
+
+
 def test_top_k_lists_stop_early_and_right():
     rng = np.random.default_rng(1)
     for spread in (1, 40):
@@ -296,6 +316,16 @@ def test_near_duplicates(hostile, hostile_rows):
     assert {2, 12, 8} & set(kept) == set() and kept.count(None) == 2
 
 
+def test_words_of_equal_structure_are_told_apart(spark):
+    word = "a"
+    for _ in range(10):  # 1024 letters in Thue-Morse order: every polynomial modulo 2^64 takes it for its complement
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, "w x y z " + word), (4, "w x y z " + other), (5, word)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (1, 1)}
+
+
 def test_close_signatures_share_a_key():
     rng = np.random.default_rng(2)
     for errors in (0, 1, 12, 23):
