@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U, ids_of, lean, mix, powers, signed, span_hashes, stage, text_slices
 
@@ -40,6 +41,8 @@ CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 1 << 18
 BATCH_ROWS = 1 << 14
+TEXT_ROWS = BATCH_ROWS  # texts unpacked at once
+PACK_LEVEL = 6          # of the compression of texts that cross a shuffle
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -458,6 +461,35 @@ def _tid(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def _packed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the texts of ``column`` compressed one by one: so they cross a shuffle in half the bytes."""
+    at = df.columns.index(column)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if i == at else f.dataType) for i, f in enumerate(df.schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        press = zstandard.ZstdCompressor(level=PACK_LEVEL, write_checksum=False, write_dict_id=False)
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else press.compress(t.encode()) for t in columns[at].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(lean(run), schema)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the packed texts of ``column`` as strings again, a few rows at a time."""
+    import zstandard
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        for lo in range(0, batch.num_rows, TEXT_ROWS):
+            columns = list(batch.slice(lo, TEXT_ROWS).columns)
+            raw = [None if t is None else press.decompress(t) for t in columns[at].to_pylist()]
+            columns[at] = pa.array(raw, pa.large_binary()).cast(pa.large_string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 def repeated_ranges(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tid, spans): for texts with repeats the byte ranges (sorted, they may overlap), by id and text hash."""
     if width < GRAM + 4:
@@ -478,9 +510,10 @@ def repeated_ranges(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
               .mapInArrow(lean(_shared_anchors), "tid long, code long")
               .groupBy("tid").agg(F.collect_set("code").alias("codes")))
     first = classes.groupBy("tid").agg(F.min("low").alias("doc_id"))
-    texts = rows.join(shared.join(first, "tid").select("doc_id", F.col("tid").alias("t"), "codes"), "doc_id")
+    cut = _segment_blobs(width, buckets)
+    texts = _packed(rows, "text").join(shared.join(first, "tid").select("doc_id", F.col("tid").alias("t"), "codes"), "doc_id")
     segments = texts.where("tid = t").select("doc_id", "tid", "text", "codes").mapInArrow(
-        lean(_segment_blobs(width, buckets)), SEGMENT_ROWS)
+        lean(lambda batches: cut(_texts(batches, "text"))), SEGMENT_ROWS)
     ranges = (segments.repartition(min(buckets, 8192), "bucket").sortWithinPartitions("bucket")
               .mapInArrow(lean(_decide(width)), "doc_id long, tid long, lo long, hi long"))
     spans = ranges.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
@@ -506,24 +539,27 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with packed texts and the spans found in them (``_spans``, null: none)."""
     found = repeated_ranges(docs, width, id_col, text_col).withColumnsRenamed({"doc_id": "_id", "tid": "_tid", "spans": "_spans"})
-    own = docs.drop("_id", "_tid", "_spans")
-    return own.join(found, (own[id_col].cast("long") == found["_id"])
-                    & (_tid(F.coalesce(own[text_col].cast("string"), F.lit(""))) == found["_tid"]), "left")
+    own = docs.drop("_id", "_tid", "_spans").withColumns({
+        "_own_id": F.col(id_col).cast("long"), "_own_tid": _tid(F.coalesce(F.col(text_col).cast("string"), F.lit(""))),
+        text_col: F.col(text_col).cast("string")})
+    packed = _packed(own, text_col)
+    return packed.join(found, (F.col("_own_id") == F.col("_id")) & (F.col("_own_tid") == F.col("_tid")), "left")
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of its texts; a character cut in two goes whole."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _texts(batches, text_col):
             spans = batch.column(batch.num_columns - 1).to_pylist()
-            i = batch.schema.get_field_index(text_col)
             texts = [t if not s else _cut(t.encode(), _merged(s)).decode("utf-8", "ignore")
-                     for t, s in zip(batch.column(i).to_pylist(), spans)]
+                     for t, s in zip(batch.column(at).to_pylist(), spans)]
             columns = list(batch.columns[:-1])
-            columns[i] = pa.array(texts, batch.schema.field(i).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema.remove(batch.num_columns - 1))
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     joined = _with_spans(docs, width, id_col, text_col)
     return joined.select(*docs.columns, "_spans").mapInArrow(lean(run), docs.schema)
@@ -533,10 +569,12 @@ def repeat_report(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text
     """Per document: n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw, spans = text.encode(), _merged(found or [])
+                raw, spans = b"" if text is None else press.decompress(text), _merged(found or [])
                 rows.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_cut(raw, spans)).hexdigest()))
             n = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
@@ -544,6 +582,5 @@ def repeat_report(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = _with_spans(docs, width, id_col, text_col)
-    return joined.select(F.col(id_col).cast("long").alias("doc_id"),
-                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "_spans").mapInArrow(
+    return joined.select(F.col("_own_id").alias("doc_id"), F.col(text_col).alias("text"), "_spans").mapInArrow(
         lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
