@@ -85,21 +85,21 @@ def endpoint_prf(spark, sf_dir):
 
 
 @query("auth_accuracy", sql="""
-WITH a AS (SELECT repo_id, doc_id, bool_or(pred_toxic) AS ha FROM """ + PRED + """ WHERE pred_quality GROUP BY 1, 2),
-e AS (SELECT repo_id, doc_id, bool_or(toxic) AS he FROM """ + PRED + """ WHERE quality GROUP BY 1, 2),
+WITH a AS (SELECT repo_id, doc_id // 2 AS pair, arg_max(pred_toxic, doc_id) AS ha FROM """ + PRED + """ WHERE pred_quality GROUP BY 1, 2),
+e AS (SELECT repo_id, doc_id // 2 AS pair, arg_max(toxic, doc_id) AS he FROM """ + PRED + """ WHERE quality GROUP BY 1, 2),
 c AS (SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE ha = he) AS correct,
              count(*) FILTER (WHERE NOT ha AND he) AS missing_auth, count(*) FILTER (WHERE ha AND NOT he) AS spurious_auth
-      FROM a JOIN e USING (repo_id, doc_id) GROUP BY 1)
+      FROM a JOIN e USING (repo_id, pair) GROUP BY 1)
 SELECT r.repo_id, coalesce(total, 0) AS total, coalesce(correct, 0) AS correct,
        coalesce(missing_auth, 0) AS missing_auth, coalesce(spurious_auth, 0) AS spurious_auth,
        CASE WHEN coalesce(total, 0) > 0 THEN correct / total ELSE 0.0 END AS accuracy
 FROM (SELECT DISTINCT source AS repo_id FROM documents) r LEFT JOIN c USING (repo_id)""")
 def q_auth_accuracy(spark, sf_dir):
-    """M2: on documents both sides call good, agreement of the toxic flag (0 if none matched)."""
-    p = predictions(spark, sf_dir)
-    a = p.where("pred_quality").select("repo_id", "doc_id", F.col("pred_toxic").alias("has_auth"))
-    e = p.where("quality").select("repo_id", "doc_id", F.col("toxic").alias("has_auth"))
-    return auth_accuracy(a, e, ["doc_id"], repos=repos(spark, sf_dir))
+    """M2: on pairs of documents both sides call good, agreement of the toxic flag of the last one (0 if none matched)."""
+    p = predictions(spark, sf_dir).withColumn("pair", F.floor(F.col("doc_id") / 2))
+    a = p.where("pred_quality").select("repo_id", "pair", "doc_id", F.col("pred_toxic").alias("has_auth"))
+    e = p.where("quality").select("repo_id", "pair", "doc_id", F.col("toxic").alias("has_auth"))
+    return auth_accuracy(a, e, ["pair"], repos=repos(spark, sf_dir), order="doc_id")
 
 
 @query("scheme_prf", sql=_prf_sql("lower(lang) AS lang", "pred_toxic", "toxic", "a.lang = e.lang", empty_perfect=True))

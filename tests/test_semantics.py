@@ -79,3 +79,12 @@ def test_streams_count_late_events_over_many_files(spark, tmp_path):
     assert {r.job_id: r.asDict() for r in P.run_job_state_stream(spark, d).collect()} == want
     cols = ["job_id", "n_log", "tail_len", "first_kept_seq"]
     assert sorted(P.run_log_tail_stream(spark, d).select(cols).collect()) == sorted(P.log_tail(batch).select(cols).collect())
+
+
+def test_auth_accuracy_last_row_of_a_key_counts(spark):
+    from routelens.operators.score import auth_accuracy
+    rows = [("r", "a", 1, True), ("r", "a", 2, False), ("r", "b", 1, False), ("r", "b", 2, True)]
+    cols = "repo_id string, path string, n int, has_auth boolean"
+    golden = spark.createDataFrame([("r", "a", 1, False), ("r", "b", 1, False)], cols)
+    got = auth_accuracy(spark.createDataFrame(rows, cols), golden, ["path"], order="n").first()
+    assert (got.total, got.correct, got.spurious_auth, got.missing_auth) == (2, 1, 1, 0)
