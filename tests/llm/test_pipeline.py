@@ -23,5 +23,5 @@ def test_stages(spark):
 
 def test_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 11)] and names[-1] == "pipeline"
+    assert [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 14)] and names[-1] == "pipeline"
     assert set(queries.oracle_sql()) <= set(names)
