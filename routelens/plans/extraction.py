@@ -17,6 +17,7 @@ from routelens.functions.paths import path_score_key
 from routelens.operators import extract as E
 from routelens.plans.catalog import query
 from routelens.plans.sqlbits import documents_files, pages_files
+from routelens.plans.graph import SQL_LINES, source_lines
 from routelens.sources.tables import documents_as_files, explode_lines, pages_as_files, table
 
 # Fixed values of this binding: sketch rules (method, regex with path and handler groups).
@@ -52,16 +53,26 @@ def extracted(spark, sf_dir):
     return E.batch_extract(page_files(spark, sf_dir), sketches(spark, sf_dir), E.rule_extractor)
 
 
-@query("batch_extract")
+# the registered extractors as SQL: links of whole sketched pages, and pages cut off before their end
+SQL_SKETCHED = f"""(SELECT repo_id, path, content, contains(coalesce(content, ''), '</html>') AS ok FROM {pages_files()} f
+  WHERE EXISTS (SELECT 1 FROM {SQL_SKETCH} s WHERE s.repo_id = f.repo_id AND s.source_file = f.path))"""
+SQL_LINK = """'<a href="(/[^"]*)">([^<]*)</a>'"""
+SQL_LINK_PATH = r"regexp_replace(regexp_replace(p, '/[0-9]+(/|$)', '/{id}\1', 'g'), '/[0-9]+(/|$)', '/{id}\1', 'g')"
+
+
+@query("batch_extract", sql=f"""
+SELECT repo_id, source_file, true AS ok, CAST(i - 1 AS INTEGER) AS ep_ord, 'GET' AS method, {SQL_LINK_PATH} AS path, handler
+FROM (SELECT repo_id, path AS source_file, unnest(regexp_extract_all(content, {SQL_LINK}, 1)) AS p, unnest(regexp_extract_all(content, {SQL_LINK}, 2)) AS handler,
+             generate_subscripts(regexp_extract_all(content, {SQL_LINK}, 1), 1) AS i FROM {SQL_SKETCHED} WHERE ok)""")
 def q_batch_extract(spark, sf_dir):
-    """The pluggable extractor over every sketched page (rows-only: Python callable)."""
+    """The pluggable extractor over every sketched page."""
     good, _ = E.failed_quarantine(extracted(spark, sf_dir))
     return good
 
 
-@query("failed_quarantine")
+@query("failed_quarantine", sql=f"SELECT DISTINCT repo_id, path AS source_file, 'truncated document' AS error FROM {SQL_SKETCHED} WHERE NOT ok")
 def q_failed_quarantine(spark, sf_dir):
-    """Files whose extraction failed, kept apart from the good rows (rows-only)."""
+    """Files whose extraction failed, kept apart from the good rows."""
     _, bad = E.failed_quarantine(extracted(spark, sf_dir))
     return bad
 
@@ -82,10 +93,19 @@ def _model_file_extractor(pdf):
         {"ep_ord": "Int32"})
 
 
-@query("schema_extract_batch")
+_CLASS = r"'^export class ([A-Za-z0-9_]+)(?: extends ([A-Za-z0-9_, ]+))? \{'"
+
+
+@query("schema_extract_batch", sql=f"""
+WITH l AS (SELECT *, regexp_matches(line, {_CLASS}) AS ok FROM {SQL_LINES}),
+p AS (SELECT repo_id, path, regexp_extract(line, {_CLASS}, 1) AS name,
+        list_filter(list_transform(string_split(regexp_extract(line, {_CLASS}, 2), ','), lambda x: trim(x)), lambda x: x <> '') AS parents FROM l WHERE ok)
+SELECT repo_id, path AS source_file, false AS ok, 'no class definition' AS error, NULL::INTEGER AS ep_ord, NULL::VARCHAR AS method,
+       NULL::VARCHAR AS path, NULL::VARCHAR AS handler FROM l WHERE NOT ok
+UNION ALL SELECT repo_id, path, true, NULL, CAST(i - 1 AS INTEGER), 'PROP', lower(parent), name
+FROM (SELECT repo_id, path, name, unnest(parents) AS parent, generate_subscripts(parents, 1) AS i FROM p)""")
 def q_schema_extract_batch(spark, sf_dir):
-    """The same extractor surface for model files: class definitions -> property rows (rows-only)."""
-    from routelens.plans.graph import source_lines
+    """The same extractor surface for model files: class definitions -> property rows."""
     src = source_lines(spark, sf_dir).select("repo_id", "path", F.col("line").alias("content"))
     sk = src.select("repo_id", F.col("path").alias("source_file"))
     return E.batch_extract(src, sk, _model_file_extractor)
