@@ -386,3 +386,15 @@ def unused_schemas(pieces: DataFrame, refs: DataFrame) -> DataFrame:
     """schemas that no ref of a path or schema names."""
     used = refs.select("repo_id", F.col("target").alias("name")).distinct()
     return schema_names(pieces).join(used, ["repo_id", "name"], "left_anti")
+
+
+def schema_table(pieces: DataFrame) -> DataFrame:
+    """One row a schema: its properties, required names and refs counted, and whether it was resolved."""
+    m = members(F.col("body"))
+    rows = pieces.where("section = 'schemas'").select("repo_id", "name", "body", m.alias("m"))
+    count = lambda texts: F.coalesce(F.size(texts), F.lit(0)).cast("long")
+    return rows.select(
+        "repo_id", "name", count(F.map_keys(members(_get(F.col("m"), "properties")))).alias("n_properties"),
+        count(elements(_get(F.col("m"), "required"))).alias("n_required"),
+        count(F.regexp_extract_all("body", F.lit(r'"\$ref"\s*:'), 0)).alias("n_refs"),
+        F.when(_truthy(_get(F.col("m"), "x-unresolved")), "unresolved").otherwise("resolved").alias("status"))

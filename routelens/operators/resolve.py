@@ -337,8 +337,8 @@ def ref_hints_dedup(collected: DataFrame) -> DataFrame:
 def props_to_json_schema(props: DataFrame, schemas: DataFrame) -> DataFrame:
     """Property rows -> JSON Schema text per schema.
 
-    ``props(schema, prop_ord, name, type, format, ref, is_array, nullable,
-    enum_values, constraints_json)``; ``schemas(schema, required ARRAY, parent_ref)``.
+    ``props(repo_id, schema, prop_ord, name, type, format, ref, is_array, nullable,
+    enum_values, constraints_json)``; ``schemas(repo_id, schema, required ARRAY, parent_ref)``.
     A ref wins over enum over type/format; arrays wrap; nullable and constraints
     are added last; a parent turns the result into ``allOf``.
     """
@@ -353,12 +353,31 @@ def props_to_json_schema(props: DataFrame, schemas: DataFrame) -> DataFrame:
                             F.concat(F.lit(","), F.expr("substring(constraints_json, 2, length(constraints_json) - 2)"))).otherwise(F.lit("")))
     prop = F.concat(F.regexp_replace(s, r"\}$", ""), extra, F.lit("}"))
     key = F.regexp_replace(F.to_json(F.array("name")), r"^\[|\]$", "")  # JSON-escaped "name"
-    p = props.select("schema", "prop_ord", F.concat(key, F.lit(":"), prop).alias("kv"))
-    agg = p.groupBy("schema").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prop_ord", "kv"))),
+    p = props.select("repo_id", "schema", "prop_ord", F.concat(key, F.lit(":"), prop).alias("kv"))
+    agg = p.groupBy("repo_id", "schema").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prop_ord", "kv"))),
                                                             lambda x: x["kv"]), ",").alias("body"))
-    j = schemas.join(agg, "schema", "left")
+    j = schemas.join(agg, ["repo_id", "schema"], "left")
     obj = F.concat(F.lit('{"type":"object","properties":{'), F.coalesce("body", F.lit("")), F.lit("}"),
                    F.when(F.size("required") > 0, F.concat(F.lit(',"required":'), F.to_json("required"))).otherwise(F.lit("")), F.lit("}"))
     out = F.when(F.col("parent_ref") != "", F.concat(F.lit('{"allOf":[{"$ref":"#/components/schemas/'), "parent_ref",
                                                       F.lit('"},'), obj, F.lit("]}"))).otherwise(obj)
-    return j.select("schema", out.alias("schema_json"))
+    return j.select("repo_id", "schema", out.alias("schema_json"))
+
+
+def property_closure(props: DataFrame, parents: DataFrame) -> DataFrame:
+    """M4: the properties of a schema with those of its parents, transitively, within a repository.
+
+    ``props(repo_id, node, prop)``, ``parents(repo_id, src, dst)``; (repo_id, node, n_props, props) of every schema that
+    has properties of its own. A round follows one level of parents; each round's new pairs are written once.
+    """
+    up = parents.select("repo_id", F.col("src").alias("node"), F.col("dst").alias("nxt")).distinct()
+    fresh = props.select("repo_id", F.col("node").alias("root"), "node").distinct()
+    known = fresh
+    while True:
+        fresh = cut_lineage(fresh.join(up, ["repo_id", "node"]).select("repo_id", "root", F.col("nxt").alias("node")).distinct()
+                            .join(known, ["repo_id", "root", "node"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        known = known.unionByName(fresh)
+    sets = known.join(props, ["repo_id", "node"]).groupBy("repo_id", F.col("root").alias("node")).agg(F.array_sort(F.collect_set("prop")).alias("props"))
+    return sets.select("repo_id", "node", F.size("props").cast("long").alias("n_props"), "props")

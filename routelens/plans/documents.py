@@ -141,3 +141,10 @@ def q_array_default_items(spark, sf_dir):
 def q_inline_nested_primitives(spark, sf_dir):
     """refs to primitive names, at any depth, replaced by the inline schema; other members stay."""
     return _single(spark, sf_dir, D.primitive_ref)
+
+
+@query("schema_table", sql=f"""WITH p AS ({SQL_PART}) SELECT repo_id, name, 3::BIGINT AS n_properties, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS n_required,
+  CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS n_refs, 'resolved' AS status FROM p""")
+def q_schema_table(spark, sf_dir):
+    """One row a schema of the raw part documents: properties, required names, refs, status."""
+    return D.schema_table(part_pieces(spark, sf_dir))

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from routelens.session import cut_lineage
-
 from routelens.functions.hints import PRIMITIVE_TYPES, build_ref, hint_parse
 from routelens.operators import resolve as G
 from routelens.operators.rules import rule_table
@@ -248,19 +246,8 @@ def q_property_closure(spark, sf_dir):
              .unionByName(table(spark, sf_dir, "nation").select(_node("nation", "n_nationkey").alias("node"), F.lower("n_name").alias("prop")))
              .unionByName(table(spark, sf_dir, "region").select(_node("region", "r_regionkey").alias("node"), F.lower("r_name").alias("prop")))
              .unionByName(table(spark, sf_dir, "supplier").select(_node("supplier", "s_suppkey").alias("node"), F.lit("supplier").alias("prop"))))
-    # ancestors per node: the parent chain is short (customer -> nation -> region), one round per level
-    a0 = props.select(F.col("node").alias("root"), "node").distinct()
-    anc, frontier = a0, a0
-    while True:
-        nxt = cut_lineage(frontier.join(e.select(F.col("src").alias("node"), F.col("dst").alias("nxt")), "node").select(
-            "root", F.col("nxt").alias("node")).distinct().join(anc, ["root", "node"], "left_anti"))
-        if nxt.isEmpty():
-            break
-        anc = anc.unionByName(nxt)
-        frontier = nxt
-    j = anc.join(props, "node")
-    return j.groupBy(F.col("root").alias("node")).agg(
-        F.count_distinct("prop").alias("n_props"), F.array_join(F.array_sort(F.collect_set("prop")), ",").alias("props"))
+    out = G.property_closure(props.withColumn("repo_id", F.lit(REPO)), e)
+    return out.select("node", "n_props", F.array_join("props", ",").alias("props"))
 
 
 def schema_set(spark, sf_dir):
@@ -449,8 +436,9 @@ def part_props(spark, sf_dir):
         row(1, "price", "number", "double", F.lit(""), F.lit(False), F.col("p_retailprice") > 1500, empty, F.lit("{}")),
         row(2, "brand", "object", "", brand, F.col("p_size") % 2 == 0, F.lit(False), empty, F.lit("{}")),
         row(3, "kind", "string", "", F.lit(""), F.lit(False), F.lit(False), F.split(F.lower("p_type"), " "), F.lit("{}")))
-    pr = p.select(schema.alias("schema"), F.explode(props).alias("x")).select("schema", "x.*")
-    sc = p.select(schema.alias("schema"),
+    repo = F.lower(brand).alias("repo_id")
+    pr = p.select(repo, schema.alias("schema"), F.explode(props).alias("x")).select("repo_id", "schema", "x.*")
+    sc = p.select(repo, schema.alias("schema"),
                   F.when(F.col("p_size") % 3 == 0, F.array(F.lit("size"))).otherwise(empty).alias("required"),
                   F.when(F.col("p_size") % 4 != 0, brand).otherwise(F.lit("")).alias("parent_ref"))
     return pr, sc
@@ -466,7 +454,7 @@ o AS (SELECT schema, '{"type":"object","properties":{'
                               ELSE '{"$ref":"#/components/schemas/' || brand || '"}' END
        || ',"kind":{"type":"string","enum":' || CAST(to_json(string_split(t, ' ')) AS VARCHAR) || '}'
        || '}' || CASE WHEN p_size % 3 = 0 THEN ',"required":["size"]' ELSE '' END || '}' AS obj, p_size, brand FROM p)
-SELECT schema, CASE WHEN p_size % 4 <> 0 THEN '{"allOf":[{"$ref":"#/components/schemas/' || brand || '"},' || obj || ']}' ELSE obj END AS schema_json FROM o""")
+SELECT lower(brand) AS repo_id, schema, CASE WHEN p_size % 4 <> 0 THEN '{"allOf":[{"$ref":"#/components/schemas/' || brand || '"},' || obj || ']}' ELSE obj END AS schema_json FROM o""")
 def q_props_to_json_schema(spark, sf_dir):
     """Property rows assembled into JSON Schema (ref / enum / type+format, arrays,
     nullable, constraints last, required list, parent -> allOf)."""

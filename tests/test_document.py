@@ -101,3 +101,26 @@ def test_cross_references(spark):
     assert got["/x"]["get"]["z"] == {"type": "object", "description": "Unresolved reference to Missing", "x-unresolved": True}
     assert got["/x"]["get"]["q"] == {"$ref": D.REF + "User"} and got["A"] == schemas["A"]
     assert {r.name for r in D.unused_schemas(pieces, refs).collect()} == {"user", "Lost"}
+
+
+def test_schema_table(spark):
+    rows = [("r", "schemas", "A", '{"properties":{"a":{"$ref":"#/x"},"b":{}},"required":["a"]}'), ("s", "schemas", "A", '{"x-unresolved":true}'),
+            ("s", "schemas", "B", "3"), ("s", "schemas", "C", None), ("s", "paths", "/p", "{}")]
+    got = D.schema_table(spark.createDataFrame(rows, "repo_id string, section string, name string, body string"))
+    assert {tuple(r) for r in got.collect()} == {("r", "A", 2, 1, 1, "resolved"), ("s", "A", 0, 0, 0, "unresolved"), ("s", "B", 0, 0, 0, "resolved"),
+                                                 ("s", "C", 0, 0, 0, "resolved")}
+
+
+def test_equal_names_of_two_repositories_stay_apart(spark):
+    from routelens.operators import resolve as G
+    props = spark.createDataFrame([("r", "A", "x"), ("s", "A", "y"), ("r", "P", "p")], "repo_id string, node string, prop string")
+    parents = spark.createDataFrame([("r", "A", "P"), ("r", "P", "A")], "repo_id string, src string, dst string")
+    got = {(r.repo_id, r.node): (r.n_props, r.props) for r in G.property_closure(props, parents).collect()}
+    assert got == {("r", "A"): (2, ["p", "x"]), ("s", "A"): (1, ["y"]), ("r", "P"): (2, ["p", "x"])}
+    cols = "repo_id string, schema string, prop_ord int, name string, type string, format string, ref string, is_array boolean, nullable boolean, " \
+           "enum_values array<string>, constraints_json string"
+    rows = spark.createDataFrame([("r", "A", 0, "x", "string", "", "", False, False, [], "{}"), ("s", "A", 0, "y", "integer", "", "", False, False, [], "{}")], cols)
+    schemas = spark.createDataFrame([("r", "A", [], ""), ("s", "A", ["y"], "")], "repo_id string, schema string, required array<string>, parent_ref string")
+    texts = {r.repo_id: json.loads(r.schema_json) for r in G.props_to_json_schema(rows, schemas).collect()}
+    assert texts == {"r": {"type": "object", "properties": {"x": {"type": "string"}}},
+                     "s": {"type": "object", "properties": {"y": {"type": "integer"}}, "required": ["y"]}}
