@@ -41,7 +41,7 @@ CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 1 << 18
 BATCH_ROWS = 1 << 14
-TEXT_ROWS = BATCH_ROWS  # texts unpacked at once
+TEXT_ROWS = 1 << 10     # texts packed or unpacked at once
 PACK_LEVEL = 6          # of the compression of texts that cross a shuffle
 
 
@@ -470,22 +470,23 @@ def _packed(df: DataFrame, column: str) -> DataFrame:
         import zstandard
         press = zstandard.ZstdCompressor(level=PACK_LEVEL, write_checksum=False, write_dict_id=False)
         for batch in batches:
-            columns = list(batch.columns)
-            columns[at] = pa.array([None if t is None else press.compress(t.encode()) for t in columns[at].to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for lo in range(0, batch.num_rows, TEXT_ROWS):
+                columns = list(batch.slice(lo, TEXT_ROWS).columns)
+                columns[at] = pa.array([None if t is None else press.compress(t) for t in columns[at].cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return df.mapInArrow(lean(run), schema)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches with the packed texts of ``column`` as strings again, a few rows at a time."""
+def _texts(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the packed texts of ``column`` as strings again, some rows at a time."""
     import zstandard
     press = zstandard.ZstdDecompressor()
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        for lo in range(0, batch.num_rows, TEXT_ROWS):
-            columns = list(batch.slice(lo, TEXT_ROWS).columns)
-            raw = [None if t is None else press.decompress(t) for t in columns[at].to_pylist()]
+        for lo in range(0, batch.num_rows, rows):
+            columns = list(batch.slice(lo, rows).columns)
+            raw = (None if not t.is_valid else press.decompress(t.as_buffer()) for t in columns[at])
             columns[at] = pa.array(raw, pa.large_binary()).cast(pa.large_string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
@@ -513,7 +514,7 @@ def repeated_ranges(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     cut = _segment_blobs(width, buckets)
     texts = _packed(rows, "text").join(shared.join(first, "tid").select("doc_id", F.col("tid").alias("t"), "codes"), "doc_id")
     segments = texts.where("tid = t").select("doc_id", "tid", "text", "codes").mapInArrow(
-        lean(lambda batches: cut(_texts(batches, "text"))), SEGMENT_ROWS)
+        lean(lambda batches: cut(_texts(batches, "text", BATCH_ROWS // 4))), SEGMENT_ROWS)
     ranges = (segments.repartition(min(buckets, 8192), "bucket").sortWithinPartitions("bucket")
               .mapInArrow(lean(_decide(width)), "doc_id long, tid long, lo long, hi long"))
     spans = ranges.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
@@ -553,7 +554,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _texts(batches, text_col):
+        for batch in _texts(batches, text_col, TEXT_ROWS):
             spans = batch.column(batch.num_columns - 1).to_pylist()
             texts = [t if not s else _cut(t.encode(), _merged(s)).decode("utf-8", "ignore")
                      for t, s in zip(batch.column(at).to_pylist(), spans)]
@@ -573,8 +574,8 @@ def repeat_report(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw, spans = b"" if text is None else press.decompress(text), _merged(found or [])
+            for text, found in zip(batch.column(1), batch.column(2).to_pylist()):
+                raw, spans = press.decompress(text.as_buffer()) if text.is_valid else b"", _merged(found or [])
                 rows.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_cut(raw, spans)).hexdigest()))
             n = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
