@@ -18,7 +18,7 @@ required lists, 8 string bounds, 9 siblings of a ref, 11 array items, 14 nullabl
 inventory's F items).  Passes 3 to 9 apply to schemas only.  What a string was parsed into is not seen by passes 1 and
 2, which come before.
 
-Members of an object that are null in JSON are values; a body that is no JSON, or null, has no nodes and folds to null.
+Members of an object that are null in JSON are values; a body that is no JSON, or null, has no nodes and no folded row.
 Depth is bounded by the documents, not by a parameter.
 """
 
@@ -35,9 +35,6 @@ from routelens.session import write_stage
 
 PIECE = ["repo_id", "section", "name"]
 REF = "#/components/schemas/"
-PASSES = {1: "leaked_hint", 2: "primitive_ref", 3: "property_value", 4: "constraint_name", 5: "exclusive_bound", 6: "json_string",
-          7: "empty_required", 8: "string_bound", 9: "ref_sibling", 10: "ref_cycle", 11: "array_items", 12: "schema_case",
-          14: "nullable_type", 17: "dangling_ref"}
 EDIT = "array<struct<pass:int,key:string,value:string>>"
 
 

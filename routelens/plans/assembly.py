@@ -17,7 +17,7 @@ from routelens.operators import document as D
 from routelens.operators import spec as A
 from routelens.plans.catalog import made_once, query
 from routelens.plans.documents import SQL_PART, part_pieces
-from routelens.plans.schema import SQL_KEPT, SQL_LASTWINS, SQL_OP_IDS, SQL_OPS, event_ops, kept_ops
+from routelens.plans.schema import SQL_LASTWINS, SQL_OP_IDS, SQL_OPS, event_ops, kept_ops
 from routelens.session import write_stage
 from routelens.sources.sinks import shared_folder
 from routelens.sources.tables import table
