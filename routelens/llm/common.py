@@ -30,13 +30,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there."""
-    path = shared_path(df.sparkSession, name)
+    path = path or shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Remove staged tables that no later table is computed from, and let the driver collect what it no longer
+    refers to: Spark deletes the shuffle files of the jobs that wrote them only then."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) with null texts empty; every other column of ``docs`` stays out of the way."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),

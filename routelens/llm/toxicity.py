@@ -15,7 +15,8 @@ Sizes: classes are counted over all labelled rows that are neither held out nor
 shared counts over all documents.  All counts are keyed by the exact symbols, and the model is a table
 of contexts that grows with them.  Texts are scored in units of about ``UNIT_BYTES``: a unit asks for
 its distinct contexts, they are joined with the model (a context that many units ask for is a skewed
-join key, which AQE splits) and the answers meet the unit again.  The curve has four parameters and is
+join key, which AQE splits) and the answers, packed to a few bytes a context, meet the unit again.  What
+says no more than a missing entry does stays out of the answers.  The curve has four parameters and is
 fitted on at most ``rows_per_class`` rows of each class (those with the smallest id hashes).
 
 Defined cases: null text is empty; an empty text has features 0 and gets the curve's value there;
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, lean, stage, text_slices
+from .common import keyed_texts, lean, release, shared_path, stage, text_slices
 
 SCALE = 16          # log-ratios are stored in sixteenths
 WINDOW = 8          # symbols of the short stretch
@@ -117,8 +118,8 @@ def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.Record
             [pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
 
 
-def _gather(texts: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(kind, key, n): kind 2 five-symbol counts of all documents, 0 and 1 six-symbol counts of the two classes."""
+def _gather(texts: DataFrame, labelled: DataFrame, path: str) -> DataFrame:
+    """(kind, key, n), a table at ``path``: kind 2 five-symbol counts of all documents, 0 and 1 six-symbol counts of the two classes."""
 
     def give(kind: int, tally: _Tally) -> Iterator[pa.RecordBatch]:
         k, n = tally.take()
@@ -152,7 +153,7 @@ def _gather(texts: DataFrame, labelled: DataFrame) -> DataFrame:
     rows = "kind int, key long, n long"
     counted = texts.select("text").mapInArrow(lean(shared), rows).unionByName(
         texts.join(labelled, "doc_id").select("text", "toxic").mapInArrow(lean(classes), rows))
-    return stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "toxicity-counts")
+    return stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "toxicity-counts", path)
 
 
 def _shared_model(counts: DataFrame) -> DataFrame:
@@ -206,20 +207,32 @@ def _log_ratios(counts: DataFrame) -> DataFrame:
     return stage(priced, "toxicity-model")
 
 
+def _packed(ctx: np.ndarray, unseen: np.ndarray, sizes: np.ndarray, cells: np.ndarray) -> bytes:
+    """Answers of ascending contexts: their distances, ratios, numbers of cells and cells, compressed."""
+    raw = b"".join((np.uint32(len(ctx)).tobytes(), np.diff(ctx, prepend=0).astype(np.uint32).tobytes(),
+                    unseen.astype(np.int8).tobytes(), sizes.astype(np.uint8).tobytes(), cells.astype(np.int16).tobytes()))
+    return np.uint32(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(blob[4:], int(np.frombuffer(blob, np.uint32, 1)[0]), "zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    return (np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64), np.frombuffer(raw, np.int8, n, 4 + 4 * n),
+            np.frombuffer(raw, np.uint8, n, 4 + 5 * n), np.frombuffer(raw, np.int16, -1, 4 + 6 * n))
+
+
 class _Known:
     """The part of the model that a unit asked for."""
 
-    def __init__(self, answers: pa.StructScalar | None):
-        found = answers.values if answers is not None and answers.is_valid else None
-        if found is None or not len(found):
+    def __init__(self, answers: list[bytes]):
+        if not answers:
             self.ctx = self.key = np.zeros(0, np.int64)
             return
-        ctx, unseen, cells = found.flatten()
-        ctx = ctx.to_numpy()
-        symbol = cells.flatten().to_numpy().astype(np.int64)
-        key = np.repeat(ctx, pa.compute.list_value_length(cells).to_numpy()) << 6 | symbol >> 8
+        ctx, unseen, sizes, cells = (np.concatenate(c) for c in zip(*map(_unpacked, answers)))
+        symbol = cells.astype(np.int64)
+        key = np.repeat(ctx, sizes) << 6 | symbol >> 8
         self.ctx, at = np.unique(ctx, return_index=True)
-        self.unseen = unseen.to_numpy()[at].astype(np.int64)
+        self.unseen = unseen[at].astype(np.int64)
         self.key, at = np.unique(key, return_index=True)
         self.q = (symbol[at] & 255) - 128
 
@@ -227,10 +240,12 @@ class _Known:
         out = np.zeros(len(cells), np.int64)
         if not len(self.ctx):
             return out
-        at = np.minimum(np.searchsorted(self.key, cells), len(self.key) - 1)
-        hit = self.key[at] == cells
-        out[hit] = self.q[at[hit]]
-        rest = np.flatnonzero(~hit)
+        rest = np.arange(len(cells))
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, cells), len(self.key) - 1)
+            hit = self.key[at] == cells
+            out[hit] = self.q[at[hit]]
+            rest = np.flatnonzero(~hit)
         at = np.minimum(np.searchsorted(self.ctx, cells[rest] >> 6), len(self.ctx) - 1)
         hit = self.ctx[at] == cells[rest] >> 6
         out[rest[hit]] = self.unseen[at[hit]]
@@ -255,7 +270,8 @@ def features(known: _Known, data: np.ndarray, offsets: np.ndarray) -> np.ndarray
 def _unit_rows(text_col: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[pa.RecordBatch] = []
-        asked, held = np.zeros(0, np.int64), 0
+        none = np.zeros(0, np.int64)
+        asked, held = none, 0
 
         def unit() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
@@ -264,7 +280,7 @@ def _unit_rows(text_col: str) -> Callable:
                     out.write_batch(piece)
             return pa.RecordBatch.from_arrays(
                 [pa.array([secrets.randbits(63)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                 pa.array([np.diff(asked, prepend=0).astype(np.uint32).tobytes()], pa.binary())], ["unit", "rows", "asked"])
+                 pa.array([_packed(asked, np.zeros(len(asked)), np.zeros(len(asked)), none)], pa.binary())], ["unit", "rows", "asked"])
 
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch, text_col):
@@ -273,7 +289,7 @@ def _unit_rows(text_col: str) -> Callable:
                 held += len(data)
                 if held >= UNIT_BYTES:
                     yield unit()
-                    pieces, asked, held = [], np.zeros(0, np.int64), 0
+                    pieces, asked, held = [], none, 0
         if pieces:
             yield unit()
 
@@ -283,22 +299,41 @@ def _unit_rows(text_col: str) -> Callable:
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for unit, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            ctx = np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.int64)
+            ctx = _unpacked(raw)[0]
             for i in range(0, len(ctx), 1 << 16):
                 part = ctx[i:i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), unit)), pa.array(part)], ["unit", "ctx"])
 
 
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, ctx, unseen, cells) in order of unit and context, a packed row a unit and batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unit, ctx, unseen, cells = batch.columns
+        unit, ctx, unseen = (c.to_numpy(zero_copy_only=False) for c in (unit, ctx, unseen))
+        sizes = pa.compute.list_value_length(cells).to_numpy(zero_copy_only=False)
+        flat, ends = cells.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]))
+        blobs = [_packed(ctx[a:b], unseen[a:b], sizes[a:b], flat[ends[a]:ends[b]]) for a, b in zip(cut, cut[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(unit[cut[:-1]]), pa.array(blobs, pa.binary())], ["unit", "answer"])
+
+
 def _with_features(docs: DataFrame, cells: DataFrame, text_col: str, out: Callable, schema) -> DataFrame:
     """``out(rows, features)`` of all rows, piece by piece; units of equal number, should there be any, only share answers."""
     units = stage(docs.mapInArrow(lean(_unit_rows(text_col)), "unit long, rows binary, asked binary"), "toxicity-units")
-    answers = (units.select("unit", "asked").mapInArrow(lean(_asked), "unit long, ctx long").join(cells, "ctx")
-               .groupBy("unit").agg(F.collect_list(F.struct("ctx", "unseen", "cells")).alias("answers")))
+    # a cell equal to its context's ratio says nothing, nor does a context of ratio zero without cells
+    telling = cells.withColumn("cells", F.filter("cells", lambda c: c.bitwiseAND(F.lit(255).cast("short")) - 128 != F.col("unseen"))
+                               ).where("unseen <> 0 or size(cells) > 0")
+    answers = (units.select("unit", "asked").mapInArrow(lean(_asked), "unit long, ctx long").join(telling, "ctx")
+               .select("unit", "ctx", "unseen", "cells").sortWithinPartitions("unit", "ctx")
+               .mapInArrow(lean(_answered), "unit long, answer binary")
+               .groupBy("unit").agg(F.collect_list("answer").alias("answers")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                known = _Known(batch.column(1)[i])
+                known = _Known(batch.column(1)[i].as_py() or [])
                 for rows in pa.ipc.open_stream(batch.column(0)[i].as_buffer()):
                     parts = [features(known, data, offsets) for _, _, data, offsets in text_slices(rows, text_col)]
                     if parts:
@@ -351,7 +386,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     if len(sizes) < 4:  # a class is missing on one of the sides
         none = docs.sparkSession.createDataFrame([], "ctx long, unseen byte, cells array<short>")
         return ToxicityModel(none, curve)
-    cells = _log_ratios(_gather(texts, rows.where(F.col("fold") != CALIBRATION).select("doc_id", "toxic")))
+    spark = docs.sparkSession
+    path = shared_path(spark, "toxicity-counts")
+    counts = _gather(texts, rows.where(F.col("fold") != CALIBRATION).select("doc_id", "toxic"), path)
+    release(spark)
+    cells = _log_ratios(counts)
+    release(spark, path)  # the model is a table of its own
     kept = rows.where(F.col("fold") == CALIBRATION)
     parts = [kept.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in ("toxic", "not toxic")]
     sample = parts[0].unionByName(parts[1]).select("doc_id", "toxic")  # at most 2 * rows_per_class small rows
