@@ -137,3 +137,16 @@ SELECT h.repo_id, h.path, h.framework, h.rule_ord FROM hits h JOIN n ON n.k = 1
 def q_profile_route_files(spark, sf_dir):
     """The route files of the framework that a repository's manifests name."""
     return P.route_files(source_tree(spark, sf_dir), P.framework_profile(manifest_files(spark, sf_dir)))
+
+
+_EXTENSIONS = [(k, e) for k, v in R.SOURCE_EXTENSIONS.items() for e in v] + [("", e) for e in R.ANY_EXTENSIONS]
+
+
+@query("profile_source_files", sql=_SQL_PROFILE.rstrip() + f""",
+src AS (SELECT {_REPO.format(t="VARCHAR")} AS repo_id, {_SOURCE} AS path FROM part),
+ext AS (SELECT * FROM ({_vals(_EXTENSIONS)}) v(language, ext))
+SELECT s.repo_id, s.path FROM src s LEFT JOIN (SELECT repo_id, language FROM n WHERE k = 1) p ON p.repo_id = s.repo_id
+JOIN ext e ON e.language = coalesce(p.language, '') AND lower(s.path) LIKE '%.' || e.ext""")
+def q_profile_source_files(spark, sf_dir):
+    """S3: the sources of the language that a repository's manifests name, or of any where they name none."""
+    return P.source_files(source_tree(spark, sf_dir), P.framework_profile(manifest_files(spark, sf_dir)))

@@ -2,6 +2,7 @@
 
 from routelens.operators import profile as P
 from routelens.operators import rulebook as R
+from routelens.operators.detect import auth_context
 
 TREES = {
     "npm": {"package.json": '{"dependencies": {"koa": "2"}, "devDependencies": {"express": "4"}}', "tsconfig.json": "{}"},
@@ -67,3 +68,13 @@ def test_ports_and_sources(spark):
                    "hs": (3000, None), "none": (None, None)}
     assert sorted({(r.repo_id, r.path) for r in P.source_files(files, profile).collect()}) == [
         ("hs", "a.hs"), ("java", "A.java"), ("java", "b.kt"), ("js", "server.js"), ("none", "a.rb"), ("py", "lib/main.py")]
+
+
+def test_auth_rules(spark):
+    lines = spark.createDataFrame([
+        ("rails", "app/a.rb", 1, "  before_action :authenticate"), ("rails", "app/a.rb", 2, "skip_before_action :auth"),
+        ("net", "Api/A.cs", 1, "[Authorize]"), ("skip", "B.java", 3, ".permitAll()"), ("none", "c.py", 1, None),
+        ("jwt", "m.js", 1, "use(middleware for JWT)"), ("tests", "test/a.cs", 1, "[Authorize]")],
+        "repo_id string, path string, line_no int, line string")
+    got = {r.repo_id: (r.auth_mode, r.n_hits) for r in auth_context(lines, R.AUTH_RULES).collect()}
+    assert got == {"rails": ("all", 2), "net": ("per-endpoint", 1), "skip": ("", 1), "jwt": ("all", 1)}
