@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from routelens.functions.hints import primitive_schema
 from routelens.operators.spec import CONSTRAINT_RENAMES, STRING_VALUE_KEYS, coerce_property
-from routelens.session import write_stage
+from routelens.session import spread, write_stage
 
 PIECE = ["repo_id", "section", "name"]
 REF = "#/components/schemas/"
@@ -248,9 +248,9 @@ def descend(pieces: DataFrame, rewrite: Callable[[DataFrame], DataFrame]) -> Tre
     """Walk the pieces depth by depth.  ``rewrite`` adds ``edits`` to rows with the members ``m`` (null: no object).
 
     ``props``: the members are properties of a schema; ``parsed``: below a parsed string; ``settled``: below a
-    primitive put in place of a ref.
+    primitive put in place of a ref.  The pieces are dealt out first: a depth is written by as many tasks as the one above it.
     """
-    level = pieces.select(*PIECE, F.lit("").alias("ptr"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"),
+    level = spread(pieces, *PIECE).select(*PIECE, F.lit("").alias("ptr"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"),
                           F.lit(None).cast("int").alias("idx"), F.lit(0).alias("depth"), canonical(F.col("body")).alias("text"),
                           F.lit(False).alias("props"), F.lit(False).alias("parsed"), F.lit(False).alias("settled"),
                           F.array().cast("array<string>").alias("steps"), F.lit("").alias("stack")).where("text is not null")
@@ -388,7 +388,7 @@ def unused_schemas(pieces: DataFrame, refs: DataFrame) -> DataFrame:
 def schema_table(pieces: DataFrame) -> DataFrame:
     """One row a schema: its properties, required names and refs counted, and whether it was resolved."""
     m = members(F.col("body"))
-    rows = pieces.where("section = 'schemas'").select("repo_id", "name", "body", m.alias("m"))
+    rows = spread(pieces.where("section = 'schemas'"), *PIECE).select("repo_id", "name", "body", m.alias("m"))
     count = lambda texts: F.coalesce(F.size(texts), F.lit(0)).cast("long")
     return rows.select(
         "repo_id", "name", count(F.map_keys(members(_get(F.col("m"), "properties")))).alias("n_properties"),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from routelens.operators import document as D
 from routelens.operators import extract as E
 
 
@@ -43,3 +44,11 @@ def test_mount_of_many_tokens_and_own_file(spark):
     got = {(r.path, r.mounted_by, r.score) for r in E.mount_resolve(mounts, files).collect()}
     # the first excludes its own file; the second takes its exact stem; the third has a segment only
     assert got == {("s/wi_wh_wg.js", "a/" + "_".join(words) + ".js", 30), ("s/wa_wb.js", "b.js", 100), ("s/my_pets.js", "c.js", 9)}
+
+
+def test_pieces_of_one_file_are_dealt_out(spark):
+    pieces = spark.range(400).coalesce(1).select(F.lit("r").alias("repo_id"), F.lit("schemas").alias("section"), F.concat(F.lit("S"), "id").alias("name"),
+                                                 F.lit('{"type":"object","properties":{"a":{"type":"array"}}}').alias("body"))
+    tree = D.clean(pieces)
+    assert all(len(level.inputFiles()) >= 8 for level in tree.levels)
+    assert D.schema_table(pieces).rdd.getNumPartitions() >= 8
