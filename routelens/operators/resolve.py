@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.session import cut_lineage
+from routelens.session import cut_lineage, spread
 
 REF_TARGET_RE = r'"\$ref"\s*:\s*"#/components/schemas/([^"]+)"'
 
@@ -60,12 +60,12 @@ def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None,
     far a node lies, a caller may bound the rounds with ``max_rounds``.
     """
     # the edge list is materialised once; every round probes it instead of re-deriving it
-    e = cut_lineage(edges.select("repo_id", F.col(src).alias("node"), F.col(dst).alias("nxt")).distinct())
+    e = cut_lineage(spread(edges.select("repo_id", F.col(src).alias("node"), F.col(dst).alias("nxt")), "repo_id", "node").distinct())
     visited = cut_lineage(seeds.select("repo_id", "node").distinct().withColumn("depth", F.lit(0)))
     d = 0
     while max_rounds is None or d < max_rounds:
         frontier = visited.where(F.col("depth") == d).select("repo_id", "node")
-        nxt = (frontier.join(e, ["repo_id", "node"]).select("repo_id", F.col("nxt").alias("node")).distinct()
+        nxt = (frontier.join(spread(e, "repo_id", "node"), ["repo_id", "node"]).select("repo_id", F.col("nxt").alias("node")).distinct()
                .join(visited.select("repo_id", "node"), ["repo_id", "node"], "left_anti"))
         d += 1
         visited = cut_lineage(visited.unionByName(nxt.withColumn("depth", F.lit(d))))
@@ -116,7 +116,8 @@ def resolve_indexed(refs: DataFrame, type_defs: DataFrame) -> DataFrame:
     wins; of several the first whose path holds the import fragment (not in rank 1), else in rank 2
     the best stem score (2 equal, 1 the stem contains the name), first (path, line) on ties.
     The choice depends only on ``(name, fragment)``, so it is made once per distinct key (dedup
-    before the candidate join) and joined back to the refs.
+    before the candidate join) and joined back to the refs.  Definitions of a name that lie in one file and scope
+    are told apart by their line only: the candidate is the first of them, with their number.
     """
     outer = F.when(F.col("name").contains("."), F.regexp_replace("name", r"\.[^.]*$", ""))
     leaf = F.regexp_extract("name", r"([^.]*)$", 1)
@@ -125,6 +126,8 @@ def resolve_indexed(refs: DataFrame, type_defs: DataFrame) -> DataFrame:
     scope = F.col("scope") if "scope" in type_defs.columns else F.lit(None).cast("string")
     defs = type_defs.select("repo_id", F.col("name").alias("lookup"), "path", "line", scope.alias("scope"),
                             F.lower(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)).alias("stem"))
+    defs = defs.groupBy("repo_id", "lookup", "path", "scope", "stem").agg(  # a null line is the first
+        F.when(F.count("line") == F.count(F.lit(1)), F.min("line")).alias("line"), F.count(F.lit(1)).alias("n"))
     c = keys.join(defs, ["repo_id", "lookup"])
     rank = (F.when(F.col("lookup") == F.col("name"), 2).when(F.col("scope").endswith(F.col("outer")), 0)
             .when(F.col("stem") == F.lower("outer"), 1))
@@ -136,7 +139,7 @@ def resolve_indexed(refs: DataFrame, type_defs: DataFrame) -> DataFrame:
     key = F.struct("rank", "tier", (-F.col("score")).alias("neg_score"), "path", "line")
     best = c.groupBy("repo_id", "name", "fragment").agg(
         F.min_by(F.struct("path", "line", "tier", "rank"), key).alias("w"),
-        *[F.count_if(F.col("rank") == r).alias(f"n{r}") for r in range(3)])
+        *[F.sum(F.when(F.col("rank") == r, F.col("n"))).alias(f"n{r}") for r in range(3)])
     n = F.when(F.col("w.rank") == 0, F.col("n0")).when(F.col("w.rank") == 1, F.col("n1")).otherwise(F.col("n2"))
     best = best.select(F.col("repo_id").alias("b_repo"), F.col("name").alias("b_name"), F.col("fragment").alias("b_frag"),
                        "w", n.alias("n_candidates"))

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from routelens.functions import hints as T
 from routelens.plans.catalog import query
+from routelens.session import spread
 from routelens.sources.tables import table
 
 SHAPES = 12
 
 
 def part_hints(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
     name = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
     brand = F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))
     k = F.col("p_partkey") % SHAPES
