@@ -72,7 +72,7 @@ def test_pieces_of_one_file_are_dealt_out(spark):
 
 
 def test_links_of_a_graph_are_dealt_out(spark, monkeypatch):
-    edges = spark.range(100).coalesce(1).select(F.lit("r").alias("repo_id"), F.concat(F.lit("a"), "id").alias("src"), F.concat(F.lit("b"), "id").alias("dst"))
+    edges = spark.range(100).coalesce(1).select(F.when(F.col("id") >= 0, "r").alias("repo_id"), F.concat(F.lit("a"), "id").alias("src"), F.concat(F.lit("b"), "id").alias("dst"))
     seeds = spark.createDataFrame([("r", "a1")], "repo_id string, node string")
     cut, write, parts = R.cut_lineage, L.write_stage, []
     monkeypatch.setattr(R, "cut_lineage", lambda df: parts.append(df.rdd.getNumPartitions()) or cut(df))
