@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.session import cut_lineage, spread
+from routelens.session import cut_lineage, spread, write_stage
 
 REF_TARGET_RE = r'"\$ref"\s*:\s*"#/components/schemas/([^"]+)"'
 
@@ -59,13 +59,16 @@ def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None,
     that is checkpointed per round. Runs to the fixpoint (G11, G14); ``depth`` tells how
     far a node lies, a caller may bound the rounds with ``max_rounds``.
     """
-    # the edge list is materialised once; every round probes it instead of re-deriving it
-    e = cut_lineage(spread(edges.select("repo_id", F.col(src).alias("node"), F.col(dst).alias("nxt")), "repo_id", "node").distinct())
+    # the edge list is materialised once; every round probes it instead of re-deriving it.  It is a table before it is dealt:
+    # its size tells over how many tasks, and a literal repo_id is a column there, so the distinct keeps the dealing
+    e = write_stage(edges.select("repo_id", F.col(src).alias("node"), F.col(dst).alias("nxt")), "closure-edges")
+    rows = e.count()
+    e = cut_lineage(spread(e, "repo_id", "node", rows=rows).distinct())
     visited = cut_lineage(seeds.select("repo_id", "node").distinct().withColumn("depth", F.lit(0)))
     d = 0
     while max_rounds is None or d < max_rounds:
         frontier = visited.where(F.col("depth") == d).select("repo_id", "node")
-        nxt = (frontier.join(spread(e, "repo_id", "node"), ["repo_id", "node"]).select("repo_id", F.col("nxt").alias("node")).distinct()
+        nxt = (frontier.join(spread(e, "repo_id", "node", rows=rows), ["repo_id", "node"]).select("repo_id", F.col("nxt").alias("node")).distinct()
                .join(visited.select("repo_id", "node"), ["repo_id", "node"], "left_anti"))
         d += 1
         visited = cut_lineage(visited.unionByName(nxt.withColumn("depth", F.lit(d))))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from routelens import session
 from routelens.operators import document as D
 from routelens.operators import extract as E
 from routelens.operators import loop as L
@@ -85,3 +86,21 @@ def test_links_of_a_graph_are_dealt_out(spark, monkeypatch):
     found = L.resolution_loop(seeds.withColumnRenamed("node", "name"), index, made, refs, refs.limit(0).withColumnRenamed("target", "child"))
     assert {r.name for r in found.names.collect()} == {"a1", "b1"}
     assert min(n for name, n in (p for p in parts if isinstance(p, tuple)) if name == "loop-links") >= 8
+
+
+def test_links_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's share does not grow with the edges, also where the repository is a literal."""
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10, raising=False)
+    edges = spark.range(400).select(F.lit("r").alias("repo_id"), F.concat(F.lit("a"), "id").alias("src"), F.concat(F.lit("b"), "id").alias("dst"))
+    seeds = spark.createDataFrame([("r", "a1")], "repo_id string, node string")
+    cut, write, parts = R.cut_lineage, L.write_stage, []
+    monkeypatch.setattr(R, "cut_lineage", lambda df: parts.append(df.rdd.getNumPartitions()) or cut(df))
+    assert {(r.node, r.depth) for r in R.closure(seeds, edges.unionByName(edges)).collect()} == {("a1", 0), ("b1", 1)}
+    assert parts[0] == 80
+    monkeypatch.setattr(L, "write_stage", lambda df, name: parts.append((name, df.rdd.getNumPartitions())) or write(df, name))
+    index = edges.select("repo_id", F.col("src").alias("name"), F.col("src").alias("path"))
+    made = index.select("repo_id", "path", "name", F.lit(True).alias("ok"))
+    refs = edges.select("repo_id", F.col("src").alias("name"), F.col("dst").alias("target"))
+    found = L.resolution_loop(seeds.withColumnRenamed("node", "name"), index, made, refs, refs.limit(0).withColumnRenamed("target", "child"))
+    assert {r.name for r in found.names.collect()} == {"a1", "b1"}
+    assert dict(p for p in parts if isinstance(p, tuple))["loop-links"] == 40
