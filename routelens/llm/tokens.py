@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
-
 VOCABULARY = "byte_bpe_50k.json"
 # a word and the stop after it apart, else a run of other characters, else white space: every cut is
 # one that the vocabulary's pattern makes too
 SEGMENT = re.compile(r" ?[^\W\d_]+(?=[.,\s])|[.,](?=\s)| ?\S+|\s+(?!\S)|\s+")
-AMBIGUOUS = "[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]"
+# the same for ASCII texts, whose white space is six characters (the others of ``\s`` are ambiguous ones): sets of plain
+# characters are matched faster than character classes
+SEGMENT_ASCII = re.compile(r" ?[A-Za-z]+(?=[., \t-\r])|[.,](?=[ \t-\r])| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+AMBIGUOUS = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff"
 MEMO_SEGMENTS = 600_000
 LONG_SEGMENT = 64
 
@@ -37,17 +39,25 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([AMBIGUOUS, *map(re.escape, sorted(added, key=len, reverse=True))]))
+        self.whole = [*AMBIGUOUS, *added]
+        self.whole_ascii = [s for s in self.whole if s.isascii()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _segments(self, text: str) -> list[str] | None:
+        """The segments of a text, none if it is encoded whole."""
+        plain = text.isascii()
+        for s in self.whole_ascii if plain else self.whole:
+            if s in text:
+                return None
+        return (SEGMENT_ASCII if plain else SEGMENT).findall(text)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """One id string per text, in order."""
-        plain = [None if self.whole.search(t) else SEGMENT.findall(t) for t in texts]
+        plain = list(map(self._segments, texts))
         young, old = self.young, self.old
         missing = []
         for s in set().union(*filter(None, plain)).difference(young):
