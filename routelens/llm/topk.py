@@ -2,7 +2,8 @@
 
 Candidates and queries lie in blocks of bounded size and every pair of blocks is a group.  For each
 query a block offers one list per dimension, ordered by what the candidate's component adds to the
-score.  The lists are read from the top in parallel, a stretch at a time.  What has been read gives
+score.  The lists are read from the top in parallel, a stretch at a time, and a stretch serves all
+queries of the group.  What has been read gives
 every candidate a lower bound (unread components at their list's worst) and an upper bound (unread
 components at their list's present value); reading stops when all candidates but a few are below the
 k-th lower bound, and the final scores of those few are resolved.  A block's best k go on to a
@@ -18,6 +19,8 @@ fewer than k candidates all are returned; an empty table gives an empty result;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 1024
+QUERY_BATCH = 64  # queries whose bounds are computed at once
 FEW = 8  # reading also stops when no more than FEW * k candidates are left to resolve
 
 
@@ -48,40 +52,55 @@ def sorted_lists(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def best_of_block(query: np.ndarray, values: np.ndarray, lists: tuple[np.ndarray, np.ndarray], ids: np.ndarray,
                   k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and scores of the k best of a block, by reading its sorted lists."""
-    n = len(values)
-    dims = np.flatnonzero(query)
+    """Rows and scores of the k best of a block for one query."""
+    return next(best_of_block_each(query[None], values, lists, ids, k))
+
+
+def best_of_block_each(queries: np.ndarray, values: np.ndarray, lists: tuple[np.ndarray, np.ndarray], ids: np.ndarray,
+                       k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows and scores of the k best of a block, by reading its sorted lists.
+
+    A stretch of the lists is read once for all queries.  A list is read from both ends: queries with a
+    positive component there take its upper end, the others its lower end.
+    """
+    n, dims = values.shape
+    every = np.arange(n)
+    left = [every] * len(queries)
+    open_ = np.flatnonzero(queries.any(axis=1)) if n > k else every[:0]
     order, sorted_values = lists
-    if not len(dims) or n <= k:
-        left = np.arange(n)
-    else:
-        q = query[dims].astype(np.float64)
-        up = q > 0  # these lists are read from their upper end
-        worst = np.where(up, sorted_values[dims, 0], sorted_values[dims, -1]) * q
-        base, read = np.full(n, worst.sum()), np.zeros((len(dims), n), np.float32)
-        lo, step = 0, max(k, n // 4)
-        left = np.arange(n)
-        while True:
-            hi = min(n, lo + step)
-            front = np.empty(len(dims))
-            for j, d in enumerate(dims):
-                part = slice(n - hi, n - lo) if up[j] else slice(lo, hi)
-                rows, gain = order[d, part], sorted_values[d, part] * q[j]
-                base[rows] += gain - worst[j]  # now the lower bound: what was read, else the worst
-                read[j, rows] = 1
-                front[j] = gain[0] if up[j] else gain[-1]
-            bar = np.partition(base, n - k)[n - k]
-            # unread components can reach their list's present value instead of its worst; single
-            # precision here, so the bound is widened by more than its rounding
-            room = (front - worst).astype(np.float32)
-            upper = base[left] + room.sum() - (room @ read)[left] + (1 + 1e-4 * float(room.sum()))
-            left = left[upper >= bar]
-            if len(left) <= FEW * k or hi == n:
-                break
-            lo, step = hi, n // 8
-    total = values[left] @ query
-    first = np.lexsort((ids[left], -total))[:k]
-    return left[first], total[first]
+    # rows 0 to dims - 1: what the upper ends have told, the rest: the lower ends
+    halves = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(np.float32)
+    worst = np.concatenate([sorted_values[:, :1], sorted_values[:, -1:]]).astype(np.float32)
+    low, read = np.repeat(worst, n, axis=1), np.zeros((2 * dims, n), bool)
+    # bounds are in single precision, so they are widened by more than its rounding
+    sums = np.abs(queries).astype(np.float64) @ np.abs(sorted_values[:, [0, -1]]).max(axis=1)
+    room = (2 * dims + 8) * 2.0 ** -22 * sums
+    lo, hi = 0, max(k, n // 4)
+    while len(open_):
+        hi = min(n, hi)
+        ends = order[:, n - hi:n - lo], order[:, lo:hi]
+        told = sorted_values[:, n - hi:n - lo], sorted_values[:, lo:hi]
+        for half, rows, value in zip((slice(0, dims), slice(dims, 2 * dims)), ends, told):
+            np.put_along_axis(low[half], rows, value.astype(np.float32), axis=1)  # the lower bound: what was read, else the worst
+            np.put_along_axis(read[half], rows, True, axis=1)
+        # unread components can reach their list's present value instead of its worst
+        front = np.concatenate([sorted_values[:, n - hi], sorted_values[:, hi - 1]]).astype(np.float32)
+        high = np.where(read, low, front[:, None])
+        on = []
+        for at in range(0, len(open_), QUERY_BATCH):
+            some = open_[at:at + QUERY_BATCH]
+            bar = np.partition(halves[some] @ low, n - k, axis=1)[:, n - k] - room[some]
+            reach = halves[some] @ high >= bar.astype(np.float32)[:, None]
+            done = (np.count_nonzero(reach, axis=1) <= FEW * k) | (hi == n)
+            for i in np.flatnonzero(done):
+                left[some[i]] = np.flatnonzero(reach[i])
+            on.append(some[~done])
+        open_ = np.concatenate(on)
+        lo, hi = hi, hi + max(1, n // 8)
+    for query, rows in zip(queries, left):
+        total = values[rows] @ query
+        first = np.lexsort((ids[rows], -total))[:k]
+        yield rows[first], total[first]
 
 
 def _blocks(vectors: DataFrame, rows: int) -> tuple[Column, int]:
@@ -111,8 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
         queries_ = ask.column("v").combine_chunks().flatten().to_numpy().reshape(len(qids), -1).astype(np.int64)
         lists = sorted_lists(values)
         parts = []
-        for qid, query in zip(qids, queries_):
-            got, total = best_of_block(query, values, lists, ids, k + 1)  # one more, as it may meet itself
+        for qid, (got, total) in zip(qids, best_of_block_each(queries_, values, lists, ids, k + 1)):  # one more, as it may meet itself
             keep = ids[got] != qid
             got, total = got[keep][:k], total[keep][:k]
             parts.append((np.full(len(got), qid), ids[got], total))
