@@ -32,19 +32,20 @@ def path_canonicalize(endpoints: DataFrame, order_cols=("file_ord", "ep_ord"), p
     return ep.join(first, ["repo_id", "template"], "inner")
 
 
-def op_keep_first(endpoints: DataFrame, order_cols=("file_ord", "ep_ord"), path_col="canonical_path"):
+def op_keep_first(endpoints: DataFrame, order_cols=("file_ord", "ep_ord"), path_col="canonical_path", seen: str | None = None):
     """The first ``(path, method)`` wins; returns ``(kept, duplicates)``.
 
     ``kept`` has one row per ``(repo_id, path, method)`` carrying the winning
     row's columns plus ``n_seen``; ``duplicates`` are the losing rows (they feed
-    the findings log).
+    the findings log). ``seen`` names a column with the number of rows that a row
+    stands for, where rows were put together before.
     """
     keys = ["repo_id", path_col, "method"]
-    others = [c for c in endpoints.columns if c not in keys]
+    others = [c for c in endpoints.columns if c not in keys and c != seen]
     o = F.struct(*[F.col(c) for c in order_cols])
     win = (endpoints.groupBy(*keys)
            .agg(F.min_by(F.struct(*[F.col(c) for c in others]), o).alias("w"),
-                F.count(F.lit(1)).alias("n_seen")))
+                (F.sum(seen) if seen else F.count(F.lit(1))).alias("n_seen")))
     kept = win.select(*keys, "w.*", "n_seen")
     first = win.select(*keys, F.struct(*[F.col(f"w.{c}") for c in order_cols]).alias("__first"))
     dup = (endpoints.join(first, keys, "inner")

@@ -19,30 +19,40 @@ from routelens.sources.tables import table
 RESP_T = "array<struct<code:string,description:string,ref:string>>"
 
 
-def event_ops(spark, sf_dir):
+def _plain_ops(spark, sf_dir):
+    """What the operations of ``event_ops`` are grouped and ordered by, beside the columns the rest follows from."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
-    k = F.get_json_object("props", "$.k").cast("int")
     method = F.element_at(F.array(*[F.lit(m) for m in ("GET", "POST", "PUT", "DELETE")]), (F.col("event_id") % 4 + 1).cast("int"))
     pname = F.when(F.col("user_id") % 2 == 0, F.lit("id")).otherwise(F.concat("event_type", F.lit("Id")))
+    return e.select(
+        F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string")).alias("repo_id"),
+        F.col("user_id").alias("file_ord"), F.col("event_id").alias("ep_ord"), method.alias("method"),
+        F.concat(F.lit("/"), "event_type", F.lit("s/{"), pname, F.lit("}")).alias("path"), "event_type", "value", "props")
+
+
+def _details():
+    """The other columns of ``event_ops``, from the rows of ``_plain_ops``."""
+    k = F.get_json_object("props", "$.k").cast("int")
     resp = F.array(F.struct(F.lit("200").alias("code"), F.lit("").alias("description"),
                             F.concat(F.initcap("event_type"), F.lit("Out")).alias("ref")))
     resp = F.when(k > 50, F.concat(resp, F.array(F.struct(F.lit("404").alias("code"), F.lit("Not found").alias("description"), F.lit(None).cast("string").alias("ref"))))).otherwise(resp)
     resp = F.when(k % 10 == 0, F.concat(resp, F.array(F.struct(F.lit("200").alias("code"), F.lit("Cached").alias("description"), F.lit(None).cast("string").alias("ref"))))).otherwise(resp)
     declared = F.array(F.struct(F.lit("k").alias("name"), F.lit("query").alias("in"), F.lit(False).alias("required")),
-                       F.struct(F.when(F.col("user_id") % 2 == 0, F.lit("id")).otherwise(F.lit("page")).alias("name"),
+                       F.struct(F.when(F.col("file_ord") % 2 == 0, F.lit("id")).otherwise(F.lit("page")).alias("name"),
                                 F.lit("path").alias("in"), F.lit(True).alias("required")))
-    return e.select(
-        F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string")).alias("repo_id"),
-        F.col("user_id").alias("file_ord"), F.col("event_id").alias("ep_ord"), "event_id", method.alias("method"),
-        F.concat(F.lit("/"), "event_type", F.lit("s/{"), pname, F.lit("}")).alias("path"),
+    return [
         F.col("event_type").alias("operation_id"),
-        F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(F.initcap("event_type")).alias("tag"),
+        F.when(F.col("file_ord") % 3 == 0, F.lit("")).otherwise(F.initcap("event_type")).alias("tag"),
         (F.col("value") > 25).alias("protected"),
         F.when(F.col("value") > 25, F.array(F.lit("bearer"))).when(F.col("value") < 2, F.lit(None).cast("array<string>"))
         .otherwise(F.array().cast("array<string>")).alias("security"),
-        (method.isin("POST", "PUT") & (F.col("value") > 10)).alias("has_body"),
+        (F.col("method").isin("POST", "PUT") & (F.col("value") > 10)).alias("has_body"),
         resp.cast(RESP_T).alias("responses"), declared.alias("declared"), k.alias("k"),
-        F.concat(F.lit("src/"), "event_type", F.lit(".py")).alias("source_file"))
+        F.concat(F.lit("src/"), "event_type", F.lit(".py")).alias("source_file")]
+
+
+def event_ops(spark, sf_dir):
+    return _plain_ops(spark, sf_dir).select("repo_id", "file_ord", "ep_ord", F.col("ep_ord").alias("event_id"), "method", "path", *_details())
 
 
 SQL_OPS = """(SELECT 'svc' || CAST(user_id % 5 AS VARCHAR) AS repo_id, user_id AS file_ord, event_id AS ep_ord, event_id,
@@ -118,10 +128,15 @@ def q_add_4xx(spark, sf_dir):
 
 
 def kept_ops(spark, sf_dir):
-    o = event_ops(spark, sf_dir)
-    c = path_canonicalize(o)
-    kept, _ = op_keep_first(c.drop("path").withColumnRenamed("canonical_path", "path"), path_col="path")
-    return kept
+    """First operation of each path and method.
+
+    All events are grouped by path as it is written, in one pass over their few plain columns; spellings are merged
+    on what is left, and lists, structs and what is parsed from JSON are made for the rows that were kept.
+    """
+    written, _ = op_keep_first(_plain_ops(spark, sf_dir), path_col="path")
+    c = path_canonicalize(written)
+    kept, _ = op_keep_first(c.drop("path").withColumnRenamed("canonical_path", "path"), path_col="path", seen="n_seen")
+    return kept.select("repo_id", "path", "method", "template", "file_ord", "ep_ord", F.col("ep_ord").alias("event_id"), *_details(), "n_seen")
 
 
 SQL_KEPT = f"""(WITH o AS (SELECT *, regexp_replace(path, '\\{{[^}}]*\\}}', '{{_}}', 'g') AS template FROM {SQL_OPS}),
