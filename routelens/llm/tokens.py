@@ -14,6 +14,8 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+
 VOCABULARY = "byte_bpe_50k.json"
 # a word and the stop after it apart, else a run of other characters, else white space: every cut is
 # one that the vocabulary's pattern makes too
@@ -24,6 +26,7 @@ SEGMENT_ASCII = re.compile(r" ?[A-Za-z]+(?=[., \t-\r])|[.,](?=[ \t-\r])| ?[^ \t-
 AMBIGUOUS = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff"
 MEMO_SEGMENTS = 600_000
 LONG_SEGMENT = 64
+JOINED_SEGMENTS = 1000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -41,12 +44,34 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = [*AMBIGUOUS, *added]
         self.whole_ascii = [s for s in self.whole if s.isascii()]
+        vocab = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes of every id: its string has a character a byte
+        for token, i in vocab.items():
+            self.lengths[i] = len(token)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _raw_segments(self, segments: list[str]) -> list[bytes]:
+        """As ``_raw``; segments that begin with a space go many in one text, cut again by their ids' lengths.
+
+        The vocabulary's pattern cuts before a space that no white space follows, so no merge crosses from one to the next.
+        """
+        words = [s for s in segments if len(s) > 1 and s[0] == " " and not s[1].isspace()]
+        rest = list(set(segments).difference(words))
+        out = dict(zip(rest, self._raw(rest)))
+        for lo in range(0, len(words), JOINED_SEGMENTS):
+            some = words[lo:lo + JOINED_SEGMENTS]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(s.encode()) for s in some])) + 1
+            raw, at = ids.tobytes(), 0
+            for s, end in zip(some, (4 * ends).tolist()):
+                out[s] = raw[at:end]
+                at = end
+        return [out[s] for s in segments]
+
     def _segments(self, text: str) -> list[str] | None:
         """The segments of a text, none if it is encoded whole."""
         plain = text.isascii()
@@ -65,7 +90,7 @@ class Encoder:
                 missing.append(s)
             else:
                 young[s] = v
-        young.update(zip(missing, self._raw(missing)))
+        young.update(zip(missing, self._raw_segments(missing)))
         for t, p in zip(texts, plain):
             yield self._raw([t])[0] if p is None else b"".join(map(young.__getitem__, p))
         for s in missing:
