@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,11 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_folder(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a shared folder (``file:``, ``hdfs:``, ``s3:``, ``gs:`` or a plain path) and the path in it."""
+    return pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Remove staged tables that no later table is computed from, and let the driver collect what it no longer
     refers to: Spark deletes the shuffle files of the jobs that wrote them only then."""

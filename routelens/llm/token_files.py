@@ -23,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, shared_path, stage
+from .common import keyed_texts, open_folder, shared_path, stage
 from .tokens import encoded, vocabulary_path
 
 FILE_FIELDS = "bin string, idx string, width int, n_docs long, n_ids long, first_id long"
@@ -35,10 +34,6 @@ READ_BYTES = 8 << 20
 WRITE_BYTES = 4 << 20
 
 
-def _open_folder(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
-
-
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, width: int | None = None,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write ``docs`` as token files below ``folder``; one manifest row per file with its ``base``."""
@@ -48,7 +43,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         width = 2 if max(Tokenizer.from_file(vocabulary).get_vocab_size() - 1, end_id) < 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open_folder(folder)
+        fs, root = open_folder(folder)
         name, end = f"{root}/ids-{uuid.uuid4().hex}", np.uint32(end_id).tobytes()
         ids: list[np.ndarray] = []
         sizes: list[int] = []
@@ -94,7 +89,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
 def _document_ids(row: dict) -> Iterator[tuple[int, int, np.ndarray]]:
     """(doc id, first position in the file, ids) of every document of one file."""
-    fs, _ = _open_folder(row["folder"])
+    fs, _ = open_folder(row["folder"])
     with fs.open_input_file(row["idx"]) as f:
         index = np.frombuffer(f.read(), "<i8")
     n = int(index[0])

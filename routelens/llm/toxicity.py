@@ -13,11 +13,12 @@ fitted on labelled rows the models have not seen, is the score.
 
 Sizes: classes are counted over all labelled rows that are neither held out nor kept for the curve,
 shared counts over all documents.  All counts are keyed by the exact symbols, and the model is a table
-of contexts that grows with them.  Texts are scored in units of about ``UNIT_BYTES``: a unit asks for
-its distinct contexts, they are joined with the model (a context that many units ask for is a skewed
-join key, which AQE splits) and the answers, packed to a few bytes a context, meet the unit again.  What
-says no more than a missing entry does stays out of the answers.  The curve has four parameters and is
-fitted on at most ``rows_per_class`` rows of each class (those with the smallest id hashes).
+of contexts that grows with them.  Texts are never shuffled: the model is dealt out by ranges of contexts
+and staged in packed blocks, and texts are scored where they are read, in units of about ``UNIT_BYTES``.
+A unit reads the blocks one after the other and keeps what they hold of its own distinct contexts, so
+memory follows the unit, not the model.  What says no more than a missing entry does stays out of the
+blocks.  The curve has four parameters and is fitted on at most ``rows_per_class`` rows of each class
+(those with the smallest id hashes).
 
 Defined cases: null text is empty; an empty text has features 0 and gets the curve's value there;
 a null id is scored (not held out) but never a label; conflicting labels of one id count as toxic;
@@ -27,16 +28,17 @@ labels (0 without labels); repeated rows are scored each; other columns are igno
 
 from __future__ import annotations
 
-import secrets
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, lean, release, shared_path, stage, text_slices
+from .common import keyed_texts, lean, open_folder, release, shared_path, stage, text_slices
 
 SCALE = 16          # log-ratios are stored in sixteenths
 WINDOW = 8          # symbols of the short stretch
@@ -45,7 +47,8 @@ PAD = 5
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 ROWS_PER_CLASS = 50_000
 HELD_KEYS = 1 << 20  # counts held before they are given to the shuffle
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 32 << 20
+READ_BYTES = 1 << 20
 FIVE = (1 << 30) - 1  # the last five symbols of a cell
 
 # symbol classes: 0 separator, 1-26 letters, 27 digit, 28-31 lead bytes, 32-63 continuation bytes
@@ -118,8 +121,47 @@ def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.Record
             [pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
 
 
+def _files(folder: str) -> Iterator[pq.ParquetFile]:
+    """The files of a staged table, one after the other, read by small buffers."""
+    fs, root = open_folder(folder)
+    for info in fs.get_file_info(pa.fs.FileSelector(root)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                yield pq.ParquetFile(f, buffer_size=READ_BYTES)
+
+
+def _marks(folder: str, doc_id: pa.Array) -> np.ndarray:
+    """The label of each row of a batch, 1 toxic, 0 ordinary, -1 none, from a staged table (doc_id, toxic) of unique ids.
+
+    The table is dealt out by ranges of ids, so that files whose ids all lie elsewhere are passed over.
+    """
+    out = np.full(len(doc_id), -1, np.int8)
+    given = np.flatnonzero(doc_id.is_valid().to_numpy(zero_copy_only=False))
+    if not len(given):
+        return out
+    ids, inverse = np.unique(doc_id.drop_null().to_numpy(), return_inverse=True)
+    mark = np.full(len(ids), -1, np.int8)
+    for file in _files(folder):
+        for g in range(file.metadata.num_row_groups):
+            has = file.metadata.row_group(g).column(0).statistics
+            if has is not None and has.has_min_max and (has.max < ids[0] or has.min > ids[-1]):
+                continue
+            for rows in file.iter_batches(1 << 16, row_groups=[g], columns=["doc_id", "toxic"]):
+                got, toxic = (c.to_numpy(zero_copy_only=False) for c in rows.columns)
+                at = np.minimum(np.searchsorted(ids, got), len(ids) - 1)
+                hit = ids[at] == got
+                mark[at[hit]] = toxic[hit]
+    out[given] = mark[inverse]
+    return out
+
+
 def _gather(texts: DataFrame, labelled: DataFrame, path: str) -> DataFrame:
-    """(kind, key, n), a table at ``path``: kind 2 five-symbol counts of all documents, 0 and 1 six-symbol counts of the two classes."""
+    """(kind, key, n), a table at ``path``: kind 2 five-symbol counts of all documents, 0 and 1 six-symbol counts of the two classes.
+
+    Each text is read once and where it lies; its label is looked up in the staged labels.
+    """
+    folder = shared_path(texts.sparkSession, "toxicity-training")
+    stage(labelled.select("doc_id", "toxic").repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "toxicity-training", folder)
 
     def give(kind: int, tally: _Tally) -> Iterator[pa.RecordBatch]:
         k, n = tally.take()
@@ -128,31 +170,20 @@ def _gather(texts: DataFrame, labelled: DataFrame, path: str) -> DataFrame:
         else:  # mostly repeats: the sums are held on
             tally.keys, tally.sums, tally.held = [k], [n], len(k)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch, "text"):
-                tally.add(_cells(data, offsets) & FIVE)
-                if tally.held > HELD_KEYS:
-                    yield from give(2, tally)
-        yield from _rows(2, *tally.take())
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = _Tally(), _Tally()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = _Tally(), _Tally(), _Tally()
         for batch in batches:
-            toxic = batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
+            marks = _marks(folder, batch.column(0))
             for lo, hi, data, offsets in text_slices(batch, "text"):
-                cells, of = _cells(data, offsets), np.repeat(toxic[lo:hi], np.diff(offsets))
-                for kind, tally in enumerate(tallies):
-                    tally.add(cells[of == bool(kind)])
+                cells, of = _cells(data, offsets), np.repeat(marks[lo:hi], np.diff(offsets))
+                for kind, (tally, own) in enumerate(zip(tallies, (cells[of == 0], cells[of == 1], cells & FIVE))):
+                    tally.add(own)
                     if tally.held > HELD_KEYS:
                         yield from give(kind, tally)
         for kind, tally in enumerate(tallies):
             yield from _rows(kind, *tally.take())
 
-    rows = "kind int, key long, n long"
-    counted = texts.select("text").mapInArrow(lean(shared), rows).unionByName(
-        texts.join(labelled, "doc_id").select("text", "toxic").mapInArrow(lean(classes), rows))
+    counted = texts.select("doc_id", "text").mapInArrow(lean(count), "kind int, key long, n long")
     return stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "toxicity-counts", path)
 
 
@@ -208,7 +239,7 @@ def _log_ratios(counts: DataFrame) -> DataFrame:
 
 
 def _packed(ctx: np.ndarray, unseen: np.ndarray, sizes: np.ndarray, cells: np.ndarray) -> bytes:
-    """Answers of ascending contexts: their distances, ratios, numbers of cells and cells, compressed."""
+    """A block of ascending contexts: their distances, ratios, numbers of cells and cells, compressed."""
     raw = b"".join((np.uint32(len(ctx)).tobytes(), np.diff(ctx, prepend=0).astype(np.uint32).tobytes(),
                     unseen.astype(np.int8).tobytes(), sizes.astype(np.uint8).tobytes(), cells.astype(np.int16).tobytes()))
     return np.uint32(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
@@ -221,14 +252,41 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
             np.frombuffer(raw, np.uint8, n, 4 + 5 * n), np.frombuffer(raw, np.int16, -1, 4 + 6 * n))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ctx, unseen, cells) in order of their context, a packed row a batch with its least and largest context."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ctx, unseen, cells = batch.columns
+        ctx, sizes = ctx.to_numpy(), pa.compute.list_value_length(cells).to_numpy(zero_copy_only=False)
+        blob = _packed(ctx, unseen.to_numpy(zero_copy_only=False), sizes, cells.flatten().to_numpy())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([ctx[0]]), pa.array([ctx[-1]]), pa.array([blob], pa.binary())], ["lo", "hi", "block"])
+
+
+def _asked(folder: str, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What the staged blocks hold of the ascending contexts ``asked``; one block at a time is in memory."""
+    for file in _files(folder):
+        for rows in file.iter_batches(batch_size=1):
+            (lo,), (hi,), (blob,) = (c.to_pylist() for c in rows.columns)
+            a, b = np.searchsorted(asked, (lo, hi + 1))
+            if a == b:
+                continue
+            ctx, unseen, sizes, cells = _unpacked(blob)
+            at = np.minimum(np.searchsorted(ctx, asked[a:b]), len(ctx) - 1)
+            known = np.zeros(len(ctx), bool)
+            known[at[ctx[at] == asked[a:b]]] = True
+            yield ctx[known], unseen[known], sizes[known], cells[np.repeat(known, sizes)]
+
+
 class _Known:
     """The part of the model that a unit asked for."""
 
-    def __init__(self, answers: list[bytes]):
+    def __init__(self, answers: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         if not answers:
             self.ctx = self.key = np.zeros(0, np.int64)
             return
-        ctx, unseen, sizes, cells = (np.concatenate(c) for c in zip(*map(_unpacked, answers)))
+        ctx, unseen, sizes, cells = (np.concatenate(c) for c in zip(*answers))
         symbol = cells.astype(np.int64)
         key = np.repeat(ctx, sizes) << 6 | symbol >> 8
         self.ctx, at = np.unique(ctx, return_index=True)
@@ -267,79 +325,41 @@ def features(known: _Known, data: np.ndarray, offsets: np.ndarray) -> np.ndarray
     return out
 
 
-def _unit_rows(text_col: str) -> Callable:
+def _with_features(docs: DataFrame, cells: DataFrame, text_col: str, out: Callable, schema) -> DataFrame:
+    """``out(rows, features)`` of all rows, piece by piece.
+
+    The texts stay in the tasks that read them: the model lies in the shared folder in packed blocks of ascending contexts,
+    and a unit of texts reads them one after the other and keeps the contexts that it has.
+    """
+    # a cell equal to its context's ratio says nothing, nor does a context of ratio zero without cells
+    telling = cells.withColumn("cells", F.filter("cells", lambda c: c.bitwiseAND(F.lit(255).cast("short")) - 128 != F.col("unseen"))
+                               ).where("unseen <> 0 or size(cells) > 0")
+    folder = shared_path(docs.sparkSession, "toxicity-blocks")
+    stage(telling.select("ctx", "unseen", "cells").repartitionByRange("ctx").sortWithinPartitions("ctx")
+          .mapInArrow(lean(_blocks), "lo long, hi long, block binary"), "toxicity-blocks", folder)
+
+    def unit(pieces: list[pa.RecordBatch], asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known = _Known(list(_asked(folder, asked)))
+        for rows in pieces:
+            parts = [features(known, data, offsets) for _, _, data, offsets in text_slices(rows, text_col)]
+            yield out(rows, np.concatenate(parts))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[pa.RecordBatch] = []
         none = np.zeros(0, np.int64)
         asked, held = none, 0
-
-        def unit() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pieces[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
-                for piece in pieces:
-                    out.write_batch(piece)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([secrets.randbits(63)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                 pa.array([_packed(asked, np.zeros(len(asked)), np.zeros(len(asked)), none)], pa.binary())], ["unit", "rows", "asked"])
-
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch, text_col):
                 pieces.append(batch.slice(lo, hi - lo))
                 asked = np.union1d(asked, np.unique(_cells(data, offsets) >> 6))
                 held += len(data)
                 if held >= UNIT_BYTES:
-                    yield unit()
+                    yield from unit(pieces, asked)
                     pieces, asked, held = [], none, 0
         if pieces:
-            yield unit()
-
-    return run
-
-
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for unit, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            ctx = _unpacked(raw)[0]
-            for i in range(0, len(ctx), 1 << 16):
-                part = ctx[i:i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), unit)), pa.array(part)], ["unit", "ctx"])
-
-
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, ctx, unseen, cells) in order of unit and context, a packed row a unit and batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        unit, ctx, unseen, cells = batch.columns
-        unit, ctx, unseen = (c.to_numpy(zero_copy_only=False) for c in (unit, ctx, unseen))
-        sizes = pa.compute.list_value_length(cells).to_numpy(zero_copy_only=False)
-        flat, ends = cells.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]))
-        blobs = [_packed(ctx[a:b], unseen[a:b], sizes[a:b], flat[ends[a]:ends[b]]) for a, b in zip(cut, cut[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(unit[cut[:-1]]), pa.array(blobs, pa.binary())], ["unit", "answer"])
-
-
-def _with_features(docs: DataFrame, cells: DataFrame, text_col: str, out: Callable, schema) -> DataFrame:
-    """``out(rows, features)`` of all rows, piece by piece; units of equal number, should there be any, only share answers."""
-    units = stage(docs.mapInArrow(lean(_unit_rows(text_col)), "unit long, rows binary, asked binary"), "toxicity-units")
-    # a cell equal to its context's ratio says nothing, nor does a context of ratio zero without cells
-    telling = cells.withColumn("cells", F.filter("cells", lambda c: c.bitwiseAND(F.lit(255).cast("short")) - 128 != F.col("unseen"))
-                               ).where("unseen <> 0 or size(cells) > 0")
-    answers = (units.select("unit", "asked").mapInArrow(lean(_asked), "unit long, ctx long").join(telling, "ctx")
-               .select("unit", "ctx", "unseen", "cells").sortWithinPartitions("unit", "ctx")
-               .mapInArrow(lean(_answered), "unit long, answer binary")
-               .groupBy("unit").agg(F.collect_list("answer").alias("answers")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                known = _Known(batch.column(1)[i].as_py() or [])
-                for rows in pa.ipc.open_stream(batch.column(0)[i].as_buffer()):
-                    parts = [features(known, data, offsets) for _, _, data, offsets in text_slices(rows, text_col)]
-                    if parts:
-                        yield out(rows, np.concatenate(parts))
+            yield from unit(pieces, asked)
 
-    return units.join(answers, "unit", "left").select("rows", "answers").mapInArrow(lean(run), schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -376,7 +396,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
         text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Gather the counts, build the table of log-ratios and fit the curve on the calibration fold."""
     texts = keyed_texts(docs, id_col, text_col)
-    # staged, so that a small table of labels is seen to be small and the texts are not shuffled to it
     rows = stage(labelled_rows(labels, id_col, label_col), "toxicity-labels")
     sizes = {(r.cal, r.toxic): r.n for r in rows.groupBy((F.col("fold") == CALIBRATION).alias("cal"), "toxic")
              .agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
