@@ -29,7 +29,7 @@ ORACLE_SQL = None  # the toxicity model and the tokenizer cannot be stated in SQ
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: rows predicted toxic are dropped; texts travel in units to meet the model's answers."""
+    """Operator 7: rows predicted toxic are dropped; texts are scored where they are read."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_ordinary(docs, toxicity.fit(docs, labels))
 
