@@ -26,10 +26,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelens.functions.hints import primitive_schema
+from routelens.operators import walk as W
 from routelens.operators.spec import CONSTRAINT_RENAMES, STRING_VALUE_KEYS, coerce_property
 from routelens.session import spread, write_stage
 
@@ -307,9 +308,49 @@ def clean_rules() -> Callable[[DataFrame], DataFrame]:
     return rewrite
 
 
+class Walk(Tree):
+    """Pieces rewritten by whole documents (``operators/walk.py``): their texts and patches are one stage, a row a piece.
+
+    Odd pieces, and those whose key comes several times, are rewritten depth by depth.  So are all of them
+    where the nodes are asked for: ``levels`` are made then.
+    """
+
+    def __init__(self, pieces: DataFrame, rewrite: Callable[[DataFrame], DataFrame], rows: DataFrame, run: Callable):
+        self.pieces, self.rewrite, self.made = pieces, rewrite, None
+        schema = f"repo_id string, section string, name string, text string, patches {W.PATCH}, odd boolean"
+        self.rows = write_stage(rows.mapInArrow(run, schema), "walked")
+        odd = self.rows.where("odd").select(*PIECE, F.col("text").alias("body"))
+        self.odd = None if odd.isEmpty() else descend(odd, rewrite)
+
+    @property
+    def levels(self) -> list[DataFrame]:
+        if self.made is None:
+            self.made = descend(self.pieces, self.rewrite).levels
+        return self.made
+
+    def patches(self) -> DataFrame:
+        each = self.rows.where("not odd").select(*PIECE, F.explode("patches").alias("e")).select(
+            *PIECE, "e.ptr", "e.depth", "e.pass", "e.seq", "e.key", "e.value")
+        return each if self.odd is None else each.unionByName(self.odd.patches())
+
+    def fold(self) -> DataFrame:
+        whole = self.rows.where("not odd").select(*PIECE, F.col("text").alias("body"))
+        return whole if self.odd is None else whole.unionByName(self.odd.fold())
+
+
+def _counted(pieces: DataFrame) -> DataFrame:
+    """Canonical texts of the pieces (null: no JSON) and how many texts have the same key.
+
+    Rows without a text are left to the walk: a filter here would be computed before the pieces are dealt, on the text itself.
+    """
+    text = pieces.withColumn("text", canonical(F.col("body"))).drop("body")
+    return text.withColumn("copies", F.count("text").over(Window.partitionBy(*PIECE)))
+
+
 def clean(pieces: DataFrame) -> Tree:
     """The cleaned documents with their patch table (passes 1 to 9, 11 and 14)."""
-    return descend(pieces, clean_rules())
+    pieces = pieces.select(*PIECE, "body")
+    return Walk(pieces, clean_rules(), _counted(spread(pieces, "repo_id", "name")), W.clean_batches)
 
 
 def one_pass(edits: Callable[[Column], Column], where: Column | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -320,7 +361,8 @@ def one_pass(edits: Callable[[Column], Column], where: Column | None = None) ->
 
 
 def replay(pieces: DataFrame, patches: DataFrame) -> Tree:
-    """The pieces with a patch table put on: one keyed join a depth, edits in the order of (pass, seq)."""
+    """The pieces with a patch table put on: one keyed join, edits of an object in the order of (pass, seq)."""
+    pieces = pieces.select(*PIECE, "body")
     grouped = patches.groupBy(*PIECE, "ptr").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("pass", "seq", "key", "value"))),
         lambda e: F.struct(e["pass"].alias("pass"), e["key"].alias("key"), e["value"].alias("value"))).alias("edits"))
@@ -328,7 +370,8 @@ def replay(pieces: DataFrame, patches: DataFrame) -> Tree:
     def rewrite(level: DataFrame) -> DataFrame:
         return level.join(grouped, [*PIECE, "ptr"], "left").withColumn("edits", F.coalesce("edits", _none()))
 
-    return descend(pieces, rewrite)
+    own = patches.groupBy(*PIECE).agg(F.collect_list(F.struct("ptr", "pass", "seq", "key", "value")).alias("patches"))
+    return Walk(pieces, rewrite, _counted(spread(pieces, "repo_id", "name").join(own, PIECE, "left")), W.replay_batches)
 
 
 # ---------------------------------------------------------------- references over pieces

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from routelens.operators import document as D
 from routelens.plans.catalog import made_once, query
+from routelens.session import spread
 from routelens.sources.tables import table
 
 _K = "CAST(p_size AS STRING)"
@@ -81,7 +82,7 @@ def _sql_edits(number: int | None = None) -> str:
 
 def part_pieces(spark, sf_dir):
     """(repo_id, section, name, body) of every part."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey")  # rows are short, bodies are not
     return p.select(F.expr(REPO).alias("repo_id"), F.lit("schemas").alias("section"),
                     F.concat(F.lit("Part"), F.col("p_partkey").cast("string")).alias("name"), F.expr(BODY).alias("body"))
 

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from routelens.operators import document as D
 
@@ -124,3 +125,34 @@ def test_equal_names_of_two_repositories_stay_apart(spark):
     texts = {r.repo_id: json.loads(r.schema_json) for r in G.props_to_json_schema(rows, schemas).collect()}
     assert texts == {"r": {"type": "object", "properties": {"x": {"type": "string"}}},
                      "s": {"type": "object", "properties": {"y": {"type": "integer"}}, "required": ["y"]}}
+
+
+def test_whole_documents_equal_the_depths(spark):
+    """The walk gives what the passes on tables give, depth by depth; odd texts and repeated keys go that way."""
+    bodies_ = [json.dumps(given) for _, given, _ in CASES.values()]
+    bodies_ += ['{"a":1e5,"b":{"minimum":1.50,"type":"string"}}', '{"x":"{\\"a\\":1e5}","y":" [1.250, -0] ","z":"{\\"a\\":1,\\"a\\":2}"}', '{"t":"\\u001f","u":"\U0001f600"}',
+                '{"properties":{"a":" {\\"ge\\":0.0000001} ","b":"strING","c":"é É","d":"\\u2028"}}', '{"nullable":0,"$ref":"#/components/schemas/int, str"}',
+                '{"type":"string","minimum":123456789012345678,"maximum":-0.5}', '{"x":{"ref_hint":null,"a":[{"$ref":"#/components/schemas/Float"}]}}',
+                '{"properties":{"properties":{"properties":"Long"},"type":3,"items":[]},"le":1,"lt":2,"exclusiveMaximum":3}', '{"nullable":"","allOf":[]}', '"plain"', "1.50"]
+    rows = [("r", section, f"{i}~/{section}", body) for i, body in enumerate(bodies_) for section in ("schemas", "paths")]
+    rows += [("r", "schemas", "twice", '{"ge":1}'), ("r", "schemas", "twice", '{"le":1}'), (None, "schemas", "x", '{"ge":1}'), ("r", None, "x", '{"ge":1,"required":[]}')]
+    pieces = spark.createDataFrame(rows, "repo_id string, section string, name string, body string")
+    whole, depths = D.clean(pieces), D.descend(pieces, D.clean_rules())
+    assert whole.rows.where("odd").count() >= 6 and whole.rows.where("not odd").count() > 40
+    texts = lambda tree: sorted(map(repr, tree.fold().collect()))
+    log = lambda tree: sorted(map(repr, tree.patches().select(*D.PIECE, "ptr", "depth", "pass", "seq", "key", "value").collect()))
+    assert log(whole) == log(depths) and texts(whole) == texts(depths)
+    again = D.replay(pieces, whole.patches())
+    assert texts(again) == texts(D.descend(pieces, again.rewrite))
+
+
+def test_many_documents_take_few_jobs(spark, monkeypatch):
+    """A document's depth costs no rounds, and its texts are staged once."""
+    stages = []
+    write = D.write_stage
+    monkeypatch.setattr(D, "write_stage", lambda df, name: stages.append(name) or write(df, name))
+    deep = '{"properties":{"a":{"properties":{"b":{"properties":{"c":{"type":"array"}}}}}}}'
+    pieces = spark.range(50).select(F.lit("r").alias("repo_id"), F.lit("schemas").alias("section"), F.col("id").cast("string").alias("name"), F.lit(deep).alias("body"))
+    tree = D.clean(pieces)
+    assert D.replay(pieces, tree.patches()).fold().where("body like '%\"items\":{\"type\":\"string\"}%'").count() == 50
+    assert len(stages) == 2
