@@ -8,7 +8,9 @@ from its nodes in document order, in one grouping.  Members are written in key o
 
 Every edit is a row of the patch table ``(repo_id, section, name, ptr, pass, seq, key, value, depth)``: the member
 ``key`` of the object at ``ptr`` becomes ``value`` (JSON text), or goes where ``value`` is null.  ``replay`` puts
-a patch table on the pieces it was made from, by one join a depth, and gives the same document.
+a patch table on the pieces it was made from and gives the same document.
+
+``clean`` and ``replay`` walk a piece as a whole (``operators/walk.py``) and leave odd ones to ``descend``.
 
 The clean-up passes look at one object and its members only, so a pass over the whole document followed by
 the next equals all passes on an object before its members:
